@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import zstandard
@@ -48,11 +50,28 @@ def width(spark: SparkSession) -> int:
 
 def arrow_bytes(spark: SparkSession, n: int = 16 << 20) -> None:
     """Bound the bytes of an Arrow batch, unless the session has a bound: long texts else make batches of any size."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
         spark.conf.set(key, n)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application: they need not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = Path(__file__).resolve().parents[2]
+        at = Path(tempfile.mkdtemp(prefix="gleanery-")) / "gleanery.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted((top / "gleanery").rglob("*.py")):
+                z.write(f, f.relative_to(top))
+        spark.sparkContext.addPyFile(str(at))
+        _shipped.add(app)
+
+
 def text_bytes(col: str) -> Column:
     """The text's UTF-8 bytes; a null text is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
