@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import fingerprints, jaccard, lines, mixing, packing, quality, rules, token_counts, toxicity
+from gleanery.llm import fingerprints, jaccard, lines, mixing, packing, quality, rules, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_fingerprints, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_token_counts, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_fingerprints, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_token_counts, op10_ngram_jaccard_join)}
 ORACLES = {"op4_quality_rules": rules.ORACLE}
