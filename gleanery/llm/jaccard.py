@@ -98,7 +98,7 @@ def listed(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -
             for t in b.column(0).to_pylist():
                 s = shingles(t, words)
                 c = class_of(s)
-                if len(s) < den // (den - num) or c in seen:  # a set this small links to no other
+                if len(s) * (den - num) < num or c in seen:  # a set this small links to no other
                     continue
                 seen.add(c)
                 often = np.zeros(len(s), np.int64)

@@ -108,24 +108,32 @@ def fit(rows: DataFrame, dims: int) -> Space:
     return Space(shares, np.array([r.label for r in got]), dims)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, most_rows: int = 4_000, dims: int = 48, k: int = 15, sharpness: float = 8.0, threshold: float = 0.7) -> DataFrame:
-    """Every document's quality score (0 to 1): the similarity-weighted share of label 1 among its k nearest labelled documents.
+def with_quality(docs: DataFrame, labels: DataFrame, score: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, fold: int = 2, most_rows: int = 4_000, dims: int = 48, k: int = 15, sharpness: float = 8.0) -> DataFrame:
+    """docs with one more column, the quality score (0 to 1): the similarity-weighted share of label 1 among the k nearest labelled documents.
 
     Learns from at most about `most_rows` labelled rows outside the fold; that many vectors of `dims` numbers are broadcast, whatever the input's size.
-    Returns id_col, held_out, score, predicted (1 from the threshold on); one row for each row of docs; other columns of docs are ignored.
+    A column of docs named as the score is replaced; all others stay as they are.
 
     Defined results: a null, empty or blank text gets the mean label of the training rows; without usable labels every score is 0; labels other than 0
-    and 1 and null ids are not learned from, of several labels of a document the largest counts; repeated rows score alike.
+    and 1 and null ids are not learned from, of several labels of a document the largest counts; repeated rows score alike; an empty table gives an
+    empty result.
     """
     arrow_bytes(docs.sparkSession, 4 << 20)
+    docs = docs.drop(score)
     space = fit(training_rows(docs, labels, label_col, id_col, text_col, folds, fold, most_rows), dims)
     sent = docs.sparkSession.sparkContext.broadcast(space)
+    at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             scores = np.concatenate([sent.value.vote(np.array([features(t) for t in texts[a : a + 1024]], np.float32), k, sharpness) for a in range(0, len(texts), 1024)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, score])
 
-    scored = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"]))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = 0.7, **options) -> DataFrame:
+    """id_col, held_out, score and predicted (1 from the threshold on) of every row of docs; options and defined results: with_quality."""
+    scored = with_quality(docs.select(id_col, text_col), labels, "score", id_col, text_col, folds=folds, fold=fold, **options)
+    return scored.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
