@@ -1,6 +1,27 @@
-"""All registered queries and their SQL, by name."""
+"""All registered queries and their SQL, by name. A plan module adds to them with @query."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir), and the SQL that DuckDB answers alike."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from gleanery.plans import code, graphs, groups, ranking, relational, texts  # noqa: E402, F401
