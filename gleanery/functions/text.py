@@ -52,22 +52,24 @@ def light_stem(word: Column) -> Column:
     )
 
 
+#: What a word has that split_identifier splits.
+DIVIDED = "_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[a-zA-Z][0-9]|[0-9][a-zA-Z]"
+
+
 def tokenize(text: Column, stemmer: str = "none", stopwords: tuple[str, ...] | list[str] = STOPWORDS, min_length: int = 2) -> Column:
     """Tokens of a text in order, repeats kept: words are split as identifiers, short ones and stopwords go, then pieces are stemmed and checked again.
 
     stemmer: none or light; the whole identifier of a split word is never stemmed. For Porter's second algorithm see stem.with_stems.
     """
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    ok = lambda x: (F.length(x) >= min_length) & ~F.array_contains(stop, x)
-    stem = light_stem if stemmer == "light" else (lambda x: x)
+    ok = lambda x: (F.length(x) >= min_length) & ~x.isin(*stopwords)
+    stems = (lambda xs: F.transform(F.filter(xs, ok), light_stem)) if stemmer == "light" else (lambda xs: xs)
 
     def of(word: Column) -> Column:
-        p = F.filter(F.transform(pieces_of(word), lambda x: F.lower(x)), ok)
-        whole = F.filter(F.array(F.lower(word)), ok)
-        stems = F.filter(F.transform(p, stem), ok)
-        return F.when(F.size(pieces_of(word)) > 1, F.concat(stems, whole)).otherwise(stems)
+        several = lambda p: F.when(F.size(p) > 1, F.concat(stems(p), F.array(F.lower(word)))).otherwise(stems(p))
+        split = F.element_at(F.transform(F.array(F.transform(pieces_of(word), lambda x: F.lower(x))), several), 1)  # pieces are computed once
+        return F.when(word.rlike(DIVIDED), split).otherwise(stems(F.array(F.lower(word))))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0)), of))
+    return F.filter(F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0)), of)), ok)
 
 
 def query_terms(*sources: Column) -> Column:

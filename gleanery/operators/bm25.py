@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import tokenize
+from gleanery.storage import cut
 
 K1, B, CAP = 1.5, 0.75, 2
+#: Up to so many distinct query terms are literals of the scan.
+LITERALS = 2_000
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -44,14 +47,21 @@ def idf(n: Column, df: Column) -> Column:
 def search(docs: DataFrame, weights: DataFrame, id_col: str, text_col: str, query_col: str = "query_id", k: int = 10, k1: float = K1, b: float = B, stemmer: str = "none", most_terms: int = 100_000) -> DataFrame:
     """(query, id, rank, score, breakdown) of the k best documents of every query.
 
-    Ranks go by the score rounded to six digits, then by id. The distinct query terms are sent to the scan when they are at most most_terms, and joined
-    otherwise. A query without terms, or whose terms no document has, has no rows.
+    Ranks go by the score rounded to six digits, then by id. Texts are read once: a few distinct query terms are literals of the scan, which keeps each
+    document's length and hits only; more are sent to it when they are at most most_terms, and joined otherwise. A query without terms, or whose terms no
+    document has, has no rows.
     """
-    spark = docs.sparkSession
-    sized = docs.select(F.col(id_col), tokenize(F.col(text_col), stemmer).alias("tokens")).withColumn("length", F.size("tokens"))
     terms = weights.select("term").distinct()
-    few = terms.limit(most_terms + 1).count() <= most_terms
-    hits = sized.select(id_col, "length", F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    some = [r[0] for r in terms.limit(most_terms + 1).collect()]  # bounded
+    tokens = tokenize(F.col(text_col), stemmer)
+    if len(some) <= LITERALS:
+        wanted = lambda ts: F.filter(ts, lambda t: t.isin(*some)) if some else F.slice(ts, 1, 0)
+        found = F.transform(F.array(tokens), lambda ts: F.struct(F.size(ts).alias("length"), wanted(ts).alias("hits")))
+        sized = cut(docs.select(F.col(id_col), F.element_at(found, 1).alias("f")).select(id_col, "f.length", "f.hits"), "hits")
+        hits = sized.select(id_col, "length", F.explode("hits").alias("term"))
+    else:
+        sized = docs.select(F.col(id_col), tokens.alias("tokens")).withColumn("length", F.size("tokens"))
+        hits = sized.select(id_col, "length", F.explode("tokens").alias("term")).join(F.broadcast(terms) if len(some) <= most_terms else terms, "term", "left_semi")
     tf = hits.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(sized.select("length")))  # one row
