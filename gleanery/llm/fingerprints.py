@@ -3,8 +3,8 @@
 A paragraph is a line; a long line counts as paragraphs of eight words. Each distinct paragraph's 64-bit digest goes to one cell in each of three tables;
 a cell has the number of its digests, their XOR and the XOR of their checks. Sketches of two versions subtract cell by cell: what they share cancels, and
 peeling recovers the rest: a cell with one digest left gives it away, and taking it out of its other cells makes more such cells. Where peeling stops
-early, it is tried again with a larger sketch: the digests are dealt by their leading bits over as many small sketches as both versions need; a small one
-that still fails is tried at four times the size, and then its digests are compared one by one. Likeness is the share of paragraph digests, of both
+early, it is tried again with a larger sketch, a table of eight cells for each digest of both versions; what one of its cells does not give away goes to
+a small sketch of its own, then to one of four times the size, and at last is compared one by one. Likeness is the share of paragraph digests, of both
 versions together, that do not differ.
 """
 
@@ -44,6 +44,13 @@ def sketch(keys: Column, m: int) -> Column:
     return F.transform(upto(F.lit(3 * m)), lambda j: F.aggregate(F.filter(keys, lambda k: in_cell(k, j, m)), empty_cell(), lambda a, k: put(a, F.lit(1), k)))
 
 
+def first_sketch(keys: Column) -> Column:
+    """sketch(keys, SMALL) for whole documents: the numbers of tables and cells are constants, which is quicker for each digest."""
+    belongs = lambda k, t, i: F.shiftright(k, 8 * t).bitwiseAND(F.lit(SMALL - 1).cast("long")) == F.lit(i).cast("long")
+    cell = lambda t, i: F.aggregate(F.filter(keys, lambda k: belongs(k, t, i)), empty_cell(), lambda a, k: put(a, F.lit(1), k))
+    return F.array(*[cell(t, i) for t in range(3) for i in range(SMALL)])
+
+
 def minus(a: Column, b: Column) -> Column:
     """One sketch less another."""
     take = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
@@ -69,30 +76,41 @@ def peel(cells: Column, m: int, rounds: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.when(~left(s), s["n"]))
 
 
-def dealt(a: Column, b: Column) -> Column:
-    """Digests of both versions, dealt by their leading bits over a sketch for about every four: arrays of (digest, whether of the second)."""
+def dealt(a: Column, b: Column, spread: int = 8) -> Column:
+    """Digests of both versions by the cell of a wide table, `spread` cells for each digest, by their leading bits: arrays of (digest, whether of the
+    second); cells without a digest are left out."""
     tag = lambda x, second: F.transform(x, lambda k: F.struct(k.alias("k"), F.lit(second).alias("second")))
     both = F.sort_array(F.concat(tag(a, False), tag(b, True)))
-    n = F.greatest(F.lit(1), ((F.size(a) + F.size(b)) / 4).cast("int"))
+    n = ((F.size(a) + F.size(b)) * spread).cast("double") / F.lit(float(2**32))
 
     def parts(s: Column) -> Column:
-        part = lambda x: F.floor((F.shiftrightunsigned(x["k"].bitwiseXOR(F.lit(FIRST).cast("long")), 32)) * n / F.lit(float(2**32)))
-        starts = F.filter(upto(F.size(s)), lambda i: (i == 0) | (part(F.get(s, i)) != part(F.get(s, i - 1))))
-        return let(starts, lambda at: F.transform(at, lambda x, j: F.slice(s, x + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - x)))
+        cell = F.transform(s, lambda x: F.floor(F.shiftrightunsigned(x["k"].bitwiseXOR(F.lit(FIRST).cast("long")), 32) * n))
+        starts = lambda c: F.filter(F.transform(c, lambda x, i: F.when((i == 0) | (x != F.get(c, i - 1)), i)), lambda i: i.isNotNull())
+        return let(let(cell, starts), lambda at: F.transform(at, lambda x, j: F.slice(s, x + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - x)))
 
     return let(both, parts)
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Number of digests that only one of two arrays has, recovered from sketches that grow until peeling succeeds."""
+    """Number of digests that only one of two arrays has, recovered from larger sketches until peeling succeeds.
 
-    def part(p: Column) -> Column:
+    First a wide table: of most cells, the two versions' difference is nothing or one digest. The digests of a cell that has more are put in a small
+    sketch of their own, in one of four times the size if that fails, and compared one by one if that fails too.
+    """
+
+    def small(p: Column) -> Column:
         first = F.transform(F.filter(p, lambda x: ~x["second"]), lambda x: x["k"])
         second = F.transform(F.filter(p, lambda x: x["second"]), lambda x: x["k"])
         tried = [peel(minus(sketch(first, m), sketch(second, m)), m, r) for m, r in ((SMALL, 6), (4 * SMALL, 12))]
         return F.coalesce(*tried, F.size(F.array_except(first, second)) + F.size(F.array_except(second, first)))
 
-    return F.aggregate(dealt(a, b), F.lit(0), lambda n, p: n + part(p))
+    def cell(p: Column) -> Column:
+        difference = F.aggregate(p, empty_cell(), lambda c, x: put(c, F.when(x["second"], -1).otherwise(1), x["k"]))
+        nothing = lambda c: (c["c"] == 0) & (c["k"] == 0) & (c["h"] == 0)
+        one = lambda c: (F.abs(c["c"]) == 1) & (F.xxhash64(c["k"]) == c["h"])
+        return let(difference, lambda c: F.when(nothing(c), 0).when(one(c), 1).otherwise(small(p)))
+
+    return F.aggregate(dealt(a, b), F.lit(0), lambda n, p: n + cell(p))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -146,12 +164,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("key", F.coalesce("id", F.lit(FIRST).cast("long"))).withColumn("own", digests(F.col("text"))).withColumn("h", F.xxhash64("text"))
-    d = with_next(d, "key", ["h", "text"], ["text", "own"])
+    d = with_next(d.withColumn("own_cells", first_sketch(F.col("own"))), "key", ["h", "text"], ["text", "own", "own_cells"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    d = d.select("id", n.cast("long").alias("n_chars"), "own", "next_own", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), quarter)).alias("edited"))
+    d = d.select("id", n.cast("long").alias("n_chars"), "own", "next_own", "own_cells", F.col("next_own_cells").alias("next_own_cells"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), quarter)).alias("edited"))
     d = d.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("edited")).alias("new"))
-    d = d.select("id", "n_chars", "edited_sha256", "own", "new", "next_own", *[sketch(F.col(c), SMALL).alias(f"{c}_cells") for c in ("own", "new", "next_own")])
+    d = d.withColumn("new_cells", first_sketch(F.col("new")))
     near = lambda c: likeness(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells"))
     return d.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", text_of(F.col("own_cells")).alias("fingerprint"), text_of(F.col("new_cells")).alias("edited_fingerprint"), near("new").alias("near_edited"), near("next_own").alias("near_next"), F.size("own").cast("long").alias("n_paragraphs")
