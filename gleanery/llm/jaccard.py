@@ -22,33 +22,79 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import arrow_bytes, cut, pack, text_bytes, unpack, width
 from gleanery.llm.components import components
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_word_hashes: dict[bytes, int] = {}
-
-
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; with fewer words, of the whole sequence; empty without a word."""
-    ws = text.translate(LOWER).split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    if len(_word_hashes) > 1_000_000:
-        _word_hashes.clear()
-    get, h = _word_hashes.get, []
-    for w in ws:
-        x = get(w)
-        if x is None:
-            x = _word_hashes[w] = xxhash.xxh3_64_intdigest(w)
-        h.append(x)
-    a = np.array(h, np.uint64)
-    n = min(words, len(a))
-    out = np.full(len(a) - n + 1, n, np.uint64)
+LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers 0 to n - 1 (at least) of the base and of its inverse modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((BASE, INVERSE)):
+            p = np.full(2 * n, x, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers
+
+
+def all_shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its shingles; with fewer words, of the whole sequence; empty without a word.
+
+    Words are hashed by differences of running sums of byte values times powers of a base, for about a megabyte of texts at a time.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1 << 20):
+            size += len(texts[upto]) + 1
+            upto += 1
+        out += _some_shingles(texts[at:upto], words)
+        at = upto
+    return out
+
+
+def _some_shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+    data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    blank = BLANK[data]
+    edge = np.diff(np.r_[True, blank].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _power(len(data) + 1)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            out = (out ^ a[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(BYTES[data] * power[: len(data)], dtype=np.uint64)]
+        h = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        first = np.searchsorted(starts, np.r_[0, text_ends])
+        n_words = np.diff(first)
+        rolled = np.full(max(0, len(h) - words + 1), words, np.uint64)
+        for i in range(words):
+            rolled = _mixed((rolled ^ h[i : i + len(rolled)]) * np.uint64(BASE))
+        out = []
+        for k, n in enumerate(n_words.tolist()):
+            a = int(first[k])
+            if n >= words:
+                s = np.sort(rolled[a : a + n - words + 1])
+                out.append(s[np.r_[True, s[1:] != s[:-1]]])
+            elif n:
+                x = np.full(1, n, np.uint64)
+                for i in range(n):
+                    x = _mixed((x ^ h[a + i : a + i + 1]) * np.uint64(BASE))
+                out.append(x)
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def class_of(s: np.ndarray) -> int:
@@ -73,8 +119,7 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, ns, cs, sets = b.column(0).to_pylist(), [], [], {}
-            for t in b.column(1).to_pylist():
-                s = shingles(t, words)
+            for s in all_shingles(b.column(1).to_pylist(), words):
                 c = class_of(s)
                 sets[c] = s
                 ns.append(len(s)), cs.append(c)
@@ -95,8 +140,7 @@ def listed(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -
         hot, hot_n = sent.value
         for b in batches:
             seen, cols = set(), ([], [], [])
-            for t in b.column(0).to_pylist():
-                s = shingles(t, words)
+            for s in all_shingles(b.column(0).to_pylist(), words):
                 c = class_of(s)
                 if len(s) * (den - num) < num or c in seen:  # a set this small links to no other
                     continue
@@ -191,8 +235,7 @@ def test_pairs(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int
                 by[a][2].append(zb)
             out_a, out_b = [], []
             for a, (za, bs, zbs) in by.items():
-                mine = shingles(d.decompress(za), words)
-                others = [shingles(d.decompress(z), words) for z in zbs]
+                mine, *others = all_shingles([d.decompress(z) for z in (za, *zbs)], words)
                 need = np.array([required(len(mine), len(o), num, den) for o in others])
                 records = np.repeat(np.arange(len(others)), [len(o) for o in others])
                 tokens = np.concatenate(others)
@@ -230,15 +273,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = spark.sparkContext.broadcast((hot[order], hot_n[order]))
     entries = cut(listed(d, sent, words, 2 * width(spark), num, den), "shingle-lists")
     named = entries.select("class").distinct()
-    reps = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    several = rows.groupBy("id").agg((F.count_distinct("class") > 1).alias("several"))
+    reps = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).join(several, "id")
     texts = cut(_texts(d, reps, words), "shingle-texts")
     links, labels = None, entries.select("class").distinct().select("class", F.col("class").alias("label"))
-    for k in range(rounds + 1):
-        found = cut(test_pairs(proposals(entries, labels, k, k == rounds, num, den), texts, words, num, den), "links")
+    k = 0 if rounds else -1
+    while k is not None:
+        found = cut(test_pairs(proposals(entries, labels, k, num, den), texts, words, num, den), "links")
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             merged = cut(components(links), "components")
             labels = named.join(merged, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("label"))
+        k = None if k < 0 else k + 1 if k + 1 < rounds and not few_left(entries, labels) else -1
     own = rows.join(merged, F.col("class") == F.col("node"), "left").select("id", "n", F.coalesce("component", "class").alias("label"))
     least = own.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = own.join(least.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left")
@@ -246,41 +292,65 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _texts(d: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(class, text) of one document of each class in reps (class, id)."""
-    joined = d.join(reps.select(F.col("id").alias("_id"), "class"), F.col("id") == F.col("_id")).select("class", "text")
+    """(class, text) of one document of each class in reps (class, id, and whether the id stands for several classes)."""
+    joined = d.join(reps.select(F.col("id").alias("_id"), "class", "several"), F.col("id") == F.col("_id")).select("class", "text", "several")
 
     def own(batches):
         for b in batches:
-            keep = pa.array([class_of(shingles(t, words)) == c for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield b.filter(keep)
+            texts, several = b.column(1).to_pylist(), b.column(2).to_pylist()
+            doubtful = iter(all_shingles([t for t, x in zip(texts, several, strict=True) if x], words))
+            keep = [not x or class_of(next(doubtful)) == c for c, x in zip(b.column(0).to_pylist(), several, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["class", "text"])
 
-    return joined.mapInArrow(own, "class long, text binary")  # where an id stands for several texts, only the class's own
+    return joined.mapInArrow(own, "class long, text binary")
 
 
-def proposals(entries: DataFrame, labels: DataFrame, k: int, every: bool, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components to test in round k; `every`: all pairs that share enough list entries."""
+def _by_label(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries with their labels, and the tokens that several labels share, with the label that most of a token's entries have."""
     e = entries.join(labels, "class")
-    if k == 0 and not every:
+    counts = e.groupBy("token", "label").agg(F.count("*").alias("count"))
+    main = counts.groupBy("token").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"), F.sum("count").alias("every")).where("labels > 1")
+    return e, main.select("token", F.col("m.label").alias("main"), F.col("m.count").alias("mains"), "every")
+
+
+def few_left(entries: DataFrame, labels: DataFrame, most: int = 32) -> bool:
+    """Whether testing all pairs across components reads at most `most` times as many pairs as there are entries: more rounds would cost more."""
+    main = _by_label(entries, labels)[1]
+    pairs = main.agg(F.sum((F.col("every") - F.col("mains")).cast("double") * F.col("every"))).first()[0] or 0
+    return pairs <= most * entries.count()
+
+
+def proposals(entries: DataFrame, labels: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components to test in round k; -1, the last round: all pairs that can reach the required overlap.
+
+    Of two sets, the one whose first members end earlier in the common order shares all its other common members behind them, so the overlap is at most
+    the number of shared entries plus the members of one set that are not among its first.
+    """
+    if k == 0:
         w = Window.partitionBy("token").orderBy("n", "class")
-        pair = e.select("class", "n", F.lead("class").over(w).alias("other"), F.lead("n").over(w).alias("m")).where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num))
-        return _best(pair.select(F.col("class").alias("a"), F.col("other").alias("b")), 2)
-    main = e.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
-    e = e.join(main.select("token", F.col("m.label").alias("main"), F.col("m.count").alias("mains")), "token")
+        pair = entries.select("class", "n", F.lead("class").over(w).alias("other"), F.lead("n").over(w).alias("m")).where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num))
+        return _best(pair.select(F.col("class").alias("a"), F.col("other").alias("b"), F.col("n").alias("least")), 2)
+    e, main = _by_label(entries, labels)
+    e = e.join(main, "token")
     minor = e.where("label <> main").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "mains")
-    if not every:
+    if k > 0:
         major = e.where("label = main").withColumn("i", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("class", F.lit(k)))) - 1)
         pick = F.pmod(F.xxhash64("a", F.lit(k)), F.col("mains"))
         pair = minor.withColumn("i", pick).join(major.select("token", "i", F.col("class").alias("b"), F.col("n").alias("nb")), ["token", "i"])
         pair = pair.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-        return _best(pair.select("a", "b"), 3)
+        return _best(pair.select("a", "b", F.lit(0).alias("least")), 3)
     other = e.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
     pair = minor.join(other, "token").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    shared = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("n")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    return shared.where(F.col("shared") >= 1 + F.floor(F.col("n") / 50)).select("a", "b")
+    shared = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("n"), F.greatest("na", "nb").alias("m")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.max("m").alias("m"))
+    behind = lambda c: F.greatest(F.lit(0), F.ceil(F.col(c) * num / den) - 1 - F.floor(F.col(c) / 50))
+    need = F.ceil((F.col("n") + F.col("m")) * num / (num + den))
+    least = F.greatest(1 + F.floor(F.col("n") / 50), need - F.greatest(behind("n"), behind("m")))
+    return shared.where(F.col("shared") >= least).select("a", "b")
 
 
 def _best(pairs: DataFrame, most: int) -> DataFrame:
-    """The `most` partners of each class that share the most list entries with it; only a proposal, the last round leaves none out."""
-    counted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
+    """The `most` partners of each class that share the most list entries with it, a fiftieth of `least` or more; only proposals, the last round leaves
+    none out."""
+    counted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("least").alias("least"))
     w = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-    return counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("a", "b")
+    return counted.where(F.col("c") * 50 >= F.col("least")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("a", "b")
