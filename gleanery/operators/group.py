@@ -83,3 +83,18 @@ def coverage(every: DataFrame, grouped: DataFrame, excluded: DataFrame, id_col:
 def numbered(groups: DataFrame, order: list, prefix: str = "G") -> DataFrame:
     w = Window.orderBy(*order)
     return groups.withColumn("group_id", F.concat(F.lit(prefix), F.row_number().over(w).cast("string")))
+
+
+def collected(*parts: DataFrame) -> DataFrame:
+    """Candidates of all collectors in their order (column collector, from 0); what a collector lacks is null."""
+    out = None
+    for k, p in enumerate(parts):
+        p = p.withColumn("collector", F.lit(k))
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def split_flaky(reports: DataFrame, flaky: str = "flaky") -> tuple[DataFrame, DataFrame]:
+    """(excluded, remaining); a null is not flaky."""
+    test = F.coalesce(F.col(flaky), F.lit(False))
+    return reports.where(test), reports.where(~test)

@@ -68,3 +68,14 @@ def flaky(runs: DataFrame, test: str = "test", attempt: str = "attempt", outcome
     failed = F.max(F.when((F.col(attempt) == 0) & F.col(outcome).isin("failed", "error"), True).otherwise(False))
     passed = F.max(F.when((F.col(attempt) > 0) & (F.col(outcome) == "passed"), True).otherwise(False))
     return runs.groupBy(test).agg((failed & passed).alias("flaky"))
+
+
+def baseline(results: DataFrame, node: str = "node_id", outcome: str = "outcome", order: str | None = None) -> DataFrame:
+    """(node, outcome): the last outcome of every test, as pairs; a map would gather all of them in one row."""
+    return results.groupBy(node).agg(F.max_by(outcome, order or node).alias(outcome))
+
+
+def artefacts(files: DataFrame, path: str = "path") -> DataFrame:
+    """One row for each run folder: reports and patches found below it."""
+    run = F.regexp_extract(path, "(^|/)(r_[0-9]+_[0-9]+)/", 2)
+    return files.where(run != "").groupBy(run.alias("run_id")).agg(F.count_if(F.col(path).endswith("bug_report.json")).alias("reports"), F.count_if(F.col(path).endswith(".patch")).alias("patches"))

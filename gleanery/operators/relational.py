@@ -69,3 +69,17 @@ def search_history(rows: DataFrame, status: str | None, text: str, status_col: s
 def live(entries: DataFrame, now, pattern: str = "%") -> DataFrame:
     """Entries (key, value, expires_at) of a key pattern that have not expired; without expiry they stay."""
     return entries.where(F.col("key").like(pattern) & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+
+
+def tests_of_sources(tests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(test_path, source_path): a test's source by its rewritten path, or by the source's stem in the test's path.
+
+    tests: test_path; sources: source_path. Paths meet by their words, so no pair is formed that shares none; both rules are checked on the pairs.
+    """
+    stem = F.regexp_replace(F.regexp_replace("source_path", "^src/", ""), r"\.py$", "")
+    s = sources.withColumn("_stem", stem).withColumn("_word", F.element_at(F.split("_stem", "[^A-Za-z0-9]+"), -1))
+    words = F.array_distinct(F.split("test_path", "[^A-Za-z0-9]+"))
+    t = tests.withColumn("_word", F.explode(words))
+    pairs = t.join(s, "_word")
+    rewritten = F.element_at(F.split(F.replace("test_path", F.lit("tests/test_"), F.lit("src/")), "::"), 1)
+    return pairs.where((rewritten == F.col("source_path")) | F.contains("test_path", F.col("_stem"))).select("test_path", "source_path").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import resolve, validate
+from gleanery.operators import group, metrics, relational, resolve, validate
 from gleanery.plans.registry import query, table
 from gleanery.sources import logs, pyindex
 
@@ -103,3 +103,64 @@ def log_failures(spark, d):
     log = table(spark, d, "events").select("user_id").distinct().withColumn("log", F.replace(F.lit(LOG), F.lit("{k}"), F.col("user_id").cast("string")))
     sums = log.select("user_id", logs.totals(F.col("log")).alias("t")).select("user_id", "t.total", "t.failed")
     return logs.failures(log, "log", ["user_id"]).join(sums, "user_id")
+
+
+FRAMES = "f AS (SELECT event_id AS bug, user_id % (SELECT count(*) FROM part) AS m, event_id % 25 + 1 AS line FROM events)"
+SPAN = f"sp AS (SELECT p_partkey AS m, {ID} AS id, s, e FROM part, {NAMES} WHERE kind <> 'module')"
+
+
+def frames(spark, d):
+    n = table(spark, d, "part").count()
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("bug_id"), F.concat(F.lit("src/m"), (F.col("user_id") % n).cast("string"), F.lit(".py")).alias("file"), (F.col("event_id") % 25 + 1).cast("int").alias("line"))
+
+
+@query("code_seeds", f"WITH {FRAMES}, {SPAN} SELECT bug AS bug_id, CASE WHEN bug % 2 = 0 THEN 'src/m' || m || '.py::make' ELSE (SELECT arg_min(id, (e - s) * 1000) FROM sp WHERE sp.m = f.m AND line BETWEEN s AND e) END AS seed FROM f")
+def code_seeds(spark, d):
+    reports = frames(spark, d).withColumn("symbol", F.when(F.col("bug_id") % 2 == 0, "make").otherwise("gone"))
+    return resolve.resolve_seeds(reports, pyindex.symbols(parsed(spark, d))).select("bug_id", "seed")
+
+
+@query("code_suspects", f"WITH {FRAMES}, {SPAN} SELECT * FROM (SELECT bug AS bug_id, (SELECT arg_min(id, (e - s) * 1000) FROM sp WHERE sp.m = f.m AND line BETWEEN s AND e) AS suspect FROM f) WHERE suspect IS NOT NULL")
+def code_suspects(spark, d):
+    none = spark.createDataFrame([], "bug_id long, ordinal int, symbol_id string")
+    return resolve.suspects(frames(spark, d).withColumn("frame_no", F.lit(1)), none, pyindex.symbols(parsed(spark, d)))
+
+
+@query("reachability", "SELECT p_partkey, p_partkey % 3 = 0 AS reachable, CASE p_partkey % 3 WHEN 1 THEN 'file_not_indexed:src/gone' || p_partkey || '.py' WHEN 2 THEN 'symbol_not_found:src/m' || p_partkey || '.py::gone' END AS reason FROM part")
+def reachability(spark, d):
+    k = F.col("p_partkey")
+    bugs = table(spark, d, "part").select("p_partkey", F.concat(F.when(k % 3 == 1, "src/gone").otherwise("src/m"), k, F.lit(".py")).alias("file"), F.when(k % 3 == 2, "gone").otherwise("make").alias("symbol"))
+    return metrics.reachability(bugs, files(spark, d), pyindex.symbols(parsed(spark, d))).select("p_partkey", "reachable", "reason")
+
+
+@query("called_before_assert", "WITH c AS (SELECT user_id AS test, event_type AS name, min(event_id) AS line FROM events WHERE event_id <= 500 + user_id GROUP BY ALL) SELECT test, name, line, row_number() OVER (PARTITION BY test ORDER BY line, name) AS ordinal FROM c")
+def called_before_assert(spark, d):
+    e = table(spark, d, "events")
+    calls = e.select(F.col("user_id").alias("test"), F.col("event_type").alias("name"), F.col("event_id").alias("line"))
+    return resolve.called_before(calls, calls.select("test", (F.lit(500) + F.col("test")).alias("assert_line")).distinct())
+
+
+@query("tests_of_sources", "SELECT DISTINCT 'tests/test_' || event_type || '.py::test_x' AS test_path, 'src/' || event_type || '.py' AS source_path FROM events")
+def tests_of_sources(spark, d):
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    tests = kinds.select(F.concat(F.lit("tests/test_"), "event_type", F.lit(".py::test_x")).alias("test_path"))
+    return relational.tests_of_sources(tests, kinds.select(F.concat(F.lit("src/"), "event_type", F.lit(".py")).alias("source_path")))
+
+
+@query("baseline_outcomes", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def baseline_outcomes(spark, d):
+    return metrics.baseline(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("collected_candidates", "SELECT 0 AS collector, c_custkey AS id, c_name AS name, NULL::DOUBLE AS price FROM customer UNION ALL SELECT 1, p_partkey, p_name, p_retailprice FROM part")
+def collected_candidates(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    return group.collected(c, p).select("collector", "id", "name", "price")
+
+
+@query("sanitized_sources", "SELECT 'src/m' || p_partkey || '.py' AS path, 1 AS docstrings_removed, 1 AS comments_removed FROM part")
+def sanitized_sources(spark, d):
+    text = F.concat(F.lit('"""About."""\n'), "text", F.lit("# this should fail\n"))
+    return pyindex.sanitized(files(spark, d).withColumn("text", text)).select("path", "docstrings_removed", "comments_removed")

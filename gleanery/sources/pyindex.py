@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -186,3 +187,41 @@ def heuristics(known: DataFrame) -> DataFrame:
     """(id, file, line_start, line_end, category): functions whose returns are all one constant in spite of a branch, and those with two equal branches."""
     c = known.where("constant_return is not null").select("id", "file", "line_start", "line_end", F.lit("constant_return").alias("category"))
     return c.unionByName(known.where("same_branch").select("id", "file", "line_start", "line_end", F.lit("identical_branch").alias("category")))
+
+
+#: Fixed value: comments that give a test's outcome away.
+TELLING = re.compile(r"#.*\bshould\s+(fail|pass)\b.*", re.IGNORECASE)
+
+
+def without_docs(text: str) -> tuple[str, int, int]:
+    """A source with its docstrings blanked and telling comments cut, line numbers kept; how many of each. Sources that don't parse lose comments only."""
+    lines, docs = text.split("\n"), 0
+    try:
+        nodes = [n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))]
+    except (SyntaxError, ValueError):
+        nodes = []
+    for n in nodes:
+        d = n.body[0] if n.body else None
+        if isinstance(d, ast.Expr) and isinstance(d.value, ast.Constant) and isinstance(d.value.value, str):
+            docs += 1
+            indent = lines[d.lineno - 1][: d.col_offset]
+            alone = len(n.body) == 1 and not isinstance(n, ast.Module)
+            lines[d.lineno - 1 : d.end_lineno] = [indent + "pass" if alone else "", *[""] * (d.end_lineno - d.lineno)]
+    comments = 0
+    for i, line in enumerate(lines):
+        cut = TELLING.sub("", line)
+        if cut != line:
+            comments += 1
+            lines[i] = cut.rstrip()
+    return "\n".join(lines), docs, comments
+
+
+def sanitized(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """files with the text sanitized, and docstrings_removed and comments_removed."""
+
+    @F.pandas_udf("text string, docs int, comments int")
+    def clean(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([without_docs(t or "") for t in s], columns=["text", "docs", "comments"])
+
+    out = files.withColumn("_c", clean(F.col(text_col)))
+    return out.withColumn(text_col, F.col("_c.text")).withColumn("docstrings_removed", F.col("_c.docs")).withColumn("comments_removed", F.col("_c.comments")).drop("_c")
