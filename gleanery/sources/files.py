@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +13,12 @@ from gleanery.functions.text import excluded, is_test_path, posix_path
 
 
 def source_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), glob: str = "*.py") -> DataFrame:
-    """(path relative to root, text, sha1, lines, size, modified, kind) of all files below root that match, but for excluded paths."""
+    """(path relative to root, text, sha1, lines, size, modified, kind) of all files below root that match, but for excluded paths.
+
+    Spark's scan passes over files whose names begin with _, such as __init__.py; these, few and small in a source tree, are read by the driver.
+    """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
+    raw = raw.select("path", "modificationTime", "length", "content").unionByName(_underscored(spark, root, glob))
     full = F.regexp_replace("path", "^file:/*", "/")
     base = "/" + root.removeprefix("file:").lstrip("/") if "://" not in root or root.startswith("file:") else root
     out = raw.select(posix_path(full, base).alias("path"), F.decode("content", "UTF-8").alias("text"), F.sha1("content").alias("sha1"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
@@ -19,6 +26,22 @@ def source_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = (),
     return out.where(~excluded(F.col("path"), exclude)) if exclude else out
 
 
+def _underscored(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """The files that Spark takes for hidden by their first letter, in binaryFile's columns."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs, found = top.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    it = fs.listFiles(top, True)
+    while it.hasNext():
+        f = it.next()
+        if f.getPath().getName().startswith("_") and fnmatch(f.getPath().getName(), glob):
+            stream = fs.open(f.getPath())
+            data = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.close()
+            found.append((f.getPath().toString(), datetime.fromtimestamp(f.getModificationTime() / 1000, UTC), f.getLen(), data))
+    return spark.createDataFrame(found, "path string, modificationTime timestamp, length long, content binary")
+
+
 def json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One row for each JSON file; the schema is declared, never guessed."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
