@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import group, metrics, relational, resolve, validate
 from gleanery.plans.registry import query, table
 from gleanery.sources import logs, pyindex
+from gleanery.storage import cut
 
 BODY = """LIMIT = {k}
 
@@ -42,7 +43,8 @@ def files(spark, d):
 
 
 def parsed(spark, d):
-    return pyindex.parse(files(spark, d))
+    """Facts, stored once: every kind of fact is a selection of them."""
+    return cut(pyindex.parse(files(spark, d)), "facts")
 
 
 NAMES = "(SELECT unnest(['<module>', 'LIMIT', 'Box', 'Box.__init__', 'Box.weigh', 'Box.grow', 'make', 'same']) AS n, unnest(['module', 'constant', 'class', 'method', 'method', 'method', 'function', 'function']) AS kind, unnest([1, 1, 4, 5, 8, 13, 17, 22]) AS s, unnest([25, 1, 14, 6, 11, 14, 19, 25]) AS e)"
@@ -60,7 +62,7 @@ CALLEES = "(SELECT unnest(['Box.weigh', 'Box.weigh', 'make', 'make']) AS a, unne
 @query("code_calls", f"SELECT 'src/m' || p_partkey || '.py::' || replace(a, 'Box', 'Box' || p_partkey) AS caller, line::INTEGER AS line, 'src/m' || p_partkey || '.py::' || replace(b, 'Box', 'Box' || p_partkey) AS callee, rule FROM part, {CALLEES}")
 def code_calls(spark, d):
     p = parsed(spark, d)
-    s = pyindex.symbols(p)
+    s = cut(pyindex.symbols(p), "symbols")
     imports = resolve.import_map(resolve.resolve_imports(pyindex.imports(p), files(spark, d)), s)
     bases = resolve.resolve_bases(s.where("kind = 'class'").select(F.col("id").alias("cls"), "file", F.posexplode(F.coalesce("bases", F.array())).alias("ordinal", "name")), s, imports).where("base is not null")
     types = pyindex.attribute_types(p).join(s.where("kind = 'class'").select(F.col("file").alias("_f"), F.col("name").alias("_n"), F.col("id").alias("cls")), (F.col("file") == F.col("_f")) & (F.col("type_name") == F.col("_n"))).select("owner", "attr", "cls")
@@ -89,8 +91,8 @@ def review_targets(spark, d):
 @query("index_checks", "SELECT 'x' AS kind, 'x' AS detail WHERE false")
 def index_checks(spark, d):
     """No finding: the index of the made sources is sound; planted defects are in the tests."""
-    s = pyindex.symbols(parsed(spark, d))
-    calls = code_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+    s = cut(pyindex.symbols(parsed(spark, d)), "symbols")
+    calls = cut(code_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct(), "calls")
     none = calls.limit(0).select(F.col("src").alias("test_id"), F.col("dst").alias("source_id"))
     return validate.validate_index(s, files(spark, d), calls, calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), none)
 
