@@ -18,6 +18,7 @@ from gleanery.llm.common import WORD, cut
 
 BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
+DONE = "array<struct<order:bigint,row:bigint,up:int>>"
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -49,9 +50,10 @@ def unit(*cols) -> Column:
 
 
 def fold(members: Column, level: int) -> Column:
-    """Rounds an array of (order, draw, row, size, p) pair by pair: struct of done, array of (row, up), and carry, the member that may still be fractional."""
+    """Rounds an array of (order, draw, row, size, p) pair by pair: struct of done, array of (order, row, up), and carry, the member that may still be fractional.
+    order: the size, negative."""
     one = lambda m, p: F.struct(m["order"].alias("order"), m["draw"].alias("draw"), m["row"].alias("row"), m["size"].alias("size"), p.cast("double").alias("p"))
-    done = lambda m, up: F.array(F.struct(m["row"].alias("row"), up.cast("int").alias("up")))
+    done = lambda m, up: F.array(F.struct(m["order"].alias("order"), m["row"].alias("row"), up.cast("int").alias("up")))
     near = 1e-9
 
     def step(s: Column, b: Column) -> Column:
@@ -65,16 +67,36 @@ def fold(members: Column, level: int) -> Column:
         b_done = F.struct(F.concat(s["done"], done(b, F.round(pb))).alias("done"), one(a, pa).alias("carry"))
         return F.when(whole(pa), a_done).otherwise(b_done)
 
-    none = F.array().cast("array<struct<row:bigint,up:int>>")
+    none = F.array().cast(DONE)
     start = F.struct(none.alias("done"), one(F.get(members, F.lit(0)), F.get(members, F.lit(0))["p"]).alias("carry"))
     return F.aggregate(F.slice(members, F.lit(2), F.greatest(F.size(members) - 1, F.lit(0))), start, step)
 
 
+def settle(f: Column) -> Column:
+    """All of a source's last block decided: array of (order, row, up).
+
+    The carry is rounded to the nearer side; the words that this adds or takes are made up by members that go the other way, largest first, each no larger
+    than what is left. It concerns the words of one document at most.
+    """
+    c = f["carry"]
+    up = c["p"] >= 0.5
+    owed = F.when(up, (c["p"] - 1) * c["size"]).otherwise(c["p"] * c["size"])
+    start = F.struct(owed.alias("owed"), F.array(F.struct(c["order"].alias("order"), c["row"].alias("row"), up.cast("int").alias("up"))).alias("done"))
+
+    def step(s: Column, m: Column) -> Column:
+        turns = (-m["order"] <= F.abs(s["owed"])) & F.when(s["owed"] > 0, m["up"] == 0).otherwise(m["up"] == 1)
+        left = F.when(~turns, s["owed"]).when(s["owed"] > 0, s["owed"] + m["order"]).otherwise(s["owed"] - m["order"])
+        now = F.struct(m["order"].alias("order"), m["row"].alias("row"), F.when(turns, 1 - m["up"]).otherwise(m["up"]).alias("up"))
+        return F.struct(left.alias("owed"), F.concat(s["done"], F.array(now)).alias("done"))
+
+    return F.aggregate(F.array_sort(f["done"]), start, step, lambda s: s["done"])
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """How often the mix takes each document, so that each source's words come to its target.
 
     Returns id_col, source_col, size (words), source_size, target (both of the source), copies, taken (words the mix takes, repeats counted); one row for
-    each row of docs; other columns are ignored. A source's taken words differ from its target by at most half of one document.
+    each row of docs; other columns are ignored. A source's taken words come nearer to its target than half of one document.
 
     Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, the last; rows of null or repeated ids
     are documents of their own; an empty table gives an empty result; the draws depend on ids and sizes only, so reruns agree (of identical rows, which
@@ -95,12 +117,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     while True:
         folded = left.groupBy("source_rank", "block").agg(F.sort_array(F.collect_list("m")).alias("ms"))
         folded = cut(folded.select("source_rank", "block", fold(F.col("ms"), level).alias("f")), f"mix-level-{level}")
-        done.append(folded.select(F.explode("f.done").alias("d")).select("d.row", "d.up"))
-        left = folded.select("source_rank", F.floor(F.col("block") / BLOCK).cast("long").alias("block"), F.col("f.carry").alias("m"))
-        if blocks <= 1:
+        last = blocks <= 1
+        done.append(folded.select(F.explode(settle(F.col("f")) if last else F.col("f.done")).alias("d")).select("d.row", "d.up"))
+        if last:
             break
+        left = folded.select("source_rank", F.floor(F.col("block") / BLOCK).cast("long").alias("block"), F.col("f.carry").alias("m"))
         blocks, level = -(-blocks // BLOCK), level + 1
-    done.append(left.select("m.row", F.when(F.col("m.p") >= 0.5, F.lit(1)).otherwise(F.lit(0)).alias("up")))
     ups = done[0]
     for d in done[1:]:
         ups = ups.unionByName(d)
