@@ -127,3 +127,18 @@ def _apply(docs: DataFrame, text_col: str, removal, wide: DataFrame | None) -> D
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, *extra])
 
     return source.mapInArrow(run, schema)
+
+
+#: The registered query in DuckDB, with exact counts of sites.
+ORACLE = """
+WITH d AS (SELECT doc_id, text, coalesce(source, 'null') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, text, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
+c AS (SELECT *, coalesce('=' || lag(x) OVER v, '^') AS before, coalesce('=' || lead(x) OVER v, '$') AS after FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT x, count(DISTINCT site) AS k FROM c WHERE x <> '' GROUP BY x),
+three AS (SELECT before, x, after, count(DISTINCT site) AS k FROM c WHERE x <> '' GROUP BY ALL),
+j AS (SELECT c.*, coalesce(one.k >= 8 AND three.k < 8, false) AS gone FROM c LEFT JOIN one ON one.x = c.x
+    LEFT JOIN three ON three.x = c.x AND three.before = c.before AND three.after = c.after)
+SELECT doc_id, (CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""

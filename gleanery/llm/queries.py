@@ -61,4 +61,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_fingerprints, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_token_counts, op10_ngram_jaccard_join)}
-ORACLES = {"op4_quality_rules": rules.ORACLE}
+ORACLES = {"op4_quality_rules": rules.ORACLE, "op7_line_dedup": lines.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE}
