@@ -177,6 +177,23 @@ def listed(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -
     return blocks.groupBy("shard").applyInArrow(join, "token long, class long, n long")
 
 
+def behind(n, num: int, den: int):
+    """Column: how many members of a set of n are not among its first ones."""
+    return F.greatest(F.lit(0), F.ceil(n * num / den) - 1 - F.floor(n / 50))
+
+
+def needed(n, m, num: int, den: int):
+    """Column: required(n, m)."""
+    return F.ceil((n + m) * num / (num + den))
+
+
+def bounded(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries with cap, the most members that a class's set can share with any other: its entries here, which others have too, and what stands behind its
+    first members. Classes that cannot reach the least overlap they need are left out."""
+    cap = F.count("*").over(Window.partitionBy("class")) + behind(F.col("n"), num, den)
+    return entries.withColumn("cap", cap.cast("long")).where(F.col("cap") * den >= F.col("n") * num)
+
+
 def divide_skip(lists: list[np.ndarray], need: np.ndarray) -> np.ndarray:
     """Which of len(need) records stand on at least need[record] of the lists (sorted record numbers): the T-occurrence problem by DivideSkip.
 
@@ -271,7 +288,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot, hot_n = often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy().astype(np.int64)
     order = np.argsort(hot)
     sent = spark.sparkContext.broadcast((hot[order], hot_n[order]))
-    entries = cut(listed(d, sent, words, 2 * width(spark), num, den), "shingle-lists")
+    entries = cut(bounded(cut(listed(d, sent, words, 2 * width(spark), num, den), "shingle-lists"), num, den), "shingle-entries")
     named = entries.select("class").distinct()
     several = rows.groupBy("id").agg((F.count_distinct("class") > 1).alias("several"))
     reps = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).join(several, "id")
@@ -328,23 +345,24 @@ def proposals(entries: DataFrame, labels: DataFrame, k: int, num: int, den: int)
     """
     if k == 0:
         w = Window.partitionBy("token").orderBy("n", "class")
-        pair = entries.select("class", "n", F.lead("class").over(w).alias("other"), F.lead("n").over(w).alias("m")).where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num))
+        pair = entries.select("class", "n", "cap", F.lead("class").over(w).alias("other"), F.lead("n").over(w).alias("m"), F.lead("cap").over(w).alias("capm"))
+        pair = pair.where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num) & (needed(F.col("n"), F.col("m"), num, den) <= F.least("cap", "capm")))
         return _best(pair.select(F.col("class").alias("a"), F.col("other").alias("b"), F.col("n").alias("least")), 2)
     e, main = _by_label(entries, labels)
     e = e.join(main, "token")
-    minor = e.where("label <> main").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "mains")
+    minor = e.where("label <> main").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("cap").alias("ca"), F.col("label").alias("la"), "mains")
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (needed(F.col("na"), F.col("nb"), num, den) <= F.least("ca", "cb"))
     if k > 0:
         major = e.where("label = main").withColumn("i", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("class", F.lit(k)))) - 1)
         pick = F.pmod(F.xxhash64("a", F.lit(k)), F.col("mains"))
-        pair = minor.withColumn("i", pick).join(major.select("token", "i", F.col("class").alias("b"), F.col("n").alias("nb")), ["token", "i"])
-        pair = pair.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+        pair = minor.withColumn("i", pick).join(major.select("token", "i", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("cb")), ["token", "i"])
+        pair = pair.where(fits)
         return _best(pair.select("a", "b", F.lit(0).alias("least")), 3)
-    other = e.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
-    pair = minor.join(other, "token").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    other = e.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("cb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
+    pair = minor.join(other, "token").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & fits)
     shared = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("n"), F.greatest("na", "nb").alias("m")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.max("m").alias("m"))
-    behind = lambda c: F.greatest(F.lit(0), F.ceil(F.col(c) * num / den) - 1 - F.floor(F.col(c) / 50))
-    need = F.ceil((F.col("n") + F.col("m")) * num / (num + den))
-    least = F.greatest(1 + F.floor(F.col("n") / 50), need - F.greatest(behind("n"), behind("m")))
+    need = needed(F.col("n"), F.col("m"), num, den)
+    least = F.greatest(1 + F.floor(F.col("n") / 50), need - F.greatest(behind(F.col("n"), num, den), behind(F.col("m"), num, den)))
     return shared.where(F.col("shared") >= least).select("a", "b")
 
 
