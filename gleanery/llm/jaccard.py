@@ -188,10 +188,12 @@ def needed(n, m, num: int, den: int):
 
 
 def bounded(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries with cap, the most members that a class's set can share with any other: its entries here, which others have too, and what stands behind its
-    first members. Classes that cannot reach the least overlap they need are left out."""
+    """Entries with cap: a class's entries here, which others have too, and what stands behind its first members.
+
+    Of two sets, the one whose first members end earlier in the common order shares no other member, so the larger of both caps bounds their overlap.
+    """
     cap = F.count("*").over(Window.partitionBy("class")) + behind(F.col("n"), num, den)
-    return entries.withColumn("cap", cap.cast("long")).where(F.col("cap") * den >= F.col("n") * num)
+    return entries.withColumn("cap", cap.cast("long"))
 
 
 def divide_skip(lists: list[np.ndarray], need: np.ndarray) -> np.ndarray:
@@ -346,12 +348,12 @@ def proposals(entries: DataFrame, labels: DataFrame, k: int, num: int, den: int)
     if k == 0:
         w = Window.partitionBy("token").orderBy("n", "class")
         pair = entries.select("class", "n", "cap", F.lead("class").over(w).alias("other"), F.lead("n").over(w).alias("m"), F.lead("cap").over(w).alias("capm"))
-        pair = pair.where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num) & (needed(F.col("n"), F.col("m"), num, den) <= F.least("cap", "capm")))
+        pair = pair.where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num) & (needed(F.col("n"), F.col("m"), num, den) <= F.greatest("cap", "capm")))
         return _best(pair.select(F.col("class").alias("a"), F.col("other").alias("b"), F.col("n").alias("least")), 2)
     e, main = _by_label(entries, labels)
     e = e.join(main, "token")
     minor = e.where("label <> main").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("cap").alias("ca"), F.col("label").alias("la"), "mains")
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (needed(F.col("na"), F.col("nb"), num, den) <= F.least("ca", "cb"))
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (needed(F.col("na"), F.col("nb"), num, den) <= F.greatest("ca", "cb"))
     if k > 0:
         major = e.where("label = main").withColumn("i", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("class", F.lit(k)))) - 1)
         pick = F.pmod(F.xxhash64("a", F.lit(k)), F.col("mains"))
