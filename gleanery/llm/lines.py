@@ -1,8 +1,8 @@
 """Removal of lines that stand on many sites, by the spread of each line hash over distinct sites.
 
 Each line of a document is hashed; each site is one value of a column. A HyperLogLog sketch of sites for each line hash is built where the lines are read
-and merged by aggregation. Lines whose estimate is near the threshold are counted exactly. A line beyond it is boilerplate, unless it only repeats because
-whole documents do: where a line stands between the same neighbours on as many sites, the copies are left for the search for near-duplicates.
+and merged by aggregation. Lines whose estimate is near the threshold are counted exactly. A line beyond it is boilerplate wherever it stands, be it alone,
+within a block of such lines or in a document that is copied whole.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def line_hashes(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return lines, h, context | np.uint64(1)
 
 
-def spread_rows(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
-    """(kind, line, site): distinct pairs of each batch; kind 0 for lines, 1 for lines with their neighbours."""
+def spread_rows(docs: DataFrame, site_col: str, text_col: str, spare_repeated: bool) -> DataFrame:
+    """(kind, line, site): distinct pairs of each batch; kind 0 for lines, 1 for lines with their neighbours, which are there if spare_repeated."""
 
     def run(batches):
         for b in batches:
@@ -39,7 +39,8 @@ def spread_rows(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
                 _, h, context = line_hashes(text)
                 real = h != 0
                 seen.update((0, x, site) for x in h[real].view(np.int64).tolist())
-                seen.update((1, x, site) for x in context[real].view(np.int64).tolist())
+                if spare_repeated:
+                    seen.update((1, x, site) for x in context[real].view(np.int64).tolist())
             cols = list(zip(*sorted(seen), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["kind", "line", "site"])
 
@@ -61,18 +62,18 @@ def wide_lines(rows: DataFrame, min_sites: int, lg_k: int = 10, band: float = 0.
     return est.where(F.col("sites") > min_sites * (1 + band)).unionByName(exact.where(F.col("sites") >= min_sites))
 
 
-def drop_wide_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, most_sent: int = MOST_SENT) -> DataFrame:
+def drop_wide_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, most_sent: int = MOST_SENT, spare_repeated: bool = False) -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and with the text less its boilerplate lines.
 
-    A line (without surrounding blanks) that stands on at least min_sites distinct sites is removed wherever its neighbourhood (the lines before and
-    after it) is on fewer; a null site is a site of its own. Every other column stays as it is, but for n_lines and n_removed of docs, which are replaced; one row for each row of docs, in no stated order.
+    A line (without surrounding blanks) that stands on at least min_sites distinct sites is removed; a null site is a site of its own. spare_repeated
+    leaves it where its neighbourhood (the lines before and after it) is on as many sites, as ORACLE does: less than the whole job, since that spares most lines of a block. Every other column stays as it is, but for n_lines and n_removed of docs, which are replaced; one row for each row of docs, in no stated order.
 
     Defined results: a null text stays null with no lines; an empty text has one blank line, and blank lines are never removed; ids take no part, so null
     or repeated ids and repeated rows make no difference; an empty table gives an empty result. Hashes of 64 bits stand for lines.
     """
     spark = docs.sparkSession
     arrow_bytes(spark)
-    rows = cut(spread_rows(docs.withColumn(site_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0null"))), site_col, text_col), "line-rows")
+    rows = cut(spread_rows(docs.withColumn(site_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0null"))), site_col, text_col, spare_repeated), "line-rows")
     wide = cut(wide_lines(rows, min_sites), "wide-lines")
     if wide.count() <= most_sent:
         got = wide.select("kind", "line").toArrow()  # at most `most_sent` rows
@@ -129,7 +130,7 @@ def _apply(docs: DataFrame, text_col: str, removal, wide: DataFrame | None) -> D
     return source.mapInArrow(run, schema)
 
 
-#: The registered query in DuckDB, with exact counts of sites.
+#: op7_line_dedup in DuckDB, with exact counts of sites.
 ORACLE = """
 WITH d AS (SELECT doc_id, text, coalesce(source, 'null') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, text, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
@@ -142,3 +143,14 @@ j AS (SELECT c.*, coalesce(one.k >= 8 AND three.k < 8, false) AS gone FROM c LEF
 SELECT doc_id, (CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_removed,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
+
+#: op7_line_dedup_whole in DuckDB: every line on 8 sites or more is gone.
+ORACLE_WHOLE = """
+WITH d AS (SELECT doc_id, text, coalesce(source, 'null') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, text, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
+one AS (SELECT x, count(DISTINCT site) AS k FROM t WHERE x <> '' GROUP BY x),
+j AS (SELECT t.*, coalesce(one.k >= 8, false) AS gone FROM t LEFT JOIN one ON one.x = t.x)
+SELECT doc_id, (CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
