@@ -57,6 +57,12 @@ def reach_depth(spark, d):
     return graph.reach(c, c.where("src % 50 = 0").select(F.col("src").alias("id")), 4)
 
 
+@query("reach_depth_whole", f"WITH RECURSIVE {CALLS}, r AS (SELECT src AS start, dst AS node, 1 AS k FROM calls UNION ALL SELECT start, dst, k + 1 FROM r JOIN calls ON node = src WHERE k < 4) SELECT DISTINCT start, node FROM r")
+def reach_depth_whole(spark, d):
+    c = calls(spark, d)
+    return graph.reach(c, c.select(F.col("src").alias("id")), 4)
+
+
 @query("neighbourhood", f"WITH {CALLS} SELECT node FROM (SELECT dst AS node FROM calls WHERE src % 40 = 0 UNION SELECT src FROM calls WHERE dst % 40 = 0) WHERE node % 40 <> 0")
 def neighbourhood(spark, d):
     c = calls(spark, d)

@@ -58,8 +58,17 @@ def assertion_parts(spark, d):
 
 @query("severity", "SELECT event_id, CASE WHEN contains(lower(props), '7') AND event_id % 2 = 0 THEN 'Low' WHEN event_type = 'error' THEN 'High' WHEN event_type = 'view' THEN 'Medium' ELSE 'Low' END AS severity FROM events WHERE NOT (contains(lower(props), '7') AND event_id % 2 = 0)")
 def severity(spark, d):
+    return severities(table(spark, d, "events").where("not (contains(lower(props), '7') and event_id % 2 = 0)"))
+
+
+@query("severity_whole", "SELECT event_id, CASE event_type WHEN 'error' THEN 'High' WHEN 'view' THEN 'Medium' ELSE 'Low' END AS severity FROM events")
+def severity_whole(spark, d):
+    return severities(table(spark, d, "events"))
+
+
+def severities(events):
     m = F.when(F.col("event_type") == "error", "ZeroDivision: by zero").when(F.col("event_type") == "view", "AssertionError")
-    return table(spark, d, "events").where("not (contains(lower(props), '7') and event_id % 2 = 0)").select("event_id", X.severity(m, F.lit("src/a.py")).alias("severity"))
+    return events.select("event_id", X.severity(m, F.lit("src/a.py")).alias("severity"))
 
 
 SECRET = "CASE WHEN doc_id % 4 = 0 THEN text || ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || ' sk-' || md5(doc_id::VARCHAR) ELSE text END"
