@@ -293,8 +293,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = cut(bounded(cut(listed(d, sent, words, 2 * width(spark), num, den), "shingle-lists"), num, den), "shingle-entries")
     named = entries.select("class").distinct()
     several = rows.groupBy("id").agg((F.count_distinct("class") > 1).alias("several"))
-    reps = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).join(several, "id")
-    texts = cut(_texts(d, reps, words), "shingle-texts")
+    least_ids = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    texts = cut(_texts(d, least_ids.join(several, "id"), words), "shingle-texts")
+    if not rows.where("id is null").isEmpty():
+        texts = texts.unionByName(cut(_nameless_texts(d.where("id is null"), least_ids.where("id is null"), words), "nameless-texts"))
     links, labels = None, entries.select("class").distinct().select("class", F.col("class").alias("label"))
     k = 0 if rounds else -1
     while k is not None:
@@ -324,6 +326,16 @@ def _texts(d: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return joined.mapInArrow(own, "class long, text binary")
 
 
+def _nameless_texts(d: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(class, text) of one row of d for each class in classes, found by its class: these rows have no id to fetch them by."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in all_shingles(b.column(0).to_pylist(), words)], pa.int64()), b.column(0)], ["class", "text"])
+
+    return d.select("text").mapInArrow(run, "class long, text binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
+
+
 def _by_label(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries with their labels, and the tokens that several labels share, with the label that most of a token's entries have."""
     e = entries.join(labels, "class")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import duckdb
 import pytest
+from test_llm_operators import brute_components
 
-from gleanery.llm import lines, queries
+from gleanery.llm import jaccard, lines, queries
 from gleanery.plans.registry import QUERIES
 
 
@@ -56,3 +58,29 @@ def test_queries_over_whole_tables(spark, small):
         by[x.l_orderkey % 97].append((x.l_partkey * 3, int(x.l_partkey * 3 + x.l_quantity), x.l_orderkey * 10 + x.l_linenumber))
     inner = lambda k, p: min(((e - s, i) for s, e, i in by[k] if s <= p <= e), default=(0, None))[1]
     assert {r.event_id: r.id for r in run("enclosing_interval_whole")} == {e.event_id: inner(e.user_id % 97, e.event_id * 7 % 6000) for e in events}
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_null_ids_link(spark, num):
+    """Null-id texts of their own are near copies: of a document, between two documents that only they link, and of each other."""
+    rng = random.Random(3)
+    vary = lambda ws, at: [f"new{k}" if k in at else w for k, w in enumerate(ws)]
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(3))
+    texts = [(1, a), (None, vary(a, {60})), (5, b), (None, vary(b, {20, 21})), (9, vary(b, {20, 21, 90, 91})), (None, c), (None, vary(c, {50})), (None, c), (12, [f"u{k}" for k in range(50)])]
+    rows = [(i, " ".join(ws)) for i, ws in texts]
+    rows += [(30, " ".join(b)), (31, " ".join(vary(a, {2, 118})))]
+    want = brute_components(rows, 4, num, 100)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert (None, 117, 1) in want and (9, 117, 5) in want
+    assert sorted((tuple(r) for r in jaccard.jaccard_components(d, num=num).collect()), key=str) == want
+
+
+def test_null_ids_alone_link_two(spark):
+    """The chain 1 - null - 2: the ends do not link, the null-id text between them links with both."""
+    ws = [f"v{k}" for k in range(100)]
+    ends, mid = [" ".join(ws[:96]), " ".join(ws[12:])], " ".join(ws[5:])
+    rows = [(1, ends[0]), (2, ends[1]), (None, mid)]
+    want = brute_components(rows, 4, 85, 100)
+    assert {x[2] for x in want} == {1} and {x[2] for x in brute_components(rows[:2], 4, 85, 100)} == {1, 2}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.jaccard_components(d).collect()), key=str) == want
