@@ -16,6 +16,11 @@ from gleanery.llm.common import cut
 MIN_QUALITY = 0.7
 
 
+def with_rows(docs: DataFrame, what: str) -> DataFrame:
+    """docs with a key of each row, _row, which stays as it is since it is written: ids may be null or repeated."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), what)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -31,16 +36,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that shingles of five words link at a similarity of 0.8; rows of one id are one document."""
-    found = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    first = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"])
+    """The first row, by id (null last), of each group that shingles of five words link at a similarity of 0.8; each row is judged by its own text, whatever its id."""
+    keyed = with_rows(docs, "near-rows")
+    found = jaccard.jaccard_components(keyed, id_col="_row", words=5, num=80, den=100).select(F.col("_row").alias("_r"), "component_id")
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("place"))
+    first = found.join(ids, F.col("_r") == F.col("_row")).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
+    return keyed.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole copies, up to two."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    keyed = with_rows(docs, "mix-rows")
+    copies = mixing.mix(keyed, key_col="_row").select("_row", "copies").where("copies > 0")
+    taken = keyed.join(copies, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
 
 

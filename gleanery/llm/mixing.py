@@ -92,17 +92,17 @@ def settle(f: Column) -> Column:
     return F.aggregate(F.array_sort(f["done"]), start, step, lambda s: s["done"])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, key_col: str | None = None) -> DataFrame:
     """How often the mix takes each document, so that each source's words come to its target.
 
     Returns id_col, source_col, size (words), source_size, target (both of the source), copies, taken (words the mix takes, repeats counted); one row for
-    each row of docs; other columns are ignored. A source's taken words come nearer to its target than half of one document.
+    each row of docs; other columns are ignored, but key_col, if given, is returned too: a key of the row, which takes no part. A source's taken words come nearer to its target than half of one document.
 
     Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, the last; rows of null or repeated ids
     are documents of their own; an empty table gives an empty result; the draws depend on ids and sizes only, so reruns agree (of identical rows, which
     one is taken more often is immaterial).
     """
-    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *([F.col(key_col).alias("key")] if key_col else []))
     sizes = cut(counted.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # rows keep their number from here on
     goal = cut(targets(sizes, weights, share, cap), "mix-targets").select(F.col("source").alias("_source"), "source_size", "source_rank", "docs", "target")
     rows = sizes.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -128,4 +128,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ups = ups.unionByName(d)
     out = rows.join(ups.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     copies = F.col("whole") + F.coalesce("up", F.lit(0))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([F.col("key").alias(key_col)] if key_col else []))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 import duckdb
 import pytest
 from test_llm_operators import brute_components
 
-from gleanery.llm import jaccard, lines, queries
+from gleanery.llm import jaccard, lines, mixing, queries
+from gleanery.llm.common import cut
 from gleanery.plans.registry import QUERIES
 
 
@@ -84,3 +86,18 @@ def test_null_ids_alone_link_two(spark):
     assert {x[2] for x in want} == {1} and {x[2] for x in brute_components(rows[:2], 4, 85, 100)} == {1, 2}
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in jaccard.jaccard_components(d).collect()), key=str) == want
+
+
+def test_pipeline_judges_rows_by_text(spark):
+    """Rows with null or repeated ids: one row of each component stays, none is lost to its id, and each is mixed by its own copies."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    dup, only = text(90), [text(60 + k) for k in range(5)]
+    rows = [(1, dup), (2, dup), (2, only[0]), (None, only[1]), (None, only[2]), (None, dup + " end"), (None, only[3]), (7, only[4]), (7, only[4])]
+    d = spark.createDataFrame([(i, t, "en", "ab"[k % 2], len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = cut(corpus_pipeline.near_duplicates(spark, d, ""), "kept-rows")
+    assert kept.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, dup), (2, only[0]), *((None, only[k]) for k in (1, 2, 3)), (7, only[4])], key=str)
+    mixed = corpus_pipeline.source_mix(spark, kept, "").groupBy("text").count().collect()
+    sizes = {r["size"]: r.copies for r in mixing.mix(kept).collect()}
+    assert {len(r.text.split()): r["count"] for r in mixed} == {n: c for n, c in sizes.items() if c}
