@@ -1,11 +1,15 @@
 """Components of documents that share most of their word shingles: an exact Jaccard join by T-occurrence search.
 
 Documents with one shingle set are one class. With the rare shingles of every set first (any order that all sets share is right; frequent ones are known
-from a bounded table of counts), two linked sets have at least T of their first shingles in common, so inverted lists are needed for those alone. Lists
-with two classes or more propose pairs. Since components are wanted, not pairs, proposals come in rounds: a few neighbours of each class are tested, what
-links is merged, and only pairs that lie in different components remain for the last round, which tests all of them. A test is a T-occurrence
-search among the proposed partners of a class: their shingles form inverted lists, the short ones are merged, and partners that the long ones can still
-lift to the required overlap are looked up in these by binary search (DivideSkip).
+from a bounded table of counts), two linked sets share some of their first shingles. Classes that such shared shingles connect are a family; linked
+classes are always of one family, and most classes have none. A family's texts come to one block, small families together; there the T-occurrence search
+finds the links: over the inverted lists of the block's rare-first prefixes, a class merges its short lists by a heap, looks what these bring up in its
+long lists by binary search (DivideSkip), and retains the partners that reach the required overlap, which are then compared set by set. Partners
+that are connected already are passed over, so a block returns fewer links than it has classes, however alike they are.
+
+A family beyond a block's size is dealt over several. Its parts are searched by themselves first; what that leaves unconnected to the family's main
+component is then searched for in every part. So a family of copies costs in proportion to its size, and only one of texts that are alike but do not link
+costs more: its classes, squared, over the classes of a block, in rows sent; no pair is ever sent.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, pack, text_bytes, unpack, width
+from gleanery.llm.common import arrow_bytes, cut, forget, pack, text_bytes, unpack, width
 from gleanery.llm.components import components
 
+#: Shingles of a block's sets together, about; a single set may be larger.
+BLOCK = 1 << 21
+#: Length bands of a search: partners of a narrower range of sizes must share more.
+BANDS = 4
 LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -133,8 +140,9 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, n long, class long")
 
 
-def listed(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -> DataFrame:
-    """(token, class, n): entries of the inverted lists that two or more classes are on."""
+def families(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -> DataFrame:
+    """(class, root, shared, n): of each shard of shingles, the classes whose first ones stand on a list with other classes: the least class that such lists
+    connect it with, and how many of its first ones are shared."""
 
     def run(batches):
         hot, hot_n = sent.value
@@ -162,7 +170,7 @@ def listed(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -
             blocks = [(k, pack(token[o], c[o], n[o])) for k in range(shards) if len(o := order[cuts[k] : cuts[k + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["shard", "block"])
 
-    def join(table: pa.Table) -> pa.Table:
+    def connect(table: pa.Table) -> pa.Table:
         parts = [unpack(x, "<u8", "<i8", "<i8") for x in table.column("block").to_pylist()]
         token, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((c, token))
@@ -171,29 +179,34 @@ def listed(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -
         token, c, n = token[fresh], c[fresh], n[fresh]
         same = np.r_[False, token[1:] == token[:-1], False]
         many = same[1:] | same[:-1]
-        return pa.table({"token": token[many].view(np.int64), "class": c[many], "n": n[many]})
+        token, c, n = token[many], c[many], n[many]
+        classes, first, of = np.unique(c, return_index=True, return_inverse=True)
+        begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])[: len(token)]
+        sizes = np.diff(np.r_[begins, len(token)])
+        root = np.arange(len(classes))
+        while len(token):
+            least = np.repeat(np.minimum.reduceat(root[of], begins), sizes)
+            after = root.copy()
+            np.minimum.at(after, of, least)
+            np.minimum.at(after, root[of], least)
+            after = after[after]
+            if np.array_equal(after, root):
+                break
+            root = after
+        return pa.table({"class": classes, "root": classes[root], "shared": np.bincount(of, minlength=len(classes)).astype(np.int64), "n": n[first]})
 
     blocks = docs.select("text").mapInArrow(run, "shard int, block binary")
-    return blocks.groupBy("shard").applyInArrow(join, "token long, class long, n long")
+    return blocks.groupBy("shard").applyInArrow(connect, "class long, root long, shared long, n long")
 
 
-def behind(n, num: int, den: int):
-    """Column: how many members of a set of n are not among its first ones."""
-    return F.greatest(F.lit(0), F.ceil(n * num / den) - 1 - F.floor(n / 50))
+def fewest_shared(n, m, num: int, den: int):
+    """How many of their first ones two sets of n and m members share at least, if they link.
 
-
-def needed(n, m, num: int, den: int):
-    """Column: required(n, m)."""
-    return F.ceil((n + m) * num / (num + den))
-
-
-def bounded(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Entries with cap: a class's entries here, which others have too, and what stands behind its first members.
-
-    Of two sets, the one whose first members end earlier in the common order shares no other member, so the larger of both caps bounds their overlap.
+    Of two sets, the one whose first ones end earlier in the common order has all other common members behind them; so the overlap is at most what the
+    first ones share and what stands behind the first ones of one of the two.
     """
-    cap = F.count("*").over(Window.partitionBy("class")) + behind(F.col("n"), num, den)
-    return entries.withColumn("cap", cap.cast("long"))
+    behind = lambda k: np.maximum(0, -(-num * k // den) - 1 - k // 50)
+    return np.maximum(1, required(n, m, num, den) - np.maximum(behind(n), behind(m)))
 
 
 def divide_skip(lists: list[np.ndarray], need: np.ndarray) -> np.ndarray:
@@ -205,6 +218,8 @@ def divide_skip(lists: list[np.ndarray], need: np.ndarray) -> np.ndarray:
     counts = np.zeros(len(need), np.int64)
     lists = sorted(lists, key=len)
     t = int(need.min()) if len(need) else 0
+    if len(lists) < t:
+        return np.zeros(0, np.int64)
     n_long = max(0, min(t - 1, len(lists)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     for group in _merged(short):
@@ -231,47 +246,81 @@ def _merged(lists: list[np.ndarray]):
         yield last, n
 
 
-def test_pairs(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar. docs: (class, text), a row for each class that pairs name."""
-    squeeze = lambda: (lambda t: zstandard.ZstdCompressor(level=1).compress(t))
-
-    def small(batches):
-        z = squeeze()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z(t) for t in b.column(1).to_pylist()], pa.binary())], ["class", "z"])
-
-    packed = docs.mapInArrow(small, "class long, z binary")
-    with_b = pairs.join(packed.withColumnRenamed("class", "b").withColumnRenamed("z", "zb"), "b")
-    both = with_b.join(packed.withColumnRenamed("class", "a").withColumnRenamed("z", "za"), "a").select("a", "za", "b", "zb")
+def search(sets: list[np.ndarray], roots: np.ndarray, probes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (a, b) between the sets, sorted arrays, that connect what roots (equal numbers: connected already) leaves apart; one side is always a probe.
 
-    def run(batches):
-        d = zstandard.ZstdDecompressor()
-        for batch in batches:
-            by: dict[int, list] = {}
-            for a, za, b, zb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(a, [za, [], []])
-                by[a][1].append(b)
-                by[a][2].append(zb)
-            out_a, out_b = [], []
-            for a, (za, bs, zbs) in by.items():
-                mine, *others = all_shingles([d.decompress(z) for z in (za, *zbs)], words)
-                need = np.array([required(len(mine), len(o), num, den) for o in others])
-                records = np.repeat(np.arange(len(others)), [len(o) for o in others])
-                tokens = np.concatenate(others)
-                at = np.minimum(np.searchsorted(mine, tokens), max(len(mine) - 1, 0))
-                hit = mine[at] == tokens
-                order = np.lexsort((records[hit], at[hit]))
-                at, records = at[hit][order], records[hit][order]
-                lists = np.split(records, np.flatnonzero(np.diff(at)) + 1) if len(at) else []
-                good = divide_skip(lists, need)
-                out_a += [a] * len(good)
-                out_b += [bs[i] for i in good]
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100, rounds: int = 3, most_hot: int = 1 << 18) -> DataFrame:
+    Together with roots, they connect every two linked sets of which one is a probe; a link between connected sets is not looked for.
+    """
+    links: list[tuple[int, int]] = []
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    n = np.array([len(sets[i]) for i in order], np.int64)
+    if not len(n):
+        return links
+    root, probe = np.unique(roots, return_inverse=True)[1][order], probes[order]
+    tokens = np.concatenate([sets[i] for i in order])
+    owner = np.repeat(np.arange(len(n)), n)
+    by = np.argsort(tokens, kind="stable")
+    fresh = np.r_[True, tokens[by[1:]] != tokens[by[:-1]]]
+    number = np.empty(len(tokens), np.int64)
+    number[by] = np.cumsum(fresh) - 1
+    often = np.bincount(number)[number]
+    by = np.lexsort((number, often, owner))  # each set's members, those on the shortest lists first
+    ends = np.cumsum(n)
+    place = np.arange(len(by)) - np.repeat(ends - n, n)
+    own = [number[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]  # in one order for all sets, as the tokens are sorted in each
+    k = np.minimum(n, n + (num * n // -den) + 1 + n // 50)
+    listed = by[(place < np.repeat(k, n)) & (often[by] > 1)]
+    mine = np.split(number[listed], np.searchsorted(owner[listed], np.arange(1, len(n))))
+    listed = listed[np.argsort(number[listed], kind="stable")]
+    cuts = np.flatnonzero(np.diff(number[listed])) + 1
+    lists = dict(zip(number[listed[np.r_[0, cuts]]].tolist() if len(listed) else [], np.split(owner[listed], cuts), strict=False))
+    members = {r: [i] for i, r in enumerate(root.tolist())} if len(np.unique(root)) == len(root) else {r: np.flatnonzero(root == r).tolist() for r in np.unique(root).tolist()}
+    alone = bool(probe.all())
+    for q in np.flatnonzero(probe).tolist():
+        if not len(mine[q]):
+            continue
+        size = int(n[q])
+        low, high = -(-num * size // den), size if alone else den * size // num
+        edges = np.unique(np.r_[low + (size - low) * np.arange(BANDS) // BANDS, size, size + (high - size) * np.arange(1, BANDS + 1) // BANDS, high + 1])
+        at = np.searchsorted(n, edges)
+        if alone:
+            at = np.minimum(at, q)
+        need = fewest_shared(size, n[at[0] : at[-1]], num, den)
+        own_lists = [lists[t] for t in mine[q].tolist()]
+        slices = [np.searchsorted(x, at).tolist() for x in own_lists]
+        for b in range(len(at) - 1):
+            r0, r1 = int(at[b]), int(at[b + 1])
+            if r0 == r1:
+                continue
+            some = [x[c[b] : c[b + 1]] - r0 for x, c in zip(own_lists, slices, strict=True) if c[b] < c[b + 1]]
+            good = divide_skip(some, need[r0 - at[0] : r1 - at[0]]) + r0 if some else np.zeros(0, np.int64)
+            while len(good := good[root[good] != root[q]]):
+                r, good = int(good[-1]), good[:-1]
+                common = len(np.intersect1d(own[q], own[r], assume_unique=True))
+                if common >= required(size, int(n[r]), num, den):
+                    links.append((int(order[q]), int(order[r])))
+                    x, y = sorted((int(root[q]), int(root[r])), key=lambda v: len(members[v]))
+                    root[members[x]] = y
+                    members[y] += members.pop(x)
+    return links
+
+
+def linked(blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) found in each block; blocks: (block, class, text, label, probe), where a class may come as a probe and again as none."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = [table.column(c).to_pylist() for c in ("class", "text", "label", "probe")]
+        rows = {c: (t, label) for c, t, label in zip(*cols[:3], strict=True)}
+        probes = {c for c, p in zip(cols[0], cols[3], strict=True) if p}
+        classes = sorted(rows)
+        sets = all_shingles([rows[c][0] for c in classes], words)
+        found = search(sets, np.array([rows[c][1] for c in classes], np.int64), np.array([c in probes for c in classes], bool), num, den)
+        return pa.table({"a": pa.array([classes[a] for a, _ in found], pa.int64()), "b": pa.array([classes[b] for _, b in found], pa.int64())})
+
+    return blocks.select("block", "class", "text", "label", "probe").groupBy("block").applyInArrow(run, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, most_hot: int = 1 << 18) -> DataFrame:
     """Set size and component of every document, where two documents link if den * intersection >= num * union of their shingle sets.
 
     Shingles are `words` consecutive words, A-Z in lower case; a shorter text is one shingle, its whole sequence of words. Returns id_col, n_shingles,
@@ -290,26 +339,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot, hot_n = often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy().astype(np.int64)
     order = np.argsort(hot)
     sent = spark.sparkContext.broadcast((hot[order], hot_n[order]))
-    entries = cut(bounded(cut(listed(d, sent, words, 2 * width(spark), num, den), "shingle-lists"), num, den), "shingle-entries")
-    named = entries.select("class").distinct()
+    found = cut(families(d, sent, words, 2 * width(spark), num, den), "shingle-families")
+    edges = found.select(F.col("class").alias("a"), F.col("root").alias("b"))
+    family = cut(components(edges), "families")
+    fewest = F.lit(1) + F.floor(F.ceil(F.max("n") * num / den) / 50)  # a link shares this many first ones or more
+    able = found.groupBy("class").agg(F.max("n").alias("n"), (F.sum("shared") >= fewest).alias("able")).where("able").select("class", "n")
+    members = cut(able.join(family, F.col("class") == F.col("node")).select("class", "n", F.col("component").alias("family")), "family-members")
+    texts = _class_texts(d, rows, members.select("class"), words)
+    plan = members.groupBy("family").agg(F.count("*").alias("classes"), F.ceil(F.sum("n") / F.lit(block)).alias("parts")).where("classes > 1")
+    plan = cut(members.join(plan, "family").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))), "family-parts")
+    small = plan.where("parts = 1").agg(F.sum("n")).first()[0] or 0
+    n_blocks = max(2 * width(spark), -(-small // block))
+    own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(n_blocks))).otherwise(F.xxhash64("family", "part"))
+    blocks = plan.select("class", own.alias("block"), F.col("class").alias("label"), F.lit(True).alias("probe"))
+    links = cut(linked(blocks.join(texts, "class"), words, num, den), "links")
+    merged = cut(components(links), "components")
+    if not plan.where("parts > 1").isEmpty():
+        more = cut(linked(_across(plan, merged, block).join(texts, "class"), words, num, den), "links")
+        merged = cut(components(links.unionByName(more)), "components")
+    out = rows.join(merged, F.col("class") == F.col("node"), "left").select("id", "n", F.coalesce("component", "class").alias("label"))
+    least = out.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
+    out = out.join(least.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left")
+    for x in (found, family, members, texts, plan):
+        forget(x)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def _across(plan: DataFrame, merged: DataFrame, block: int) -> DataFrame:
+    """Blocks for families of several parts: each part, with each part of the classes that are not of the family's main component as probes."""
+    labels = plan.where("parts > 1").join(merged, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("component", "class"))
+    sizes = labels.groupBy("family", "label").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.sum("n").alias("every"), F.max(F.struct("count", "label", "n"))["n"].alias("mains"))
+    main = main.select("family", "main", F.ceil((F.col("every") - F.col("mains")) / F.lit(block)).alias("stretches"))
+    d = cut(labels.join(main, "family").select("family", "class", "label", "part", "parts", "main", "stretches"), "family-labels")
+    index = d.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.col("stretches") - 1))).where("stretches > 0").withColumn("probe", F.lit(False))
+    probes = d.where("label <> main").withColumn("stretch", F.pmod(F.xxhash64("class", F.lit(1)), F.col("stretches"))).withColumn("probe", F.lit(True))
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols = ["class", F.xxhash64("family", "part", "stretch").alias("block"), "label", "probe"]
+    return index.where("stretches > 0").select(*cols).unionByName(probes.select(*cols))
+
+
+def _class_texts(d: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(class, text) of one document of each of the classes."""
     several = rows.groupBy("id").agg((F.count_distinct("class") > 1).alias("several"))
-    least_ids = rows.join(named, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
-    texts = cut(_texts(d, least_ids.join(several, "id"), words), "shingle-texts")
+    least_ids = rows.join(classes, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    texts = _texts(d, least_ids.join(several, "id"), words)
     if not rows.where("id is null").isEmpty():
-        texts = texts.unionByName(cut(_nameless_texts(d.where("id is null"), least_ids.where("id is null"), words), "nameless-texts"))
-    links, labels = None, entries.select("class").distinct().select("class", F.col("class").alias("label"))
-    k = 0 if rounds else -1
-    while k is not None:
-        found = cut(test_pairs(proposals(entries, labels, k, num, den), texts, words, num, den), "links")
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            merged = cut(components(links), "components")
-            labels = named.join(merged, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("label"))
-        k = None if k < 0 else k + 1 if k + 1 < rounds and not few_left(entries, labels) else -1
-    own = rows.join(merged, F.col("class") == F.col("node"), "left").select("id", "n", F.coalesce("component", "class").alias("label"))
-    least = own.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
-    out = own.join(least.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        texts = texts.unionByName(_nameless_texts(d.where("id is null"), least_ids.where("id is null"), words))
+    return cut(texts, "shingle-texts")
 
 
 def _texts(d: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -336,58 +413,6 @@ def _nameless_texts(d: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return d.select("text").mapInArrow(run, "class long, text binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
-def _by_label(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries with their labels, and the tokens that several labels share, with the label that most of a token's entries have."""
-    e = entries.join(labels, "class")
-    counts = e.groupBy("token", "label").agg(F.count("*").alias("count"))
-    main = counts.groupBy("token").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"), F.sum("count").alias("every")).where("labels > 1")
-    return e, main.select("token", F.col("m.label").alias("main"), F.col("m.count").alias("mains"), "every")
-
-
-def few_left(entries: DataFrame, labels: DataFrame, most: int = 32) -> bool:
-    """Whether testing all pairs across components reads at most `most` times as many pairs as there are entries: more rounds would cost more."""
-    main = _by_label(entries, labels)[1]
-    pairs = main.agg(F.sum((F.col("every") - F.col("mains")).cast("double") * F.col("every"))).first()[0] or 0
-    return pairs <= most * entries.count()
-
-
-def proposals(entries: DataFrame, labels: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components to test in round k; -1, the last round: all pairs that can reach the required overlap.
-
-    Of two sets, the one whose first members end earlier in the common order shares all its other common members behind them, so the overlap is at most
-    the number of shared entries plus the members of one set that are not among its first.
-    """
-    if k == 0:
-        w = Window.partitionBy("token").orderBy("n", "class")
-        pair = entries.select("class", "n", "cap", F.lead("class").over(w).alias("other"), F.lead("n").over(w).alias("m"), F.lead("cap").over(w).alias("capm"))
-        pair = pair.where(F.col("other").isNotNull() & (F.col("n") * den >= F.col("m") * num) & (needed(F.col("n"), F.col("m"), num, den) <= F.greatest("cap", "capm")))
-        return _best(pair.select(F.col("class").alias("a"), F.col("other").alias("b"), F.col("n").alias("least")), 2)
-    e, main = _by_label(entries, labels)
-    e = e.join(main, "token")
-    minor = e.where("label <> main").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("cap").alias("ca"), F.col("label").alias("la"), "mains")
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (needed(F.col("na"), F.col("nb"), num, den) <= F.greatest("ca", "cb"))
-    if k > 0:
-        major = e.where("label = main").withColumn("i", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("class", F.lit(k)))) - 1)
-        pick = F.pmod(F.xxhash64("a", F.lit(k)), F.col("mains"))
-        pair = minor.withColumn("i", pick).join(major.select("token", "i", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("cb")), ["token", "i"])
-        pair = pair.where(fits)
-        return _best(pair.select("a", "b", F.lit(0).alias("least")), 3)
-    other = e.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("cb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("is_main"))
-    pair = minor.join(other, "token").where((F.col("la") != F.col("lb")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & fits)
-    shared = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("n"), F.greatest("na", "nb").alias("m")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.max("m").alias("m"))
-    need = needed(F.col("n"), F.col("m"), num, den)
-    least = F.greatest(1 + F.floor(F.col("n") / 50), need - F.greatest(behind(F.col("n"), num, den), behind(F.col("m"), num, den)))
-    return shared.where(F.col("shared") >= least).select("a", "b")
-
-
-def _best(pairs: DataFrame, most: int) -> DataFrame:
-    """The `most` partners of each class that share the most list entries with it, a fiftieth of `least` or more; only proposals, the last round leaves
-    none out."""
-    counted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "least").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("least").alias("least"))
-    w = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-    return counted.where(F.col("c") * 50 >= F.col("least")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("a", "b")
-
-
 #: The registered query in DuckDB: all pairs by a join on shingles, components by reach.
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -378,7 +378,7 @@ def test_jaccard(docs, empty, k, num):
 
 
 def test_jaccard_borderline(spark):
-    """Families of sets just at and below the threshold, large enough for every round."""
+    """Families of sets just at and below the threshold, in one block and dealt over many."""
     rng = random.Random(6)
     rows, i = [], 0
     for _ in range(4):
@@ -391,9 +391,35 @@ def test_jaccard_borderline(spark):
             i += 1
     rows += [(1000 + n, " ".join(f"s{j}" for j in range(n))) for n in range(1, 12)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for rounds in (0, 2):
+    for block in (jaccard.BLOCK, 300):
         for k, num in ((4, 85), (1, 80)):
-            assert got(jaccard.jaccard_components(d, words=k, num=num, rounds=rounds), "doc_id", "n_shingles", "component_id") == brute_components(rows, k, num, 100)
+            assert got(jaccard.jaccard_components(d, words=k, num=num, block=block), "doc_id", "n_shingles", "component_id") == brute_components(rows, k, num, 100)
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_jaccard_search(num):
+    """search() against all pairs: with every set a probe, and with some sets connected before and only the others probes."""
+    rng = random.Random(num)
+    base = [rng.sample(range(10**6), 90) for _ in range(5)]
+    sets = [np.array(sorted({*rng.sample(b, rng.randrange(70, 91)), *rng.sample(range(10**6), rng.randrange(8))}), np.uint64) for b in base for _ in range(25)]
+    sets += [np.arange(n, dtype=np.uint64) for n in range(9)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a]) and 100 * len(x := np.intersect1d(sets[a], sets[b])) >= num * (len(sets[a]) + len(sets[b]) - len(x))]
+
+    def groups(links, start):
+        up = list(start)
+        for a, b in links:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    alone = np.arange(len(sets))
+    found = jaccard.search(sets, alone, np.ones(len(sets), bool), num, 100)
+    assert groups(found, alone) == groups(pairs, alone) and len(found) < len(sets)
+    assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in pairs}
+    roots = np.array([0 if k < 25 else k for k in alone])
+    probes = np.array([k >= 20 for k in alone])
+    found = jaccard.search(sets, roots, probes, num, 100)
+    assert groups(found, roots) == groups([x for x in pairs if probes[x[0]] or probes[x[1]]], roots)
 
 
 def test_divide_skip():
