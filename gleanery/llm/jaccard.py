@@ -1,8 +1,8 @@
 """Components of documents that share most of their word shingles: an exact Jaccard join by T-occurrence search.
 
-Documents with one shingle set are one class. With the rare shingles of every set first (any order that all sets share is right; frequent ones are known
-from a bounded table of counts), two linked sets share some of their first shingles. Classes that such shared shingles connect are a family; linked
-classes are always of one family, and most classes have none. A family's texts come to one block, small families together; there the T-occurrence search
+Documents with one shingle set are one class. With the rare shingles of every set first (any order that all sets share is right), two linked sets share
+some of their first shingles. A first pass, in an order from a bounded table of counts, leaves the classes that share any; a second counts the shingles
+of these, and in this exact order connects classes that share first ones to families. Linked classes are always of one family; most classes have none. A family's texts come to one block, small families together; there the T-occurrence search
 finds the links: over the inverted lists of the block's rare-first prefixes, a class merges its short lists by a heap, looks what these bring up in its
 long lists by binary search (DivideSkip), and retains the partners that reach the required overlap, which are then compared set by set. Partners
 that are connected already are passed over, so a block returns fewer links than it has classes, however alike they are.
@@ -140,9 +140,36 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, n long, class long")
 
 
-def families(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -> DataFrame:
-    """(class, root, shared, n): of each shard of shingles, the classes whose first ones stand on a list with other classes: the least class that such lists
-    connect it with, and how many of its first ones are shared."""
+def _dealt(key: np.ndarray, shards: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    """(shard, block): the entries of parallel arrays, dealt by key."""
+    shard = (key % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    blocks = [(k, pack(*(x[o] for x in arrays))) for k in range(shards) if len(o := order[cuts[k] : cuts[k + 1]])]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["shard", "block"])
+
+
+def _gathered(table: pa.Table, *types: str) -> list[np.ndarray]:
+    """The entries of a shard's blocks."""
+    parts = [unpack(x, *types) for x in table.column("block").to_pylist()]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _on_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, class, n) by token, of the tokens that two classes or more have."""
+    token, c, n = _gathered(table, "<u8", "<i8", "<i8")
+    order = np.lexsort((c, token))
+    token, c, n = token[order], c[order], n[order]
+    fresh = np.r_[True, (token[1:] != token[:-1]) | (c[1:] != c[:-1])]
+    token, c, n = token[fresh], c[fresh], n[fresh]
+    same = np.r_[False, token[1:] == token[:-1], False]
+    many = same[1:] | same[:-1]
+    return token[many], c[many], n[many]
+
+
+def sharing(docs: DataFrame, sent, words: int, shards: int, num: int, den: int) -> DataFrame:
+    """(class, shared, n): of each shard of shingles, the classes that have first ones in common with other classes, and how many. The order of shingles is
+    that of the counts sent, so it is rough: classes may share a passage whose frequency these counts do not know."""
 
     def run(batches):
         hot, hot_n = sent.value
@@ -161,25 +188,52 @@ def families(docs: DataFrame, sent, words: int, shards: int, num: int, den: int)
                 cols[0].append(s[np.lexsort((s, often))[:k]])
                 cols[1].append(np.full(k, c, np.int64))
                 cols[2].append(np.full(k, len(s), np.int64))
-            if not seen:
-                continue
-            token, c, n = map(np.concatenate, cols)
-            shard = (token % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            blocks = [(k, pack(token[o], c[o], n[o])) for k in range(shards) if len(o := order[cuts[k] : cuts[k + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["shard", "block"])
+            if seen:
+                token, c, n = map(np.concatenate, cols)
+                yield _dealt(token, shards, token, c, n)
 
-    def connect(table: pa.Table) -> pa.Table:
-        parts = [unpack(x, "<u8", "<i8", "<i8") for x in table.column("block").to_pylist()]
-        token, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((c, token))
+    def count(table: pa.Table) -> pa.Table:
+        _, c, n = _on_lists(table)
+        classes, first, shared = np.unique(c, return_index=True, return_counts=True)
+        return pa.table({"class": classes, "shared": shared.astype(np.int64), "n": n[first]})
+
+    blocks = docs.select("text").mapInArrow(run, "shard int, block binary")
+    return blocks.groupBy("shard").applyInArrow(count, "class long, shared long, n long")
+
+
+def families(texts: DataFrame, words: int, shards: int, num: int, den: int) -> DataFrame:
+    """(class, root, shared, n) of classes (class, text): by shard of shingles, the least class that common first ones connect a class with, and how many
+    first ones it shares. Shingles are in the order of the number of these classes that have them: exact, so first ones are common to like texts alone.
+
+    Three rounds by shard: shingles are counted; each class is told the counts above one and picks its first ones; lists of these connect classes.
+    """
+
+    def deal(batches):
+        for b in batches:
+            sets = all_shingles(b.column(1).to_pylist(), words)
+            n = np.array([len(s) for s in sets], np.int64)
+            if n.sum():
+                token = np.concatenate(sets)
+                yield _dealt(token, shards, token, np.repeat(np.array(b.column(0).to_pylist(), np.int64), n), np.repeat(n, n))
+
+    def count(table: pa.Table) -> pa.Table:
+        token, c, n = _on_lists(table)
+        _, of, often = np.unique(token, return_inverse=True, return_counts=True)
+        return pa.Table.from_batches([_dealt(c.view(np.uint64), shards, token, c, n, often[of].astype(np.int64))], pa.schema([("shard", pa.int32()), ("block", pa.binary())]))
+
+    def pick(table: pa.Table) -> pa.Table:
+        token, c, n, often = _gathered(table, "<u8", "<i8", "<i8", "<i8")
+        order = np.lexsort((token, often, c))
         token, c, n = token[order], c[order], n[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (c[1:] != c[:-1])]
-        token, c, n = token[fresh], c[fresh], n[fresh]
-        same = np.r_[False, token[1:] == token[:-1], False]
-        many = same[1:] | same[:-1]
-        token, c, n = token[many], c[many], n[many]
+        begins = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])[: len(c)]
+        own = np.diff(np.r_[begins, len(c)])
+        least = -(-num * n // den)
+        first = np.minimum(n, n - least + 1 + n // 50) - (n - np.repeat(own, own))  # members of one class alone come before all others
+        keep = np.arange(len(c)) - np.repeat(begins, own) < first
+        return pa.Table.from_batches([_dealt(token[keep], shards, token[keep], c[keep], n[keep])], pa.schema([("shard", pa.int32()), ("block", pa.binary())]))
+
+    def connect(table: pa.Table) -> pa.Table:
+        token, c, n = _on_lists(table)
         classes, first, of = np.unique(c, return_index=True, return_inverse=True)
         begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])[: len(token)]
         sizes = np.diff(np.r_[begins, len(token)])
@@ -195,7 +249,9 @@ def families(docs: DataFrame, sent, words: int, shards: int, num: int, den: int)
             root = after
         return pa.table({"class": classes, "root": classes[root], "shared": np.bincount(of, minlength=len(classes)).astype(np.int64), "n": n[first]})
 
-    blocks = docs.select("text").mapInArrow(run, "shard int, block binary")
+    blocks = texts.select("class", "text").mapInArrow(deal, "shard int, block binary")
+    for step in (count, pick):
+        blocks = blocks.groupBy("shard").applyInArrow(step, "shard int, block binary")
     return blocks.groupBy("shard").applyInArrow(connect, "class long, root long, shared long, n long")
 
 
@@ -339,13 +395,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot, hot_n = often.column("id").to_numpy().view(np.uint64), often.column("n").to_numpy().astype(np.int64)
     order = np.argsort(hot)
     sent = spark.sparkContext.broadcast((hot[order], hot_n[order]))
-    found = cut(families(d, sent, words, 2 * width(spark), num, den), "shingle-families")
-    edges = found.select(F.col("class").alias("a"), F.col("root").alias("b"))
-    family = cut(components(edges), "families")
     fewest = F.lit(1) + F.floor(F.ceil(F.max("n") * num / den) / 50)  # a link shares this many first ones or more
-    able = found.groupBy("class").agg(F.max("n").alias("n"), (F.sum("shared") >= fewest).alias("able")).where("able").select("class", "n")
-    members = cut(able.join(family, F.col("class") == F.col("node")).select("class", "n", F.col("component").alias("family")), "family-members")
-    texts = _class_texts(d, rows, members.select("class"), words)
+    able = lambda t: t.groupBy("class").agg(F.max("n").alias("n"), (F.sum("shared") >= fewest).alias("able")).where("able").select("class", "n")
+    some = cut(able(sharing(d, sent, words, 2 * width(spark), num, den)), "sharing-classes")
+    texts = _class_texts(d, rows, some, words)
+    found = cut(families(texts, words, 2 * width(spark), num, den), "shingle-families")
+    family = cut(components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))), "families")
+    members = cut(able(found).join(family, F.col("class") == F.col("node")).select("class", "n", F.col("component").alias("family")), "family-members")
     plan = members.groupBy("family").agg(F.count("*").alias("classes"), F.ceil(F.sum("n") / F.lit(block)).alias("parts")).where("classes > 1")
     plan = cut(members.join(plan, "family").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))), "family-parts")
     small = plan.where("parts = 1").agg(F.sum("n")).first()[0] or 0
@@ -360,7 +416,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = rows.join(merged, F.col("class") == F.col("node"), "left").select("id", "n", F.coalesce("component", "class").alias("label"))
     least = out.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = out.join(least.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left")
-    for x in (found, family, members, texts, plan):
+    for x in (some, found, family, members, texts, plan):
         forget(x)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
@@ -382,7 +438,7 @@ def _across(plan: DataFrame, merged: DataFrame, block: int) -> DataFrame:
 def _class_texts(d: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(class, text) of one document of each of the classes."""
     several = rows.groupBy("id").agg((F.count_distinct("class") > 1).alias("several"))
-    least_ids = rows.join(classes, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
+    least_ids = rows.join(classes.select("class"), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
     texts = _texts(d, least_ids.join(several, "id"), words)
     if not rows.where("id is null").isEmpty():
         texts = texts.unionByName(_nameless_texts(d.where("id is null"), least_ids.where("id is null"), words))
