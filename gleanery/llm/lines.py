@@ -13,79 +13,80 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, text_bytes
+from gleanery.llm.common import arrow_bytes, cut, forget, text_bytes
 
 #: A broadcast set of line hashes takes up to 8 MB; more lines than that are joined.
 MOST_SENT = 1_000_000
 
 
-def line_hashes(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The lines, their hashes (0 for a blank line), and the hashes of each line with its neighbours."""
-    lines = text.split(b"\n")
-    h = np.array([xxhash.xxh3_64_intdigest(x.strip()) if x.strip() else 0 for x in lines], np.uint64)
-    around = np.concatenate([[np.uint64(1)], h, [np.uint64(2)]]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        context = around[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ around[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (around[2:] * np.uint64(0x165667B19E3779F9) << np.uint64(1))
-    return lines, h, context | np.uint64(1)
+def line_hashes(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray]:
+    """The lines of each text, and the hashes of all of them, one text after another; 0 for a blank line."""
+    lines = [t.split(b"\n") for t in texts]
+    digest = xxhash.xxh3_64_intdigest
+    return lines, np.array([digest(y) if (y := x.strip()) else 0 for ls in lines for x in ls], np.uint64)
 
 
-def spread_rows(docs: DataFrame, site_col: str, text_col: str, spare_repeated: bool) -> DataFrame:
-    """(kind, line, site): distinct pairs of each batch; kind 0 for lines, 1 for lines with their neighbours, which are there if spare_repeated."""
+def among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which hashes are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
+
+
+def spread_rows(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
+    """(line, site): distinct pairs of each batch."""
 
     def run(batches):
         for b in batches:
-            seen: set[tuple[int, int, int]] = set()
-            for site, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, h, context = line_hashes(text)
-                real = h != 0
-                seen.update((0, x, site) for x in h[real].view(np.int64).tolist())
-                if spare_repeated:
-                    seen.update((1, x, site) for x in context[real].view(np.int64).tolist())
-            cols = list(zip(*sorted(seen), strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["kind", "line", "site"])
+            lines, h = line_hashes(b.column(1).to_pylist())
+            site = np.repeat(b.column(0).to_numpy(), [len(x) for x in lines])
+            order = np.lexsort((site, h))
+            h, site = h[order], site[order]
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (site[1:] != site[:-1])][: len(h)] & (h != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(site[fresh])], ["line", "site"])
 
-    return docs.select(F.xxhash64(F.col(site_col)).alias("site"), text_bytes(text_col).alias("text")).mapInArrow(run, "kind int, line long, site long")
+    return docs.select(F.xxhash64(F.col(site_col)).alias("site"), text_bytes(text_col).alias("text")).mapInArrow(run, "line long, site long")
 
 
 def wide_lines(rows: DataFrame, min_sites: int, lg_k: int = 10, band: float = 0.2) -> DataFrame:
-    """(kind, line, sites) of the hashes on at least min_sites distinct sites.
+    """(line, sites) of the hashes on at least min_sites distinct sites.
 
     Estimates come from merged sketches. Their standard error is under a sixth of `band` for the default lg_k, so a hash outside the band round the
     threshold is on its side of it; those inside the band are counted exactly, from the rows of these hashes alone.
     """
-    two = rows.groupBy("kind", "line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b").select("kind", "line") if min_sites > 1 else None
-    some = rows if two is None else rows.join(two, ["kind", "line"], "left_semi")
-    sketched = some.groupBy("kind", "line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
-    est = cut(sketched.select("kind", "line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - band)), "line-spread")
-    near = est.where(F.col("sites") <= min_sites * (1 + band)).select("kind", "line")
-    exact = rows.join(near, ["kind", "line"], "left_semi").distinct().groupBy("kind", "line").agg(F.count("*").alias("sites"))
+    two = rows.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b").select("line") if min_sites > 1 else None
+    some = rows if two is None else rows.join(two, "line", "left_semi")
+    sketched = some.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    est = cut(sketched.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - band)), "line-spread")
+    near = est.where(F.col("sites") <= min_sites * (1 + band)).select("line")
+    exact = rows.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites"))
     return est.where(F.col("sites") > min_sites * (1 + band)).unionByName(exact.where(F.col("sites") >= min_sites))
 
 
-def drop_wide_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, most_sent: int = MOST_SENT, spare_repeated: bool = False) -> DataFrame:
+def drop_wide_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, most_sent: int = MOST_SENT) -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and with the text less its boilerplate lines.
 
-    A line (without surrounding blanks) that stands on at least min_sites distinct sites is removed; a null site is a site of its own. spare_repeated
-    leaves it where its neighbourhood (the lines before and after it) is on as many sites, as ORACLE does: less than the whole job, since that spares most lines of a block. Every other column stays as it is, but for n_lines and n_removed of docs, which are replaced; one row for each row of docs, in no stated order.
+    A line (without surrounding blanks) that stands on at least min_sites distinct sites is removed; a null site is a site of its own. Every other column
+    stays as it is, but for n_lines and n_removed of docs, which are replaced; one row for each row of docs, in no stated order.
 
     Defined results: a null text stays null with no lines; an empty text has one blank line, and blank lines are never removed; ids take no part, so null
     or repeated ids and repeated rows make no difference; an empty table gives an empty result. Hashes of 64 bits stand for lines.
     """
     spark = docs.sparkSession
     arrow_bytes(spark)
-    rows = cut(spread_rows(docs.withColumn(site_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0null"))), site_col, text_col, spare_repeated), "line-rows")
+    rows = cut(spread_rows(docs.withColumn(site_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0null"))), site_col, text_col), "line-rows")
     wide = cut(wide_lines(rows, min_sites), "wide-lines")
     if wide.count() <= most_sent:
-        got = wide.select("kind", "line").toArrow()  # at most `most_sent` rows
-        kind, line = got.column("kind").to_numpy(), got.column("line").to_numpy().view(np.uint64)
-        sent = spark.sparkContext.broadcast((np.sort(line[kind == 0]), np.sort(line[kind == 1])))
-        removal = lambda: (lambda h, c: np.isin(h, sent.value[0]) & ~np.isin(c, sent.value[1]))
-        return _apply(docs, text_col, removal, None)
-    return _apply(docs, text_col, None, wide)
+        sent = spark.sparkContext.broadcast(np.sort(wide.select("line").toArrow().column("line").to_numpy().view(np.uint64)))  # at most `most_sent` numbers
+        out = _apply(docs, text_col, sent, None)
+    else:
+        out = _apply(docs, text_col, None, wide)
+    forget(rows)
+    return out
 
 
-def _apply(docs: DataFrame, text_col: str, removal, wide: DataFrame | None) -> DataFrame:
-    """Removes lines by a function of hashes, or by the joined table `wide` when that is too large to send."""
+def _apply(docs: DataFrame, text_col: str, sent, wide: DataFrame | None) -> DataFrame:
+    """Removes the lines whose hashes were sent, or those of the joined table `wide` when that is too large to send."""
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     if wide is not None:
@@ -93,41 +94,36 @@ def _apply(docs: DataFrame, text_col: str, removal, wide: DataFrame | None) -> D
 
         def hashes(batches):
             for b in batches:
-                out = [(r, 0 if k == 0 else 1, v) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in (0, 1) for v in np.unique(line_hashes(t)[1 + k]).view(np.int64).tolist()]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["_row", "kind", "line"])
+                lines, h = line_hashes(b.column(1).to_pylist())
+                row = np.repeat(b.column(0).to_numpy(), [len(x) for x in lines])
+                yield pa.RecordBatch.from_arrays([pa.array(row[h != 0]), pa.array(h[h != 0].view(np.int64))], ["_row", "line"])
 
-        found = keyed.select("_row", text_bytes(text_col).alias("text")).mapInArrow(hashes, "_row long, kind int, line long").join(wide, ["kind", "line"], "left_semi")
-        per = found.groupBy("_row").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("line"))).alias("_wide"), F.collect_list(F.when(F.col("kind") == 1, F.col("line"))).alias("_context"))
-        source = keyed.join(per, "_row", "left").select(*names, "_wide", "_context")
-    else:
-        source = docs
+        found = keyed.select("_row", text_bytes(text_col).alias("text")).mapInArrow(hashes, "_row long, line long").join(wide, "line", "left_semi")
+        docs = keyed.join(found.groupBy("_row").agg(F.collect_set("line").alias("_wide")), "_row", "left").select(*names, "_wide")  # bounded by a document's lines
     at = names.index(text_col)
-    extra = ["n_lines", "n_removed"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_lines long, n_removed long"])
 
     def run(batches):
-        test = removal() if removal else None
         for b in batches:
-            texts, n, gone = [], [], []
-            sets = zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True) if test is None else None
-            for t in b.column(at).to_pylist():
-                own = next(sets) if sets is not None else None
-                if t is None:
-                    texts.append(None), n.append(0), gone.append(0)
-                    continue
-                lines, h, context = line_hashes(t.encode())
-                if own is None:
-                    out = test(h, context)
-                else:
-                    out = np.isin(h, np.array(own[0] or [], np.int64).view(np.uint64)) & ~np.isin(context, np.array(own[1] or [], np.int64).view(np.uint64))
-                texts.append(b"\n".join([x for x, o in zip(lines, out, strict=True) if not o]).decode() if out.any() else t)
-                n.append(len(lines)), gone.append(int(out.sum()))
+            texts = b.column(at).to_pylist()
+            lines, h = line_hashes([(t or "").encode() for t in texts])
+            ends = np.cumsum([len(x) for x in lines]).tolist()
+            if sent is not None:
+                out = among(h, sent.value)
+            else:
+                own = [np.sort(np.array(x or [], np.int64).view(np.uint64)) for x in b.column(len(names)).to_pylist()]
+                out = np.concatenate([np.zeros(0, bool), *(among(h[e - len(x) : e], w) for x, e, w in zip(lines, ends, own, strict=True))])
+            total = np.r_[0, np.cumsum(out)]
+            gone = [int(total[e] - total[e - len(x)]) for x, e in zip(lines, ends, strict=True)]
+            for k, g in enumerate(gone):
+                if g:
+                    texts[k] = b"\n".join([x for x, o in zip(lines[k], out[ends[k] - len(lines[k]) :].tolist(), strict=False) if not o]).decode()
+            n = [0 if null else len(x) for null, x in zip(b.column(at).is_null().to_pylist(), lines, strict=True)]
             cols = list(b.columns[: len(names)])
             cols[at] = pa.array(texts, b.column(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return source.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 #: op7_line_dedup in DuckDB, with exact counts of sites.
@@ -135,20 +131,6 @@ ORACLE = """
 WITH d AS (SELECT doc_id, text, coalesce(source, 'null') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, text, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
 t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
-c AS (SELECT *, coalesce('=' || lag(x) OVER v, '^') AS before, coalesce('=' || lead(x) OVER v, '$') AS after FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
-one AS (SELECT x, count(DISTINCT site) AS k FROM c WHERE x <> '' GROUP BY x),
-three AS (SELECT before, x, after, count(DISTINCT site) AS k FROM c WHERE x <> '' GROUP BY ALL),
-j AS (SELECT c.*, coalesce(one.k >= 8 AND three.k < 8, false) AS gone FROM c LEFT JOIN one ON one.x = c.x
-    LEFT JOIN three ON three.x = c.x AND three.before = c.before AND three.after = c.after)
-SELECT doc_id, (CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_removed,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
-"""
-
-#: op7_line_dedup_whole in DuckDB: every line on 8 sites or more is gone.
-ORACLE_WHOLE = """
-WITH d AS (SELECT doc_id, text, coalesce(source, 'null') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, text, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
-t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
 one AS (SELECT x, count(DISTINCT site) AS k FROM t WHERE x <> '' GROUP BY x),
 j AS (SELECT t.*, coalesce(one.k >= 8, false) AS gone FROM t LEFT JOIN one ON one.x = t.x)
 SELECT doc_id, (CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_removed,
