@@ -5,7 +5,10 @@ strings round a minimizer that two documents share can repeat; and all strings r
 run of strings with the same minimizer. Each shard orders the suffixes of its distinct contexts as far as the threshold, and derives from the
 transform where neighbouring suffixes begin to differ: level by level, a breadth-first backward extension turns the intervals of common prefixes of
 length n into those of length n + 1, and stops at the threshold. What is left are intervals of equal strings; the smallest document of each is the
-first that has the string. A context that all documents have alike is one string to a shard, however many the copies.
+first that has the string.
+
+The transform decides between contexts that differ and share a minimizer. A context that is the only one round its minimizer, however many documents have
+it (as those of whole copies are), is one string to its shard and needs no extension, nor does a string that is dealt by its own hash.
 """
 
 from __future__ import annotations
@@ -71,53 +74,83 @@ def minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
+def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of `length` bytes that begin at the starts."""
+    out = [np.zeros(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(length, BASE, np.uint64))
+        for k in range(0, len(starts), 1 << 14):
+            out.append(_mixed((BYTES[data[starts[k : k + (1 << 14), None] + np.arange(length)]] * powers).sum(axis=1, dtype=np.uint64)))
+    return np.concatenate(out)
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
 def bounded_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ordered by their first `depth` symbols at least (below 512 each), by prefix doubling from seven on."""
+    """Suffixes ordered by their first `depth` symbols at least (below 512 each): by seven, then by prefix doubling of those that are still alike."""
     n = len(symbols)
     padded = np.r_[symbols.astype(np.uint64), np.zeros(7, np.uint64)]
     key = np.zeros(n, np.uint64)
     for j in range(7):
         key = key << np.uint64(9) | padded[j : j + n]
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.r_[True, key[1:] != key[:-1]][:n]
+    begins = np.flatnonzero(fresh)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(begins, np.diff(np.r_[begins, n]))
     h = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]).astype(np.uint64) + np.uint64(1)
-        if h >= depth:
-            return order
-        key = rank << np.uint64(32) | np.r_[rank[h:], np.zeros(min(h, n), np.uint64)][:n]
+    while h < depth:
+        rows = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
+        if not len(rows):
+            break
+        at = order[rows]
+        key = rank[at] << 32 | np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[rows] = at
+        fresh[rows] = new = np.r_[True, key[1:] != key[:-1]]
+        begins = np.flatnonzero(new)
+        rank[at] = np.repeat(rows[begins], np.diff(np.r_[begins, len(at)]))
         h *= 2
+    return order
 
 
 def common_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and for each whether its first `length` symbols differ from those of the suffix before.
 
-    Intervals of rows with a common prefix are extended backward through the transform: row i, with symbol bwt[i] before its suffix, leads to row lf[i] of
-    the suffix that begins with it, so rows with one symbol in one interval are one interval of the next level.
+    Breadth first, by increasing common prefix: row j, with symbol bwt[j] before its suffix, leads to row lf[j] of the suffix that begins with it. Where
+    an interval of rows with a common prefix of n symbols has been split, each of its parts is extended backward: the first row of a part with some symbol
+    leads to a row that differs, from the n + 1st symbol on at the latest, from the row before. Intervals that were not split, and rows whose place is
+    known to differ, are not looked at again; the levels end at `length`. Prefixes that contain the end of a context (symbol 0) are of no use.
     """
     n = len(symbols)
     order = bounded_order(symbols, length)
-    rank = np.empty(n, np.int32)
-    rank[order] = np.arange(n, dtype=np.int32)
-    bwt = symbols[order - 1]
-    lf = rank[order - 1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    bwt, lf = symbols[order - 1], rank[order - 1]
     del rank
     first = np.empty(n, symbols.dtype)
     first[lf] = bwt
-    start = np.r_[True, first[1:] != first[:-1]]
-    differ, came = start.copy(), np.empty(n, np.int32)
+    differ = np.r_[True, first[1:] != first[:-1]][:n]
+    back = np.empty(n, np.int64)
+    back[lf] = np.arange(n)
+    before = np.full(n, -1)  # for each row, the last one before it with its symbol
+    inner = np.flatnonzero(~differ)
+    before[back[inner]] = back[inner - 1]
+    del back
+    new = np.flatnonzero(differ)
     for _ in range(length - 1):
-        came[lf] = np.cumsum(differ, dtype=np.int32)
-        after = start.copy()
-        after[1:] |= came[1:] != came[:-1]
-        if np.array_equal(after, differ):
+        begins = np.flatnonzero(differ)
+        size = np.r_[begins[1:], n][np.searchsorted(begins, new)] - new
+        rows = np.arange(size.sum()) + np.repeat(new - (np.cumsum(size) - size), size)
+        new = lf[rows[before[rows] < np.repeat(new, size)]]
+        new = np.sort(new[~differ[new]])
+        if not len(new):
             break
-        differ = after
+        differ[new] = True
     return order, differ
 
 
@@ -150,7 +183,7 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return np.frombuffer(b"".join(r[1] for r in rows), np.uint8), ends, np.array([r[0] for r in rows], np.int64), [r[2] for r in rows]
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = True, most: int = 1 << 14) -> DataFrame:
     """Removes every byte that a string of `length` bytes covers which also starts in a document with a smaller id.
 
     Texts are their UTF-8 bytes; strings overlap, never cross documents, and are judged on the input. Returns id_col, n_bytes, n_removed, n_spans (maximal
@@ -158,6 +191,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Defined results: a null text is empty; texts shorter than `length` stay whole; a null id comes after all others, and rows of one id do not remove from
     one another; repeated rows fare alike; an empty table gives an empty result. length must be at least 32.
+
+    Strings whose minimizer more than `most` documents have are dealt by their own hashes, so that a passage of very many documents spreads over all
+    shards.
     """
     if not 32 <= length <= 255:
         raise ValueError("length must be from 32 to 255")
@@ -168,51 +204,62 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = d.select("id", F.coalesce("id", F.lit(NO_ID)).alias("ord"), "text", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("part"))
 
     def announce(batches):
-        """Hashes of minimizers to shards, with the parts that have them; multi: two documents of the batch have it."""
+        """Hashes of minimizers to shards, with the parts that have them and in how many documents of the batch."""
         for b in batches:
             texts = b.column(0).to_pylist()
-            part = np.array(b.column(1).to_pylist(), np.int64)
+            part = b.column(1).to_numpy().astype(np.int64)
             ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
             first, _, h = minimizers(np.frombuffer(b"".join(texts), np.uint8), ends, length)
             doc = np.searchsorted(ends, first, side="right")
-            order = np.lexsort((doc, h))
+            order = np.lexsort((doc, part[doc], h))
             h, doc = h[order], doc[order]
             fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
-            h, doc = h[fresh], doc[fresh]
-            same = np.r_[False, h[1:] == h[:-1], False][: len(h) + 1]
-            multi = same[1:] | same[:-1]
+            h, at = h[fresh], part[doc[fresh]]
+            begins = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])][: len(h)])
+            h, at, n = h[begins], at[begins], np.diff(np.r_[begins, len(h)])
             shard = shard_of(h, shards)
             order = np.lexsort((h & np.uint64(0xFFFFFFFF), shard))
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [(k, pack((h[o] & np.uint64(0xFFFFFFFF)).astype(np.uint32), part[doc[o]].astype(np.uint32), multi[o])) for k in range(shards) if len(o := order[cuts[k] : cuts[k + 1]])]
+            out = [(k, pack((h[o] & np.uint64(0xFFFFFFFF)).astype(np.uint32), at[o].astype(np.uint32), n[o].astype(np.uint32))) for k in range(shards) if len(o := order[cuts[k] : cuts[k + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["shard", "block"])
 
     def shared(table: pa.Table) -> pa.Table:
-        """To each part, its hashes that two documents have."""
-        blocks = [unpack(x, "<u4", "<u4", "?") for x in table.column("block").to_pylist()]
-        h, part, multi = (np.concatenate(x) for x in zip(*blocks, strict=True))
-        block = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])
-        order = np.lexsort((block, h))
-        h, part, multi, block = h[order], part[order], multi[order], block[order]
-        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sizes = np.diff(np.r_[begins, len(h)])
-        two = np.logical_or.reduceat(multi, begins) | (block[begins] != block[begins + sizes - 1])
-        keep = np.repeat(two, sizes)
-        h, part = h[keep], part[keep]
+        """To each part, its hashes that two documents have, and whether very many have them."""
+        blocks = [unpack(x, "<u4", "<u4", "<u4") for x in table.column("block").to_pylist()]
+        h, part, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, part, n = h[order], part[order], n[order].astype(np.int64)
+        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[: len(h)]
+        total = np.repeat(np.add.reduceat(n, begins) if len(h) else n, np.diff(np.r_[begins, len(h)]))
+        keep = total > 1
+        h, part, hot = h[keep], part[keep], total[keep] > most
         order = np.lexsort((h, part))
-        h, part = h[order], part[order]
+        h, part, hot = h[order], part[order], hot[order]
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])][: len(h)]
+        h, part, hot = h[fresh], part[fresh], hot[fresh]
         at, which = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[: len(part)], len(part)], np.unique(part)
         shard = table.column("shard")[0].as_py()
-        return pa.table({"part": pa.array(which.astype(np.int32)), "shard": pa.array([shard] * len(which), pa.int32()), "block": pa.array([pack(np.unique(h[x:y])) for x, y in zip(at, at[1:], strict=False)], pa.binary())})
+        return pa.table({"part": pa.array(which.astype(np.int32)), "shard": pa.array([shard] * len(which), pa.int32()), "block": pa.array([pack(h[x:y], hot[x:y]) for x, y in zip(at, at[1:], strict=False)], pa.binary())})
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         """kind 0: the part's distinct contexts, to shards. kind 1: where they stand, for the part itself."""
         part = (left if left.num_rows else right).column("part")[0].as_py()
         data, ends, ords, _ = _documents(left)
-        wanted = [(np.uint64(s) << np.uint64(32)) | unpack(x, "<u4")[0].astype(np.uint64) for s, x in zip(right.column("shard").to_pylist(), right.column("block").to_pylist(), strict=True)]
+        wanted = [unpack(x, "<u4", "?") for x in right.column("block").to_pylist()]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(s) << np.uint64(32) | x[0].astype(np.uint64) for s, x in zip(right.column("shard").to_pylist(), wanted, strict=True))])
+        by = np.argsort(keys)
+        keys, often = keys[by], np.concatenate([np.zeros(0, bool), *(x[1] for x in wanted)])[by]
         first, last, h = minimizers(data, ends, length)
-        keep = np.isin(shard_of(h, shards).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), np.concatenate([*wanted, np.zeros(0, np.uint64)]))
-        first, last, h = first[keep], last[keep], h[keep]
+        key = shard_of(h, shards).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        keep = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+        first, last, h, hot = first[keep], last[keep], h[keep], often[at[keep]] if len(keys) else np.zeros(0, bool)
+        if hot.any():  # strings round a minimizer of very many documents go each by its own hash
+            n = (last - first + 1)[hot]
+            starts = np.arange(n.sum()) + np.repeat(first[hot] - (np.cumsum(n) - n), n)
+            first, last, h = np.r_[first[~hot], starts], np.r_[last[~hot], starts], np.r_[h[~hot], string_hashes(data, starts, length)]
+            by = np.argsort(first)
+            first, last, h = first[by], last[by], h[by]
         owner = ords[np.searchsorted(ends, first, side="right")]
         raw, seen, texts = data.tobytes(), {}, []
         number = np.empty(len(first), np.int64)

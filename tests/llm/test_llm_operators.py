@@ -132,6 +132,16 @@ def test_repeats(docs, empty):
     assert suffixes.drop_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 5, 1 << 14])
+def test_repeats_of_a_common_passage(spark, most):
+    """A passage that every document has, in neighbourhoods of its own, and a long text: strings of frequent minimizers are dealt one by one."""
+    rng = random.Random(most)
+    passage = prose(rng, 40)
+    rows = [(k, prose(rng, rng.randrange(1, 30)) + passage[: len(passage) - k % 3] + prose(rng, 8)) for k in range(30)] + [(99, "".join(prose(rng, 900) for _ in range(2)) + passage)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(suffixes.drop_repeats(d, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 50)
+
+
 def test_intervals():
     rng = np.random.default_rng(2)
     for n in (1, 2, 40, 400):
