@@ -7,13 +7,14 @@ transform where neighbouring suffixes begin to differ: level by level, a breadth
 length n into those of length n + 1, and stops at the threshold. What is left are intervals of equal strings; the smallest document of each is the
 first that has the string.
 
-The transform decides between contexts that differ and share a minimizer. A context that is the only one round its minimizer, however many documents have
+The transform decides between contexts that differ, share a minimizer and agree on one side of it as far as two must that share a string. A context that is the only one round its minimizer, however many documents have
 it (as those of whole copies are), is one string to its shard and needs no extension, nor does a string that is dealt by its own hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,16 @@ BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
 def minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings of `length` bytes that share a minimizer: first and last start, and the minimizer's hash.
+    """Runs of strings of `length` bytes that share a minimizer: first and last start, and the minimizer's hash."""
+    return minimizer_runs(data, ends, length)[:3]
+
+
+def minimizer_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of `length` bytes that share a minimizer: first and last start, the minimizer's hash, and where it starts.
 
     data: documents one after another, ends: where each ends. No string crosses an end. Long data go in chunks that overlap by a string.
     """
-    firsts, lasts, hashes = [], [], []
+    firsts, lasts, hashes, places = [], [], [], []
     w = length - K + 1
     limit = np.repeat(ends, np.diff(np.r_[0, ends])) - length  # last start of a string in the byte's document
     for c0 in range(0, max(0, len(data) - length + 1), CHUNK):
@@ -69,9 +75,22 @@ def minimizers(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
         firsts.append(starts[fresh])
         lasts.append(starts[stop])
         hashes.append(h[at[fresh]])
+        places.append(c0 + at[fresh])
     if not firsts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes), np.concatenate(places)
+
+
+def may_share(contexts: list[bytes], places: list[int], length: int) -> list[bool]:
+    """Whether a context may share a string of `length` bytes with another that has the same minimizer, which begins at the given place in each.
+
+    Such a string has half of its other bytes, at least, on one side of the minimizer, so the two contexts agree in as many bytes there.
+    """
+    side = (length - K + 1) // 2
+    left = [c[p - side : p + K] if p >= side else None for c, p in zip(contexts, places, strict=True)]
+    right = [c[p : p + K + side] if len(c) - p >= K + side else None for c, p in zip(contexts, places, strict=True)]
+    lefts, rights = Counter(left), Counter(right)
+    return [(x is not None and lefts[x] > 1) or (y is not None and rights[y] > 1) for x, y in zip(left, right, strict=True)]
 
 
 def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -249,17 +268,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keys = np.concatenate([np.zeros(0, np.uint64), *(np.uint64(s) << np.uint64(32) | x[0].astype(np.uint64) for s, x in zip(right.column("shard").to_pylist(), wanted, strict=True))])
         by = np.argsort(keys)
         keys, often = keys[by], np.concatenate([np.zeros(0, bool), *(x[1] for x in wanted)])[by]
-        first, last, h = minimizers(data, ends, length)
+        first, last, h, place = minimizer_runs(data, ends, length)
         key = shard_of(h, shards).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
         at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
         keep = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        first, last, h, hot = first[keep], last[keep], h[keep], often[at[keep]] if len(keys) else np.zeros(0, bool)
+        first, last, h, place, hot = first[keep], last[keep], h[keep], place[keep], often[at[keep]] if len(keys) else np.zeros(0, bool)
         if hot.any():  # strings round a minimizer of very many documents go each by its own hash
             n = (last - first + 1)[hot]
             starts = np.arange(n.sum()) + np.repeat(first[hot] - (np.cumsum(n) - n), n)
-            first, last, h = np.r_[first[~hot], starts], np.r_[last[~hot], starts], np.r_[h[~hot], string_hashes(data, starts, length)]
+            first, last, h, place = np.r_[first[~hot], starts], np.r_[last[~hot], starts], np.r_[h[~hot], string_hashes(data, starts, length)], np.r_[place[~hot], starts]
             by = np.argsort(first)
-            first, last, h = first[by], last[by], h[by]
+            first, last, h, place = first[by], last[by], h[by], place[by]
         owner = ords[np.searchsorted(ends, first, side="right")]
         raw, seen, texts = data.tobytes(), {}, []
         number = np.empty(len(first), np.int64)
@@ -273,7 +292,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.table({"kind": pa.array([], pa.int32()), "key": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "base": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
         n = len(texts)
         begin = np.unique(number, return_index=True)[1]
-        low, high, hashes = np.full(n, NO_ID), np.full(n, -(2**63)), h[begin]
+        low, high, hashes, offsets = np.full(n, NO_ID), np.full(n, -(2**63)), h[begin], (place - first)[begin].astype(np.uint8)
         np.minimum.at(low, number, owner)
         np.maximum.at(high, number, owner)
         order = np.argsort(shard_of(hashes, shards), kind="stable")
@@ -285,33 +304,36 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             o = order[cuts[k] : cuts[k + 1]]
             if len(o):
                 some = [texts[i] for i in o.tolist()]
-                out.append((0, k, part, int(cuts[k]), pack(hashes[o], low[o], high[o], np.array([len(c) for c in some], np.uint16), np.frombuffer(b"".join(some), np.uint8))))
+                out.append((0, k, part, int(cuts[k]), pack(hashes[o], low[o], high[o], offsets[o], np.array([len(c) for c in some], np.uint16), np.frombuffer(b"".join(some), np.uint8))))
         out.append((1, part, part, 0, pack(renumbered[number].astype(np.uint32), np.diff(np.r_[0, first]).astype(np.uint32))))
         cols = list(zip(*out, strict=True))
         return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "key", "part", "base", "block"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
 
     def judge(table: pa.Table) -> pa.Table:
         """To each part: for its contexts, runs of strings (offsets) with the first document that has them, where that is before some owner of the part."""
-        seen, texts, ids, entries = {}, [], [], []
+        seen, texts, ids, places, entries = {}, [], [], [], []
         for part, base, block in zip(table.column("part").to_pylist(), table.column("base").to_pylist(), table.column("block").to_pylist(), strict=True):
-            h, low, high, lens, raw = unpack(block, "<u8", "<i8", "<i8", "<u2", "u1")
+            h, low, high, place, lens, raw = unpack(block, "<u8", "<i8", "<i8", "u1", "<u2", "u1")
             raw, at = raw.tobytes(), 0
             numbers = np.empty(len(lens), np.int64)
-            for i, (n, x) in enumerate(zip(lens.tolist(), h.tolist(), strict=True)):
+            for i, (n, x, p) in enumerate(zip(lens.tolist(), h.tolist(), place.tolist(), strict=True)):
                 c = raw[at : at + n]
                 at += n
                 k = seen.setdefault(c, len(texts))
                 if k == len(texts):
                     texts.append(c)
                     ids.append(x)
+                    places.append(p)
                 numbers[i] = k
             entries.append((numbers, low, high, np.full(len(lens), part), base + np.arange(len(lens))))
         number, low, high, part, own = (np.concatenate(x) for x in zip(*entries, strict=True))
         owners = np.full(len(texts), NO_ID)
         np.minimum.at(owners, number, low)
         _, group, sizes = np.unique(np.array(ids, np.uint64), return_inverse=True, return_counts=True)
-        several = np.flatnonzero(sizes[group] > 1)  # a context alone round its minimizer has nothing to share
-        alone = np.flatnonzero(sizes[group] == 1)
+        some = np.flatnonzero(sizes[group] > 1)  # a context alone round its minimizer has nothing to share
+        fit = may_share([texts[i] for i in some.tolist()], [places[i] for i in some.tolist()], length)
+        several = some[np.array(fit, bool)]
+        alone = np.setdiff1d(np.arange(len(texts)), several, assume_unique=True)
         where, least = first_owners([texts[i] for i in several.tolist()], owners[several], length) if len(several) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         where = several[where]
         begins = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])[: len(where)]
