@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (as in tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in a session without other machines, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -49,11 +52,13 @@ def width(spark: SparkSession) -> int:
 
 
 def arrow_bytes(spark: SparkSession, n: int = 16 << 20) -> None:
-    """Bound the bytes of an Arrow batch, unless the session has a bound: long texts else make batches of any size."""
+    """Bound the bytes of an Arrow batch, unless the session's owner has: long texts else make batches of any size."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
+    key, ours = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.gleanery.arrowBytes"
+    now = spark.conf.getAll
+    if key not in now or now[key] == now.get(ours):
         spark.conf.set(key, n)
+        spark.conf.set(ours, str(n))
 
 
 _shipped: set[str] = set()
