@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, forget, pack, text_bytes, unpack, width
+from gleanery.llm.common import arrow_bytes, cut, forget, lean, pack, text_bytes, unpack, width
 from gleanery.llm.components import components
 
 #: Shingles of a block's sets together, about; a single set may be larger.
@@ -137,7 +137,7 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
             kinds = pa.array(np.r_[np.zeros(len(ids), np.int32), np.ones(len(hot), np.int32)])
             yield pa.RecordBatch.from_arrays([kinds, pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(hot)]), pa.array(np.r_[np.array(ns, np.int64), hot_n]), pa.array(np.r_[np.array(cs, np.int64), none])], ["kind", "id", "n", "class"])
 
-    return docs.mapInArrow(run, "kind int, id long, n long, class long")
+    return docs.mapInArrow(lean(run), "kind int, id long, n long, class long")
 
 
 def _dealt(key: np.ndarray, shards: int, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -197,8 +197,8 @@ def sharing(docs: DataFrame, sent, words: int, shards: int, num: int, den: int)
         classes, first, shared = np.unique(c, return_index=True, return_counts=True)
         return pa.table({"class": classes, "shared": shared.astype(np.int64), "n": n[first]})
 
-    blocks = docs.select("text").mapInArrow(run, "shard int, block binary")
-    return blocks.groupBy("shard").applyInArrow(count, "class long, shared long, n long")
+    blocks = docs.select("text").mapInArrow(lean(run), "shard int, block binary")
+    return blocks.groupBy("shard").applyInArrow(lean(count), "class long, shared long, n long")
 
 
 def families(texts: DataFrame, words: int, shards: int, num: int, den: int) -> DataFrame:
@@ -249,10 +249,10 @@ def families(texts: DataFrame, words: int, shards: int, num: int, den: int) -> D
             root = after
         return pa.table({"class": classes, "root": classes[root], "shared": np.bincount(of, minlength=len(classes)).astype(np.int64), "n": n[first]})
 
-    blocks = texts.select("class", "text").mapInArrow(deal, "shard int, block binary")
+    blocks = texts.select("class", "text").mapInArrow(lean(deal), "shard int, block binary")
     for step in (count, pick):
-        blocks = blocks.groupBy("shard").applyInArrow(step, "shard int, block binary")
-    return blocks.groupBy("shard").applyInArrow(connect, "class long, root long, shared long, n long")
+        blocks = blocks.groupBy("shard").applyInArrow(lean(step), "shard int, block binary")
+    return blocks.groupBy("shard").applyInArrow(lean(connect), "class long, root long, shared long, n long")
 
 
 def fewest_shared(n, m, num: int, den: int):
@@ -373,7 +373,7 @@ def linked(blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
         found = search(sets, np.array([rows[c][1] for c in classes], np.int64), np.array([c in probes for c in classes], bool), num, den)
         return pa.table({"a": pa.array([classes[a] for a, _ in found], pa.int64()), "b": pa.array([classes[b] for _, b in found], pa.int64())})
 
-    return blocks.select("block", "class", "text", "label", "probe").groupBy("block").applyInArrow(run, "a long, b long")
+    return blocks.select("block", "class", "text", "label", "probe").groupBy("block").applyInArrow(lean(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, most_hot: int = 1 << 18) -> DataFrame:
@@ -387,7 +387,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its component has an id; repeated rows and equal texts share a component; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    arrow_bytes(spark)
+    arrow_bytes(spark, 8 << 20)
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
     scanned = cut(scan(d, words), "shingle-sets", by="kind")
     rows = scanned.where("kind = 0").select("id", "n", "class")
@@ -456,7 +456,7 @@ def _texts(d: DataFrame, reps: DataFrame, words: int) -> DataFrame:
             keep = [not x or class_of(next(doubtful)) == c for c, x in zip(b.column(0).to_pylist(), several, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_())).select(["class", "text"])
 
-    return joined.mapInArrow(own, "class long, text binary")
+    return joined.mapInArrow(lean(own), "class long, text binary")
 
 
 def _nameless_texts(d: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -466,7 +466,7 @@ def _nameless_texts(d: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in all_shingles(b.column(0).to_pylist(), words)], pa.int64()), b.column(0)], ["class", "text"])
 
-    return d.select("text").mapInArrow(run, "class long, text binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
+    return d.select("text").mapInArrow(lean(run), "class long, text binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
 
 
 #: The registered query in DuckDB: all pairs by a join on shingles, components by reach.

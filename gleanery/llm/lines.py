@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, forget, text_bytes
+from gleanery.llm.common import arrow_bytes, cut, forget, lean, text_bytes
 
 #: A broadcast set of line hashes takes up to 8 MB; more lines than that are joined.
 MOST_SENT = 1_000_000
@@ -45,7 +45,7 @@ def spread_rows(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
             fresh = np.r_[True, (h[1:] != h[:-1]) | (site[1:] != site[:-1])][: len(h)] & (h != 0)
             yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(site[fresh])], ["line", "site"])
 
-    return docs.select(F.xxhash64(F.col(site_col)).alias("site"), text_bytes(text_col).alias("text")).mapInArrow(run, "line long, site long")
+    return docs.select(F.xxhash64(F.col(site_col)).alias("site"), text_bytes(text_col).alias("text")).mapInArrow(lean(run), "line long, site long")
 
 
 def wide_lines(rows: DataFrame, min_sites: int, lg_k: int = 10, band: float = 0.2) -> DataFrame:
@@ -73,7 +73,7 @@ def drop_wide_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or repeated ids and repeated rows make no difference; an empty table gives an empty result. Hashes of 64 bits stand for lines.
     """
     spark = docs.sparkSession
-    arrow_bytes(spark)
+    arrow_bytes(spark, 8 << 20)
     rows = cut(spread_rows(docs.withColumn(site_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0null"))), site_col, text_col), "line-rows")
     wide = cut(wide_lines(rows, min_sites), "wide-lines")
     if wide.count() <= most_sent:
@@ -98,7 +98,7 @@ def _apply(docs: DataFrame, text_col: str, sent, wide: DataFrame | None) -> Data
                 row = np.repeat(b.column(0).to_numpy(), [len(x) for x in lines])
                 yield pa.RecordBatch.from_arrays([pa.array(row[h != 0]), pa.array(h[h != 0].view(np.int64))], ["_row", "line"])
 
-        found = keyed.select("_row", text_bytes(text_col).alias("text")).mapInArrow(hashes, "_row long, line long").join(wide, "line", "left_semi")
+        found = keyed.select("_row", text_bytes(text_col).alias("text")).mapInArrow(lean(hashes), "_row long, line long").join(wide, "line", "left_semi")
         docs = keyed.join(found.groupBy("_row").agg(F.collect_set("line").alias("_wide")), "_row", "left").select(*names, "_wide")  # bounded by a document's lines
     at = names.index(text_col)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_lines long, n_removed long"])
@@ -123,7 +123,7 @@ def _apply(docs: DataFrame, text_col: str, sent, wide: DataFrame | None) -> Data
             cols[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 #: op7_line_dedup in DuckDB, with exact counts of sites.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, text_bytes, width
+from gleanery.llm.common import arrow_bytes, cut, lean, text_bytes, width
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, end_rank long, per_bin long, first_bin long, base long"
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def fullest(counts: dict[int, int], first: int, capacity: int) -> dict[int, int]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, text_bytes
+from gleanery.llm.common import arrow_bytes, lean, text_bytes
 from gleanery.llm.labelled import held_out, training_rows
 
 CLASSES = 12
@@ -102,7 +102,7 @@ def fit(rows: DataFrame, dims: int) -> Space:
             shares = [features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.binary()), b.column(2)], ["id", "shares", "label"])
 
-    got = rows.select("id", text_bytes("text").alias("text"), "label").mapInArrow(run, "id long, shares binary, label int").collect()
+    got = rows.select("id", text_bytes("text").alias("text"), "label").mapInArrow(lean(run), "id long, shares binary, label int").collect()
     got.sort(key=lambda r: (r.id, r.label, bytes(r.shares)))
     shares = np.array([np.frombuffer(r.shares, np.float16) for r in got], np.float32).reshape(len(got), TERMS)
     return Space(shares, np.array([r.label for r in got]), dims)
@@ -130,7 +130,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, score: str = "score", id_co
             scores = np.concatenate([sent.value.vote(np.array([features(t) for t in texts[a : a + 1024]], np.float32), k, sharpness) for a in range(0, len(texts), 1024)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, score])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"]))
+    return docs.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score}` double"]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = 0.7, **options) -> DataFrame:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, pack, text_bytes, unpack, width
+from gleanery.llm.common import arrow_bytes, cut, lean, pack, text_bytes, unpack, width
 
 K = 16
 CHUNK = 1 << 20
@@ -402,12 +402,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([z.compress(t) for t in b.column(3).to_pylist()], pa.binary())], ["part", "ord", "id", "z"])
 
-    rows = d.select("part", "ord", "id", "text").mapInArrow(squeezed, "part int, ord long, id long, z binary")
-    wanted = d.select("text", "part").mapInArrow(announce, "shard int, block binary").groupBy("shard").applyInArrow(shared, "part int, shard int, block binary")
+    rows = d.select("part", "ord", "id", "text").mapInArrow(lean(squeezed), "part int, ord long, id long, z binary")
+    wanted = d.select("text", "part").mapInArrow(lean(announce), "shard int, block binary").groupBy("shard").applyInArrow(lean(shared), "part int, shard int, block binary")
     wanted = cut(wanted, "repeat-hashes")
-    found = rows.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(contexts, "kind int, key int, part int, base long, block binary")
+    found = rows.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(lean(contexts), "kind int, key int, part int, base long, block binary")
     found = cut(found, "repeat-contexts", by="kind")
-    runs = found.where("kind = 0").select("key", "part", "base", "block").groupBy("key").applyInArrow(judge, "part int, kind int, block binary")
+    runs = found.where("kind = 0").select("key", "part", "base", "block").groupBy("key").applyInArrow(lean(judge), "part int, kind int, block binary")
     marks = cut(runs.unionByName(found.where("kind = 1").select("part", F.col("kind").cast("int").alias("kind"), "block")), "repeat-runs")
-    out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean(remove), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)

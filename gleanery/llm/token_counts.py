@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes
+from gleanery.llm.common import arrow_bytes, lean
 
 #: Characters from a pre-token's start that the contractions of the pattern look at.
 LOOKAHEAD = 3
@@ -152,4 +152,4 @@ def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str,
     kind = docs.schema[id_col].dataType.simpleString()
     edits = F.transform(edits_col, lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["new"].cast("string").alias("new")))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)

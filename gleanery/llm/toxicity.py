@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut
+from gleanery.llm.common import arrow_bytes, cut, lean
 from gleanery.llm.labelled import held_out, training_rows
 
 #: ASCII signs and digits part tokens; letters of any script form them.
@@ -45,7 +45,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
             every = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([seen[1][t] for t in every], pa.int64()), pa.array([seen[0][t] for t in every], pa.int64())], ["token", "toxic", "clean"])
 
-    found = rows.select("label", lowered("text").alias("text")).mapInArrow(run, "token binary, toxic long, clean long")
+    found = rows.select("label", lowered("text").alias("text")).mapInArrow(lean(run), "token binary, toxic long, clean long")
     return found.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -127,7 +127,7 @@ def find_segments(rows: DataFrame, lexicon: dict[bytes, float], loss: float, dec
             extra = [pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(segments, kind)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *extra], [*keys, "n_tokens", "best", "total", "segments"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(lean(run), schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
