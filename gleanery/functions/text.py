@@ -159,13 +159,15 @@ def failure_kind(error: Column, message: Column, path: Column) -> Column:
     )
 
 
-#: Fixed value: a comparison in an assertion message.
-COMPARISON = r"assert[ \t\n]+(.+?)[ \t\n]+(==|!=|<|>|<=|>=|is|is not|in|not in)[ \t\n]+(.+?)([ \t\n]|$)"
+#: Operators of assertions, those of two words first: `is not` is no `is` with a value of `not`.
+COMPARISONS = ("is not", "not in", "==", "!=", "<=", ">=", "<", ">", "is", "in")
 
 
 def assertion_parts(message: Column) -> Column:
     """operator, actual and expected of the first comparison; nulls without one."""
-    part = lambda k: F.nullif(F.trim(F.regexp_extract(F.coalesce(message, F.lit("")), COMPARISON, k)), F.lit(""))
+    blank, word = r"[ \t\n]+", r"[^ \t\n]+"
+    pattern = f"assert{blank}(.+?){blank}({'|'.join(COMPARISONS)}){blank}({word})"
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(F.coalesce(message, F.lit("")), pattern, k)), F.lit(""))
     return F.struct(part(2).alias("operator"), part(1).alias("actual"), part(3).alias("expected"))
 
 

@@ -130,14 +130,21 @@ def tests_to_sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(t, "src").join(s, "dst").select(F.col("src").alias("test_id"), F.col("dst").alias("source_id")).distinct()
 
 
-def inherited(bases: DataFrame, members: DataFrame, depth: int = 20) -> DataFrame:
-    """(cls, name, member): a class's member of each name, its own or the nearest base's, bases in order and depth first; cycles end at `depth`."""
-    front = members.select(F.col("cls").alias("origin")).unionByName(bases.select(F.col("cls").alias("origin"))).distinct().withColumn("at", F.col("origin")).withColumn("way", F.array().cast("array<int>"))
-    every = front
-    for _ in range(depth):
-        front = front.join(bases, F.col("at") == F.col("cls")).where(F.col("base") != F.col("origin")).select("origin", F.col("base").alias("at"), F.concat("way", F.array(F.col("ordinal").cast("int"))).alias("way"))
-        if front.isEmpty():
-            break
-        every = every.unionByName(front)
-    found = every.join(members, F.col("at") == F.col("cls")).groupBy("origin", "name").agg(F.min_by("member", F.struct("way", "member")).alias("member"))
-    return found.withColumnRenamed("origin", "cls")
+def inherited(bases: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, name, member): a class's member of each name, its own or the nearest base's, bases in order and depth first.
+
+    For each class and base the first way to it is kept, as ordinals; a step extends the ways that became earlier, until none does. A way round a cycle is
+    never earlier, so cycles end, and chains of any depth are followed.
+    """
+    best = members.select(F.col("cls").alias("origin")).unionByName(bases.select(F.col("cls").alias("origin"))).distinct()
+    best = cut(best.withColumn("at", F.col("origin")).withColumn("way", F.array().cast("array<int>")), "ways")
+    front = best
+    while not front.isEmpty():
+        step = front.join(bases, F.col("at") == F.col("cls")).select("origin", F.col("base").alias("at"), F.concat("way", F.array(F.col("ordinal").cast("int"))).alias("way"))
+        step = step.groupBy("origin", "at").agg(F.min("way").alias("way"))
+        known = best.select(F.col("origin").alias("_o"), F.col("at").alias("_a"), F.col("way").alias("_w"))
+        earlier = step.join(known, (F.col("origin") == F.col("_o")) & (F.col("at") == F.col("_a")), "left").where("_w is null or way < _w")
+        front = cut(earlier.select("origin", "at", "way"), "ways")
+        best = cut(best.unionByName(front).groupBy("origin", "at").agg(F.min("way").alias("way")), "ways")
+    found = best.join(members, F.col("at") == F.col("cls")).groupBy("origin", "name").agg(F.min_by("member", F.struct("way", "member")).alias("member"))
+    return cut(found.withColumnRenamed("origin", "cls"), "inherited")

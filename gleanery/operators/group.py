@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.running import running
+
 #: Which source's findings come first in a report.
 SOURCE_RANK = {"pytest": 0, "llm": 1, "heuristic": 2, "ruff": 3}
 
@@ -19,8 +22,10 @@ def report_order(groups: DataFrame, sources: str = "sources", extra: tuple[str,
     table = F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv])
     rank = F.array_min(F.transform(sources, lambda s: F.coalesce(F.try_element_at(table, s), F.lit(99))))
     level = F.when(F.col("confidence") == "confirmed", 0).when(F.col("confidence") == "multi-source", 1).otherwise(2)
-    w = Window.orderBy(F.when(F.col("confidence") == "confirmed", 0).otherwise(1), rank, level, *extra)
-    return groups.withColumn("position", F.row_number().over(w).cast("long")).withColumn("group_id", F.concat(F.lit("B"), F.lpad(F.col("position").cast("string"), 3, "0")))
+    placed = groups.withColumn("_sure", F.when(F.col("confidence") == "confirmed", 0).otherwise(1)).withColumn("_rank", rank).withColumn("_level", level)
+    n = F.col("position").cast("string")
+    out = running(placed, [], ["_sure", "_rank", "_level", *extra]).drop("_sure", "_rank", "_level")
+    return out.withColumn("group_id", F.concat(F.lit("B"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0"))))
 
 
 def categorize(reports: DataFrame) -> DataFrame:
@@ -52,21 +57,30 @@ def group_tokens(reports: DataFrame, keys: list[str], text_cols: list[str], symb
 def split_in_order(rows: DataFrame, keys: list[str], order: list[str], size: str, limit: float, most: int | None = None) -> DataFrame:
     """Numbers rows of each key by the part they go to: in order, a new part begins when the size would pass the limit or `most` rows are in it.
 
-    A part is never empty, so a row beyond the limit stands alone. The fold needs the rows of a key together; each carries its order, size and row only.
+    A part is never empty, so a row beyond the limit stands alone. Where a row goes depends on all rows of its key before it: keys are dealt, sorted, and
+    read once from first to last, a batch at a time, so a key of any size takes no more memory than a batch.
     """
-    fields = [*order, size]
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rows"))
-    kind = "array<struct<" + ",".join(f"`{f}`:{rows.schema[f].dataType.simpleString()}" for f in fields) + ",part:int>>"
-    start = F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["sum"] + x[size] > limit) | (a["n"] >= F.lit(most or 2**31 - 1)))
-        part = F.when(full, a["part"] + 1).otherwise(a["part"])
-        row = F.struct(*[x[f].alias(f) for f in fields], part.alias("part"))
-        return F.struct(part.alias("part"), F.when(full, x[size].cast("double")).otherwise(a["sum"] + x[size]).alias("sum"), F.when(full, F.lit(1)).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = packed.select(*keys, F.explode(F.aggregate("_rows", start, step, lambda a: a["out"])).alias("_r"))
-    return folded.select(*keys, *[F.col(f"_r.{f}") for f in fields], (F.col("_r.part") + 1).cast("long").alias("part"))
+    names = [*keys, *order, size]
+    cap = most or 2**63 - 1
+
+    def fold(batches):
+        key, part, total, n = None, 0, 0.0, 0
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            parts = []
+            for row in zip(*cols[: len(keys)], [x or 0 for x in cols[-1]], strict=True):
+                if key != row[:-1] or n == 0:
+                    key, part, total, n = row[:-1], 1, row[-1], 1
+                elif total + row[-1] > limit or n >= cap:
+                    part, total, n = part + 1, row[-1], 1
+                else:
+                    total, n = total + row[-1], n + 1
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.int64())], [*names, "part"])
+
+    dealt = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return dealt.mapInArrow(fold, f"{schema}, part long").drop(size)
 
 
 def coverage(every: DataFrame, grouped: DataFrame, excluded: DataFrame, id_col: str = "id") -> DataFrame:
@@ -81,8 +95,8 @@ def coverage(every: DataFrame, grouped: DataFrame, excluded: DataFrame, id_col:
 
 
 def numbered(groups: DataFrame, order: list, prefix: str = "G") -> DataFrame:
-    w = Window.orderBy(*order)
-    return groups.withColumn("group_id", F.concat(F.lit(prefix), F.row_number().over(w).cast("string")))
+    out = running(groups, [], order)
+    return out.withColumn("group_id", F.concat(F.lit(prefix), F.col("position").cast("string"))).drop("position")
 
 
 def collected(*parts: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ def outcome_counts(rows: DataFrame, outcome: str, duration: Column, outcomes: tu
     return out.withColumn("consistent", sum((F.col(o) for o in outcomes), F.lit(0)) == F.col("total"))
 
 
+def half_up(a: Column, b: Column) -> Column:
+    """a / b of whole numbers, rounded half up to a whole number; null for b of 0."""
+    return F.floor((2 * a + b).cast("decimal(38,0)") / F.nullif(2 * b, F.lit(0)).cast("decimal(20,0)")).cast("long")
+
+
 def run_summary(runs: DataFrame, status: str, detected: Column, fixed: Column, patches: Column, started: Column, ended: Column, keys: list[str] | None = None) -> DataFrame:
     """Runs by status, sums, the mean of the rounded success rates of completed runs that found something, and the mean duration in seconds.
 
@@ -22,16 +27,16 @@ def run_summary(runs: DataFrame, status: str, detected: Column, fixed: Column, p
     other count, have a column of their own.
     """
     s = F.col(status)
-    row_rate = F.when((s == "completed") & (detected > 0), F.round(fixed.cast("double") * 100 / detected, 2))
-    seconds = F.when(s.isin("completed", "failed") & started.isNotNull() & ended.isNotNull(), (F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1e6)
-    mean = F.round(F.avg(seconds), 2)
+    rate = F.when((s == "completed") & (detected > 0), half_up(fixed.cast("long") * 10_000, detected.cast("long")))  # in hundredths: whole numbers have exact means
+    took = F.when(s.isin("completed", "failed") & started.isNotNull() & ended.isNotNull(), F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp")))
+    mean = half_up(F.sum(took), F.count(took) * 10_000) / 100
     return runs.groupBy(*(keys or [])).agg(
         F.count("*").alias("total"),
         *[F.count_if(s == x).alias(f"{x}_runs") for x in ("completed", "failed", "running", "pending", "cancelled", "queued")],
         F.coalesce(F.sum(detected), F.lit(0)).cast("long").alias("bugs_detected"),
         F.coalesce(F.sum(fixed), F.lit(0)).cast("long").alias("bugs_fixed"),
         F.coalesce(F.sum(patches), F.lit(0)).cast("long").alias("patches"),
-        F.coalesce(F.round(F.avg(row_rate), 2), F.lit(0.0)).alias("success_rate"),
+        F.coalesce(half_up(F.sum(rate), F.count(rate)) / 100, F.lit(0.0)).alias("success_rate"),
         F.nullif(mean, F.lit(0.0)).alias("avg_duration"),
     )
 

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.running import running
+from gleanery.storage import cut
+
 
 def fill(rows: DataFrame, keys: list[str], order: list, size: str, budget: int) -> DataFrame:
     """Rows with fate and reason: in order, rows are taken while they fit; the first that does not is dropped, and with it all behind it.
 
     When the budget is exactly full, rows behind it are dropped as over_budget; behind an overflow they are not_considered.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = rows.withColumn("used", F.sum(size).over(upto)).withColumn("_pos", F.row_number().over(w))
-    over = F.min(F.when(F.col("used") > budget, F.col("_pos"))).over(Window.partitionBy(*keys))
-    full = F.max(F.when(F.col("used") == budget, F.lit(1)).otherwise(0)).over(Window.partitionBy(*keys)) == 1
-    out = run.withColumn("_over", over).withColumn("_full", full)
-    fate = F.when(F.col("used") <= budget, "taken").when((F.col("_pos") == F.col("_over")) | F.col("_full"), "over_budget").otherwise("not_considered")
-    return out.withColumn("fate", fate).withColumn("position", F.col("_pos").cast("long")).drop("_pos", "_over", "_full")
+    run = cut(running(rows, keys, order, size), "running")
+    ends = run.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min(F.when(F.col("used") > budget, F.col("position"))).alias("_over"), F.bool_or(F.col("used") == budget).alias("_full"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = run.join(ends, same)
+    fate = F.when(F.col("used") <= budget, "taken").when((F.col("position") == F.col("_over")) | F.col("_full"), "over_budget").otherwise("not_considered")
+    return out.withColumn("fate", fate).select(*rows.columns, "used", "fate", "position")
 
 
 def tiers(required: Column, t4: Column, t5: Column, t6: Column, t7: Column, budget: int = 12_000) -> Column:

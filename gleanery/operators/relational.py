@@ -72,14 +72,18 @@ def live(entries: DataFrame, now, pattern: str = "%") -> DataFrame:
 
 
 def tests_of_sources(tests: DataFrame, sources: DataFrame) -> DataFrame:
-    """(test_path, source_path): a test's source by its rewritten path, or by the source's stem in the test's path.
+    """(test_path, source_path): a test's source by its rewritten path, or by the source's stem anywhere in the test's path.
 
-    tests: test_path; sources: source_path. Paths meet by their words, so no pair is formed that shares none; both rules are checked on the pairs.
+    tests: test_path; sources: source_path. A stem meets the paths that have its rarest run of three characters (a shorter stem: the stem itself), which
+    every path that contains it has; both rules are checked on the pairs. The rewritten path contains the stem, so the rule asks for no pairs of its own.
     """
+    runs = lambda c, n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: i + (n - 1) <= F.length(c)), lambda i: F.substring(c, i, F.lit(n)))
     stem = F.regexp_replace(F.regexp_replace("source_path", "^src/", ""), r"\.py$", "")
-    s = sources.withColumn("_stem", stem).withColumn("_word", F.element_at(F.split("_stem", "[^A-Za-z0-9]+"), -1))
-    words = F.array_distinct(F.split("test_path", "[^A-Za-z0-9]+"))
-    t = tests.withColumn("_word", F.explode(words))
-    pairs = t.join(s, "_word")
+    s = sources.select("source_path").distinct().withColumn("_stem", stem).where("_stem <> ''")
+    of = s.withColumn("_run", F.explode(F.when(F.length("_stem") < 3, F.array("_stem")).otherwise(F.array_distinct(runs(F.col("_stem"), 3)))))
+    often = of.groupBy("_run").agg(F.count("*").alias("_often"))
+    key = of.join(often, "_run").groupBy("source_path", "_stem").agg(F.min_by("_run", F.struct("_often", "_run")).alias("_run"))
+    t = tests.select("test_path").distinct()
+    t = t.withColumn("_run", F.explode(F.array_distinct(F.concat(*[runs(F.col("test_path"), n) for n in (1, 2, 3)]))))
     rewritten = F.element_at(F.split(F.replace("test_path", F.lit("tests/test_"), F.lit("src/")), "::"), 1)
-    return pairs.where((rewritten == F.col("source_path")) | F.contains("test_path", F.col("_stem"))).select("test_path", "source_path").distinct()
+    return t.join(key, "_run").where((rewritten == F.col("source_path")) | F.contains("test_path", F.col("_stem"))).select("test_path", "source_path").distinct()

@@ -59,7 +59,8 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, base
     own = every.select(F.col("cls").alias("_oc"), F.col("name").alias("_on"), F.col("member").alias("_own"))
     c = c.join(own, self_call & (F.col("cls") == F.col("_oc")) & (F.col("name") == F.col("_on")), "left")
     types = attr_types.select(F.col("owner").alias("_to"), F.col("attr").alias("_ta"), F.col("cls").alias("_tc")).dropDuplicates(["_to", "_ta"])
-    c = c.join(types, F.when(F.col("_attr").isNotNull(), (F.col("cls") == F.col("_to")) & (F.col("_attr") == F.col("_ta"))).otherwise((F.col("caller") == F.col("_to")) & (F.col("receiver") == F.col("_ta"))), "left")
+    of, what = F.when(F.col("_attr").isNotNull(), F.col("cls")).otherwise(F.col("caller")), F.coalesce("_attr", "receiver")
+    c = c.withColumn("_of", of).withColumn("_what", what).join(types, (F.col("_of") == F.col("_to")) & (F.col("_what") == F.col("_ta")), "left")
     typed = every.select(F.col("cls").alias("_mc"), F.col("name").alias("_mn"), F.col("member").alias("_typed"))
     c = c.join(typed, (F.col("_tc") == F.col("_mc")) & (F.col("name") == F.col("_mn")), "left")
     modules = imports.select(F.col("file").alias("_mf"), F.col("alias").alias("_ma"), F.col("resolved_file").alias("_module")).dropDuplicates(["_mf", "_ma"])

@@ -88,13 +88,32 @@ def review_targets(spark, d):
     return pyindex.review_targets(pyindex.symbols(parsed(spark, d))).select("id")
 
 
-@query("index_checks", "SELECT 'x' AS kind, 'x' AS detail WHERE false")
+MODULE = "'src/m' || p_partkey || '.py::'"
+
+
+@query(
+    "index_checks",
+    f"""SELECT DISTINCT 'no mirror' AS kind, {MODULE} || replace(a, 'Box', 'Box' || p_partkey) || '->' || {MODULE} || replace(b, 'Box', 'Box' || p_partkey) AS detail FROM part, {CALLEES} WHERE p_partkey % 29 = 0
+    UNION ALL SELECT 'test does not call', {MODULE} || 'make->' || {MODULE} || 'same' FROM part WHERE p_partkey % 31 = 0
+    UNION ALL SELECT 'span beyond file', {ID} FROM part, {NAMES} WHERE p_partkey % 37 = 0 AND e > 20
+    UNION ALL SELECT 'duplicate id', {MODULE} || 'same' FROM part WHERE p_partkey % 41 = 0
+    UNION ALL SELECT 'span beyond file', {MODULE} || 'same' FROM part WHERE p_partkey % 37 = 0 AND p_partkey % 41 = 0
+    UNION ALL SELECT 'span beyond file', {MODULE} || 'gone' FROM part WHERE p_partkey % 37 = 0 AND p_partkey % 43 = 0
+    UNION ALL SELECT 'empty span', {MODULE} || 'gone' FROM part WHERE p_partkey % 43 = 0""",
+)
 def index_checks(spark, d):
-    """No finding: the index of the made sources is sound; planted defects are in the tests."""
+    """An index with planted defects: calls without mirrors, a test mapped to what it does not call, files that are too short, a symbol twice, an empty span."""
+    k = F.regexp_extract("file", "([0-9]+)", 1).cast("long")
     s = cut(pyindex.symbols(parsed(spark, d)), "symbols")
+    same = s.where(F.col("name") == "same")
+    gone = same.where(k % 43 == 0).withColumn("id", F.replace("id", F.lit("::same"), F.lit("::gone"))).withColumn("line_start", F.lit(24).cast("int")).withColumn("line_end", F.lit(23).cast("int"))
+    twice = same.where(k % 41 == 0).withColumn("line_start", F.lit(23).cast("int")).withColumn("kind", F.lit("class"))
     calls = cut(code_calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct(), "calls")
-    none = calls.limit(0).select(F.col("src").alias("test_id"), F.col("dst").alias("source_id"))
-    return validate.validate_index(s, files(spark, d), calls, calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), none)
+    of = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("long")
+    mirror = calls.where(of("src") % 29 != 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    tests = s.where((F.col("name") == "make") & (k % 31 == 0)).select(F.col("id").alias("test_id"), F.replace("id", F.lit("::make"), F.lit("::same")).alias("source_id"))
+    short = files(spark, d).withColumn("lines", F.when(of("path") % 37 == 0, 20).otherwise(F.col("lines")))
+    return validate.validate_index(s.unionByName(twice).unionByName(gone.withColumn("kind", F.lit("class"))), short, calls, mirror, tests)
 
 
 LOG = "tests/test_a.py::test_{k} FAILED\n=== FAILURES ===\n___ test_{k} ___\ntests/test_a.py:3: in test_{k}\nsrc\\m.py:7: in f\nE   ValueError: bad {k}\n=== 1 failed, 2 passed in 0.05s ===\n"
@@ -123,10 +142,14 @@ def code_seeds(spark, d):
     return resolve.resolve_seeds(reports, pyindex.symbols(parsed(spark, d))).select("bug_id", "seed")
 
 
-@query("code_suspects", f"WITH {FRAMES}, {SPAN} SELECT * FROM (SELECT bug AS bug_id, (SELECT arg_min(id, (e - s) * 1000) FROM sp WHERE sp.m = f.m AND line BETWEEN s AND e) AS suspect FROM f) WHERE suspect IS NOT NULL")
+@query("code_suspects", f"WITH {FRAMES}, {SPAN} SELECT bug AS bug_id, coalesce(CASE WHEN bug % 3 <> 0 THEN (SELECT arg_min(id, (e - s) * 1000) FROM sp WHERE sp.m = f.m AND line BETWEEN s AND e) END, 'src/m' || m || '.py::make') AS suspect FROM f")
 def code_suspects(spark, d):
-    none = spark.createDataFrame([], "bug_id long, ordinal int, symbol_id string")
-    return resolve.suspects(frames(spark, d).withColumn("frame_no", F.lit(1)), none, pyindex.symbols(parsed(spark, d)))
+    """Two of three reports have a frame; each has calls, the first of them unresolved."""
+    f = frames(spark, d)
+    name = F.concat("file", F.lit("::"))
+    steps = F.array(F.lit(None).cast("string"), F.concat(name, F.lit("make")), F.concat(name, F.lit("same")))
+    called = f.select("bug_id", F.posexplode(steps).alias("ordinal", "symbol_id"))
+    return resolve.suspects(f.where("bug_id % 3 <> 0").withColumn("frame_no", F.lit(1)), called, pyindex.symbols(parsed(spark, d)))
 
 
 @query("reachability", "SELECT p_partkey, p_partkey % 3 = 0 AS reachable, CASE p_partkey % 3 WHEN 1 THEN 'file_not_indexed:src/gone' || p_partkey || '.py' WHEN 2 THEN 'symbol_not_found:src/m' || p_partkey || '.py::gone' END AS reason FROM part")

@@ -29,44 +29,43 @@ full_ AS (SELECT c.*, count(*) OVER (PARTITION BY c.src) AS n, s.is_test AS st,
 cnt AS (SELECT src, count(*) AS n FROM calls GROUP BY src),
 fwd AS (SELECT f.src, f.dst, CASE WHEN dk = 'class' AND st AND cnt.n = 1 THEN 'tests' WHEN dk = 'class' THEN 'instantiates' WHEN st THEN 'tests' ELSE 'calls' END AS edge_type FROM full_ f JOIN cnt ON f.src = cnt.src),
 back AS (SELECT src, dst, count(*) OVER (PARTITION BY dst) AS fans FROM full_ WHERE NOT st AND NOT dt),
-typed AS (SELECT * FROM fwd UNION ALL SELECT dst, src, 'called_by' FROM back WHERE fans <= 8 UNION ALL SELECT parent, id, 'contains' FROM nodes WHERE parent IS NOT NULL)"""
+refs AS (SELECT DISTINCT id AS src, (id * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM nodes WHERE id % 4 = 1),
+deco AS (SELECT DISTINCT id AS src, (id * 11 + 5) % (SELECT count(*) FROM part) AS dst FROM nodes WHERE id % 9 = 0),
+typed AS (SELECT * FROM fwd UNION ALL SELECT dst, src, 'called_by' FROM back WHERE fans <= 8 UNION ALL SELECT parent, id, 'contains' FROM nodes WHERE parent IS NOT NULL
+    UNION ALL SELECT src, dst, 'references' FROM refs UNION ALL SELECT src, dst, 'decorated_by' FROM deco
+    UNION ALL SELECT dst, src, 'referenced_by' FROM refs JOIN nodes s ON src = s.id JOIN nodes t ON dst = t.id WHERE NOT s.is_test AND NOT t.is_test)"""
 
 
 def typed(spark, d):
-    c = calls(spark, d)
-    none = c.limit(0)
-    return graph.typed_edges(nodes(spark, d), c, none, none)
+    n = nodes(spark, d)
+    count = F.broadcast(n.agg(F.count("*").alias("n")))  # one row
+    to = lambda test, by, plus: n.where(test).crossJoin(count).select(F.col("id").alias("src"), ((F.col("id") * by + plus) % F.col("n")).alias("dst"))
+    return graph.typed_edges(n, calls(spark, d), to("id % 4 = 1", 7, 3), to("id % 9 = 0", 11, 5))
 
 
-@query("typed_edges", f"WITH {TYPED} SELECT src, dst, edge_type, CASE edge_type WHEN 'tests' THEN 1.0 WHEN 'calls' THEN 0.8 WHEN 'called_by' THEN 0.5 WHEN 'contains' THEN 0.8 ELSE 0.3 END::DOUBLE AS weight FROM typed")
+@query("typed_edges", f"WITH {TYPED} SELECT src, dst, edge_type, CASE edge_type WHEN 'tests' THEN 1.0 WHEN 'calls' THEN 0.8 WHEN 'references' THEN 0.8 WHEN 'called_by' THEN 0.5 WHEN 'decorated_by' THEN 0.5 WHEN 'contains' THEN 0.8 ELSE 0.3 END::DOUBLE AS weight FROM typed")
 def typed_edges(spark, d):
     return typed(spark, d)
 
 
 @query("graph_walk")
 def graph_walk(spark, d):
-    """Nodes reached from every hundredth part; held against a priority queue in the tests."""
-    seeds = nodes(spark, d).where("id % 100 = 20").select("id", F.lit(1.0).alias("score"))
+    """Nodes reached from every twentieth part; held against a priority queue in the tests."""
+    seeds = nodes(spark, d).where("id % 20 = 0").select("id", F.lit(1.0).alias("score"))
     reached = graph.walk(typed(spark, d), seeds)
     return graph.walk_hits(reached, nodes(spark, d), seeds, 100_000).select("id", F.round("score", 6).alias("score"), "hop", "rank")
 
 
-@query("reach_depth", f"WITH RECURSIVE {CALLS}, r AS (SELECT src AS start, dst AS node, 1 AS k FROM calls WHERE src % 50 = 0 UNION ALL SELECT start, dst, k + 1 FROM r JOIN calls ON node = src WHERE k < 4) SELECT DISTINCT start, node FROM r")
+@query("reach_depth", f"WITH RECURSIVE {CALLS}, r AS (SELECT src AS start, dst AS node, 1 AS k FROM calls UNION ALL SELECT start, dst, k + 1 FROM r JOIN calls ON node = src WHERE k < 4) SELECT DISTINCT start, node FROM r")
 def reach_depth(spark, d):
-    c = calls(spark, d)
-    return graph.reach(c, c.where("src % 50 = 0").select(F.col("src").alias("id")), 4)
-
-
-@query("reach_depth_whole", f"WITH RECURSIVE {CALLS}, r AS (SELECT src AS start, dst AS node, 1 AS k FROM calls UNION ALL SELECT start, dst, k + 1 FROM r JOIN calls ON node = src WHERE k < 4) SELECT DISTINCT start, node FROM r")
-def reach_depth_whole(spark, d):
     c = calls(spark, d)
     return graph.reach(c, c.select(F.col("src").alias("id")), 4)
 
 
-@query("neighbourhood", f"WITH {CALLS} SELECT node FROM (SELECT dst AS node FROM calls WHERE src % 40 = 0 UNION SELECT src FROM calls WHERE dst % 40 = 0) WHERE node % 40 <> 0")
+@query("neighbourhood", f"WITH {CALLS} SELECT node FROM (SELECT dst AS node FROM calls WHERE src % 20 = 0 UNION SELECT src FROM calls WHERE dst % 20 = 0) WHERE node % 20 <> 0")
 def neighbourhood(spark, d):
     c = calls(spark, d)
-    every = c.select(F.col("src").alias("id")).union(c.select("dst")).where("id % 40 = 0")
+    every = c.select(F.col("src").alias("id")).union(c.select("dst")).where("id % 20 = 0")
     return graph.neighbourhood(c, every)
 
 

@@ -26,13 +26,8 @@ def bucket_candidates(spark, d):
     return spans(spark, d).groupBy("k", "ln").agg(F.count("*").alias("n"), F.min("s").alias("first"))
 
 
-@query("enclosing_interval", f"WITH {SPANS}, p AS (SELECT event_id, user_id % 97 AS k, (event_id * 7) % 6000 AS pt FROM events), sp AS (SELECT k, o * 10 + ln AS id, s, e FROM spans WHERE o % 4 = 0) SELECT event_id, arg_min(id, (e - s) * 10000000 + id) AS id FROM p LEFT JOIN sp ON p.k = sp.k AND pt BETWEEN s AND e GROUP BY event_id")
+@query("enclosing_interval", f"WITH {SPANS}, p AS (SELECT event_id, user_id % 97 AS k, (event_id * 7) % 6000 AS pt FROM events), sp AS (SELECT k, o * 10 + ln AS id, s, e FROM spans) SELECT event_id, arg_min(id, (e - s) * 1000000000000 + id) AS id FROM p LEFT JOIN sp ON p.k = sp.k AND pt BETWEEN s AND e GROUP BY event_id")
 def enclosing_interval(spark, d):
-    return enclosing_spans(spark, d, spans(spark, d).where("o % 4 = 0"))
-
-
-@query("enclosing_interval_whole", f"WITH {SPANS}, p AS (SELECT event_id, user_id % 97 AS k, (event_id * 7) % 6000 AS pt FROM events), sp AS (SELECT k, o * 10 + ln AS id, s, e FROM spans) SELECT event_id, arg_min(id, (e - s) * 1000000000000 + id) AS id FROM p LEFT JOIN sp ON p.k = sp.k AND pt BETWEEN s AND e GROUP BY event_id")
-def enclosing_interval_whole(spark, d):
     return enclosing_spans(spark, d, spans(spark, d))
 
 
@@ -55,13 +50,8 @@ def as_of_last(spark, d):
     return interval.last_before(e.where("event_type = 'view'").select("user_id", "event_id"), marks, "user_id", "event_id", "mark", "v").select("event_id", "last_v")
 
 
-@query("confidence_groups", "WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n, bool_or(event_type = 'error') AS v FROM events WHERE event_id % 5 = 0 GROUP BY user_id) SELECT user_id, CASE WHEN v THEN 'confirmed' WHEN n >= 2 THEN 'multi-source' ELSE 'single-source' END AS confidence FROM g")
+@query("confidence_groups", "WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n, bool_or(event_type = 'error') AS v FROM events GROUP BY user_id) SELECT user_id, CASE WHEN v THEN 'confirmed' WHEN n >= 2 THEN 'multi-source' ELSE 'single-source' END AS confidence FROM g")
 def confidence_groups(spark, d):
-    return confidences(table(spark, d, "events").where("event_id % 5 = 0"))
-
-
-@query("confidence_groups_whole", "WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n, bool_or(event_type = 'error') AS v FROM events GROUP BY user_id) SELECT user_id, CASE WHEN v THEN 'confirmed' WHEN n >= 2 THEN 'multi-source' ELSE 'single-source' END AS confidence FROM g")
-def confidence_groups_whole(spark, d):
     return confidences(table(spark, d, "events"))
 
 
@@ -73,13 +63,8 @@ def confidences(events):
 SOURCE = "CASE event_type WHEN 'error' THEN 'pytest' WHEN 'click' THEN 'llm' WHEN 'signup' THEN 'heuristic' ELSE 'ruff' END"
 
 
-@query("report_order", f"WITH g AS (SELECT user_id, list(DISTINCT {SOURCE}) AS s, bool_or(event_type = 'purchase' AND event_id % 3 = 0) AS v, min(event_id) AS line FROM events WHERE event_id % 11 = 0 GROUP BY user_id), c AS (SELECT *, CASE WHEN v THEN 0 WHEN len(s) >= 2 THEN 1 ELSE 2 END AS level, list_min(list_transform(s, lambda x: CASE x WHEN 'pytest' THEN 0 WHEN 'llm' THEN 1 WHEN 'heuristic' THEN 2 ELSE 3 END)) AS r FROM g), o AS (SELECT user_id, row_number() OVER (ORDER BY CASE WHEN level = 0 THEN 0 ELSE 1 END, r, level, user_id, line) AS position FROM c) SELECT user_id, position, 'B' || lpad(position::VARCHAR, 3, '0') AS group_id FROM o")
+@query("report_order", f"WITH g AS (SELECT user_id, list(DISTINCT {SOURCE}) AS s, bool_or(event_type = 'purchase' AND event_id % 3 = 0) AS v, min(event_id) AS line FROM events GROUP BY user_id), c AS (SELECT *, CASE WHEN v THEN 0 WHEN len(s) >= 2 THEN 1 ELSE 2 END AS level, list_min(list_transform(s, lambda x: CASE x WHEN 'pytest' THEN 0 WHEN 'llm' THEN 1 WHEN 'heuristic' THEN 2 ELSE 3 END)) AS r FROM g), o AS (SELECT user_id, row_number() OVER (ORDER BY CASE WHEN level = 0 THEN 0 ELSE 1 END, r, level, user_id, line) AS position FROM c) SELECT user_id, position, 'B' || lpad(position::VARCHAR, greatest(3, length(position::VARCHAR))::INTEGER, '0') AS group_id FROM o")
 def report_order(spark, d):
-    return reports_in_order(table(spark, d, "events").where("event_id % 11 = 0"))
-
-
-@query("report_order_whole", f"WITH g AS (SELECT user_id, list(DISTINCT {SOURCE}) AS s, bool_or(event_type = 'purchase' AND event_id % 3 = 0) AS v, min(event_id) AS line FROM events GROUP BY user_id), c AS (SELECT *, CASE WHEN v THEN 0 WHEN len(s) >= 2 THEN 1 ELSE 2 END AS level, list_min(list_transform(s, lambda x: CASE x WHEN 'pytest' THEN 0 WHEN 'llm' THEN 1 WHEN 'heuristic' THEN 2 ELSE 3 END)) AS r FROM g), o AS (SELECT user_id, row_number() OVER (ORDER BY CASE WHEN level = 0 THEN 0 ELSE 1 END, r, level, user_id, line) AS position FROM c) SELECT user_id, position, 'B' || lpad(position::VARCHAR, greatest(3, length(position::VARCHAR))::INTEGER, '0') AS group_id FROM o")
-def report_order_whole(spark, d):
     n = F.col("position").cast("string")
     return reports_in_order(table(spark, d, "events")).withColumn("group_id", F.concat(F.lit("B"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0"))))
 

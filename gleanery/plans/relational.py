@@ -22,8 +22,8 @@ def runs(spark, d):
 SUMMARY = """count(*) AS total, count(*) FILTER (status = 'completed') AS completed_runs, count(*) FILTER (status = 'failed') AS failed_runs, count(*) FILTER (status = 'running') AS running_runs,
     count(*) FILTER (status = 'pending') AS pending_runs, count(*) FILTER (status = 'cancelled') AS cancelled_runs, count(*) FILTER (status = 'queued') AS queued_runs,
     coalesce(sum(detected), 0)::BIGINT AS bugs_detected, coalesce(sum(fixed), 0)::BIGINT AS bugs_fixed, coalesce(sum(patches), 0)::BIGINT AS patches,
-    coalesce(round(avg(round(fixed::DOUBLE * 100 / detected, 2)) FILTER (status = 'completed' AND detected > 0), 2), 0) AS success_rate,
-    nullif(round(avg((epoch_us(ended) - epoch_us(o_orderdate)) / 1e6) FILTER (status IN ('completed', 'failed')), 2), 0) AS avg_duration"""
+    coalesce((2 * sum((20000 * fixed + detected) // nullif(2 * detected, 0)) FILTER (status = 'completed' AND detected > 0) + count(*) FILTER (status = 'completed' AND detected > 0)) // nullif(2 * count(*) FILTER (status = 'completed' AND detected > 0), 0) / 100::DOUBLE, 0) AS success_rate,
+    nullif((2 * sum(epoch_us(ended) - epoch_us(o_orderdate)) FILTER (status IN ('completed', 'failed')) + 10000 * count(*) FILTER (status IN ('completed', 'failed'))) // nullif(20000 * count(*) FILTER (status IN ('completed', 'failed')), 0) / 100::DOUBLE, 0) AS avg_duration"""
 
 
 @query("run_summary", f"WITH {RUNS} SELECT {SUMMARY} FROM runs")

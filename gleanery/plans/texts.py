@@ -51,18 +51,19 @@ def bug_ids(spark, d):
     return table(spark, d, "events").select("event_id", X.bug_id(F.concat(F.lit("t"), "user_id"), F.col("event_type"), message()).alias("bug_id"))
 
 
-@query("assertion_parts", rf"SELECT event_id, '==' AS operator, user_id::VARCHAR AS actual, (event_id % 9)::VARCHAR AS expected FROM events")
-def assertion_parts(spark, d):
-    return table(spark, d, "events").select("event_id", X.assertion_parts(message()).alias("a")).select("event_id", "a.operator", "a.actual", "a.expected")
+OPERATORS = ("==", "!=", "<", ">", "<=", ">=", "is", "is not", "in", "not in")
 
 
-@query("severity", "SELECT event_id, CASE WHEN contains(lower(props), '7') AND event_id % 2 = 0 THEN 'Low' WHEN event_type = 'error' THEN 'High' WHEN event_type = 'view' THEN 'Medium' ELSE 'Low' END AS severity FROM events WHERE NOT (contains(lower(props), '7') AND event_id % 2 = 0)")
-def severity(spark, d):
-    return severities(table(spark, d, "events").where("not (contains(lower(props), '7') and event_id % 2 = 0)"))
+@query("assertion_parts", f"SELECT event_id, [{', '.join(f"'{x}'" for x in OPERATORS)}][event_id % 10 + 1] AS operator, user_id::VARCHAR AS actual, (event_id % 9)::VARCHAR AS expected FROM events")
+def assertion_parts(spark, d):
+    """Every operator, in place of the message's own."""
+    op = F.element_at(F.array(*[F.lit(x) for x in OPERATORS]), (F.col("event_id") % 10 + 1).cast("int"))
+    m = F.replace(message(), F.lit(" == "), F.concat(F.lit(" "), op, F.lit(" ")))
+    return table(spark, d, "events").select("event_id", X.assertion_parts(m).alias("a")).select("event_id", "a.operator", "a.actual", "a.expected")
 
 
-@query("severity_whole", "SELECT event_id, CASE event_type WHEN 'error' THEN 'High' WHEN 'view' THEN 'Medium' ELSE 'Low' END AS severity FROM events")
-def severity_whole(spark, d):
+@query("severity", "SELECT event_id, CASE event_type WHEN 'error' THEN 'High' WHEN 'view' THEN 'Medium' ELSE 'Low' END AS severity FROM events")
+def severity(spark, d):
     return severities(table(spark, d, "events"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.errors import PySparkException
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as X
 from gleanery.functions.stem import stem
 from gleanery.operators import bm25, fuse, graph, group, interval, metrics, pack, relational, resolve, validate
+from gleanery.plans import registry
 from gleanery.sources import files, logs, pyindex
 
 
@@ -197,3 +199,70 @@ def test_sinks(spark, tmp_path):
     build = lambda: bugs
     assert files.cached(spark, str(tmp_path / "c"), "k" * 40, build).count() == 2 == files.cached(spark, str(tmp_path / "c"), "k" * 40, None).count()
     assert files.folder_size(spark, str(tmp_path)).first().files > 0
+
+
+def test_queries_over_whole_tables(spark, small):
+    """All events and spans take part: against plain Python."""
+    run = lambda name: registry.QUERIES[name](spark, small).collect()
+    t = lambda name: spark.read.parquet(f"{small}/{name}.parquet").collect()
+    events, of = t("events"), defaultdict(list)
+    for e in events:
+        of[e.user_id].append(e)
+    kinds = {u: {e.event_type for e in es} for u, es in of.items()}
+    assert {r.user_id: r.confidence for r in run("confidence_groups")} == {u: "confirmed" if "error" in k else "multi-source" if len(k) > 1 else "single-source" for u, k in kinds.items()}
+    assert {r.event_id: r.severity for r in run("severity")} == {e.event_id: {"error": "High", "view": "Medium"}.get(e.event_type, "Low") for e in events}
+    source = {"error": 0, "click": 1, "signup": 2}
+
+    def place(u):
+        found = {source.get(k, 3) for k in kinds[u]}
+        sure = any(e.event_type == "purchase" and e.event_id % 3 == 0 for e in of[u])
+        return not sure, min(found), 0 if sure else 1 if len(found) > 1 else 2, u
+
+    assert {r.user_id: (r.position, r.group_id) for r in run("report_order")} == {u: (k, f"B{k:03d}") for k, u in enumerate(sorted(of, key=place), 1)}
+    by = defaultdict(list)
+    for x in t("lineitem"):
+        by[x.l_orderkey % 97].append((x.l_partkey * 3, int(x.l_partkey * 3 + x.l_quantity), x.l_orderkey * 10 + x.l_linenumber))
+    inner = lambda k, p: min(((e - s, i) for s, e, i in by[k] if s <= p <= e), default=(0, None))[1]
+    assert {r.event_id: r.id for r in run("enclosing_interval")} == {e.event_id: inner(e.user_id % 97, e.event_id * 7 % 6000) for e in events}
+
+
+def test_running_over_stretches(spark):
+    """Numbers and sums over keys, one of them large, and over a whole table, whatever the ties."""
+    from gleanery.operators.running import running
+
+    data = [("ab"[k % 7 == 0], k * 37 % 1000, k % 5) for k in range(3000)] + [(None, 1, 2), (None, 1, None)]
+    r = spark.createDataFrame(data, "k string, o int, x int").repartition(5)
+    out = running(r, ["k"], ["o"], "x").collect()
+    by = defaultdict(list)
+    for row in sorted(out, key=lambda w: w.position):
+        by[row.k].append(row)
+    for k, got in by.items():
+        assert [w.position for w in got] == list(range(1, len(got) + 1)) and [w.o for w in got] == sorted(o for kk, o, _ in data if kk == k)
+        total = 0
+        for w in got:
+            total += w.x or 0
+            assert w.used == total
+    assert sorted(w.position for w in running(r, [], ["o"]).collect()) == list(range(1, len(data) + 1))
+    assert running(r.limit(0), ["k"], ["o"], "x").count() == 0
+
+
+def test_inherited_by_any_depth(spark):
+    """A chain deeper than any cap, a cycle, and a way that is longer but comes first."""
+    bases = [(f"c{k}", f"c{k + 1}", 0) for k in range(25)] + [("x", "y", 0), ("y", "x", 0), ("d", "e", 0), ("d", "f", 1), ("e", "g", 0), ("g", "f2", 0)]
+    members = [("c25", "run", "c25.run"), ("y", "go", "y.go"), ("f", "m", "f.m"), ("f2", "m", "f2.m")]
+    got = graph.inherited(spark.createDataFrame(bases, "cls string, base string, ordinal int"), spark.createDataFrame(members, "cls string, name string, member string"))
+    found = {(r.cls, r.name): r.member for r in got.collect()}
+    assert all(found[f"c{k}", "run"] == "c25.run" for k in range(26)) and found["x", "go"] == found["y", "go"] == "y.go" and found["d", "m"] == "f2.m"
+
+
+def test_no_nested_loops(spark, small):
+    """Calls are resolved by joins on keys alone."""
+    plan = registry.QUERIES["code_calls"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tests_of_sources_by_substring(spark):
+    t = spark.createDataFrame([("tests/test_authentication.py::t",), ("tests/test_io/x.py::t",), ("tests/test_b.py::t",)], "test_path string")
+    s = spark.createDataFrame([("src/auth.py",), ("src/io/x.py",), ("src/b.py",), ("src/zz.py",)], "source_path string")
+    want = {(a, b) for (a,) in [tuple(r) for r in t.collect()] for (b,) in [tuple(r) for r in s.collect()] if a.replace("tests/test_", "src/").split("::")[0] == b or b.removeprefix("src/").removesuffix(".py") in a}
+    assert {tuple(r) for r in relational.tests_of_sources(t, s).collect()} == want
