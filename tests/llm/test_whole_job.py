@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
 
 import corpus_pipeline
 import duckdb
@@ -12,7 +11,6 @@ from test_llm_operators import brute_components
 
 from gleanery.llm import jaccard, lines, mixing, queries
 from gleanery.llm.common import cut
-from gleanery.plans.registry import QUERIES
 
 
 def test_blocks_of_wide_lines_go(spark):
@@ -37,31 +35,6 @@ def test_line_queries_match_their_sql(spark, name):
     assert sorted(tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, d).collect()) == sorted(want)
 
 
-def test_queries_over_whole_tables(spark, small):
-    """All events and spans take part: against plain Python."""
-    run = lambda name: QUERIES[name](spark, small).collect()
-    t = lambda name: spark.read.parquet(f"{small}/{name}.parquet").collect()
-    events, of = t("events"), defaultdict(list)
-    for e in events:
-        of[e.user_id].append(e)
-    kinds = {u: {e.event_type for e in es} for u, es in of.items()}
-    assert {r.user_id: r.confidence for r in run("confidence_groups_whole")} == {u: "confirmed" if "error" in k else "multi-source" if len(k) > 1 else "single-source" for u, k in kinds.items()}
-    assert {r.event_id: r.severity for r in run("severity_whole")} == {e.event_id: {"error": "High", "view": "Medium"}.get(e.event_type, "Low") for e in events}
-    source = {"error": 0, "click": 1, "signup": 2}
-
-    def place(u):
-        found = {source.get(k, 3) for k in kinds[u]}
-        sure = any(e.event_type == "purchase" and e.event_id % 3 == 0 for e in of[u])
-        return not sure, min(found), 0 if sure else 1 if len(found) > 1 else 2, u
-
-    assert {r.user_id: (r.position, r.group_id) for r in run("report_order_whole")} == {u: (k, f"B{k:03d}") for k, u in enumerate(sorted(of, key=place), 1)}
-    by = defaultdict(list)
-    for x in t("lineitem"):
-        by[x.l_orderkey % 97].append((x.l_partkey * 3, int(x.l_partkey * 3 + x.l_quantity), x.l_orderkey * 10 + x.l_linenumber))
-    inner = lambda k, p: min(((e - s, i) for s, e, i in by[k] if s <= p <= e), default=(0, None))[1]
-    assert {r.event_id: r.id for r in run("enclosing_interval_whole")} == {e.event_id: inner(e.user_id % 97, e.event_id * 7 % 6000) for e in events}
-
-
 @pytest.mark.parametrize("num", [85, 80])
 def test_null_ids_link(spark, num):
     """Null-id texts of their own are near copies: of a document, between two documents that only they link, and of each other."""
