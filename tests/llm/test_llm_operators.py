@@ -168,7 +168,7 @@ def test_minimizer_chunks(monkeypatch):
 def test_fingerprints(docs, empty):
     rows = sorted(((i, t or "") for i, t, _ in corpus()), key=lambda r: (r[0] is not None, r[0] or 0))
     made = fingerprints.fingerprint_documents(docs).collect()
-    split = lambda t: set(re.findall(r"(?:[^ \n]+ *){1,8}", t))
+    split = lambda t: set(re.findall(fingerprints.PARAGRAPH, t))
     like = lambda a, b: 1.0 if not a | b else 1 - len(a ^ b) / (len(a) + len(b))
     want = []
     for k, (i, t) in enumerate(rows):
@@ -182,18 +182,62 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
-def test_peeling(spark):
+def paragraphs_by_hand(text):
+    """Words of each line, cut behind a word of the ending letters and behind the twenty-fourth."""
+    out = set()
+    for line in text.split("\n"):
+        run = []
+        for w in re.findall(r"[^ ]+ *", line):
+            run.append(w)
+            if w.rstrip(" ")[-1] in "lmpw.!?:;" or len(run) == 24:
+                out.add("".join(run))
+                run = []
+        if run:
+            out.add("".join(run))
+    return out
+
+
+def test_paragraphs(docs):
+    for _, t, _ in corpus():
+        assert set(re.findall(fingerprints.PARAGRAPH, t or "")) == paragraphs_by_hand(t or "")
+    t = " ".join(f"w{k}x" for k in range(100)) + " end. and"
+    assert set(re.findall(fingerprints.PARAGRAPH, t)) == paragraphs_by_hand(t) and len(paragraphs_by_hand(t)) == 6
+
+
+@pytest.mark.parametrize("wide", [1, 4, 32, 1024])
+def test_peeling(spark, wide):
+    """The number recovered is that of the symmetric difference; narrow sketches may fail, and say so."""
     rng = random.Random(9)
     sets = []
-    for n, m in ((0, 0), (0, 1), (3, 3), (40, 60), (300, 1)):
+    for n, m in ((0, 1), (3, 3), (1, 0), (40, 60), (300, 1), (0, 700), *((rng.randrange(30), rng.randrange(30)) for _ in range(60))):
         a, b = [rng.getrandbits(63) for _ in range(n)], [rng.getrandbits(63) for _ in range(m)]
-        common = [rng.getrandbits(63) for _ in range(20)]
-        sets.append((sorted(a + common), sorted(b + common), n + m))
-    d = spark.createDataFrame(sets, "a array<long>, b array<long>, n int")
-    assert all(r.n == r.d for r in d.select("n", fingerprints.differing(F.col("a"), F.col("b")).alias("d")).collect())
-    cells = lambda c: fingerprints.sketch(F.col(c), 4)
-    small = d.select("n", fingerprints.peel(fingerprints.minus(cells("a"), cells("b")), 4, 6).alias("d"), (fingerprints.first_sketch(F.col("a")) == cells("a")).alias("same")).collect()
-    assert all(r.d in (None, r.n) and r.same for r in small) and small[0].d == 0 and small[3].d is None
+        common = [rng.getrandbits(63) for _ in range(3)]
+        sets.append((len(sets) % 3, len(sets), sorted(a + common), sorted(b + common), n + m))
+    d = spark.createDataFrame(sets, "bucket int, rn int, a array<long>, b array<long>, want int")
+    out = {r.rn: r.n for r in fingerprints.recovered(d, ["bucket", "rn"], wide, 5).collect()}
+    assert all(out.get(rn, 0) in (want, -1) for _, rn, _, _, want in sets)
+    failed = sum(n == -1 for n in out.values())
+    assert failed > 0 if wide == 1 else wide < 32 or failed == 0
+
+
+def test_fingerprints_retry(spark, docs):
+    """Sketches that are too narrow are tried again larger, with the same result; with no larger one, an error says so."""
+    want = got(fingerprints.fingerprint_documents(docs), "doc_id", "near_edited", "near_next")
+    assert got(fingerprints.fingerprint_documents(docs, wide=(1, 2, 64, 4096)), "doc_id", "near_edited", "near_next") == want
+    with pytest.raises(RuntimeError):
+        fingerprints.fingerprint_documents(docs, wide=(1,))
+
+
+def test_fingerprints_of_a_long_text(spark):
+    """One word put in front of a line of a megabyte leaves nearly all its paragraphs; all pairs are decided by the first sketches."""
+    rng = random.Random(12)
+    words = [rng.choice("river stone light garden winter open quiet wind salt lamp".split()) + str(rng.randrange(9999)) + rng.choice(("", "", "d", "l", "s", "n")) for _ in range(120_000)]
+    t = " ".join(words)
+    assert len(t) > 1_000_000
+    rows = [(1, t), (2, "first " + t), (3, " ".join(words[:80])), (4, "first " + " ".join(words[:80])), (5, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(d, wide=fingerprints.WIDE[:1]).collect()}
+    assert out[1].near_next > 0.999 and out[3].near_next > 0.8 and out[2].near_next < 0.1 and out[1].n_paragraphs > 8_000
 
 
 def test_rules(docs, empty):
