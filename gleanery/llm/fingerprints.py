@@ -139,7 +139,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text's hash and text, so reruns agree; a single row is its own next; an empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = with_next(d.withColumn("key", F.coalesce("id", F.lit(FIRST).cast("long"))).withColumn("h", F.xxhash64("text")), "key", ["h", "text"], ["text"])
+    d = with_next(d.withColumn("key", F.coalesce("id", F.lit(FIRST).cast("long"))).withColumn("h", F.xxhash64("text")), "key", ["h", "text", "id"], ["text"])  # id is there for either use of the rows, so they are dealt once
     out, some = None, d
     for seed, w in enumerate(wide):
         tried = _compared(some, w, seed)
