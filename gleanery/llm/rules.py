@@ -1,7 +1,8 @@
 """Quality rules, lines first: each line is judged by itself, failing lines go, and a document that loses too much of its text is rejected.
 
 DataFrame functions only. Punctuation: a line of more than `long_line` words needs a sentence mark, and signs that prose has no use for may not reach
-half the number of words. Navigation: separators such as | may not reach a sixth of the words (two at least). Boilerplate: phrases that sites repeat.
+half the number of words. Navigation: separators such as | may not reach a sixth of the words (two at least). Boilerplate: phrases that sites repeat, in
+English, German, French or Spanish, may not reach one for each fifteen words, so prose that mentions one is no boilerplate.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from gleanery.llm.common import WORD
 SENTENCE_MARK = "[.!?:;…]"
 ODD_SIGN = r"[#*$%&<>!@^~=+{}\[\]\\]"
 SEPARATOR = "[|»›•]"
-BOILERPLATE = "(?i)(javascript|cookie|lorem ipsum|all rights reserved|privacy policy|terms of (use|service)|licensed under|released under|click here|subscribe|sign up|log in)"
+BOILERPLATE = "(?i)(javascript|cookie|lorem ipsum|all rights reserved|privacy policy|terms of (use|service)|licensed under|released under|click here|subscribe|sign up|log in|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|tous droits r|politique de confidentialit|conditions d.utilisation|todos los derechos reservados|pol.tica de privacidad|t.rminos de uso)"
 SYMBOL = "[#*$%&|<>]"
 
 
@@ -26,9 +27,9 @@ def line_fails(line: Column, long_line: int = 10) -> Column:
     return let(
         n,
         lambda n: ((n > long_line) & ~line.rlike(SENTENCE_MARK))
-        | ((n > 0) & (F.regexp_count(line, F.lit(ODD_SIGN)) * 2 >= n) & (F.regexp_count(line, F.lit(ODD_SIGN)) > 1))
+        | ((n > 0) & let(F.regexp_count(line, F.lit(ODD_SIGN)), lambda odd: (odd > 1) & (odd * 2 >= n)))
         | let(F.regexp_count(line, F.lit(SEPARATOR)), lambda s: (s > 1) & (s * 6 >= n))
-        | line.rlike(BOILERPLATE),
+        | let(F.regexp_count(line, F.lit(BOILERPLATE)), lambda b: (b > 0) & (b * 15 >= n)),
     )
 
 
@@ -81,9 +82,9 @@ ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 judged AS (SELECT doc_id, line, len(regexp_extract_all(line, '{WORD}')) AS n, len(regexp_extract_all(line, '{ODD_SIGN}')) AS odd,
-    len(regexp_extract_all(line, '{SEPARATOR}')) AS seps FROM lines),
+    len(regexp_extract_all(line, '{SEPARATOR}')) AS seps, len(regexp_extract_all(line, '{BOILERPLATE}')) AS phrases FROM lines),
 ok AS (SELECT doc_id, line, NOT ((n > 10 AND NOT regexp_matches(line, '{SENTENCE_MARK}')) OR (n > 0 AND odd * 2 >= n AND odd > 1)
-    OR (seps > 1 AND seps * 6 >= n) OR regexp_matches(line, '{BOILERPLATE}')) AS good, n FROM judged),
+    OR (seps > 1 AND seps * 6 >= n) OR (phrases > 0 AND phrases * 15 >= n)) AS good, n FROM judged),
 by_doc AS (SELECT doc_id, sum(length(line)) AS chars, sum(CASE WHEN good THEN length(line) ELSE 0 END) AS good_chars,
     count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM ok GROUP BY doc_id),
 pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d),
