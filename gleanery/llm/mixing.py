@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import WORD, cut
+from gleanery.operators.running import running
 
 BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -99,10 +100,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each row of docs; other columns are ignored, but key_col, if given, is returned too: a key of the row, which takes no part. A source's taken words come nearer to its target than half of one document.
 
     Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, the last; rows of null or repeated ids
-    are documents of their own; an empty table gives an empty result; the draws depend on ids and sizes only, so reruns agree (of identical rows, which
-    one is taken more often is immaterial).
+    are documents of their own; an empty table gives an empty result; the draws depend on ids and texts only, so reruns agree (of rows of one
+    id and text, which one is taken more often is immaterial).
     """
-    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *([F.col(key_col).alias("key")] if key_col else []))
+    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), *([F.col(key_col).alias("key")] if key_col else []))
     sizes = cut(counted.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # rows keep their number from here on
     goal = cut(targets(sizes, weights, share, cap), "mix-targets").select(F.col("source").alias("_source"), "source_size", "source_rank", "docs", "target")
     rows = sizes.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -112,7 +113,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("p", F.when(F.col("p") < 1e-9, F.lit(0.0)).otherwise(F.col("p")))
     most = goal.agg(F.max("docs")).first()[0] or 0
     n_blocks = F.ceil(F.col("docs") / F.lit(BLOCK)).cast("long")
-    left = rows.where((F.col("size") > 0) & (F.col("p") > 0)).select("source_rank", F.pmod(F.xxhash64("id", "size"), n_blocks).alias("block"), F.struct((-F.col("size")).alias("order"), F.xxhash64("id", "size").alias("draw"), "row", F.col("size").cast("double").alias("size"), "p").alias("m"))
+    alike = cut(sizes.groupBy("source", "draw").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("source").alias("_s"), F.col("draw").alias("_d")), "mix-alike")
+    drawn = rows.where((F.col("size") > 0) & (F.col("p") > 0))
+    if alike.isEmpty():
+        drawn = drawn.withColumn("spread", F.lit(0).cast("long"))
+    else:  # rows that are alike would all go to one block: these are numbered, and dealt by their number too; which of them gets which is immaterial
+        same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("draw") == F.col("_d"))
+        marked = cut(drawn.join(alike, same, "left"), "mix-marked")
+        numbered = running(marked.where("_d is not null").drop("_s", "_d"), ["source_rank", "draw"], ["row"], position="spread")
+        drawn = marked.where("_d is null").drop("_s", "_d").withColumn("spread", F.lit(0).cast("long")).unionByName(numbered)
+    left = drawn.select("source_rank", F.pmod(F.xxhash64("draw", "spread"), n_blocks).alias("block"), F.struct((-F.col("size")).alias("order"), "draw", "row", F.col("size").cast("double").alias("size"), "p").alias("m"))
     done, blocks, level = [], -(-most // BLOCK), 0
     while True:
         folded = left.groupBy("source_rank", "block").agg(F.sort_array(F.collect_list("m")).alias("ms"))
