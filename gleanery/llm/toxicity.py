@@ -1,7 +1,8 @@
 """Toxic passages as maximum-scoring segments over token log-odds.
 
 Learning: tokens of labelled documents get the log-odds of toxic against clean use under a Dirichlet prior (a flat part and a part in proportion to the
-token's use overall), and those that are significantly toxic become the lexicon. Scanning: a token scores its log-odds, any other token a small loss;
+token's use overall), and those that are significantly toxic or significantly clean become the lexicon. Scanning: a token scores its log-odds less a small
+loss, a token whose log-odds are not significant that loss;
 the linear-time all-maximal-segments scan finds every disjoint passage that no extension improves. Calibration: under the clean token distribution the
 best score of a text of n tokens follows an extreme-value law with a decay that solves sum(p * exp(decay * score)) = 1, so a passage of score s has the
 evidence decay * s - ln(n). A logistic curve over the evidence of the best passage and of all significant ones, fitted on the same labelled rows, gives
@@ -23,6 +24,8 @@ from gleanery.llm.labelled import held_out, training_rows
 
 #: ASCII signs and digits part tokens; letters of any script form them.
 SPACED = bytes.maketrans(b"!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", b" " * 42)
+#: A broadcast lexicon takes some 100 MB at this size; with more tokens it is joined.
+MOST_SENT = 500_000
 SEGMENTS = "array<struct<start:long,end:long,score:double,evidence:double>>"
 
 
@@ -49,28 +52,35 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, flat: float = 0.5, prior: float = 500.0, significance: float = 3.0, most: int = 20_000) -> tuple[dict[bytes, float], float, float]:
-    """The lexicon (at most `most` tokens, the most significant first), the loss of any other token, and the decay of the extreme-value law."""
+def log_odds(counts: DataFrame, flat: float = 0.5, prior: float = 500.0, significance: float = 3.0, clean_significance: float = 8.0) -> tuple[DataFrame, float, float]:
+    """The lexicon (token, odds) of significant tokens, the loss of any other token, and the decay of the extreme-value law.
+
+    Clean tokens must be more significant, as nearly all tokens are clean: the number comes from a fold of the training rows.
+    """
     total = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     n1, n0 = float(total[0] or 0), float(total[1] or 0)
     if not n1 or not n0:
-        return {}, 0.1, 1.0
+        return counts.sparkSession.createDataFrame([], "token binary, odds double"), 0.1, 1.0
     alpha = F.lit(flat) + F.lit(prior / (n1 + n0)) * (F.col("toxic") + F.col("clean"))
     mass = flat * total[2] + prior
     odds = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(n + mass) - F.col(y) - alpha))
     scored = counts.withColumn("odds", odds("toxic", n1) - odds("clean", n0))
     scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha)))
-    best = scored.where((F.col("z") >= significance) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "token").limit(most).collect()
-    lexicon = {bytes(r.token): float(r.odds) for r in best}
-    rates = np.array([(r.clean + flat) / (n0 + mass) for r in best] or [0.0])
-    scores, loss = np.array(list(lexicon.values()) or [0.0]), 0.1
-    rest = 1 - rates.sum()
-    low, high = 1e-3, 20.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        grown = math.log(max(rest, 1e-9)) - loss * mid, np.log(rates + 1e-300) + (scores - loss) * mid
-        low, high = (low, mid) if np.logaddexp(grown[0], np.logaddexp.reduce(grown[1])) > 0 else (mid, high)
-    return lexicon, loss, max(low, 0.05)
+    toxic = (F.col("z") >= significance) & (F.col("toxic") >= 3)
+    clean = (F.col("z") <= -clean_significance) & (F.col("clean") >= 3)
+    rate = (F.col("clean") + flat) / F.lit(n0 + mass)
+    best = cut(scored.where(toxic | clean).select("token", "odds", rate.alias("rate")), "toxic-lexicon")
+    loss, low, high = 0.1, 1e-3, 20.0
+    steps = [low * (high / low) ** (k / 63) for k in range(64)]
+    grown = lambda lam: F.sum(F.col("rate") * F.exp(F.lit(lam) * (F.col("odds") - loss)))
+    for _ in range(2):  # the decay lies between two neighbours of a grid, then of a finer one
+        got = best.agg(F.sum("rate").alias("rate"), *[grown(x).alias(f"g{k}") for k, x in enumerate(steps)]).first()
+        rest = max(1 - (got.rate or 0.0), 1e-9)
+        over = [k for k, x in enumerate(steps) if rest * math.exp(-loss * x) + (got[f"g{k}"] or 0.0) > 1]
+        k = min(over, default=len(steps) - 1)
+        low, high = steps[max(k - 1, 0)], steps[k]
+        steps = [low + (high - low) * i / 63 for i in range(64)]
+    return best.select("token", "odds"), loss, max(low, 0.05)
 
 
 def maximal_segments(hits: list[tuple[int, float]], loss: float) -> list[tuple[int, int, float]]:
@@ -101,22 +111,42 @@ def maximal_segments(hits: list[tuple[int, float]], loss: float) -> list[tuple[i
     return [(int(s), int(e), after - before) for s, e, before, after, _ in found]
 
 
-def find_segments(rows: DataFrame, lexicon: dict[bytes, float], loss: float, decay: float, least: float) -> DataFrame:
-    """rows (key columns and `text`) with n_tokens, best, total and segments instead of the text. least: evidence of a significant passage."""
+def find_segments(rows: DataFrame, lexicon: DataFrame, loss: float, decay: float, least: float, most_sent: int = MOST_SENT) -> DataFrame:
+    """rows (key columns and `text`) with n_tokens, best, total and segments instead of the text. least: evidence of a significant passage.
+
+    A lexicon (token, odds) of at most most_sent tokens is sent to the texts; to a larger one, the texts' tokens are joined.
+    """
     keys = [c for c in rows.columns if c != "text"]
-    arrow_bytes(rows.sparkSession)
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # at most `most` tokens
+    arrow_bytes(rows.sparkSession, 8 << 20)
     out = rows.select(*keys, lowered("text").alias("text"))
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), "n_tokens long, best double, total double, segments " + SEGMENTS])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evidence", pa.float64())]))
+    sent = None
+    if lexicon.count() <= most_sent:
+        got = lexicon.collect()  # at most most_sent tokens
+        sent = rows.sparkSession.sparkContext.broadcast({bytes(r.token): r.odds - loss for r in got})
+    else:
+        stored = cut(out.withColumn("_row", F.monotonically_increasing_id()), "scanned")
+
+        def spread(batches):
+            for b in batches:
+                found = [(r, i, t) for r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, t in enumerate(tokens(text))]
+                r, i, t = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(i, pa.int64()), pa.array(t, pa.binary())], ["_r", "at", "token"])
+
+        hits = stored.select("_row", "text").mapInArrow(lean(spread), "_r long, at long, token binary").join(lexicon, "token")
+        hits = hits.groupBy("_r").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("odds") - loss).alias("gain")))).alias("_hits"))  # bounded by a document's tokens
+        out = stored.join(hits, F.col("_row") == F.col("_r"), "left").select(*keys, "text", "_hits")
 
     def run(batches):
-        lex = sent.value
         for b in batches:
             n, best, total, segments = [], [], [], []
-            for text in b.column(len(keys)).to_pylist():
+            texts = b.column(len(keys)).to_pylist()
+            joined = b.column(len(keys) + 1).to_pylist() if sent is None else [None] * len(texts)
+            for text, own in zip(texts, joined, strict=True):
                 toks = tokens(text)
-                found = maximal_segments([(i, lex[t] - loss) for i, t in enumerate(toks) if t in lex], loss)
+                hits = [(i, sent.value[t]) for i, t in enumerate(toks) if t in sent.value] if sent is not None else [(h["at"], h["gain"]) for h in own or ()]
+                found = maximal_segments(hits, loss)
                 base = math.log(max(len(toks), 1))
                 found = [{"start": s, "end": e, "score": v, "evidence": decay * v - base} for s, e, v in found]
                 n.append(len(toks))
@@ -142,7 +172,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, most_rows: int = 20_000, least: float = -6.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, most_rows: int = 20_000, least: float = -6.0, most_sent: int = MOST_SENT) -> DataFrame:
     """Every document's score (0 to 1), its tokens and its toxic passages (token spans, score, evidence).
 
     Learns from at most about `most_rows` labelled rows outside the fold (all, if there are no more). Returns id_col, held_out, score, predicted
@@ -154,7 +184,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     rows = cut(training_rows(docs, labels, label_col, id_col, text_col, folds, fold, most_rows), "toxic-rows")
     lexicon, loss, decay = log_odds(cut(count_tokens(rows), "toxic-counts"))
-    seen = find_segments(rows.select("label", "text"), lexicon, loss, decay, least).select("label", "best", "total").collect()  # at most `most_rows` rows of numbers
+    seen = find_segments(rows.select("label", "text"), lexicon, loss, decay, least, most_sent).select("label", "best", "total").collect()  # at most `most_rows` rows of numbers
     plain = [r.label for r in seen if r.best is None]
     base = (sum(plain) + 0.01) / (len(plain) + 1) if seen else 0.0
     fit = [(r.best, r.best if r.total is None else r.total, r.label) for r in seen if r.best is not None]
@@ -162,7 +192,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if fit:
         m = np.array(fit, float)
         a, b, c = logistic(np.column_stack([m[:, :2], np.ones(len(m))]), m[:, 2]).tolist()
-    found = find_segments(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lexicon, loss, decay, least)
+    found = find_segments(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lexicon, loss, decay, least, most_sent)
     line = a * F.col("best") + b * F.coalesce("total", "best") + c
     score = F.when(F.col("best").isNull(), F.lit(float(base))).otherwise(1 / (1 + F.exp(-line)))
     return found.select(F.col("id").alias(id_col), held_out("id", folds, fold).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_tokens", "segments")
