@@ -2,25 +2,27 @@
 
 The pre-tokenizer's pattern reads from left to right without looking back, so two readings that ever stand at a boundary at the same text stay together.
 After an edit, reading starts at the last boundary that the edit cannot have moved (the pattern looks at most one character beyond a pre-token, and at
-three characters from its start for contractions) and stops at the first old boundary behind the edit. Leaves outside keep their counts.
+three characters from its start for contractions) and stops at the first old boundary behind the edit. Leaves outside keep their counts; the places of
+boundaries follow from the tree's sums, so an edit costs what it reads again and one way down the tree for each boundary that it asks for. A document's
+leaves can be kept as a column, and the next edits start from them.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_left
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, lean
+from gleanery.llm.common import arrow_bytes, lean, pack, unpack
 
 #: Characters from a pre-token's start that the contractions of the pattern look at.
 LOOKAHEAD = 3
-#: Leaves for each node of the tree's second level: sums are kept for blocks of leaves, and for blocks of blocks.
+#: Leaves of a node at the bottom and nodes of any other, as they are made; edits leave up to twice as many.
 FAN = 64
 
 
@@ -44,68 +46,178 @@ class Counter:
         return list(map(self.known.__getitem__, words))
 
 
+class Node:
+    """Leaves, characters and tokens of a stretch of pre-tokens; below it are nodes (kids) or, at the bottom, the leaves' lengths and counts."""
+
+    __slots__ = ("n", "chars", "tokens", "kids", "lens", "counts")
+
+    def __init__(self, kids: list[Node] | None, lens: list[int] = (), counts: list[int] = ()):
+        self.kids, self.lens, self.counts = kids, lens, counts
+        self.sum()
+
+    def sum(self) -> None:
+        if self.kids is None:
+            self.n, self.chars, self.tokens = len(self.lens), sum(self.lens), sum(self.counts)
+        else:
+            self.n, self.chars, self.tokens = (sum(getattr(k, x) for k in self.kids) for x in ("n", "chars", "tokens"))
+
+    def replace(self, first: int, last: int, lens: list[int], counts: list[int]) -> list[Node]:
+        """Leaves first to last (not included) become others; the nodes that then stand in this one's place, which all have its height."""
+        if self.kids is None:
+            self.lens[first:last], self.counts[first:last] = lens, counts
+            if len(self.lens) <= 2 * FAN:
+                self.sum()
+                return [self] if self.lens else []
+            return blocks(self.lens, self.counts)
+        out, at, waiting = [], 0, bool(lens)
+        for k, kid in enumerate(self.kids):
+            end = at + kid.n
+            takes = waiting and (first < end or k == len(self.kids) - 1)
+            if takes or max(first, at) < min(last, end):
+                a = min(max(first, at), end) - at
+                out += kid.replace(a, max(a, min(last, end) - at), *((lens, counts) if takes else ([], [])))
+                waiting = waiting and not takes
+            else:
+                out.append(kid)
+            at = end
+        self.kids = _joined(out)
+        if len(self.kids) <= 2 * FAN:
+            self.sum()
+            return [self] if self.kids else []
+        return [Node(self.kids[a : a + FAN]) for a in range(0, len(self.kids), FAN)]
+
+
+def blocks(lens: list[int], counts: list[int]) -> list[Node]:
+    return [Node(None, lens[a : a + FAN], counts[a : a + FAN]) for a in range(0, len(lens), FAN)]
+
+
+def _joined(nodes: list[Node]) -> list[Node]:
+    """Neighbours that are small are joined, so that edits leave no chains of nodes with a leaf or two."""
+    out: list[Node] = []
+    for x in nodes:
+        size = lambda y: len(y.lens if y.kids is None else y.kids)
+        if out and size(out[-1]) + size(x) <= FAN // 2:
+            y = out[-1]
+            if x.kids is None:
+                out[-1] = Node(None, [*y.lens, *x.lens], [*y.counts, *x.counts])
+            else:
+                out[-1] = Node([*y.kids, *x.kids])
+        else:
+            out.append(x)
+    return out
+
+
 class Tree:
-    """Sums of a sequence of leaves in blocks of FAN: replacing a range of leaves rebuilds the blocks that it touches and their ancestors."""
-
-    def __init__(self, leaves: list[int]):
-        self.blocks = [leaves[a : a + FAN] for a in range(0, len(leaves), FAN)]
-        self.sums = list(map(sum, self.blocks))
-        self.total = sum(self.sums)
-
-    def replace(self, first: int, last: int, leaves: list[int]) -> None:
-        """Leaves first to last (not included) become `leaves`."""
-        sizes = list(accumulate(map(len, self.blocks), initial=0))
-        a = min(max(0, bisect_left(sizes, first + 1) - 1), len(self.blocks) - 1)
-        b = max(a, bisect_left(sizes, last) - 1)
-        merged = [x for block in self.blocks[a : b + 1] for x in block]
-        merged[first - sizes[a] : last - sizes[a]] = leaves
-        fresh = [merged[i : i + FAN] for i in range(0, len(merged), FAN)]
-        sums = list(map(sum, fresh))
-        self.total += sum(sums) - sum(self.sums[a : b + 1])
-        self.blocks[a : b + 1], self.sums[a : b + 1] = fresh, sums
+    """A balanced segment tree over pre-tokens: every node has the sums of its stretch, and an edit renews the nodes above the leaves that it touches."""
+
+    def __init__(self, lens: list[int], counts: list[int]):
+        self.root = self._top(blocks(lens, counts))
+
+    @staticmethod
+    def _top(nodes: list[Node]) -> Node:
+        while len(nodes) > 1:
+            nodes = [Node(nodes[a : a + FAN]) for a in range(0, len(nodes), FAN)]
+        root = nodes[0] if nodes else Node(None, [], [])
+        while root.kids is not None and len(root.kids) == 1:
+            root = root.kids[0]
+        return root
+
+    def replace(self, first: int, last: int, lens: list[int], counts: list[int]) -> None:
+        self.root = self._top(self.root.replace(first, last, lens, counts) or [])
+
+    def start(self, leaf: int) -> int:
+        """Where a leaf starts; the end of the text for the number of leaves."""
+        node, at = self.root, 0
+        if leaf >= node.n:
+            return node.chars
+        while node.kids is not None:
+            for kid in node.kids:
+                if leaf < kid.n:
+                    node = kid
+                    break
+                leaf, at = leaf - kid.n, at + kid.chars
+        return at + sum(node.lens[:leaf])
+
+    def at(self, place: int) -> tuple[int, int]:
+        """The leaf that the character at a place is in, and where the leaf starts; the number of leaves and the end of the text beyond it."""
+        node, leaf, start = self.root, 0, 0
+        if place >= node.chars:
+            return node.n, node.chars
+        while node.kids is not None:
+            for kid in node.kids:
+                if place < start + kid.chars:
+                    node = kid
+                    break
+                leaf, start = leaf + kid.n, start + kid.chars
+        for n in node.lens:
+            if place < start + n:
+                break
+            leaf, start = leaf + 1, start + n
+        return leaf, start
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Lengths and counts in order."""
+        lens, counts, todo = [], [], [self.root]
+        while todo:
+            node = todo.pop()
+            if node.kids is None:
+                lens += node.lens
+                counts += node.counts
+            else:
+                todo += reversed(node.kids)
+        return lens, counts
 
 
 class Document:
-    """A text with the starts of its pre-tokens and the tree of their token counts."""
+    """A text with the tree of its pre-tokens' lengths and token counts, read anew or from a stored tree of this text."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, stored: bytes | None = None):
         self.text, self.counter = text, counter
-        words = counter.pattern.findall(text)
-        self.starts = list(accumulate(map(len, words), initial=0))  # the last one is the end of the text
-        self.tree = Tree(counter.counts(words))
+        if stored is not None:
+            lens, counts = (x.tolist() for x in unpack(stored, "<u4", "<u4"))
+            if sum(lens) != len(text):
+                raise ValueError("the stored tree is of another text")
+        else:
+            words = counter.pattern.findall(text)
+            lens, counts = list(map(len, words)), counter.counts(words)
+        self.tree = Tree(lens, counts)
 
     @property
     def tokens(self) -> int:
-        return self.tree.total
+        return self.tree.root.tokens
+
+    @property
+    def pretokens(self) -> int:
+        return self.tree.root.n
+
+    @property
+    def starts(self) -> list[int]:
+        """Where each pre-token starts, and the end of the text."""
+        return list(accumulate(self.tree.leaves()[0], initial=0))
+
+    def stored(self) -> bytes:
+        return pack(*(np.array(x, "<u4") for x in self.tree.leaves()))
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Characters start to end (not included) become `new`; returns how many pre-tokens were read again."""
-        old, by = self.starts, len(new) - (end - start)
+        tree, by = self.tree, len(new) - (end - start)
         text = self.text[:start] + new + self.text[end:]
-        n = len(old) - 1
-        first = min(max(0, bisect_left(old, start) - 1), max(0, n - 1)) if n else 0
-        while first > 0 and (old[first] + LOOKAHEAD >= start or old[first + 1] >= start):
-            first -= 1
-        at = old[first] if n else 0
-        if first == 0:
-            at = 0
-        words, starts, last = [], [], n
+        n = tree.root.n
+        first, at = tree.at(max(start - 1, 0))
+        if first == n and n:
+            first, at = n - 1, tree.start(n - 1)
+        while first > 0 and (at + LOOKAHEAD >= start or tree.start(first + 1) >= start):
+            first, at = first - 1, tree.start(first - 1)
+        words, last = [], n
         for m in self.counter.pattern.finditer(text, at):
-            if m.start() >= start + len(new):
-                k = bisect_left(old, m.start() - by)
-                if k < len(old) and old[k] == m.start() - by and old[k] >= end:
-                    last = k
+            if m.start() >= start + len(new) and m.start() - by >= end:
+                leaf, begins = tree.at(m.start() - by)
+                if begins == m.start() - by and leaf < n:
+                    last = leaf
                     break
             words.append(m.group())
-            starts.append(m.start())
         self.text = text
-        self.starts = old[:first] + starts + [s + by for s in old[last:]]
-        if last == n:
-            self.starts = old[:first] + starts + [len(text)]
-        if n:
-            self.tree.replace(first, last, self.counter.counts(words))
-        else:
-            self.tree = Tree(self.counter.counts(words))
+        tree.replace(first, last, list(map(len, words)), self.counter.counts(words))
         return len(words)
 
 
@@ -119,15 +231,16 @@ def counter(vocab_path: str, pattern: str) -> Counter:
     return _counters[vocab_path, pattern]
 
 
-def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None, keep: bool = False) -> DataFrame:
     """Token counts of every document before and after its edits.
 
     edits_col: array of struct(start, end, new), code points of the text as the edits before have left it; null bounds are 0, bounds beyond the text are
     its end, an end before its start is the start, a null `new` is empty. pattern: the vocabulary's pre-tokenizer. Returns id_col, n_pretokens, n_tokens,
-    n_edited_pretokens, n_edited_tokens, n_reencoded (pre-tokens read again by the edits); one row for each row of docs; other columns are ignored.
+    n_edited_pretokens, n_edited_tokens, n_reencoded (pre-tokens read again by the edits); with keep also edited_text and tree, the leaves of its tree, to be
+    given as tree_col with that text in a later call: then only what the edits touch is encoded. One row for each row of docs; other columns are ignored.
 
-    Defined results: a null or empty text has no tokens; null edits are none; a null id stays null; repeated rows count alike; an empty table gives an
-    empty result.
+    Defined results: a null or empty text has no tokens; null edits are none; a null id stays null; a null tree is made anew, one of another text is an
+    error; repeated rows count alike; an empty table gives an empty result.
     """
     arrow_bytes(docs.sparkSession, 4 << 20)
     names = ["n_pretokens", "n_tokens", "n_edited_pretokens", "n_edited_tokens", "n_reencoded"]
@@ -135,21 +248,26 @@ def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str,
     def run(batches):
         own = counter(vocab_path, pattern)
         for b in batches:
-            out = []
-            for text, edits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                d = Document(text, own)
-                before = [len(d.starts) - 1, d.tokens]
+            out, kept = [], []
+            for text, edits, tree in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                d = Document(text, own, tree)
+                before = [d.pretokens, d.tokens]
                 again = 0
                 for e in edits or ():
                     if e is None:
                         continue
                     start = min(max(0, e["start"] or 0), len(d.text))
                     again += d.edit(start, min(max(start, e["end"] or 0), len(d.text)), e["new"] or "")
-                out.append((*before, len(d.starts) - 1, d.tokens, again))
+                out.append((*before, d.pretokens, d.tokens, again))
+                if keep:
+                    kept.append((d.text, d.stored()))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["id", *names])
+            more = [pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.binary())] if keep else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), *more], ["id", *names, *(["edited_text", "tree"] if keep else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
     edits = F.transform(edits_col, lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["new"].cast("string").alias("new")))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
-    return rows.mapInArrow(lean(run), f"id {kind}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("id", id_col)
+    tree = F.col(tree_col) if tree_col else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"), tree.cast("binary").alias("tree"))
+    schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names) + ", edited_text string, tree binary" * keep
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

@@ -368,6 +368,48 @@ def test_toxicity(docs, empty, labels):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_repeats_and_large_lexicons(spark):
+    """Repeated rows score alike, a text without a known token as the others without, and a joined lexicon finds the same passages as one that is sent."""
+    rng = random.Random(15)
+    plain, bad = [f"plain{k}" for k in range(60)], [f"bad{k}" for k in range(6)]
+    rows, marks = [], []
+    for i in range(300):
+        ws = [rng.choice(plain) for _ in range(60)]
+        if i % 3 == 0:
+            ws[20:26] = bad
+        rows.append((i, " ".join(ws)))
+        marks.append((i, int(i % 3 == 0)))
+    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (None, rows[0][1]), (1002, "unknown words only"), (1003, None), (1004, ""), (1005, ("plain1 " * 150_000) + " ".join(bad))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(marks, "doc_id long, toxic int")
+    sent, joined = (toxicity.score_toxicity(d, lab, most_sent=n).collect() for n in (toxicity.MOST_SENT, 0))
+    plainly = lambda rs: sorted(((r.doc_id, round(r.score, 9), r.n_tokens, [(x.start, x.end) for x in r.segments]) for r in rs), key=str)
+    assert plainly(sent) == plainly(joined)
+    of = {r.doc_id: r for r in sent}
+    assert of[1000].score == of[1001].score == of[None].score == of[0].score and of[1002].score == of[1003].score == of[1004].score
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in sent if r.doc_id is not None and r.doc_id < 300)
+    assert any(x.start <= 20 and x.end >= 26 for x in of[0].segments) and of[1005].n_tokens == 150_006
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Rows of one id and text, thousands of them, go to many blocks; the source's words still meet the target."""
+    rows = [(None, "a b c")] * 3000 + [(5, "x y")] * 700 + [(k, "w " * (k % 40 + 1)) for k in range(1000, 1400)]
+    d = spark.createDataFrame([(i, t, "ab"[k % 2]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(d).collect()
+    assert len(out) == len(rows)
+    for s in "ab":
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40
+    assert got(mixing.mix(d.repartition(3)), "doc_id", "size", "source", "taken") == sorted(((r.doc_id, r.size, r.source, r.taken) for r in out), key=str)
+
+
+def test_rules_leave_prose_that_mentions_a_phrase(spark):
+    prose_ = " ".join(f"This is sentence number {k} of the text, and it goes on." for k in range(40))
+    d = spark.createDataFrame([(1, prose_.replace("number 7", "about JavaScript")), (2, prose_ + "\nAll rights reserved. Privacy policy.\nAlle Rechte vorbehalten.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in rules.judge(d).collect()}
+    assert out[1].kept and out[1].cleaned == prose_.replace("number 7", "about JavaScript") and out[2].kept and out[2].cleaned == prose_
+
+
 def test_token_counts(spark, docs, empty):
     tok = Tokenizer.from_file(BYTE_BPE)
     tok.encode_special_tokens = True
@@ -385,6 +427,7 @@ def test_token_counts(spark, docs, empty):
             assert d.starts == [0, *np.cumsum([len(w) for w in own.pattern.findall(d.text)]).tolist()]
     long = token_counts.Document(" word" * 5000, own)
     assert long.edit(10_000, 10_004, "x") < 10 and long.tokens == n(long.text)
+    check_tree(long.tree.root)
     edits = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit(1).alias("start"), F.lit(10**6).alias("end"), F.lit(" new").alias("new")), F.struct(F.lit(None).cast("int").alias("start"), F.lit(-5).alias("end"), F.lit(None).cast("string").alias("new"))))
     out = token_counts.count_tokens(docs.withColumn("e", edits), BYTE_BPE, public_tokenizers.PATTERN, "e")
     want = []
@@ -395,6 +438,54 @@ def test_token_counts(spark, docs, empty):
     assert token_counts.count_tokens(empty.withColumn("e", edits), BYTE_BPE, public_tokenizers.PATTERN, "e").count() == 0
 
 
+def check_tree(node, most=2 * token_counts.FAN):
+    """Sums and heights of all nodes; returns the height."""
+    if node.kids is None:
+        assert len(node.lens) == len(node.counts) == node.n <= most and (node.chars, node.tokens) == (sum(node.lens), sum(node.counts))
+        return 0
+    heights = {check_tree(k) for k in node.kids}
+    assert len(heights) == 1 and len(node.kids) <= most
+    assert (node.n, node.chars, node.tokens) == tuple(sum(getattr(k, x) for k in node.kids) for x in ("n", "chars", "tokens"))
+    return heights.pop() + 1
+
+
+def test_token_tree(monkeypatch):
+    """Many edits of a text with a tree of several levels, against reading it anew."""
+    monkeypatch.setattr(token_counts, "FAN", 4)
+    rng = random.Random(5)
+    own = token_counts.Counter(BYTE_BPE, public_tokenizers.PATTERN)
+    d = token_counts.Document(" ".join(f"word{k}" for k in range(400)), own)
+    for k in range(150):
+        a = rng.randrange(len(d.text) + 1)
+        b = min(len(d.text), a + rng.choice((0, 3, 40, 900)))
+        d.edit(a, b, rng.choice(("", "x", " new words here", "\n\n", " ".join(f"more{j}" for j in range(60)))))
+        assert check_tree(d.tree.root, 8) <= 9
+        fresh = token_counts.Document(d.text, own)
+        assert d.tree.leaves() == fresh.tree.leaves() and d.tokens == fresh.tokens
+        if k % 10 == 0:
+            d = token_counts.Document(d.text, own, d.stored())
+    d.edit(0, len(d.text), "")
+    assert d.tokens == d.pretokens == 0 and d.edit(0, 0, "a b") == 2
+
+
+def test_kept_trees(spark):
+    """A text of a megabyte and others: edits of a second call start from the kept trees and read little again."""
+    words = ["stone", "river's", "12", "light,", "é"]
+    texts = [(1, " ".join(words[k % 5] for k in range(200_000))), (2, ""), (None, None), (3, "a b c")]
+    edit = lambda a, b, new: F.array(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("new")))
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    one = token_counts.count_tokens(d.withColumn("e", edit(10, 12, "XY")), BYTE_BPE, public_tokenizers.PATTERN, "e", keep=True)
+    far = 10**9
+    two = token_counts.count_tokens(one.withColumn("e", edit(far, far, " the end")), BYTE_BPE, public_tokenizers.PATTERN, "e", text_col="edited_text", tree_col="tree", keep=True).collect()
+    tok = Tokenizer.from_file(BYTE_BPE)
+    for r in two:
+        assert r.n_edited_tokens == len(tok.encode(r.edited_text, add_special_tokens=False).ids) and r.n_reencoded < 12
+    assert max(len(r.edited_text) for r in two) > 900_000
+    own = token_counts.Counter(BYTE_BPE, public_tokenizers.PATTERN)
+    with pytest.raises(ValueError):
+        token_counts.Document("another text", own, token_counts.Document("a text", own).stored())
+
+
 def shingle_sets(rows, k):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = []
