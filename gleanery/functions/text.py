@@ -72,6 +72,19 @@ def tokenize(text: Column, stemmer: str = "none", stopwords: tuple[str, ...] | l
     return F.filter(F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0)), of)), ok)
 
 
+def token_parts(text: Column, stopwords: tuple[str, ...] | list[str] = STOPWORDS, min_length: int = 2) -> Column:
+    """Array of (term, piece) in order, repeats kept: what tokenize() stems (piece) and what it leaves whole, before stemming; both are checked."""
+    ok = lambda x: (F.length(x["term"]) >= min_length) & ~x["term"].isin(*stopwords)
+    part = lambda x, piece: F.struct(F.lower(x).alias("term"), F.lit(piece).alias("piece"))
+
+    def of(word: Column) -> Column:
+        own = F.transform(pieces_of(word), lambda x: part(x, True))
+        several = lambda p: F.when(F.size(p) > 1, F.concat(p, F.array(part(word, False)))).otherwise(p)
+        return F.when(word.rlike(DIVIDED), F.element_at(F.transform(F.array(own), several), 1)).otherwise(F.array(part(word, True)))
+
+    return F.filter(F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0)), of)), ok)
+
+
 def query_terms(*sources: Column) -> Column:
     """Terms of several sources: repeats go within a source, stay between sources; all-digit terms go."""
     return F.filter(F.concat(*[F.array_distinct(s) for s in sources]), lambda x: ~x.rlike("^[0-9]+$"))

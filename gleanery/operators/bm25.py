@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import tokenize
+from gleanery.functions.stem import with_stems
+from gleanery.functions.text import english_stopwords, token_parts, tokenize
 from gleanery.storage import cut
 
 K1, B, CAP = 1.5, 0.75, 2
@@ -63,8 +64,13 @@ def search(docs: DataFrame, weights: DataFrame, id_col: str, text_col: str, quer
         sized = docs.select(F.col(id_col), tokens.alias("tokens")).withColumn("length", F.size("tokens"))
         hits = sized.select(id_col, "length", F.explode("tokens").alias("term")).join(F.broadcast(terms) if len(some) <= most_terms else terms, "term", "left_semi")
     tf = hits.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+    return ranked(tf, corpus_stats(sized.select("length")), weights, id_col, query_col, k, k1, b)
+
+
+def ranked(tf: DataFrame, stats: DataFrame, weights: DataFrame, id_col: str, query_col: str = "query_id", k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """What search() returns, from the counts (id, length, term, tf) of at least the query's terms and the corpus's statistics."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(sized.select("length")))  # one row
+    stats = F.broadcast(stats)  # one row
     norm = F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("length") / F.col("avgdl"))
     scored = tf.join(df, "term").join(weights, "term").crossJoin(stats)
     scored = scored.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("contribution", F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / norm)
@@ -95,6 +101,48 @@ def chunk_text(kind: Column, name: Column, signature: Column, docstring: Column,
     return F.concat_ws(" ", name, F.when(kind != "module", signature), docstring, F.when(~kind.isin("module", "class"), source))
 
 
+def term_rows(docs: DataFrame, id_col: str, text_col: str, stemmer: str = "porter2", stopwords: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """(id, term) for each token; what tokenize() yields, but for the stemmer porter2, which stems each distinct piece once.
+
+    Without stopwords, these are the English ones and Python's keywords.
+    """
+    stop = english_stopwords(docs.sparkSession) if stopwords is None else stopwords
+    if stemmer != "porter2":
+        return docs.select(id_col, F.explode(tokenize(F.col(text_col), stemmer, stop)).alias("term"))
+    parts = docs.select(id_col, F.explode(token_parts(F.col(text_col), stop)).alias("_p")).select(id_col, "_p.*")
+    stemmed = with_stems(parts, "term").select(id_col, F.when(F.col("piece"), F.col("stem")).otherwise(F.col("term")).alias("term"))
+    return stemmed.where((F.length("term") >= 2) & ~F.col("term").isin(*stop))
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, path: str, stemmer: str = "porter2", stopwords: tuple[str, ...] | list[str] | None = None, buckets: int = 64) -> None:
+    """Counts, lengths and statistics of a table of texts, stored; documents without a token are left out."""
+    counts = cut(term_counts_of(term_rows(docs, id_col, text_col, stemmer, stopwords), id_col), "counts")
+    save_index(counts, counts.groupBy(id_col).agg(F.sum("tf").alias("length")), id_col, path, buckets)
+
+
+def term_counts_of(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
+def search_index(spark, path: str, weights: DataFrame, id_col: str, query_col: str = "query_id", k: int = 10, buckets: int = 64, most_terms: int = 10_000) -> DataFrame:
+    """search() over a stored index: only the buckets of the queries' terms are read, and no text. Beyond most_terms distinct terms, counts are joined."""
+    terms = weights.select("term").distinct()
+    some = [r[0] for r in terms.limit(most_terms + 1).collect()]  # bounded
+    counts, lengths, stats = load_index(spark, path, some if len(some) <= most_terms else None, buckets)
+    if len(some) > most_terms:
+        counts = counts.join(terms, "term", "left_semi")
+    return ranked(counts.join(lengths, id_col), stats, weights, id_col, query_col, k)
+
+
+def code_chunks(symbols: DataFrame, files: DataFrame, stemmer: str = "porter2") -> DataFrame:
+    """(id, kind, file, is_test, text) of symbols that have a token: what each is searched by; source lines come from files (path, text)."""
+    lines = F.slice(F.split("_text", "\n"), F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)))
+    j = symbols.join(files.select(F.col("path").alias("file"), F.col("text").alias("_text")), "file")
+    text = chunk_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"), F.array_join(lines, "\n"))
+    chunks = j.select("id", "kind", "file", F.coalesce("is_test", F.lit(False)).alias("is_test"), text.alias("text"))
+    return chunks.join(term_rows(chunks, "id", "text", stemmer).select("id").distinct(), "id", "left_semi")
+
+
 def save_index(counts: DataFrame, lengths: DataFrame, id_col: str, path: str, buckets: int = 64) -> None:
     """The index as Parquet: counts dealt by term, so that a search reads a few files; lengths; statistics."""
     dealt = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))

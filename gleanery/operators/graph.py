@@ -45,7 +45,12 @@ def typed_edges(nodes: DataFrame, calls: DataFrame, references: DataFrame, decor
 
 
 def walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int = 3, min_score: float = 0.15, rounds: int = 20) -> DataFrame:
-    """(id, score, hop, path) of every node that a walk from the seeds (id, score) reaches.
+    """walk_by_query() of one query, whose seeds are (id, score): (id, score, hop, path)."""
+    return walk_by_query(edges, seeds.withColumn("query_id", F.lit("")), decay, max_hops, min_score, rounds).drop("query_id")
+
+
+def walk_by_query(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int = 3, min_score: float = 0.15, rounds: int = 20) -> DataFrame:
+    """(query_id, id, score, hop, path) of every node that a walk from a query's seeds (query_id, id, score) reaches; all walks go on together.
 
     A node keeps its best product of weights and decay, with the hops of that very path; a node whose best path has max_hops hops is not left, even if a
     weaker path is shorter. So labels are recomputed from the seeds until they stand still; a label can only be wrong because of a better one, and every
@@ -53,16 +58,16 @@ def walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int =
     weight * decay < 1; an error is raised if labels still move after `rounds`.
     """
     empty = F.array().cast("array<struct<src:string,edge_type:string>>")
-    base = seeds.groupBy(F.col("id").cast("string").alias("id")).agg(F.max(F.col("score").cast("double")).alias("score")).select("id", "score", F.lit(0).alias("hop"), empty.alias("path"))
+    base = seeds.groupBy("query_id", F.col("id").cast("string").alias("id")).agg(F.max(F.col("score").cast("double")).alias("score")).select("query_id", "id", "score", F.lit(0).alias("hop"), empty.alias("path"))
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "edge_type", (F.col("weight") * decay).alias("w"))
     now = cut(base, "walk")
     for _ in range(rounds):
         step = now.where(F.col("hop") < max_hops).join(e, F.col("id") == F.col("src"))
-        new = step.select(F.col("dst").alias("id"), (F.col("score") * F.col("w")).alias("score"), (F.col("hop") + 1).alias("hop"), F.concat("path", F.array(F.struct("src", "edge_type"))).alias("path"))
+        new = step.select("query_id", F.col("dst").alias("id"), (F.col("score") * F.col("w")).alias("score"), (F.col("hop") + 1).alias("hop"), F.concat("path", F.array(F.struct("src", "edge_type"))).alias("path"))
         every = base.unionByName(new.where(F.col("score") >= min_score))
         best = F.min(F.struct((-F.col("score")).alias("loss"), "hop", "path")).alias("b")
-        after = cut(every.groupBy("id").agg(best).select("id", (-F.col("b.loss")).alias("score"), "b.hop", "b.path"), "walk")
-        state = F.bit_xor(F.xxhash64("id", "score", "hop"))
+        after = cut(every.groupBy("query_id", "id").agg(best).select("query_id", "id", (-F.col("b.loss")).alias("score"), "b.hop", "b.path"), "walk")
+        state = F.bit_xor(F.xxhash64("query_id", "id", "score", "hop"))
         if tuple(after.agg(F.count("*"), state).first()) == tuple(now.agg(F.count("*"), state).first()):
             return after
         now = after

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import estimated_tokens
 from gleanery.operators.running import running
 from gleanery.storage import cut
 
@@ -50,3 +51,21 @@ def manifest(items: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and tokens of taken and dropped items."""
     taken = F.col("fate") == "taken"
     return items.groupBy(*keys).agg(F.count_if(taken).alias("included"), F.count_if(~taken).alias("dropped"), F.coalesce(F.sum(F.when(taken, F.col("tokens"))), F.lit(0)).cast("long").alias("tokens"))
+
+
+def required_sections(reports: DataFrame, tests: DataFrame, source: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(group_id, section, ordinal, item_id, text, tokens): what a prompt must have, in order: evidence, test code, suspects' source.
+
+    reports: (group_id, bug_id, test_name, error_type, error_message, called array<string>); tests: (test_name, text), sanitised; source: (id, text);
+    suspects: (group_id, id). Each report is evidence; each test stands once for a group, by name; suspects come before the other symbols that reports call.
+    An item without a text is left out.
+    """
+    evidence = reports.select("group_id", F.lit("evidence").alias("section"), F.lit(0).alias("_first"), F.col("bug_id").alias("item_id"), F.concat_ws("\n", "test_name", F.concat_ws(": ", "error_type", "error_message")).alias("text"))
+    named = reports.select("group_id", "test_name").distinct().join(tests.dropDuplicates(["test_name"]), "test_name")
+    code = named.select("group_id", F.lit("tests").alias("section"), F.lit(0).alias("_first"), F.col("test_name").alias("item_id"), "text")
+    called = reports.select("group_id", F.explode("called").alias("id")).where("id is not null")
+    wanted = suspects.select("group_id", "id", F.lit(0).alias("_first")).unionByName(called.withColumn("_first", F.lit(1))).groupBy("group_id", "id").agg(F.min("_first").alias("_first"))
+    bodies = wanted.join(source, "id").select("group_id", F.lit("source").alias("section"), "_first", F.col("id").alias("item_id"), "text")
+    every = evidence.unionByName(code).unionByName(bodies).where("text is not null")
+    w = Window.partitionBy("group_id", "section").orderBy("_first", "item_id")
+    return every.select("group_id", "section", F.row_number().over(w).cast("long").alias("ordinal"), "item_id", "text", estimated_tokens(F.col("text")).alias("tokens"))

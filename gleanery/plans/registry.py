@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from gleanery.plans import code, graphs, groups, ranking, relational, texts  # noqa: E402, F401
+from gleanery.plans import code, graphs, groups, ranking, relational, retrieval, texts  # noqa: E402, F401

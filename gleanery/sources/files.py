@@ -48,7 +48,8 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+    """One row for each file."""
+    return spark.read.text(path, wholetext=True)
 
 
 def newest_folder(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -20,8 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: plans of loops do not grow, and lost executors are not recomputed from the start."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
