@@ -87,3 +87,18 @@ def tests_of_sources(tests: DataFrame, sources: DataFrame) -> DataFrame:
     t = t.withColumn("_run", F.explode(F.array_distinct(F.concat(*[runs(F.col("test_path"), n) for n in (1, 2, 3)]))))
     rewritten = F.element_at(F.split(F.replace("test_path", F.lit("tests/test_"), F.lit("src/")), "::"), 1)
     return t.join(key, "_run").where((rewritten == F.col("source_path")) | F.contains("test_path", F.col("_stem"))).select("test_path", "source_path").distinct()
+
+
+def holders(rows: DataFrame, items: DataFrame, text: str, item: str) -> DataFrame:
+    """Pairs of rows and items whose text the row's text holds.
+
+    What stands between the first and the last blank of an item are whole words of any text that holds it. Texts and items meet by the longest of these
+    words; only items without such a word, of two words or less, are looked for in every text.
+    """
+    words = lambda c: F.filter(F.split(c, "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
+    inner = F.filter(F.split(F.col(item), "[ \\t\\n\\x0B\\f\\r]+"), lambda x, i: (i > 0) & (i < F.size(F.split(F.col(item), "[ \\t\\n\\x0B\\f\\r]+")) - 1))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    keyed = items.withColumn("_word", longest)
+    met = rows.withColumn("_word", F.explode(F.array_distinct(words(F.col(text))))).join(keyed.where("_word is not null"), "_word").drop("_word").where(F.contains(text, F.col(item)))
+    short = keyed.where("_word is null").drop("_word")
+    return met if short.isEmpty() else met.unionByName(rows.join(short, F.contains(text, F.col(item))))

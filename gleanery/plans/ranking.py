@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as X
 from gleanery.functions.stem import with_stems
-from gleanery.operators import bm25, fuse, metrics
+from gleanery.operators import bm25, fuse, metrics, relational
 from gleanery.plans.registry import query, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -74,10 +74,9 @@ HOLDS = "truth AS (SELECT item_id AS query_id, min(doc_id) AS expected_id FROM b
 
 
 def truth(spark, d):
-    """The first document that holds each benchmark item: benchmark items are few, and are sent to the scan when they are below Spark's limit."""
+    """The first document that holds each benchmark item."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    t = docs(spark, d)
-    return t.join(b, F.contains("text", F.col("item"))).groupBy("query_id").agg(F.min("doc_id").alias("expected_id"))
+    return relational.holders(docs(spark, d), b, "text", "item").groupBy("query_id").agg(F.min("doc_id").alias("expected_id"))
 
 
 @query("hit_at_k", f"WITH {TOKENS}, {MULTI}, {SCORED}, {HOLDS} SELECT t.query_id, expected_id, rank, CASE WHEN rank IS NULL THEN 'MISS' WHEN rank <= 1 THEN 'HIT@1' WHEN rank <= 3 THEN 'HIT@3' WHEN rank <= 10 THEN 'HIT@10' ELSE 'MISS' END AS label FROM truth t LEFT JOIN (SELECT * FROM hits WHERE rank <= 10) h ON t.query_id = h.query_id AND expected_id = doc_id")

@@ -53,11 +53,11 @@ def code_chunks(spark, d):
 
 
 def code_reports(spark, d):
-    """A report for each part: its module's make fails."""
+    """A report for every twentieth part, the queries of this search: its module's make fails."""
     k = F.col("p_partkey").cast("string")
     name = F.concat(F.lit("tests/test_m"), k, F.lit(".py::test_weigh_box"), k)
     file = F.concat(F.lit("src/m"), k, F.lit(".py"))
-    return table(spark, d, "part").select(F.concat(F.lit("b"), k).alias("bug_id"), name.alias("test_name"), F.concat(F.lit("E   TypeError: box"), k, F.lit(" can't weigh")).alias("error_message"), F.concat(F.lit("make(Box"), k, F.lit(")")).alias("body"), F.array(F.lit("make"), F.lit("weigh")).alias("frames"), file.alias("file"), F.lit(11).alias("line"))
+    return table(spark, d, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("b"), k).alias("bug_id"), name.alias("test_name"), F.concat(F.lit("E   TypeError: box"), k, F.lit(" can't weigh")).alias("error_message"), F.concat(F.lit("make(Box"), k, F.lit(")")).alias("body"), F.array(F.lit("make"), F.lit("weigh")).alias("frames"), file.alias("file"), F.lit(11).alias("line"))
 
 
 @query("retrieve_context")

@@ -72,12 +72,21 @@ def test_retrieve_context(spark, small):
     """The best symbol of every report is of its own module; budgets hold; no test and nothing dropped is left."""
     rows = registry.QUERIES["retrieve_context"](spark, small).collect()
     best = {r.query_id: r.id for r in rows if r["rank"] == min(x["rank"] for x in rows if x.query_id == r.query_id)}
-    parts = spark.read.parquet(f"{small}/part.parquet").count()
+    parts = spark.read.parquet(f"{small}/part.parquet").where("p_partkey % 20 = 0").count()
     own = sum(i.startswith(f"src/m{q[1:]}.py::") for q, i in best.items())
     assert len(best) == parts and own == parts
     assert all(r.used <= 10_000 for r in rows if r.fate == "taken") and {r.tier for r in rows} <= {"FULL", "SIGNATURE", "SKELETON"}
 
 
+def test_holders(spark):
+    from gleanery.operators.relational import holders
+
+    texts = ["one two three four", "x one two three fourth", "two\nthree", "", None, "zero  one two three  four", "three"]
+    items = ["one two three four", "two three", "three", "e two thr", "two\nthree", "one  two"]
+    r, i = spark.createDataFrame(list(enumerate(texts)), "k long, text string"), spark.createDataFrame(list(enumerate(items)), "q long, item string")
+    assert sorted((x.k, x.q) for x in holders(r, i, "text", "item").collect()) == sorted((k, q) for k, t in enumerate(texts) for q, x in enumerate(items) if t is not None and x in t)
+
+
 def test_required_sections(spark):
     reports = spark.createDataFrame([("g", "b2", "t::y", "E", "bad", ["s1", None, "s3"]), ("g", "b1", "t::y", None, None, None), ("h", "b3", "gone", "E", "x", [])], "group_id string, bug_id string, test_name string, error_type string, error_message string, called array<string>")
     tests = spark.createDataFrame([("t::y", "code"), ("t::y", "code"), ("t::z", "other")], "test_name string, text string")
