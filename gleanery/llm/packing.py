@@ -30,20 +30,22 @@ SIMPLE = re.compile(rf"[!-~{LETTERS}À-ÖØ-Þ]+")
 #: Fixed value: the pre-tokenizer's pattern of word_bpe vocabularies, for the characters of SIMPLE in lower case.
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 
+#: What most often stands behind a word, each a pre-token of its own.
+MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
+
 
 class WordEncoder:
     """Ids of texts under a vocabulary that drops white space and marks word ends with </w>: what stands between white space is encoded once and kept.
 
-    The memory is bounded: both tables are emptied when they hold `most` entries.
+    The memory is bounded: the table is emptied when it holds `most` entries.
     """
 
-    def __init__(self, vocab_path: str, most: int = 600_000):
+    def __init__(self, vocab_path: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(vocab_path), most
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
@@ -52,33 +54,48 @@ class WordEncoder:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        split, whole = [], []
+        """Keep the ids of chunks. A pre-token in lower case is a chunk as well: chunks are put together from such words."""
+        one, two, split, whole, known = [], [], [], [], self.chunks
+        words: set[bytes] = set()
         for c in chunks:
-            s = c.decode("utf-8", "replace")
-            if SIMPLE.fullmatch(s) and "<|" not in s:
-                split.append((c, PRETOKEN.findall(s.lower())))
+            if c.isalpha():  # ASCII letters: one word
+                w = c.lower()
+                words.add(w)
+                if w != c:
+                    one.append((c, w))
+            elif c[-1:] in MARKS and c[:-1].isalpha():  # and a mark behind it
+                w = c[:-1].lower()
+                words.add(w)
+                two.append((c, w, c[-1:]))
+            elif SIMPLE.fullmatch(s := c.decode("utf-8", "replace")) and "<|" not in s:
+                ws = [w.encode() for w in PRETOKEN.findall(s.lower())]
+                words.update(ws)
+                split.append((c, ws))
             else:
                 whole.append(c)
-        new = list({w for _, ws in split for w in ws}.difference(self.words))
+        if two:
+            words.update(MARKS)
+        new = list(words.difference(known))
         for a in range(0, len(new), 2000):
             some = new[a : a + 2000]
-            ids = self._ids([" ".join(some)])[0]
+            ids = self._ids([b" ".join(some).decode()])[0]
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some):
                 raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
-                self.words.update((w, raw[x:y]) for w, x, y in zip(some, cuts, cuts[1:], strict=False))
+                known.update(zip(some, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
             else:  # a word that isn't one pre-token after all: each on its own
-                self.words.update((w, i.tobytes()) for w, i in zip(some, self._ids(some), strict=True))
-        self.chunks.update((c, b"".join([self.words[w] for w in ws])) for c, ws in split)
-        self.chunks.update((c, i.tobytes()) for c, i in zip(whole, self._ids([c.decode("utf-8", "replace") for c in whole]), strict=True))
+                known.update((w, i.tobytes()) for w, i in zip(some, self._ids([w.decode() for w in some]), strict=True))
+        known.update([(c, known[w]) for c, w in one])
+        known.update([(c, known[w] + known[m]) for c, w, m in two])
+        known.update([(c, b"".join([known[w] for w in ws])) for c, ws in split if len(ws) != 1 or ws[0] != c])
+        known.update((c, i.tobytes()) for c, i in zip(whole, self._ids([c.decode("utf-8", "replace") for c in whole]), strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         for a in range(0, len(texts), 500):
             parts = [t.split() for t in texts[a : a + 500]]
-            if len(self.chunks) > self.most or len(self.words) > self.most:
+            if len(self.chunks) > self.most:
                 self.chunks.clear()
-                self.words.clear()
             missing = set().union(*map(set, parts)).difference(self.chunks)
             if missing:
                 self._learn(list(missing))
