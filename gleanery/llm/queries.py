@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import fingerprints, jaccard, lines, mixing, packing, quality, rules, sessions, suffixes, token_counts, toxicity
+from gleanery.llm import collisions, divergence, fingerprints, jaccard, lines, mixing, packing, quality, rules, sessions, suffixes, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of all clicks; the path as a digest."""
     out = sessions.sessionise(table(spark, sf_dir, "clicks"))
@@ -67,5 +75,5 @@ def op13_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("path_sha256", F.sha2(ids.cast("binary"), 256)).drop("path")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_fingerprints, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_token_counts, op10_ngram_jaccard_join, op13_gap_sessions)}
-ORACLES = {"op4_quality_rules": rules.ORACLE, "op7_line_dedup": lines.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE, "op13_gap_sessions": sessions.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_fingerprints, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_line_dedup, op8_toxicity, op9_token_counts, op10_ngram_jaccard_join, op11_embedding_links, op12_source_divergence, op13_gap_sessions)}
+ORACLES = {"op4_quality_rules": rules.ORACLE, "op7_line_dedup": lines.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_gap_sessions": sessions.ORACLE}
