@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -14,40 +12,25 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.storage import cut, forget, shared_dir, unused  # noqa: F401
+
 #: Fixed value: a word, as a pattern that Java, DuckDB and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in a session without other machines, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: later stages neither recompute it nor depend on a lost executor."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out.cut_at = at
-    return out
+_held: dict[str, Callable[[], None]] = {}
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a table that cut() wrote and that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def held(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """Called by a task that uses `owner`'s tables of this Python worker: the tables of every other owner are dropped, so what one stage keeps from batch to
+    batch is not held through the stages that follow. `drop` says how to drop the owner's own."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    if drop:
+        _held[owner] = drop
 
 
 def width(spark: SparkSession) -> int:

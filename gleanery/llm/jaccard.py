@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, forget, lean, pack, text_bytes, unpack, width
+from gleanery.llm.common import arrow_bytes, cut, forget, held, lean, pack, text_bytes, unpack, width
 from gleanery.llm.components import components
 
 #: Shingles of a block's sets together, about; a single set may be larger.
@@ -124,6 +124,7 @@ def scan(docs: DataFrame, words: int) -> DataFrame:
     """kind 0: (id, n, class) of each document. kind 1: shingles (as id) that several classes of one batch have, and how many (n)."""
 
     def run(batches):
+        held("jaccard")
         for b in batches:
             ids, ns, cs, sets = b.column(0).to_pylist(), [], [], {}
             for s in all_shingles(b.column(1).to_pylist(), words):
@@ -437,9 +438,13 @@ def _across(plan: DataFrame, merged: DataFrame, block: int) -> DataFrame:
 
 def _class_texts(d: DataFrame, rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(class, text) of one document of each of the classes."""
-    several = rows.groupBy("id").agg((F.count_distinct("class") > 1).alias("several"))
+    several = rows.groupBy("id").agg((F.min("class") < F.max("class")).alias("several"), F.count("*").alias("times"))
     least_ids = rows.join(classes.select("class"), "class", "left_semi").groupBy("class").agg(F.min("id").alias("id"))
-    texts = _texts(d, least_ids.join(several, "id"), words)
+    reps = least_ids.join(several, "id")
+    if several.where("times > 1 AND id IS NOT NULL").isEmpty():
+        texts = _texts(d, reps, words)
+    else:  # an id of several rows: one row for each of its classes
+        texts = _texts(d, reps.where("times = 1"), words).unionByName(_texts(d, reps.where("times > 1"), words).dropDuplicates(["class"]))
     if not rows.where("id is null").isEmpty():
         texts = texts.unionByName(_nameless_texts(d.where("id is null"), least_ids.where("id is null"), words))
     return cut(texts, "shingle-texts")

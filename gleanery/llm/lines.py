@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, forget, lean, text_bytes
+from gleanery.llm.common import arrow_bytes, cut, forget, lean, text_bytes, unused
 
 #: A broadcast set of line hashes takes up to 8 MB; more lines than that are joined.
 MOST_SENT = 1_000_000
@@ -90,16 +90,18 @@ def _apply(docs: DataFrame, text_col: str, sent, wide: DataFrame | None) -> Data
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     if wide is not None:
-        keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "line-docs")
+        row, marks = unused(docs, "_row"), unused(docs, "_wide")
+        keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
 
         def hashes(batches):
             for b in batches:
                 lines, h = line_hashes(b.column(1).to_pylist())
-                row = np.repeat(b.column(0).to_numpy(), [len(x) for x in lines])
-                yield pa.RecordBatch.from_arrays([pa.array(row[h != 0]), pa.array(h[h != 0].view(np.int64))], ["_row", "line"])
+                at = np.repeat(b.column(0).to_numpy(), [len(x) for x in lines])
+                yield pa.RecordBatch.from_arrays([pa.array(at[h != 0]), pa.array(h[h != 0].view(np.int64))], ["row", "line"])
 
-        found = keyed.select("_row", text_bytes(text_col).alias("text")).mapInArrow(lean(hashes), "_row long, line long").join(wide, "line", "left_semi")
-        docs = keyed.join(found.groupBy("_row").agg(F.collect_set("line").alias("_wide")), "_row", "left").select(*names, "_wide")  # bounded by a document's lines
+        found = keyed.select(row, text_bytes(text_col).alias("text")).mapInArrow(lean(hashes), "row long, line long").join(wide, "line", "left_semi")
+        found = found.groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(marks))  # bounded by a document's lines
+        docs = keyed.join(found, row, "left").select(*names, marks)
     at = names.index(text_col)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_lines long, n_removed long"])
 

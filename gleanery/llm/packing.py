@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, lean, text_bytes, width
+from gleanery.llm.common import arrow_bytes, cut, held, lean, text_bytes, width
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, end_rank long, per_bin long, first_bin long, base long"
@@ -120,6 +120,7 @@ def pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        held("packing", _encoders.clear)
         enc = word_encoder(vocab_path)
         for b in batches:
             out: list[tuple] = []
@@ -209,8 +210,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_i
     each piece; offsets within a sequence are gapless from 0. Other columns of docs are ignored.
 
     Defined results: a null or empty text is the end id alone; a repeated row is packed as often as it stands there; a null id stays null; an empty
-    table gives an empty result; ties between rows of one length are broken by id, piece, start and checksum, so reruns agree.
+    table gives an empty result; rows of one length are ranked by their number in the stored pieces, so equal rows are spread like any others.
     """
-    kept = cut(pieces(docs, vocab_path, capacity, end_id, id_col, text_col), "pieces")
-    packed = pack_lengths(kept, capacity, "length", ["id", "piece", "start", "ids_crc32"])
-    return packed.withColumnRenamed("id", id_col)
+    kept = cut(pieces(docs, vocab_path, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return pack_lengths(kept, capacity, "length", ["row"]).drop("row").withColumnRenamed("id", id_col)

@@ -27,6 +27,8 @@ from gleanery.llm.common import arrow_bytes, cut, lean, pack, text_bytes, unpack
 K = 16
 CHUNK = 1 << 20
 NO_ID = 2**63 - 1
+#: Bytes of text that a part, and a shard's share of contexts, has on average at most: a part is held whole by one task.
+PART_BYTES = 64 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -218,9 +220,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("length must be from 32 to 255")
     spark = docs.sparkSession
     arrow_bytes(spark, 8 << 20)
-    parts = shards = 2 * width(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    d = d.select("id", F.coalesce("id", F.lit(NO_ID)).alias("ord"), "text", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("part"))
+    read = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = shards = max(2 * width(spark), size // PART_BYTES + 1)
+    d = read.select("id", F.coalesce("id", F.lit(NO_ID)).alias("ord"), "text", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("part"))
 
     def announce(batches):
         """Hashes of minimizers to shards, with the parts that have them and in how many documents of the batch."""

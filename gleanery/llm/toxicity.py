@@ -52,10 +52,11 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, flat: float = 0.5, prior: float = 500.0, significance: float = 3.0, clean_significance: float = 8.0) -> tuple[DataFrame, float, float]:
+def log_odds(counts: DataFrame, flat: float = 0.5, prior: float = 500.0, significance: float = 3.0, clean_significance: float = 8.0, least_docs: int = 3) -> tuple[DataFrame, float, float]:
     """The lexicon (token, odds) of significant tokens, the loss of any other token, and the decay of the extreme-value law.
 
-    Clean tokens must be more significant, as nearly all tokens are clean: the number comes from a fold of the training rows.
+    Clean tokens must be more significant, as nearly all tokens are clean: the number comes from a fold of the training rows. Tokens of fewer than
+    `least_docs` documents of the label that they speak for are left out: the normal law behind z does not hold for counts of one or two.
     """
     total = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     n1, n0 = float(total[0] or 0), float(total[1] or 0)
@@ -66,8 +67,8 @@ def log_odds(counts: DataFrame, flat: float = 0.5, prior: float = 500.0, signifi
     odds = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(n + mass) - F.col(y) - alpha))
     scored = counts.withColumn("odds", odds("toxic", n1) - odds("clean", n0))
     scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha)))
-    toxic = (F.col("z") >= significance) & (F.col("toxic") >= 3)
-    clean = (F.col("z") <= -clean_significance) & (F.col("clean") >= 3)
+    toxic = (F.col("z") >= significance) & (F.col("toxic") >= least_docs)
+    clean = (F.col("z") <= -clean_significance) & (F.col("clean") >= least_docs)
     rate = (F.col("clean") + flat) / F.lit(n0 + mass)
     best = cut(scored.where(toxic | clean).select("token", "odds", rate.alias("rate")), "toxic-lexicon")
     loss, low, high = 0.1, 1e-3, 20.0
