@@ -10,46 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import jaccard, lines, mixing, packing, quality
-from gleanery.llm.common import cut
+from gleanery.llm.common import cut, unused
 
 #: From this score on a document stays.
 MIN_QUALITY = 0.7
 
 
-def with_rows(docs: DataFrame, what: str) -> DataFrame:
-    """docs with a key of each row, _row, which stays as it is since it is written: ids may be null or repeated."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), what)
+def with_rows(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """docs with a key of each row, which stays as it is since it is written, and the key's name, which docs has no column of: ids may be null or repeated."""
+    row = unused(docs, "_row")
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), what), row
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.with_quality(docs, labels, "_quality")
-    return scored.where(F.col("_quality") >= MIN_QUALITY).select(docs.columns)
+    score = unused(docs, "_quality")
+    scored = quality.with_quality(docs, labels, score)
+    return scored.where(F.col(score) >= MIN_QUALITY).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sites have; n_chars follows the text."""
-    out = lines.drop_wide_lines(docs)
+    own = {c: unused(docs, f"_kept_{c}") for c in docs.columns if c.lower() in ("n_lines", "n_removed")}  # columns of the input that only share a name with the counts
+    out = lines.drop_wide_lines(docs.withColumnsRenamed(own))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", length).select(docs.columns)
+    return out.withColumn("n_chars", length).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row, by id (null last), of each group that shingles of five words link at a similarity of 0.8; each row is judged by its own text, whatever its id."""
-    keyed = with_rows(docs, "near-rows")
-    found = jaccard.jaccard_components(keyed, id_col="_row", words=5, num=80, den=100).select(F.col("_row").alias("_r"), "component_id")
-    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("place"))
-    first = found.join(ids, F.col("_r") == F.col("_row")).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place._row").alias("_row"))
-    return keyed.join(first, "_row", "left_semi").select(docs.columns)
+    keyed, row = with_rows(docs, "near-rows")
+    found = jaccard.jaccard_components(keyed, id_col=row, words=5, num=80, den=100).select(F.col(row).alias("_r"), "component_id")
+    ids = keyed.select(F.col(row).alias("_key"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(row).alias("key")).alias("place"))
+    first = found.join(ids, F.col("_r") == F.col("_key")).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.key").alias(row))
+    return keyed.join(first, row, "left_semi").select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole copies, up to two."""
-    keyed = with_rows(docs, "mix-rows")
-    copies = mixing.mix(keyed, key_col="_row").select("_row", "copies").where("copies > 0")
-    taken = keyed.join(copies, "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    keyed, row = with_rows(docs, "mix-rows")
+    copies = mixing.mix(keyed, key_col=row).where("copies > 0").select(row, F.col("copies").cast("int").alias("_times"))
+    times = unused(docs, "_times")
+    taken = keyed.join(copies.withColumnRenamed("_times", times), row)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(unused(docs, "_copy"))).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
