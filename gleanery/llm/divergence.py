@@ -19,8 +19,10 @@ from gleanery.llm.common import arrow_bytes, cut, forget, lean, width
 #: Fixed value: a term, in UTF-8 bytes: letters of ASCII and everything beyond it.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Counted rows, or terms times sources, that a shard has on average at most.
+#: Counted rows that a shard has on average at most, and terms times sources that a shard compares: each shard sends a row for each pair of sources, so
+#: the second follows the work alone and not the number of tasks.
 SHARD_ROWS = 1_000_000
+SHARD_SHARES = 100_000
 #: Entries of a task's counts before they are sent on.
 HELD = 300_000
 
@@ -124,10 +126,9 @@ def divergences(docs: DataFrame, least: int = 10, top: int = 10, text: str = "te
     Defined results: null texts, languages and sources are empty strings; repeated rows are documents of their own; a language without kept terms has pairs of
     value 0 and no terms; a language of one source has no pairs; an empty table gives no rows. Ties go by item, in the order of UTF-8.
     """
-    spark = docs.sparkSession
     kept, groups = term_counts(docs, least, text, lang, source)
     work = groups.groupBy("lang").agg(F.max("terms").alias("v"), F.count("*").alias("s")).agg(F.sum(F.col("v") * F.col("s"))).first()[0] or 0
-    shards = max(width(spark), work // SHARD_ROWS + 1)
+    shards = work // SHARD_SHARES + 1
     sql = COMPARE_SQL.format(top=top)
     kept_schema = arrow_schema("lang string, source string, term string, n bigint")
     group_schema = arrow_schema("lang string, source string, n_source bigint, n_lang bigint, terms bigint")

@@ -137,6 +137,7 @@ def test_divergences_against_sql(spark, least_docs):
 def test_shards_do_not_change_divergences(spark, monkeypatch):
     rows = texts(random.Random(4))
     monkeypatch.setattr(divergence, "SHARD_ROWS", 7)
+    monkeypatch.setattr(divergence, "SHARD_SHARES", 7)
     monkeypatch.setattr(divergence, "HELD", 3)
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
     assert sorted(tuple(r) for r in divergence.divergences(d).select("lang", "source", "part", "item", "value", "rank").collect()) == by_sql(rows)
