@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.chain import reached
 from gleanery.operators.running import running
+from gleanery.operators.scan import deal, scan
+from gleanery.storage import cut
 
 #: Which source's findings come first in a report.
 SOURCE_RANK = {"pytest": 0, "llm": 1, "heuristic": 2, "ruff": 3}
@@ -54,33 +56,65 @@ def group_tokens(reports: DataFrame, keys: list[str], text_cols: list[str], symb
     return reports.groupBy(*keys).agg((F.sum(texts) + F.lit(per_symbol) * F.sum(symbols)).cast("long").alias("estimated_tokens"))
 
 
-def split_in_order(rows: DataFrame, keys: list[str], order: list[str], size: str, limit: float, most: int | None = None) -> DataFrame:
+def split_in_order(rows: DataFrame, keys: list[str], order: list[str], size: str, limit: float, most: int | None = None, most_rows: int = 10_000) -> DataFrame:
     """Numbers rows of each key by the part they go to: in order, a new part begins when the size would pass the limit or `most` rows are in it.
 
-    A part is never empty, so a row beyond the limit stands alone. Where a row goes depends on all rows of its key before it: keys are dealt, sorted, and
-    read once from first to last, a batch at a time, so a key of any size takes no more memory than a batch.
+    A part is never empty, so a row beyond the limit stands alone; a null size is 0 and a negative one an error. Where a row goes depends on all rows of its
+    key before it: keys of at most `most_rows` rows are folded as arrays, larger ones by `split_large`, which has no key in one place. Sums are exact for
+    sizes that are whole numbers.
     """
     names = [*keys, *order, size]
-    cap = most or 2**63 - 1
-
-    def fold(batches):
-        key, part, total, n = None, 0, 0.0, 0
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            parts = []
-            for row in zip(*cols[: len(keys)], [x or 0 for x in cols[-1]], strict=True):
-                if key != row[:-1] or n == 0:
-                    key, part, total, n = row[:-1], 1, row[-1], 1
-                elif total + row[-1] > limit or n >= cap:
-                    part, total, n = part + 1, row[-1], 1
-                else:
-                    total, n = total + row[-1], n + 1
-                parts.append(part)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.int64())], [*names, "part"])
-
-    dealt = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return dealt.mapInArrow(fold, f"{schema}, part long").drop(size)
+    read = rows.select(*names, F.when(F.col(size) < 0, F.raise_error(F.lit("a size is negative"))).otherwise(F.coalesce(F.col(size).cast("double"), F.lit(0.0))).alias("_size"))
+    large = read.groupBy(*keys).count().where(F.col("count") > most_rows).drop("count")
+    if large.isEmpty():
+        return _folded(read, keys, order, limit, most).select(*names, "part")
+    large = cut(large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "large-keys")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    small = _folded(read.join(large, same, "left_anti"), keys, order, limit, most)
+    return small.unionByName(split_large(read.join(large, same, "left_semi"), keys, order, limit, most)).select(*names, "part")
+
+
+def _folded(rows: DataFrame, keys: list[str], order: list[str], limit: float, most: int | None) -> DataFrame:
+    """rows (with _size) with their part: each key's rows as one sorted array, folded from first to last."""
+    kept = [c for c in rows.columns if c not in keys]
+    item = F.struct(*order, *[c for c in kept if c not in order])
+    start = F.struct(F.lit(0).cast("long").alias("part"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("parts"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = (s["n"] == 0) | (s["total"] + x["_size"] > limit) | (s["n"] >= F.lit(most or 2**62))
+        part = s["part"] + new.cast("long")
+        total, n = F.when(new, x["_size"]).otherwise(s["total"] + x["_size"]), F.when(new, F.lit(1).cast("long")).otherwise(s["n"] + 1)
+        return F.struct(part.alias("part"), total.alias("total"), n.alias("n"), F.concat(s["parts"], F.array(part)).alias("parts"))
+
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    placed = whole.withColumn("_parts", F.aggregate("_rows", start, step)["parts"])
+    each = placed.select(*keys, F.explode(F.arrays_zip("_rows", "_parts")).alias("_z"))
+    return each.select(*keys, "_z._rows.*", F.col("_z._parts").alias("part"))
+
+
+def split_large(rows: DataFrame, keys: list[str], order: list[str], limit: float, most: int | None) -> DataFrame:
+    """rows (with _size) with their part: from running sums follows where the part that would begin at a row would end, and so the begin of the next; pointer
+    doubling tells which of these begins are reached from the first row."""
+    placed = cut(running(rows, keys, order, "_size", "_no", "_upto"), "placed")
+    lean = placed.select(*keys, "_no", "_upto", (F.col("_upto") - F.col("_size")).alias("_from"))
+    ends = lean.select(*keys, F.col("_upto").alias("_at"), F.lit(0).alias("_side"), "_no")
+    asks = lean.select(*keys, (F.col("_from") + F.lit(float(limit))).alias("_at"), F.lit(1).alias("_side"), "_no")
+    sort = ["_at", "_side", "_no"]
+    fits = scan(deal(ends.unionByName(asks), keys, sort), keys, sort, _last=("max", F.when(F.col("_side") == 0, F.col("_no")))).where("_side = 1")
+    after = F.greatest(F.coalesce("_last", F.lit(0)), F.col("_no")) + 1
+    after = F.least(after, F.col("_no") + most) if most else after
+    totals = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("_no").alias("_n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    node = lambda no: F.struct(*keys, no.cast("long").alias("no"))
+    links = fits.join(totals, same).select(node(F.col("_no")).alias("node"), F.when(after <= F.col("_n"), node(after)).alias("next"))
+    begins = reached(links, placed.where("_no = 1").select(node(F.col("_no")).alias("node"))).select(F.col("node").alias("_b"), F.lit(1).alias("_begin"))
+    flagged = placed.withColumn("_node", node(F.col("_no"))).join(begins, F.col("_node") == F.col("_b"), "left").drop("_b", "_node")
+    numbered = scan(deal(flagged, keys, ["_no"]), keys, ["_no"], part=("sum", F.coalesce("_begin", F.lit(0)).cast("long")))
+    return numbered.select(*rows.columns, "part")
 
 
 def coverage(every: DataFrame, grouped: DataFrame, excluded: DataFrame, id_col: str = "id") -> DataFrame:

@@ -1,48 +1,81 @@
-"""Intervals: innermost enclosing span, merging by proximity, overlap of neighbours."""
+"""Intervals: innermost enclosing span, merging by proximity, overlap of neighbours, as-of joins; for keys of any size, by scans over stretches of the order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.scan import deal, scan
+from gleanery.storage import cut
 
-def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, span_id: str, point_cols: list[str], bucket: int = 256) -> DataFrame:
+
+def enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, span_id: str, point_cols: list[str]) -> DataFrame:
     """Each point with the smallest span of its key that has it (ties by id), or null.
 
-    Both sides are dealt by key and stretch of `bucket` units, a span to every stretch it reaches, so one large key is spread and a point meets only
-    spans near it. Points are told apart by point_cols, which must hold their key and place.
+    A span of up to 2^n units goes to the one or two cells of that width which it touches, whatever its length; a point asks one cell of each width that
+    any span has, at most 64. So rows do not grow with the length of spans, and one large key is spread. Points are told apart by point_cols, which must hold
+    their key and place.
     """
-    cells = F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)))
-    s = spans.where(F.col(end) >= F.col(start)).select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(span_id).alias("_id"), cells.alias("_b"))
-    p = points.withColumn("_cell", F.floor(F.col(at) / bucket))
-    hit = p.join(s, (F.col(key) == F.col("_k")) & (F.col("_cell") == F.col("_b")) & F.col(at).between(F.col("_s"), F.col("_e")), "left")
-    return hit.groupBy(*point_cols).agg(F.min_by("_id", F.struct(F.col("_e") - F.col("_s"), F.col("_id"))).alias(span_id))
+    length = F.col(end).cast("long") - F.col(start).cast("long") + 1
+    level = F.ceil(F.log2(length)).cast("int")
+    s = spans.where(F.col(end) >= F.col(start)).select(F.col(key).alias("_k"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), F.col(span_id).alias("_id"), level.alias("_l"))
+    levels = sorted(r[0] for r in s.select("_l").distinct().collect())  # at most 64 numbers
+    cell = lambda c, n: F.floor(F.col(c) / F.pow(F.lit(2.0), n)).cast("long")
+    s = s.withColumn("_b", F.explode(F.array_distinct(F.array(cell("_s", F.col("_l")), cell("_e", F.col("_l"))))))
+    p = points.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    p = p.withColumn("_cell", cell(at, F.col("_level")))
+    hit = p.join(s, (F.col(key) == F.col("_k")) & (F.col("_level") == F.col("_l")) & (F.col("_cell") == F.col("_b")) & F.col(at).between(F.col("_s"), F.col("_e")))
+    least = hit.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(point_cols)], (F.col("_e") - F.col("_s")).alias("_size"), "_id")
+    least = least.groupBy(*[f"_p{i}" for i in range(len(point_cols))]).agg(F.min_by("_id", F.struct("_size", "_id")).alias(span_id))
+    same = F.lit(True)
+    for i, c in enumerate(point_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    return points.select(*point_cols).distinct().join(least, same, "left").select(*point_cols, span_id)
 
 
 def merge_near(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 3, aggs: list[Column] | None = None) -> DataFrame:
     """Runs of rows of one key whose spans lie at most `gap` apart: keys, group_no (from 1), span_start, span_end, members, and aggs.
 
-    A row joins while its start is at most `gap` beyond the largest end so far. Rows whose end is before their start are an error.
+    A row joins while its start is at most `gap` beyond the largest end so far, which is carried from stretch to stretch. Rows whose end is before their start
+    are an error.
     """
     checked = rows.withColumn(end, F.when(F.col(end) < F.col(start), F.raise_error(F.lit("a span ends before it starts"))).otherwise(F.col(end)))
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = checked.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
-    numbered = flagged.withColumn("group_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    order = [start, end]
+    seen = scan(deal(checked, keys, order), keys, order, inclusive=False, _far=("max", F.col(end)))
+    joins = F.coalesce(F.col(start) <= F.col("_far") + gap, F.lit(False))
+    flagged = cut(seen.withColumn("_joins", joins.cast("int")).drop("_far"), "near-flags")
+    numbered = scan(flagged, keys, [*order, "_joins"], group_no=("sum", 1 - F.col("_joins")))
     return numbered.groupBy(*keys, "group_no").agg(F.min(start).alias("span_start"), F.max(end).alias("span_end"), F.count("*").alias("members"), *(aggs or []))
 
 
 def overlaps(spans: DataFrame, keys: list[str], start: str, end: str, span_id: str) -> DataFrame:
     """Neighbouring spans of one key that overlap: (keys, id, next_id)."""
-    w = Window.partitionBy(*keys).orderBy(start, end, span_id)
-    nxt = spans.select(*keys, span_id, end, F.lead(span_id).over(w).alias("next_id"), F.lead(start).over(w).alias("_s"))
-    return nxt.where(F.col("_s") <= F.col(end)).select(*keys, span_id, "next_id")
+    order = [start, end, span_id]
+    dealt = deal(spans.select(*dict.fromkeys([*keys, *order])), keys, order)
+    seen = scan(dealt, keys, order, inclusive=False, _before=("last", F.struct(F.col(span_id).alias("id"), F.col(end).alias("end"))))
+    return seen.where(F.col(start) <= F.col("_before.end")).select(*keys, F.col("_before.id").alias(span_id), F.col(span_id).alias("next_id"))
 
 
-def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, mark: str, value: str) -> DataFrame:
-    """Each row with the value of the last mark of its key at or before its place, by one sort of both (an as-of join)."""
+def _as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, mark: str, value: str, **states: tuple[str, Column]) -> DataFrame:
+    """Rows and marks in one order by place, marks first, of equal places the largest value last; _side is 1 for rows."""
     left = rows.select("*", F.lit(1).alias("_side"), F.col(at).alias("_at"), F.lit(None).cast(marks.schema[value].dataType).alias("_v"))
     right = marks.select(F.col(key), F.col(mark).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").drop("_side", "_at", "_v")
+    both, order = left.unionByName(right, allowMissingColumns=True), ["_at", "_side", "_v"]
+    return scan(deal(both, [key], order), [key], order, **states).where("_side = 1")
+
+
+def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, mark: str, value: str) -> DataFrame:
+    """Each row with the value of the last mark of its key at or before its place, as last_<value> (an as-of join)."""
+    name = f"last_{value}"
+    return _as_of(rows, marks, key, at, mark, value, **{name: ("last", F.col("_v"))}).select(*rows.columns, name)
+
+
+def reached_marks(rows: DataFrame, marks: DataFrame, key: str, at: str, mark: str, value: str) -> DataFrame:
+    """Each row whose key has marks, with the last mark at or before its place, or else the first of all: its value, its ordinal among the key's marks, their
+    total, and how many come behind it and so were not evaluated."""
+    placed = _as_of(rows, marks, key, at, mark, value, _value=("last", F.col("_v")), _no=("sum", 1 - F.col("_side")))
+    every = marks.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("total"), F.min_by(value, F.struct(mark, F.col(value))).alias("_first"))
+    both = placed.join(every, F.col(key).eqNullSafe(F.col("_k")))
+    none = F.coalesce("_no", F.lit(0)) == 0
+    ordinal = F.when(none, 1).otherwise(F.col("_no"))
+    return both.select(*rows.columns, F.when(none, F.col("_first")).otherwise(F.col("_value")).alias(value), ordinal.alias("ordinal"), "total", (F.col("total") - ordinal).alias("not_evaluated"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.stem import with_stems
 from gleanery.functions.text import clean_message, estimated_tokens, query_terms, test_name_terms, tier, tokenize
-from gleanery.operators import bm25, fuse, graph, pack
+from gleanery.operators import bm25, fuse, graph, pack, segments
 
 
 def report_weights(reports: DataFrame, stemmer: str = "porter2") -> DataFrame:
@@ -21,14 +21,14 @@ def report_weights(reports: DataFrame, stemmer: str = "porter2") -> DataFrame:
 
 
 def retrieve(weights: DataFrame, index_path: str, edges: DataFrame, nodes: DataFrame, seeds: DataFrame, source: DataFrame, k: int = 50, budget: int = 10_000) -> DataFrame:
-    """(query_id, id, score, rank, tier, tokens, used, fate) for every query: hits of the stored index and of the walk from the query's seeds, fused half and
+    """(query_id, id, score, rank, tier, tokens, used, fate) for every query: hits of the segmented index and of the walk from the query's seeds, fused half and
     half, tiered by kind and score, and filled into a budget of tokens by rank.
 
     weights: (query_id, term, weight); edges: (src, dst, edge_type, weight); nodes: (id, kind, is_test); seeds: (query_id, id, score); source: (id, text).
     Tests and what the tiers drop are left out.
     """
     spark = weights.sparkSession
-    hits = bm25.search_index(spark, index_path, weights, "id", k=k).select("query_id", "id", "score", "rank")
+    hits = segments.search(spark, index_path, weights, "id", k=k).select("query_id", "id", "score", "rank")
     walked = graph.walk_by_query(edges, seeds).select("query_id", "id", "score")
     walked = bm25.top_k(walked, "query_id", "id", k).select("query_id", "id", "score", "rank")
     fused = fuse.fuse(hits, walked, ["query_id"], "id").join(nodes.where("not is_test").select("id", "kind"), "id")

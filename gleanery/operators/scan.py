@@ -31,21 +31,21 @@ def scan(dealt: DataFrame, keys: list[str], order: list[str], inclusive: bool =
     inner = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)
-    totals = dealt.groupBy(*keys, "_stretch").agg(*[KINDS[kind][0](c, place).alias(f"_t_{name}") for name, (kind, c) in states.items()])
+    totals = dealt.groupBy(*keys, "_stretch").agg(*[KINDS[kind][0](c, place).alias(f"_scan_t_{name}") for name, (kind, c) in states.items()])
     start = totals.select(
-        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
-        F.col("_stretch").alias("_at"),
-        *[KINDS[kind][1](F.col(f"_t_{name}")).over(before).alias(f"_b_{name}") for name, (kind, _) in states.items()],
+        *[F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)],
+        F.col("_stretch").alias("_scan_at"),
+        *[KINDS[kind][1](F.col(f"_scan_t_{name}")).over(before).alias(f"_scan_b_{name}") for name, (kind, _) in states.items()],
     )
-    same = F.col("_stretch") == F.col("_at")
+    same = F.col("_stretch") == F.col("_scan_at")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
-    seen = dealt.select("*", *[KINDS[kind][1](c).over(inner).alias(f"_i_{name}") for name, (kind, c) in states.items()])
+        same = same & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
+    seen = dealt.select("*", *[KINDS[kind][1](c).over(inner).alias(f"_scan_i_{name}") for name, (kind, c) in states.items()])
     both = {
         "sum": lambda b, i: F.when(b.isNull(), i).when(i.isNull(), b).otherwise(b + i),
         "max": lambda b, i: F.greatest(b, i),
         "min": lambda b, i: F.least(b, i),
         "last": lambda b, i: F.coalesce(i, b),
     }
-    values = [both[kind](F.col(f"_b_{name}"), F.col(f"_i_{name}")).alias(name) for name, (kind, _) in states.items()]
+    values = [both[kind](F.col(f"_scan_b_{name}"), F.col(f"_scan_i_{name}")).alias(name) for name, (kind, _) in states.items()]
     return seen.join(start, same).select(*dealt.columns, *values)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as X
-from gleanery.operators import bm25, graph, group, metrics, pack, resolve, retrieve
+from gleanery.operators import bm25, graph, group, metrics, pack, resolve, retrieve, segments
 from gleanery.plans import code
 from gleanery.plans.ranking import MULTI, SCORED, TOKENS, benchmark_weights, docs
 from gleanery.plans.registry import query, table
@@ -21,6 +21,45 @@ def stored_search(spark, d):
     return bm25.search_index(spark, path, benchmark_weights(spark, d), "doc_id").drop("breakdown")
 
 
+PLAIN = segments.Texts("none", tuple(X.STOPWORDS))
+
+
+@query("pruned_search", f"WITH {TOKENS}, {MULTI}, {SCORED} SELECT query_id, doc_id, score, rank FROM hits WHERE rank <= 10")
+def pruned_search(spark, d):
+    """stored_search from a segmented index, of whose blocks only those are read that can hold one of the ten best."""
+    path = new_path(spark, "segmented")
+    segments.update(docs(spark, d), path, "doc_id", "text", PLAIN)
+    return segments.search(spark, path, benchmark_weights(spark, d), "doc_id", heavy=200).drop("breakdown")
+
+
+@query("updated_search", f"WITH {TOKENS}, {MULTI}, {SCORED} SELECT query_id, doc_id, score, rank FROM hits WHERE rank <= 10")
+def updated_search(spark, d):
+    """stored_search after an update: the index was made of other versions of the documents, without some and with one that is gone since."""
+    now = docs(spark, d)
+    text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" more of the same"))).otherwise(F.col("text"))
+    gone = now.limit(1).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    path = new_path(spark, "updated")
+    segments.update(now.where("doc_id % 7 <> 3").withColumn("text", text).unionByName(gone), path, "doc_id", "text", PLAIN)
+    segments.update(now, path, "doc_id", "text", PLAIN)
+    return segments.search(spark, path, benchmark_weights(spark, d), "doc_id", heavy=200).drop("breakdown")
+
+
+STALE = """now AS (SELECT doc_id, sha1(coalesce(text, '')) AS h FROM documents),
+was AS (SELECT doc_id, sha1(coalesce(text, '') || CASE WHEN doc_id % 11 = 0 AND text IS NOT NULL THEN ' more of the same' ELSE '' END) AS h FROM documents WHERE doc_id % 7 <> 3
+    UNION ALL SELECT -1 - doc_id, sha1('gone') FROM documents WHERE doc_id % 5 = 0)"""
+
+
+@query("stale_documents", f"WITH {STALE} SELECT coalesce(now.doc_id, was.doc_id) AS id, CASE WHEN was.h IS NULL THEN 'new' WHEN now.h IS NULL THEN 'deleted' ELSE 'changed' END AS state FROM now FULL JOIN was ON now.doc_id = was.doc_id WHERE now.h IS DISTINCT FROM was.h")
+def stale_documents(spark, d):
+    """What an index of earlier versions lacks, by digests."""
+    now = docs(spark, d)
+    text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" more of the same"))).otherwise(F.col("text"))
+    gone = now.where("doc_id % 5 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("gone").alias("text"))
+    path = new_path(spark, "stale")
+    segments.update(now.where("doc_id % 7 <> 3").withColumn("text", text).unionByName(gone), path, "doc_id", "text", PLAIN)
+    return segments.stale(now, path, "doc_id", "text")
+
+
 @query("porter_search")
 def porter_search(spark, d):
     """The benchmark's items as queries, stemmed by Porter's second algorithm, without English stopwords; held against plain Python in the tests."""
@@ -42,7 +81,7 @@ def indexed_code(spark, d):
     edges = cut(graph.typed_edges(nodes, calls, refs, calls.limit(0)), "typed")
     chunks = cut(bm25.code_chunks(symbols, code.files(spark, d)), "chunks")
     path = new_path(spark, "code-index")
-    bm25.build_index(chunks, "id", "text", path)
+    segments.update(chunks, path, "id", "text")
     return symbols, nodes, edges, chunks, path
 
 

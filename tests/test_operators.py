@@ -80,7 +80,7 @@ def test_reach(spark):
 def test_enclosing(spark):
     spans = spark.createDataFrame([("f", 1, 20, "c"), ("f", 4, 8, "m"), ("f", 9, 12, "m2"), ("g", 5, 1, "bad")], "file string, s int, e int, id string")
     points = spark.createDataFrame([("f", 5), ("f", 9), ("f", 40), (None, 5)], "file string, line int")
-    got = interval.enclosing(points, spans, "file", "line", "s", "e", "id", ["file", "line"], bucket=3)
+    got = interval.enclosing(points, spans, "file", "line", "s", "e", "id", ["file", "line"])
     assert sorted(((r.file, r.line, r.id) for r in got.collect()), key=str) == sorted([("f", 5, "m"), ("f", 9, "m2"), ("f", 40, None), (None, 5, None)], key=str)
 
 
