@@ -117,10 +117,10 @@ def split_in_order(spark, d):
     return group.split_in_order(o, ["o_custkey"], ["o_orderkey"], "size", 12.0, 3).select("o_custkey", "o_orderkey", "part")
 
 
-@query("assertion_places", """WITH m AS (SELECT l_orderkey % 50 AS k, l_partkey AS at, l_linenumber AS v, l_orderkey AS o FROM lineitem WHERE l_linenumber > 1),
-    n AS (SELECT k, at, v, o, row_number() OVER (PARTITION BY k ORDER BY at, o * 10 + v) AS ordinal, count(*) OVER (PARTITION BY k) AS total FROM m),
-    r AS (SELECT o_orderkey AS id, o_orderkey % 50 AS k, o_custkey * 2 - 40 AS at FROM orders),
-    w AS (SELECT r.id, r.k, greatest(1, count(m.k)) AS ordinal FROM r LEFT JOIN m ON m.k = r.k AND m.at <= r.at GROUP BY r.id, r.k)
+@query("assertion_places", """WITH m AS (SELECT l_orderkey % 50 AS k, l_partkey AS pos, l_linenumber AS v, l_orderkey AS o FROM lineitem WHERE l_linenumber > 1),
+    n AS (SELECT k, pos, v, o, row_number() OVER (PARTITION BY k ORDER BY pos, o * 10 + v) AS ordinal, count(*) OVER (PARTITION BY k) AS total FROM m),
+    r AS (SELECT o_orderkey AS id, o_orderkey % 50 AS k, o_custkey * 2 - 40 AS pos FROM orders),
+    w AS (SELECT r.id, r.k, greatest(1, count(m.k)) AS ordinal FROM r LEFT JOIN m ON m.k = r.k AND m.pos <= r.pos GROUP BY r.id, r.k)
     SELECT w.id, n.o * 10 + n.v AS mark, n.ordinal, n.total, n.total - n.ordinal AS not_evaluated FROM w JOIN n ON n.k = w.k AND n.ordinal = w.ordinal""")
 def assertion_places(spark, d):
     """The last mark at or before each place, or the first of all, with its ordinal, their total and how many were not evaluated."""

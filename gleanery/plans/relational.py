@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as X
 from gleanery.operators import metrics, relational
 from gleanery.plans.registry import query, table
-from gleanery.streaming import runlog
+from gleanery.storage import new_path
+from gleanery.streaming import machine, runlog
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'queued' END"
 RUNS = f"runs AS (SELECT *, {STATUS} AS status, (o_orderkey % 5)::BIGINT AS detected, (o_orderkey % 3)::BIGINT AS fixed, (o_orderkey % 2)::BIGINT AS patches, o_orderdate + to_seconds(o_orderkey % 1000) AS ended FROM orders)"
@@ -144,20 +145,64 @@ def run_state(spark, d):
     return runlog.run_state(as_log(table(spark, d, "events")))
 
 
+def in_parts(events, what, n=3):
+    """A stream over events that were written one stretch of ids after the other, a file of each batch at a time."""
+    spark = events.sparkSession
+    path = new_path(spark, what)
+    edges = events.approxQuantile("event_id", [k / n for k in range(1, n)], 0.05)
+    bounds = [float("-inf"), *sorted(set(edges)), float("inf")]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
 @query("run_state_stream", STATE)
 def run_state_stream(spark, d):
-    """The same state, from a stream over the events."""
-    import uuid
-
-    from gleanery.storage import shared_dir
-
-    schema = table(spark, d, "events").schema
-    path, single = f"{d}/events.parquet", spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    folder = single.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(single).isDirectory()
-    reader = spark.readStream.schema(schema)
-    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"run_state_{uuid.uuid4().hex}"
-    return runlog.follow(runlog.run_state(as_log(stream)), f"{shared_dir(spark)}/{name}", name)
+    """The same state, from a durable table that a stream of several batches keeps."""
+    stream, path = in_parts(table(spark, d, "events"), "run-events")
+    runlog.fold_stream(as_log(stream), f"{path}-table", f"{path}-marks").awaitTermination()
+    return runlog.stored_state(spark, f"{path}-table")
+
+
+@query("final_events", f"WITH {EVENTS} SELECT run_id, arg_min(status, seq) AS status, min(seq) AS seq FROM e WHERE status IN ('completed', 'failed', 'cancelled') GROUP BY run_id")
+def final_events(spark, d):
+    """One event for each run that ends, whatever comes after it in later batches."""
+    stream, path = in_parts(table(spark, d, "events"), "final-events")
+    runlog.fold_stream(as_log(stream), f"{path}-table", f"{path}-marks").awaitTermination()
+    return runlog.final_events(spark, f"{path}-table")
+
+
+ALLOWED = "((r.state = 'queued' AND s.status IN ('running', 'cancelled')) OR (r.state = 'running' AND s.status IN ('completed', 'failed', 'cancelled')))"
+
+
+@query("run_changes_stream", f"""WITH RECURSIVE {EVENTS}, s AS (SELECT run_id, seq, status, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS n FROM e WHERE status IS NOT NULL),
+    r AS (SELECT run_id, n, seq, NULL::VARCHAR AS was, status, status AS state, '' AS kind FROM s WHERE n = 1
+    UNION ALL SELECT s.run_id, s.n, s.seq, r.state, s.status, CASE WHEN {ALLOWED} THEN s.status ELSE r.state END, CASE WHEN s.status = r.state THEN '' WHEN {ALLOWED} THEN 'changed' ELSE 'refused' END
+        FROM r JOIN s ON s.run_id = r.run_id AND s.n = r.n + 1)
+    SELECT run_id, seq, kind, was, status FROM r WHERE kind <> ''""")
+def run_changes_stream(spark, d):
+    """Changes that the state machine of runs makes and refuses, from a stream of several batches with a state for each run."""
+    stream, path = in_parts(table(spark, d, "events"), "machine-events")
+    runlog.append_stream(machine.run_changes(as_log(stream).withColumn("ts", F.lit(None).cast("timestamp"))), f"{path}-table", f"{path}-marks").awaitTermination()
+    return spark.read.parquet(f"{path}-table").drop("batch")
+
+
+@query("entry_stream", """WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'set' WHEN 'view' THEN 'refresh' WHEN 'error' THEN 'delete' ELSE 'get' END AS op,
+        'v' || event_id AS value, 3600 * (1 + event_id % 40) AS ttl, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT key, n, seq, op, op = 'set' AS ok, CASE WHEN op = 'set' THEN value END AS read, CASE WHEN op = 'set' THEN value END AS value, CASE WHEN op = 'set' THEN us + ttl * 1000000 END AS expires FROM o WHERE n = 1
+    UNION ALL SELECT o.key, o.n, o.seq, o.op, o.op = 'set' OR coalesce(o.us < r.expires, false), CASE WHEN o.op = 'set' THEN o.value WHEN o.us < r.expires THEN r.value END,
+        CASE WHEN o.op = 'set' THEN o.value WHEN o.op <> 'delete' AND o.us < r.expires THEN r.value END,
+        CASE WHEN o.op = 'set' OR (o.op = 'refresh' AND o.us < r.expires) THEN o.us + o.ttl * 1000000 WHEN o.op <> 'delete' AND o.us < r.expires THEN r.expires END
+        FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
+    SELECT key, seq, op, ok, read AS value FROM r""")
+def entry_stream(spark, d):
+    """Entries that are set, refreshed, read and deleted by a stream, and expire."""
+    stream, path = in_parts(table(spark, d, "events"), "entry-events")
+    op = F.when(F.col("event_type").isin("signup", "purchase"), "set").when(F.col("event_type") == "view", "refresh").when(F.col("event_type") == "error", "delete").otherwise("get")
+    ts = F.col("ts").cast("timestamp")
+    ops = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), (3600 * (1 + F.col("event_id") % 40)).cast("int").alias("ttl_s"), ts.alias("ts"), F.unix_micros(ts).alias("at_us"))
+    runlog.append_stream(machine.entry_answers(ops, "10000 days"), f"{path}-table", f"{path}-marks").awaitTermination()
+    return spark.read.parquet(f"{path}-table").drop("batch")
 
 
 @query("invalid_transitions", f"WITH {EVENTS}, m AS (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY seq) AS was FROM e WHERE status IS NOT NULL) SELECT run_id, seq, was, status FROM m WHERE was IS NOT NULL AND was <> status AND NOT ((was IN ('queued', 'pending') AND status IN ('running', 'cancelled')) OR (was = 'running' AND status IN ('completed', 'failed', 'cancelled')))")
