@@ -106,7 +106,7 @@ def term_rows(docs: DataFrame, id_col: str, text_col: str, stemmer: str = "porte
 
     Without stopwords, these are the English ones and Python's keywords.
     """
-    stop = english_stopwords(docs.sparkSession) if stopwords is None else stopwords
+    stop = english_stopwords() if stopwords is None else stopwords
     if stemmer != "porter2":
         return docs.select(id_col, F.explode(tokenize(F.col(text_col), stemmer, stop)).alias("term"))
     parts = docs.select(id_col, F.explode(token_parts(F.col(text_col), stop)).alias("_p")).select(id_col, "_p.*")

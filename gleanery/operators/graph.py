@@ -21,12 +21,13 @@ def typed_edges(nodes: DataFrame, calls: DataFrame, references: DataFrame, decor
     c = calls.select("src", "dst").distinct()
     s = nodes.select(F.col("id").alias("src"), F.col("is_test").alias("src_test"))
     d = nodes.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"), F.col("is_test").alias("dst_test"))
-    full = c.withColumn("n", F.count("*").over(Window.partitionBy("src"))).join(s, "src").join(d, "dst")
+    full = c.join(c.groupBy("src").agg(F.count("*").alias("n")), "src").join(s, "src").join(d, "dst")
     is_class = F.col("dst_kind") == "class"
     kind = F.when(is_class & F.col("src_test") & (F.col("n") == 1), "tests").when(is_class, "instantiates").when(F.col("src_test"), "tests").otherwise("calls")
     forward = full.select("src", "dst", kind.alias("edge_type"))
-    back = full.where("not src_test and not dst_test").withColumn("fans", F.count("*").over(Window.partitionBy("dst")))
-    called = back.where(F.col("fans") <= hub).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("called_by").alias("edge_type"))
+    back = full.where("not src_test and not dst_test")
+    few = back.groupBy("dst").agg(F.count("*").alias("fans")).where(F.col("fans") <= hub).select("dst")
+    called = back.join(few, "dst", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("called_by").alias("edge_type"))
     r = references.select("src", "dst").distinct()
     back_refs = r.join(s, "src").join(d, "dst").where("not src_test and not dst_test")
     parts = (
@@ -44,43 +45,54 @@ def typed_edges(nodes: DataFrame, calls: DataFrame, references: DataFrame, decor
     return out.withColumn("weight", F.element_at(table, F.col("edge_type")))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int = 3, min_score: float = 0.15, rounds: int = 20) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int = 3, min_score: float = 0.15, max_visited: int = 300, rounds: int = 20) -> DataFrame:
     """walk_by_query() of one query, whose seeds are (id, score): (id, score, hop, path)."""
-    return walk_by_query(edges, seeds.withColumn("query_id", F.lit("")), decay, max_hops, min_score, rounds).drop("query_id")
+    return walk_by_query(edges, seeds.withColumn("query_id", F.lit("")), decay, max_hops, min_score, max_visited, rounds).drop("query_id")
 
 
-def walk_by_query(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int = 3, min_score: float = 0.15, rounds: int = 20) -> DataFrame:
+def walk_by_query(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, max_hops: int = 3, min_score: float = 0.15, max_visited: int = 300, rounds: int = 20) -> DataFrame:
     """(query_id, id, score, hop, path) of every node that a walk from a query's seeds (query_id, id, score) reaches; all walks go on together.
 
     A node keeps its best product of weights and decay, with the hops of that very path; a node whose best path has max_hops hops is not left, even if a
     weaker path is shorter. So labels are recomputed from the seeds until they stand still; a label can only be wrong because of a better one, and every
     factor is below 1. Equal scores: fewer hops, then the smaller path. path: array of (src, edge_type) to the node. edges with weights such that
     weight * decay < 1; an error is raised if labels still move after `rounds`.
+
+    A query leaves its best max_visited nodes only, by (score, hop, id); what these reach belongs to the result, however many nodes that are. The best path
+    to one of them runs over better ones alone, so the labels of the walk without the bound say which they are.
     """
     empty = F.array().cast("array<struct<src:string,edge_type:string>>")
     base = seeds.groupBy("query_id", F.col("id").cast("string").alias("id")).agg(F.max(F.col("score").cast("double")).alias("score")).select("query_id", "id", "score", F.lit(0).alias("hop"), empty.alias("path"))
     e = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "edge_type", (F.col("weight") * decay).alias("w"))
-    now = cut(base, "walk")
-    for _ in range(rounds):
+    best = F.min(F.struct((-F.col("score")).alias("loss"), "hop", "path")).alias("b")
+
+    def after(now: DataFrame) -> DataFrame:
         step = now.where(F.col("hop") < max_hops).join(e, F.col("id") == F.col("src"))
         new = step.select("query_id", F.col("dst").alias("id"), (F.col("score") * F.col("w")).alias("score"), (F.col("hop") + 1).alias("hop"), F.concat("path", F.array(F.struct("src", "edge_type"))).alias("path"))
         every = base.unionByName(new.where(F.col("score") >= min_score))
-        best = F.min(F.struct((-F.col("score")).alias("loss"), "hop", "path")).alias("b")
-        after = cut(every.groupBy("query_id", "id").agg(best).select("query_id", "id", (-F.col("b.loss")).alias("score"), "b.hop", "b.path"), "walk")
-        state = F.bit_xor(F.xxhash64("query_id", "id", "score", "hop"))
-        if tuple(after.agg(F.count("*"), state).first()) == tuple(now.agg(F.count("*"), state).first()):
-            return after
-        now = after
+        return cut(every.groupBy("query_id", "id").agg(best).select("query_id", "id", (-F.col("b.loss")).alias("score"), "b.hop", "b.path"), "walk")
+
+    def state(now: DataFrame) -> tuple:
+        return tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("query_id", "id", "score", "hop"))).first())
+
+    now = cut(base, "walk")
+    seen = state(now)
+    for _ in range(rounds):
+        now, before = after(now), seen
+        seen = state(now)
+        if seen == before:
+            order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hop", "id")
+            left = now.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_visited).drop("_n")
+            return after(left) if now.groupBy("query_id").count().where(F.col("count") > max_visited).head(1) else now
     raise RuntimeError(f"the walk has not settled after {rounds} rounds")
 
 
-def walk_hits(reached: DataFrame, nodes: DataFrame, seeds: DataFrame, max_visited: int = 300) -> DataFrame:
-    """Reached nodes with kind and rank, best first; tests stay only if they are seeds. Beyond max_visited nodes, the best that many stay."""
-    order = Window.orderBy(F.desc("score"), "hop", "id")
-    kept = reached.orderBy(F.desc("score"), "hop", "id").limit(max_visited)
+def walk_hits(reached: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes that queries reach (query_id, id, score, hop, ...) with kind and rank within the query, best first; tests stay only if they are the query's seeds."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hop", "id")
     n = nodes.select(F.col("id").cast("string").alias("id"), "kind", "is_test")
-    s = seeds.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("is_seed")).distinct()
-    out = kept.join(n, "id").join(s, "id", "left").where(~F.col("is_test") | F.col("is_seed"))
+    s = seeds.select("query_id", F.col("id").cast("string").alias("id"), F.lit(True).alias("is_seed")).distinct()
+    out = reached.join(n, "id").join(s, ["query_id", "id"], "left").where(~F.col("is_test") | F.col("is_seed"))
     return out.drop("is_seed").withColumn("rank", F.row_number().over(order).cast("long"))
 
 

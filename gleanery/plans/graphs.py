@@ -50,10 +50,10 @@ def typed_edges(spark, d):
 
 @query("graph_walk")
 def graph_walk(spark, d):
-    """Nodes reached from every twentieth part; held against a priority queue in the tests."""
-    seeds = nodes(spark, d).where("id % 20 = 0").select("id", F.lit(1.0).alias("score"))
-    reached = graph.walk(typed(spark, d), seeds)
-    return graph.walk_hits(reached, nodes(spark, d), seeds, 100_000).select("id", F.round("score", 6).alias("score"), "hop", "rank")
+    """A walk from every twentieth part, each a query of its own, which leaves 300 nodes at most; held against a priority queue over the whole graph in the tests."""
+    seeds = nodes(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "id", F.lit(1.0).alias("score"))
+    reached = graph.walk_by_query(typed(spark, d), seeds)
+    return graph.walk_hits(reached, nodes(spark, d), seeds).select("query_id", "id", F.round("score", 6).alias("score"), "hop", "rank")
 
 
 @query("reach_depth", f"WITH RECURSIVE {CALLS}, r AS (SELECT src AS start, dst AS node, 1 AS k FROM calls UNION ALL SELECT start, dst, k + 1 FROM r JOIN calls ON node = src WHERE k < 4) SELECT DISTINCT start, node FROM r")

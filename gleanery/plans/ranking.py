@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as X
 from gleanery.functions.stem import with_stems
 from gleanery.operators import bm25, fuse, metrics, relational
-from gleanery.plans.registry import query, table
+from gleanery.plans.registry import query, sql_classes, sql_parted, table
 
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 TERMS = ("the", "erthion", "ingth", "edand", "tion", "tion", "tion", "wherever")
@@ -15,8 +15,8 @@ TERMS = ("the", "erthion", "ingth", "edand", "tion", "tion", "tion", "wherever")
 #: Tokens of documents as DuckDB sees them: words split at case and digit boundaries and underscores, the whole word behind its pieces.
 TOKENS = rf"""
 words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9_]+')) AS w FROM documents),
-split AS (SELECT doc_id, w, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(w, '[^a-zA-Z0-9]+', ' ', 'g'),
-    '([a-z])([A-Z])|([A-Z]+)([A-Z][a-z])|([a-zA-Z])([0-9])|([0-9])([a-zA-Z])', '\1\3\5\7 \2\4\6\8', 'g')), ' +'), lambda x: x <> '') AS p FROM words),
+plain AS (SELECT doc_id, w, regexp_replace(w, '[^a-zA-Z0-9]+', ' ', 'g') AS x FROM words),
+split AS (SELECT doc_id, w, list_filter(string_split_regex(trim({sql_parted("x", "k")}), ' +'), lambda y: y <> '') AS p FROM (SELECT *, {sql_classes("x")} AS k FROM plain)),
 tok AS (SELECT doc_id, term FROM (SELECT doc_id, lower(unnest(CASE WHEN len(p) > 1 THEN list_append(p, w) ELSE p END)) AS term FROM split)
     WHERE length(term) >= 2 AND term NOT IN ({STOP})),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),

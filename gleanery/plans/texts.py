@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as X
-from gleanery.plans.registry import query, table
+from gleanery.plans.registry import query, sql_classes, sql_parted, table
 
-BOUNDARY = r"'([a-z])([A-Z])|([A-Z]+)([A-Z][a-z])|([a-zA-Z])([0-9])|([0-9])([a-zA-Z])', '\1\3\5\7 \2\4\6\8', 'g'"
 IDENT = "'get' || replace(p_name, ' ', '_') || 'HTTPResponse' || p_partkey || 'xY'"
 
 
-@query("split_ident", f"WITH i AS (SELECT p_partkey, {IDENT} AS x FROM part), p AS (SELECT p_partkey, x, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(x, '[^a-zA-Z0-9]+', ' ', 'g'), {BOUNDARY})), ' +'), lambda y: y <> '') AS p FROM i) SELECT p_partkey, lower(array_to_string(CASE WHEN len(p) > 1 THEN list_append(p, x) ELSE p END, ' ')) AS pieces FROM p")
+@query("split_ident", f"WITH i AS (SELECT p_partkey, {IDENT} AS x, regexp_replace({IDENT}, '[^a-zA-Z0-9]+', ' ', 'g') AS q FROM part), p AS (SELECT p_partkey, x, list_filter(string_split_regex(trim({sql_parted('q', 'k')}), ' +'), lambda y: y <> '') AS p FROM (SELECT *, {sql_classes('q')} AS k FROM i)) SELECT p_partkey, lower(array_to_string(CASE WHEN len(p) > 1 THEN list_append(p, x) ELSE p END, ' ')) AS pieces FROM p")
 def split_ident(spark, d):
     x = F.concat(F.lit("get"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("HTTPResponse"), "p_partkey", F.lit("xY"))
     return table(spark, d, "part").select("p_partkey", F.array_join(X.split_identifier(x), " ").alias("pieces"))

@@ -72,6 +72,43 @@ def test_walk_against_queue(spark):
     assert {a: round(b, 9) for a, b in rows(got, "id", "score")} == {k: round(v[0], 9) for k, v in want.items()}
 
 
+def bounded_walk(edges, seed, most):
+    """Best first with a bound on the nodes that are left; what they reach stays."""
+    best, left = {seed: (-1.0, 0, ())}, set()
+    heap = [(-1.0, 0, seed, ())]
+    while heap and len(left) < most:
+        loss, hop, n, path = heapq.heappop(heap)
+        if n in left or best[n] != (loss, hop, path):
+            continue
+        left.add(n)
+        if hop >= 3:
+            continue
+        for m, kind, w in edges.get(n, ()):
+            new = (-(-loss * (w * 0.9)), hop + 1, (*path, (n, kind)))
+            if -new[0] >= 0.15 and (m not in best or new < best[m]):
+                best[m] = new
+                heapq.heappush(heap, (new[0], new[1], m, new[2]))
+    return {m: (round(-loss, 9), hop) for m, (loss, hop, _) in best.items()}
+
+
+@pytest.mark.parametrize("most", [300, 12])
+def test_walks_over_the_whole_graph(spark, small, most):
+    """Every part of the table a query of its own, against a priority queue that leaves as many nodes."""
+    from gleanery.plans import graphs
+
+    typed = graphs.typed(spark, small)
+    by = {}
+    for r in typed.collect():
+        by.setdefault(str(r.src), []).append((str(r.dst), r.edge_type, r.weight))
+    seeds = graphs.nodes(spark, small).select(F.col("id").alias("query_id"), "id", F.lit(1.0).alias("score"))
+    got = {}
+    for r in graph.walk_by_query(typed, seeds, max_visited=most).collect():
+        got.setdefault(str(r.query_id), {})[r.id] = (round(r.score, 9), r.hop)
+    assert len(got) == seeds.count()
+    for q, found in got.items():
+        assert found == bounded_walk(by, q, most)
+
+
 def test_reach(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("c", "a")], "src string, dst string")
     assert [n for _, n in rows(graph.reach(e, spark.createDataFrame([("a",)], "id string")), "start", "node")] == ["a", "b", "c", "d", "e"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 import time
 from collections import Counter
@@ -11,6 +12,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import types as T
 
+from pyspark.sql import functions as F
+
 from gleanery.functions import text as X
 from gleanery.functions.stem import stem
 from gleanery.operators import bm25, pack
@@ -20,11 +23,56 @@ from gleanery.sources import files
 from gleanery.streaming import runlog
 
 
+def parted(word):
+    """The rule of identifiers, character by character."""
+    kind = lambda c: "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.isalpha() else ""
+    out, free = "", 0
+    for i, c in enumerate(word):
+        a, b, d = (kind(word[j]) if j < len(word) else "" for j in (i, i + 1, i + 2))
+        turn = a and b and a != b and (a, b) != ("upper", "lower")
+        capitals = (a, b, d) == ("upper", "upper", "lower")
+        out += c
+        if i >= free and (turn or capitals):
+            out, free = out + " ", i + (2 if turn else 3)
+    return out
+
+
+PARTED = {"x1y2Z": "x 1y 2Z", "HTTPServer": "HTTP Server", "getHTTPResponseCode": "get HTTP Response Code", "ABc1": "A Bc1", "aBCd": "a BCd", "snake_case2x": "snake case 2x", "plain": "plain", "A": "A", "": ""}
+
+
+def test_identifiers_are_parted(spark):
+    rng = random.Random(7)
+    words = list(PARTED) + ["".join(rng.choice("abAB01_") for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.pieces_of(F.col("w")).alias("p")).collect()
+    assert {r.w: " ".join(r.p) for r in got} == {w: " ".join(parted(re.sub("[^a-zA-Z0-9]+", " ", w)).split()) for w in words}
+    assert all(" ".join(parted(w.replace("_", " ")).split()) == p for w, p in PARTED.items())
+
+
+#: Word pairs of the algorithm's published sample vocabulary.
+STEMS = """
+consign consign, consigned consign, consigning consign, consignment consign, consist consist, consisted consist, consistency consist, consistent consist,
+consistently consist, consisting consist, consists consist, consolation consol, consolations consol, consolatory consolatori, console consol, consoled consol,
+consoles consol, consolidate consolid, consolidated consolid, consolidating consolid, consoling consol, consolingly consol, consols consol, consonant conson,
+consort consort, consorted consort, consorting consort, conspicuous conspicu, conspicuously conspicu, conspiracy conspiraci, conspirator conspir,
+conspirators conspir, conspire conspir, conspired conspir, conspiring conspir, constable constabl, constables constabl, constance constanc,
+constancy constanc, constant constant, knack knack, knackeries knackeri, knacks knack, knag knag, knave knave, knaves knave, knavish knavish, kneaded knead,
+kneading knead, knee knee, kneel kneel, kneeled kneel, kneeling kneel, kneels kneel, knees knee, knell knell, knelt knelt, knew knew, knick knick, knif knif,
+knife knife, knight knight, knightly knight, knights knight, knit knit, knits knit, knitted knit, knitting knit, knives knive, knob knob, knobs knob,
+knock knock, knocked knock, knocker knocker, knockers knocker, knocking knock, knocks knock, knopp knopp, knot knot, knots knot
+"""
+
+
+def test_stems_of_the_published_sample():
+    for pair in STEMS.replace("\n", " ").split(","):
+        word, want = pair.split()
+        assert stem(word) == want, word
+
+
 def tokens(text, stop):
     """Words split at signs and at case and digit boundaries; pieces are stemmed, whole words of several pieces are not."""
     out = []
     for w in re.findall("[a-zA-Z0-9_]+", text or ""):
-        p = [x for x in re.sub(X.BOUNDARY, r"\1\3\5\7 \2\4\6\8", re.sub("[^a-zA-Z0-9]+", " ", w)).split(" ") if x]
+        p = [x for x in parted(re.sub("[^a-zA-Z0-9]+", " ", w)).split(" ") if x]
         ok = lambda t: len(t) >= 2 and t not in stop
         out += [s for x in p if ok(x.lower()) and ok(s := stem(x.lower()))]
         if len(p) > 1 and ok(w.lower()):
@@ -33,7 +81,7 @@ def tokens(text, stop):
 
 
 def test_porter_search(spark, small):
-    stop = set(X.english_stopwords(spark))
+    stop = set(X.english_stopwords())
     docs = {r.doc_id: Counter(tokens(r.text, stop)) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     items = {r.item_id: Counter(tokens(r.text, stop)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
     docs = {i: c for i, c in docs.items() if c}
