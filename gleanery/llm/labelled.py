@@ -26,5 +26,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, t
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut(named.join(F.broadcast(known), "id").dropDuplicates(["id", "text"]), "labelled-rows")  # about `most` pairs of numbers are sent
     if rows.count() > most:
-        rows = rows.orderBy(F.xxhash64("id", "text"), "id").limit(most)
+        key = F.xxhash64("id", "text")
+        last = rows.select(key.alias("key")).orderBy("key").limit(most).agg(F.max("key")).first()[0]  # of at most `most` numbers
+        rows = rows.where(key <= last)
     return rows
