@@ -27,57 +27,93 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: tuple[str, ...]
 
 
 def import_map(imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file, alias, target): what each imported name means: a symbol of the imported file, or the file itself."""
-    named = imports.where("resolved_file is not null").select("file", F.coalesce("asname", "name").alias("alias"), "name", "resolved_file")
+    """(file, alias, target, resolved_file): what each imported name means: a symbol of the imported file, or the file itself; both null if outside the project."""
+    named = imports.select("file", F.coalesce("asname", "name").alias("alias"), "name", "resolved_file")
     s = symbols.select("id", F.col("file").alias("_f"), F.col("name").alias("_n")).where("id = concat(_f, '::', _n)")
     j = named.join(s, (F.col("resolved_file") == F.col("_f")) & (F.col("name") == F.col("_n")), "left")
     return j.select("file", "alias", F.col("id").alias("target"), "resolved_file")
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bases: DataFrame, attr_types: DataFrame, builtins: list[str], params: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bases: DataFrame, attr_types: DataFrame, builtins: list[str], params: DataFrame, builtin_methods: tuple[str, ...] = ()) -> DataFrame:
     """calls with callee, rule and reason.
 
-    calls: caller, file, cls (id of the enclosing class or null), receiver (null for a bare name; self, cls, super(), a name, or self.attr), name, line.
-    imports: import_map's. bases: (cls, base, ordinal). attr_types: (owner, attr, cls): types of attributes by class, of locals by caller. params:
-    (caller, name). Order of rules: builtin, parameter, imported name, same file; own class, inherited; typed attribute; typed local; imported module; the
-    one class of the file that has the method. Left over: attribute call on an unknown type, parameter call, or no match.
+    calls: caller, file, cls (id of the enclosing class or null), receiver (null for a bare name; self, cls, super(), a name, a chain of names, or <expr>), name,
+    line. imports: import_map's. bases: (cls, base, ordinal). attr_types: (owner, attr, cls): types of attributes by class, of locals by caller. params:
+    (caller, name).
+
+    What a call is looked up in goes by its receiver, and the first rule that fits holds. A bare name: builtin, parameter, import, same file. super(): the bases'
+    nearest method. self, cls: own class, then inherited. A chain: the type of the attribute of self or of a typed local, then a module of that dotted
+    name. A name: typed local, imported module, the first class of the file that has the method, builtin method. What is left has a reason: parameter_call,
+    not_found, external_module, super_unresolved, method_on_unknown_receiver, attribute_type_unknown, dynamic_call.
     """
     from gleanery.operators.graph import inherited
 
     members = symbols.where("parent is not null").select(F.col("parent").alias("cls"), "name", F.col("id").alias("member"))
     every = inherited(bases, members)
+    from_base = every.select(F.col("cls").alias("_b"), F.col("name").alias("_bn"), F.col("member").alias("_bm"))
+    above = bases.join(from_base, F.col("base") == F.col("_b")).groupBy("cls", "_bn").agg(F.min_by("_bm", F.struct("ordinal", "_bm")).alias("_bm"))
     top = symbols.where("parent is null and kind <> 'module'").select(F.col("file").alias("_tf"), F.col("name").alias("_tn"), F.col("id").alias("_top"))
     c = calls.withColumn("_row", F.monotonically_increasing_id())
-    bare = F.col("receiver").isNull()
-    self_call = F.col("receiver").isin("self", "cls", "super()")
-    attr = F.when(F.col("receiver").startswith("self."), F.substring("receiver", F.lit(6), F.length("receiver")))
-    c = c.withColumn("_attr", attr)
+    chain = F.split("receiver", "[.]")
+    form = F.when(F.col("receiver").isNull(), "bare").when(F.col("receiver") == "super()", "super").when(F.col("receiver").isin("self", "cls"), "self")
+    form = form.when(F.col("receiver") == "<expr>", "expr").when(F.size(chain) > 1, "chain").otherwise("name")
+    two = (F.col("_form") == "chain") & (F.size(chain) == 2)
+    c = c.withColumn("_form", form).withColumn("_head", F.when(F.col("_form") == "name", F.col("receiver")).when(two, F.get(chain, F.lit(0)))).withColumn("_tail", F.when(two, F.get(chain, F.lit(1))))
+    bare, named_form = F.col("_form") == "bare", F.col("_form") == "name"
     c = c.join(params.select(F.col("caller").alias("_pc"), F.col("name").alias("_pn")).distinct(), bare & (F.col("caller") == F.col("_pc")) & (F.col("name") == F.col("_pn")), "left")
-    named = imports.select(F.col("file").alias("_if"), F.col("alias").alias("_ia"), F.col("target").alias("_imported")).dropDuplicates(["_if", "_ia"])
-    c = c.join(named, bare & (F.col("file") == F.col("_if")) & (F.col("name") == F.col("_ia")), "left")
+    named = imports.select(F.col("file").alias("_if"), F.col("alias").alias("_ia"), F.col("target").alias("_imported"), F.col("resolved_file").alias("_module")).dropDuplicates(["_if", "_ia"])
+    c = c.join(named, (F.col("file") == F.col("_if")) & (F.coalesce("receiver", "name") == F.col("_ia")), "left")
     c = c.join(top, bare & (F.col("file") == F.col("_tf")) & (F.col("name") == F.col("_tn")), "left")
     own = every.select(F.col("cls").alias("_oc"), F.col("name").alias("_on"), F.col("member").alias("_own"))
-    c = c.join(own, self_call & (F.col("cls") == F.col("_oc")) & (F.col("name") == F.col("_on")), "left")
-    types = attr_types.select(F.col("owner").alias("_to"), F.col("attr").alias("_ta"), F.col("cls").alias("_tc")).dropDuplicates(["_to", "_ta"])
-    of, what = F.when(F.col("_attr").isNotNull(), F.col("cls")).otherwise(F.col("caller")), F.coalesce("_attr", "receiver")
-    c = c.withColumn("_of", of).withColumn("_what", what).join(types, (F.col("_of") == F.col("_to")) & (F.col("_what") == F.col("_ta")), "left")
+    c = c.join(own, (F.col("_form") == "self") & (F.col("cls") == F.col("_oc")) & (F.col("name") == F.col("_on")), "left")
+    up = above.select(F.col("cls").alias("_uc"), F.col("_bn").alias("_un"), F.col("_bm").alias("_above"))
+    c = c.join(up, (F.col("_form") == "super") & (F.col("cls") == F.col("_uc")) & (F.col("name") == F.col("_un")), "left")
+    types = attr_types.select("owner", "attr", "cls").dropDuplicates(["owner", "attr"])
+    local = types.select(F.col("owner").alias("_lo"), F.col("attr").alias("_la"), F.col("cls").alias("_lc"))
+    c = c.join(local, (F.col("caller") == F.col("_lo")) & (F.col("_head") == F.col("_la")), "left")
+    c = c.withColumn("_of", F.when(F.col("_tail").isNull(), None).when(F.col("_head") == "self", F.col("cls")).otherwise(F.col("_lc")))
+    attr = types.select(F.col("owner").alias("_ao"), F.col("attr").alias("_aa"), F.col("cls").alias("_ac"))
+    c = c.join(attr, (F.col("_of") == F.col("_ao")) & (F.col("_tail") == F.col("_aa")), "left")
+    c = c.withColumn("_type", F.when(F.col("_tail").isNotNull(), F.col("_ac")).otherwise(F.col("_lc")))
     typed = every.select(F.col("cls").alias("_mc"), F.col("name").alias("_mn"), F.col("member").alias("_typed"))
-    c = c.join(typed, (F.col("_tc") == F.col("_mc")) & (F.col("name") == F.col("_mn")), "left")
-    modules = imports.select(F.col("file").alias("_mf"), F.col("alias").alias("_ma"), F.col("resolved_file").alias("_module")).dropDuplicates(["_mf", "_ma"])
-    c = c.join(modules, (F.col("file") == F.col("_mf")) & (F.col("receiver") == F.col("_ma")), "left")
+    c = c.join(typed, (F.col("_type") == F.col("_mc")) & (F.col("name") == F.col("_mn")), "left")
     in_module = symbols.where("parent is null").select(F.col("file").alias("_qf"), F.col("name").alias("_qn"), F.col("id").alias("_in_module")).dropDuplicates(["_qf", "_qn"])
-    c = c.join(in_module, (F.col("_module") == F.col("_qf")) & (F.col("name") == F.col("_qn")), "left")
-    same = symbols.where("parent is not null").groupBy(F.col("file").alias("_sf"), F.col("name").alias("_sn")).agg(F.count("*").alias("_sc"), F.min("id").alias("_any"))
-    c = c.join(same, (~bare) & (F.col("file") == F.col("_sf")) & (F.col("name") == F.col("_sn")), "left")
-    builtin, param = bare & F.col("name").isin(builtins), F.col("_pc").isNotNull()
-    steps = (("builtin", builtin, None), ("parameter", param, None), ("import", F.col("_imported").isNotNull(), "_imported"), ("same file", F.col("_top").isNotNull(), "_top"), ("class", F.col("_own").isNotNull(), "_own"), ("typed", F.col("_typed").isNotNull(), "_typed"), ("module", F.col("_in_module").isNotNull(), "_in_module"), ("any class", F.col("_sc") == 1, "_any"))
+    c = c.join(in_module, F.col("_form").isin("name", "chain") & (F.col("_module") == F.col("_qf")) & (F.col("name") == F.col("_qn")), "left")
+    of_class = every.select(F.col("cls").alias("_cc"), F.col("name").alias("_cn"), F.col("member").alias("_of_class"))
+    c = c.join(of_class, named_form & (F.col("_imported") == F.col("_cc")) & (F.col("name") == F.col("_cn")), "left")
+    same = symbols.where("parent is not null").groupBy(F.col("file").alias("_sf"), F.col("name").alias("_sn")).agg(F.min_by("id", F.struct("line_start", "id")).alias("_any"))
+    c = c.join(same, named_form & (F.col("file") == F.col("_sf")) & (F.col("name") == F.col("_sn")), "left")
+    builtin, param, known = bare & F.col("name").isin(builtins), F.col("_pc").isNotNull(), F.col("_ia").isNotNull()
+    method = named_form & ~known & F.col("name").isin(*builtin_methods) if builtin_methods else F.lit(False)
+    in_project = F.coalesce("_in_module", "_of_class")
+    steps = (
+        ("builtin", builtin, None),
+        ("parameter", param, None),
+        ("import", bare & F.col("_imported").isNotNull(), F.col("_imported")),
+        ("same file", bare & ~known & F.col("_top").isNotNull(), F.col("_top")),
+        ("super", F.col("_above").isNotNull(), F.col("_above")),
+        ("class", F.col("_own").isNotNull(), F.col("_own")),
+        ("typed", F.col("_typed").isNotNull(), F.col("_typed")),
+        ("module", in_project.isNotNull(), in_project),
+        ("any class", ~known & F.col("_any").isNotNull(), F.col("_any")),
+        ("builtin method", method, None),
+    )
     rule = callee = None
     for name, test, value in steps:
-        rule = F.when(test, name) if rule is None else rule.when(test, name)
-        v = F.col(value) if value else F.lit(None).cast("string")
-        callee = F.when(test, v) if callee is None else callee.when(test, v)
-    reason = F.when(callee.isNotNull() | builtin, None).when(param, "parameter call").when(~bare & F.col("_tc").isNull(), "unknown type").otherwise("no match")
-    return c.select(*calls.columns, callee.alias("callee"), rule.alias("rule"), reason.alias("reason"))
+        test = F.coalesce(test, F.lit(False))
+        value = F.lit(None).cast("string") if value is None else value
+        rule, callee = (F.when(test, name), F.when(test, value)) if rule is None else (rule.when(test, name), callee.when(test, value))
+    left = (
+        F.when(param, "parameter_call")
+        .when(bare, F.when(known & F.col("_module").isNull(), "external_module").otherwise("not_found"))
+        .when(F.col("_form") == "super", "super_unresolved")
+        .when(F.col("_form") == "chain", "attribute_type_unknown")
+        .when(F.col("_form") == "expr", "dynamic_call")
+        .when(named_form & known, "external_module")
+        .otherwise("method_on_unknown_receiver")
+    )
+    settled = callee.isNotNull() | builtin | F.coalesce(method, F.lit(False))
+    return c.select(*calls.columns, callee.alias("callee"), rule.alias("rule"), F.when(~settled, left).alias("reason"))
 
 
 def resolve_bases(bases: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

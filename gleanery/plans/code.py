@@ -61,14 +61,127 @@ CALLEES = "(SELECT unnest(['Box.weigh', 'Box.weigh', 'make', 'make']) AS a, unne
 
 @query("code_calls", f"SELECT 'src/m' || p_partkey || '.py::' || replace(a, 'Box', 'Box' || p_partkey) AS caller, line::INTEGER AS line, 'src/m' || p_partkey || '.py::' || replace(b, 'Box', 'Box' || p_partkey) AS callee, rule FROM part, {CALLEES}")
 def code_calls(spark, d):
-    p = parsed(spark, d)
+    return resolved(parsed(spark, d), files(spark, d))[0].where("callee is not null").select("caller", "line", "callee", "rule")
+
+
+def resolved(p, sources):
+    """Calls of parsed sources with callee, rule and reason; symbols, imports with their files, what imported names mean, and bases."""
     s = cut(pyindex.symbols(p), "symbols")
-    imports = resolve.import_map(resolve.resolve_imports(pyindex.imports(p), files(spark, d)), s)
-    bases = resolve.resolve_bases(s.where("kind = 'class'").select(F.col("id").alias("cls"), "file", F.posexplode(F.coalesce("bases", F.array())).alias("ordinal", "name")), s, imports).where("base is not null")
-    types = pyindex.attribute_types(p).join(s.where("kind = 'class'").select(F.col("file").alias("_f"), F.col("name").alias("_n"), F.col("id").alias("cls")), (F.col("file") == F.col("_f")) & (F.col("type_name") == F.col("_n"))).select("owner", "attr", "cls")
+    imports = resolve.resolve_imports(pyindex.imports(p), sources)
+    names = cut(resolve.import_map(imports, s), "imports")
+    of = lambda what: resolve.resolve_bases(s.select(F.col("id").alias("cls"), "file", F.posexplode(F.coalesce(what, F.array())).alias("ordinal", "name")), s, names).where("base is not null")
+    attrs = pyindex.attribute_types(p).select(F.col("owner").alias("cls"), "file", F.col("attr").alias("ordinal"), F.col("type_name").alias("name"))
+    types = resolve.resolve_bases(attrs, s, names).where("base is not null").select(F.col("cls").alias("owner"), F.col("ordinal").alias("attr"), F.col("base").alias("cls"))
     params = s.select(F.col("id").alias("caller"), F.explode("params").alias("name"))
-    found = resolve.resolve_calls(pyindex.calls(p), s, imports, bases, types, ["len", "print"], params)
-    return found.where("callee is not null").select("caller", "line", "callee", "rule")
+    bases = cut(of(F.col("bases")), "bases")
+    found = resolve.resolve_calls(pyindex.calls(p), s, names, bases, types, ["len", "print"], params, ("items", "pop"))
+    return found, s, imports, bases, of(F.col("decorators"))
+
+
+#: Modules that use each other: one for each part k, over the module of k // 2, so bases are chains through many files. `grow` is every third module's.
+LINKED = """import util.tools as tools
+import json
+from util.tools import helper as h
+from .m{q} import Box{q}
+from pkg.m{q} import make as make_base
+
+
+def mark(f):
+    return f
+
+
+class Box{k}(Box{q}):
+    def __init__(self, other: Box{q}):
+        super().__init__(other)
+        self.other = other
+
+    def weigh(self, x, f):
+        f(x)
+        len(x)
+        h(x)
+        tools.helper(x)
+        self.other.grow(x)
+        super().nothing()
+        self.nothing()
+        return self.grow(x)
+
+    def {grow}(self, x):
+        return json.dumps(x)
+
+
+@mark
+def make(n):
+    box = Box{k}(n)
+    make_base(n)
+    n.weigh(n, n)
+    n.nothing()
+    nowhere(n)
+    box.other.grow(n)
+    n.items[0].pop()
+    n.pop()
+    return box.weigh(n, make)
+"""
+TOOLS = "LIMIT = 9\n\n\ndef helper(x):\n    return x\n"
+
+
+def linked_files(spark, d):
+    k = F.col("p_partkey")
+    q = F.floor(k / 2).cast("string")
+    text = F.replace(F.replace(F.replace(F.lit(LINKED), F.lit("{k}"), k.cast("string")), F.lit("{q}"), q), F.lit("{grow}"), F.when(k % 3 == 0, "grow").otherwise("shrink"))
+    made = table(spark, d, "part").select(F.concat(F.lit("pkg/m"), k, F.lit(".py")).alias("path"), text.alias("text"))
+    return made.unionByName(spark.createDataFrame([("util/tools.py", TOOLS), ("util/__init__.py", "")], "path string, text string")).withColumn("kind", F.lit("source"))
+
+
+def linked(spark, d):
+    return resolved(cut(pyindex.parse(linked_files(spark, d)), "linked-facts"), linked_files(spark, d))
+
+
+#: The parts as DuckDB sees their modules, and the nearest module on the chain of bases that has `grow`.
+CHAIN = """m AS (SELECT p_partkey AS k, p_partkey // 2 AS q, 'pkg/m' || p_partkey || '.py::' AS here, 'pkg/m' || (p_partkey // 2) || '.py::' AS base FROM part),
+up AS (SELECT k, k AS pos FROM m UNION ALL SELECT k, pos // 2 FROM up WHERE pos % 3 <> 0),
+g AS (SELECT k, 'pkg/m' || min(pos) || '.py::Box' || min(pos) || '.grow' AS grow FROM up GROUP BY k)"""
+MADE = """(VALUES ('__init__', 14, '__init__', 'super()'), ('weigh', 18, 'f', NULL), ('weigh', 19, 'len', NULL), ('weigh', 20, 'h', NULL), ('weigh', 21, 'helper', 'tools'), ('weigh', 22, 'grow', 'self.other'),
+    ('weigh', 23, 'nothing', 'super()'), ('weigh', 24, 'nothing', 'self'), ('weigh', 25, 'grow', 'self'), ('last', 28, 'dumps', 'json'), ('make', 33, 'Box', NULL), ('make', 34, 'make_base', NULL), ('make', 35, 'weigh', 'n'),
+    ('make', 36, 'nothing', 'n'), ('make', 37, 'nowhere', NULL), ('make', 38, 'grow', 'box.other'), ('make', 39, 'pop', '<expr>'), ('make', 40, 'pop', 'n'), ('make', 41, 'weigh', 'box')) AS t(fn, line, name, receiver)"""
+
+
+@query("linked_calls", f"""WITH RECURSIVE {CHAIN}, c AS (SELECT m.*, t.*, o.grow AS own_grow, b.grow AS base_grow FROM m, {MADE}, g o, g b WHERE o.k = m.k AND b.k = m.q),
+    r AS (SELECT *, CASE WHEN line = 14 THEN 'super' WHEN line = 18 THEN 'parameter' WHEN line = 19 THEN 'builtin' WHEN line IN (20, 34) THEN 'import' WHEN line = 21 THEN 'module' WHEN line IN (22, 38, 41) THEN 'typed' WHEN line = 25 THEN 'class'
+        WHEN line = 33 THEN CASE WHEN k = 0 THEN 'import' ELSE 'same file' END WHEN line = 35 THEN 'any class' WHEN line = 40 THEN 'builtin method' END AS rule,
+        CASE line WHEN 14 THEN base || 'Box' || q || '.__init__' WHEN 20 THEN 'util/tools.py::helper' WHEN 21 THEN 'util/tools.py::helper' WHEN 22 THEN base_grow WHEN 25 THEN own_grow WHEN 33 THEN here || 'Box' || k WHEN 34 THEN base || 'make'
+        WHEN 35 THEN here || 'Box' || k || '.weigh' WHEN 38 THEN base_grow WHEN 41 THEN here || 'Box' || k || '.weigh' END AS callee,
+        CASE line WHEN 18 THEN 'parameter_call' WHEN 23 THEN 'super_unresolved' WHEN 24 THEN 'method_on_unknown_receiver' WHEN 28 THEN 'external_module' WHEN 36 THEN 'method_on_unknown_receiver' WHEN 37 THEN 'not_found' WHEN 39 THEN 'dynamic_call' END AS reason FROM c)
+    SELECT here || CASE fn WHEN 'make' THEN 'make' WHEN 'last' THEN 'Box' || k || CASE WHEN k % 3 = 0 THEN '.grow' ELSE '.shrink' END ELSE 'Box' || k || '.' || fn END AS caller, line, CASE WHEN line = 33 THEN name || k ELSE name END AS name, callee, rule, reason FROM r""")
+def linked_calls(spark, d):
+    """Every rule and every reason, over imports of all kinds and chains of bases through as many files as they are deep."""
+    return linked(spark, d)[0].where("name <> 'super'").select("caller", "line", "name", "callee", "rule", "reason")
+
+
+@query("linked_imports", """SELECT 'pkg/m' || p_partkey || '.py' AS file, name, CASE WHEN line = 2 THEN NULL WHEN line IN (1, 3) THEN 'util/tools.py' ELSE 'pkg/m' || (p_partkey // 2) || '.py' END AS resolved_file
+    FROM (SELECT p_partkey, line, CASE WHEN line = 4 THEN 'Box' || (p_partkey // 2) ELSE n END AS name FROM part, (VALUES (1, 'util.tools'), (2, 'json'), (3, 'helper'), (4, ''), (5, 'make')) AS t(line, n))""")
+def linked_imports(spark, d):
+    """Absolute, aliased and relative imports to their files; none for a module outside the project."""
+    return linked(spark, d)[2].select("file", "name", "resolved_file")
+
+
+@query("linked_bases", "SELECT 'base' AS kind, 'pkg/m' || p_partkey || '.py::Box' || p_partkey AS id, 'pkg/m' || (p_partkey // 2) || '.py::Box' || (p_partkey // 2) AS named FROM part UNION ALL SELECT 'decorator', 'pkg/m' || p_partkey || '.py::make', 'pkg/m' || p_partkey || '.py::mark' FROM part")
+def linked_bases(spark, d):
+    """What classes and decorators are named after, in their own file or an imported one."""
+    _, _, _, bases, decorators = linked(spark, d)
+    kinds = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("cls").alias("id"), F.col("base").alias("named"))
+    return kinds(bases, "base").unionByName(kinds(decorators, "decorator"))
+
+
+@query("inherited_members", f"""WITH RECURSIVE {CHAIN}, o AS (SELECT k, k AS pos FROM m UNION ALL SELECT k, pos // 2 FROM o WHERE pos % 3 = 0 AND pos > 0),
+    s AS (SELECT k, 'pkg/m' || max(pos) || '.py::Box' || max(pos) || '.shrink' AS member FROM o WHERE pos % 3 <> 0 GROUP BY k)
+    SELECT here || 'Box' || k AS cls, name, here || 'Box' || k || '.' || name AS member FROM m, (SELECT unnest(['__init__', 'weigh']) AS name)
+    UNION ALL SELECT here || 'Box' || m.k, 'grow', grow FROM m JOIN g ON g.k = m.k UNION ALL SELECT here || 'Box' || m.k, 'shrink', member FROM m JOIN s ON s.k = m.k""")
+def inherited_members(spark, d):
+    """Each class's methods by name, its own or the nearest base's."""
+    from gleanery.operators.graph import inherited
+
+    _, s, _, bases, _ = linked(spark, d)
+    return inherited(bases, s.where("parent is not null").select(F.col("parent").alias("cls"), "name", F.col("id").alias("member")))
 
 
 @query("code_heuristics", "SELECT 'src/m' || p_partkey || '.py::same' AS id, 'constant_return' AS category FROM part")
