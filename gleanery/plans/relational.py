@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as X
-from gleanery.operators import metrics, relational
+from gleanery.operators import metrics, names, relational
 from gleanery.plans.registry import query, table
 from gleanery.storage import new_path
 from gleanery.streaming import machine, runlog
@@ -97,6 +97,26 @@ def fuzzy_name(spark, d):
     return relational.find_named(s, "red", "Brand#11").select(F.col("id").alias("p_partkey"), "match")
 
 
+ASKED = "p AS (SELECT n_nationkey AS pattern_id, CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name[1:2]) WHEN n_nationkey % 5 = 1 THEN lower(n_name[1:1]) WHEN n_nationkey % 5 = 2 THEN 'no such name' ELSE lower(n_name[1:3]) END AS pattern, 'Brand#' || (11 + n_nationkey) AS hint FROM nation UNION ALL SELECT 1000 + p_partkey, string_split(p_name, ' ')[1], NULL FROM part WHERE p_partkey % 50 = 0)"
+
+
+@query("many_names", f"""WITH {ASKED}, s AS (SELECT p_partkey AS id, string_split(p_name, ' ')[-1] AS name, replace(p_name, ' ', '.') AS q, p_brand AS file, p_size AS line FROM part),
+    h AS (SELECT pattern_id, id, hint, file, line, CASE WHEN name = pattern OR q = pattern OR ends_with(q, '.' || pattern) THEN 2 WHEN contains(q, pattern) OR contains(name, pattern) THEN 1 END AS match FROM p JOIN s ON contains(q, pattern))
+    SELECT pattern_id, id, match, row_number() OVER (PARTITION BY pattern_id ORDER BY match DESC, CASE WHEN file = hint THEN 0 ELSE 1 END, file, line, id)::INTEGER AS rank FROM h""")
+def many_names(spark, d):
+    """A table of patterns against all names, from a stored index of their runs."""
+    p = table(spark, d, "part")
+    symbols = p.select(F.col("p_partkey").alias("id"), F.element_at(F.split("p_name", " "), -1).alias("name"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("qualified_name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line_start"))
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey") % 5
+    text = F.when(k == 0, F.substring("n_name", 1, 2)).when(k == 1, F.substring("n_name", 1, 1)).when(k == 2, "no such name").otherwise(F.substring("n_name", 1, 3))
+    asked = n.select(F.col("n_nationkey").cast("long").alias("pattern_id"), F.lower(text).alias("pattern"), F.concat(F.lit("Brand#"), F.lit(11) + F.col("n_nationkey")).alias("hint_file"))
+    more = p.where("p_partkey % 50 = 0").select((F.lit(1000) + F.col("p_partkey")).cast("long").alias("pattern_id"), F.element_at(F.split("p_name", " "), 1).alias("pattern"), F.lit(None).cast("string").alias("hint_file"))
+    path = new_path(spark, "names")
+    names.build_names(symbols, path)
+    return names.find_all(spark, path, asked.unionByName(more)).select("pattern_id", "id", "match", "rank")
+
+
 @query("live_entries", "SELECT event_id FROM events WHERE ('clone:' || user_id || ':' || event_id) LIKE 'clone:1%' AND ts + INTERVAL 30 DAY > (SELECT max(ts) FROM events)")
 def live_entries(spark, d):
     e = table(spark, d, "events")

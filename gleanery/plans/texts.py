@@ -178,3 +178,13 @@ def query_terms(spark, d):
 def content_hash(spark, d):
     f = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.sha1(F.col("p_name").cast("binary")).alias("sha1"))
     return X.content_hash(f, "v1")
+
+
+@query("tree_digest", """WITH f AS (SELECT sha256(p_partkey::VARCHAR) AS at_, p_partkey || ':' || sha1(p_name) AS line FROM part),
+    a AS (SELECT at_[1:4] AS k, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS n FROM f GROUP BY ALL),
+    b AS (SELECT k[1:2] AS k2, sha256(string_agg(k || ':' || d, chr(10) ORDER BY k || ':' || d)) AS d, sum(n) AS n FROM a GROUP BY ALL)
+    SELECT sum(n)::BIGINT AS files, sha256('v1' || chr(10) || string_agg(k2 || ':' || d, chr(10) ORDER BY k2 || ':' || d)) AS tree_digest FROM b""")
+def tree_digest(spark, d):
+    """The digest of all files by a tree: no task has more than a leaf's files."""
+    f = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.sha1(F.col("p_name").cast("binary")).alias("sha1"))
+    return X.tree_digest(f, "v1")

@@ -1,18 +1,20 @@
 """Facts of Python sources, parsed with the standard library's ast and never run: symbols, imports, calls, references, failures.
 
-Resolution of names is not done here but by joins (operators.resolve); one pass over the files yields every fact as (kind, file, payload as JSON).
+Resolution of names is not done here but by joins (operators.resolve); one pass over the files yields every fact as a row of (kind, file) with one typed column for each kind, of which a fact fills its own.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 SYMBOL = "id string, kind string, name string, qualified_name string, file string, line_start int, line_end int, signature string, docstring string, parent string, is_test boolean, is_async boolean, decorators array<string>, bases array<string>, params array<string>, branches int, calls int, returns int, constant_return string, same_branch boolean"
 IMPORT = "file string, style string, level int, line int, module string, name string, asname string"
@@ -131,46 +133,53 @@ def facts(path: str, text: str, is_test: bool) -> Iterator[tuple[str, dict]]:
     yield from inside(loose, f"{path}::<module>", None, set())
 
 
+#: The typed column of each kind of fact.
+KINDS = {"symbol": SYMBOL, "import": IMPORT, "call": CALL, "attr": ATTR, "load": LOAD, "failure": FAILURE}
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """(kind, file, payload) of files (path, text, kind). Cache or store it: the functions below each select one kind."""
+    """(kind, file, and one struct column for each kind) of files (path, text, kind). Store it: the functions below each read one column of it."""
+    arrow = {k: to_arrow_type(StructType.fromDDL(ddl)) for k, ddl in KINDS.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, p, json.dumps(v)) for p, t, kind in zip(b["path"], b["text"], b["kind"], strict=True) for k, v in facts(p, t or "", kind == "test")]
-            yield pd.DataFrame(rows, columns=["kind", "file", "payload"])
+            rows = [(k, p, v) for p, t, kind in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, v in facts(p, t or "", kind == "test")]
+            typed = [pa.array([v if k == kind else None for k, _, v in rows], t) for kind, t in arrow.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.string()), pa.array([p for _, p, _ in rows], pa.string()), *typed], ["kind", "file", *arrow])
 
-    return files.select("path", "text", "kind").mapInPandas(run, "kind string, file string, payload string")
+    schema = ", ".join(["kind string, file string", *(f"`{k}` struct<{ddl.replace(' ', ':').replace(',:', ', ')}>" for k, ddl in KINDS.items())])
+    return files.select("path", "text", "kind").mapInArrow(run, schema)
 
 
-def _kind(parsed: DataFrame, kind: str, schema: str) -> DataFrame:
-    return parsed.where(F.col("kind") == kind).select(F.from_json("payload", schema).alias("p")).select("p.*")
+def _kind(parsed: DataFrame, kind: str) -> DataFrame:
+    return parsed.where(F.col(kind).isNotNull()).select(f"`{kind}`.*")
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
     """One row for each id; the last definition of a name holds."""
-    s = _kind(parsed, "symbol", SYMBOL)
+    s = _kind(parsed, "symbol")
     return s.groupBy("id").agg(F.max_by(F.struct(*[c for c in s.columns if c != "id"]), "line_start").alias("_s")).select("id", "_s.*")
 
 
 def imports(parsed: DataFrame) -> DataFrame:
-    return _kind(parsed, "import", IMPORT)
+    return _kind(parsed, "import")
 
 
 def calls(parsed: DataFrame) -> DataFrame:
-    return _kind(parsed, "call", CALL)
+    return _kind(parsed, "call")
 
 
 def attribute_types(parsed: DataFrame) -> DataFrame:
-    return _kind(parsed, "attr", ATTR).distinct()
+    return _kind(parsed, "attr").distinct()
 
 
 def failures(parsed: DataFrame) -> DataFrame:
-    return _kind(parsed, "failure", FAILURE)
+    return _kind(parsed, "failure")
 
 
 def constant_references(parsed: DataFrame, known: DataFrame, import_map: DataFrame) -> DataFrame:
     """(src, dst): functions that read a constant of their file, or an imported one, under a name that is not their own."""
-    loads = _kind(parsed, "load", LOAD).distinct()
+    loads = _kind(parsed, "load").distinct()
     constants = known.where("kind = 'constant'")
     own = loads.join(constants.select(F.col("file").alias("_f"), F.col("name").alias("_n"), F.col("id").alias("_id")), (F.col("file") == F.col("_f")) & (F.col("name") == F.col("_n")))
     named = import_map.join(constants.select(F.col("id").alias("target")), "target").select(F.col("file").alias("_f"), F.col("alias").alias("_n"), F.col("target").alias("_id"))

@@ -121,3 +121,49 @@ def test_one_key_is_split_alike_folded_and_doubled(spark, stretches, most):
         assert "Python" not in plan._jdf.queryExecution().toString() and "Arrow" not in plan._jdf.queryExecution().toString()
         got = {(r.k, r.i): r.part for r in plan.collect()}
         assert got == {("k", i): p for i, p in enumerate(want)} | {("small", i): i + 1 for i in range(3)} | {(None, 0): 1}
+
+
+def test_digest_of_any_number_of_files(spark):
+    """The same for any partitioning; other for any change of a file, a path or the version; the leaves are small."""
+    from gleanery.functions import text as X
+
+    rows = [(f"src/{k}.py", f"{k * k:040x}") for k in range(500)]
+    make = lambda rows, n=3: spark.createDataFrame(rows, "path string, sha1 string").repartition(n)
+    first = X.tree_digest(make(rows), "1").first()
+    assert first.files == 500 and X.tree_digest(make(rows[::-1], 7), "1").first() == first
+    others = [(make(rows), "2"), (make([("src/x.py", rows[0][1]), *rows[1:]]), "1"), (make([(rows[0][0], "f" * 40), *rows[1:]]), "1"), (make(rows[1:]), "1"), (make(rows + rows[:1]), "1")]
+    assert len({first.tree_digest, *(X.tree_digest(d, v).first().tree_digest for d, v in others)}) == 6
+    assert X.tree_digest(make(rows).limit(0), "1").first().files == 0
+
+
+def test_facts_are_typed_columns(spark):
+    """No fact is parsed again from text, and a kind's rows read that kind's column alone."""
+    from gleanery.sources import pyindex
+    from gleanery.storage import cut
+
+    sources = spark.createDataFrame([("a.py", "import os\n\n\ndef f(x):\n    return os.getcwd()\n", "source"), ("b.py", "def (:\n", "source"), ("c.py", None, "test")], "path string, text string, kind string")
+    parsed = cut(pyindex.parse(sources), "facts")
+    plan = pyindex.calls(parsed)._jdf.queryExecution().toString()
+    assert "from_json" not in plan and "struct<caller" in plan and "struct<id" not in plan.split("ReadSchema")[-1]
+    assert [tuple(r) for r in pyindex.calls(parsed).collect()] == [("a.py::f", "a.py", None, "os", "getcwd", 5)]
+    assert {r.id for r in pyindex.symbols(parsed).collect()} == {"a.py::<module>", "a.py::f", "c.py::<module>"}
+    assert [r.file for r in pyindex.failures(parsed).collect()] == ["b.py"]
+
+
+def test_patterns_of_any_length_find_names(spark):
+    from gleanery.operators import names
+    from gleanery.storage import new_path
+
+    rng = random.Random(8)
+    symbols = [(f"s{k}", n := "".join(rng.choice("abcé.") for _ in range(rng.randrange(1, 9))), f"{rng.choice('abc')}.{n}", f"f{k % 3}", k % 7) for k in range(300)] + [("only", "x", None, "f0", 1)]
+    patterns = [(k, "".join(rng.choice("abcé.") for _ in range(rng.randrange(1, 6))), rng.choice((None, "f1"))) for k in range(60)] + [(100, "", None), (101, "zzz", None), (102, "x", None), (103, None, None)]
+    path = new_path(spark, "names")
+    names.build_names(spark.createDataFrame(symbols, "id string, name string, qualified_name string, file string, line_start int"), path)
+    plan = names.find_all(spark, path, spark.createDataFrame(patterns, "pattern_id int, pattern string, hint_file string"))
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+    got = [(r.pattern_id, r["rank"], r.id, r.match) for r in plan.collect()]
+    want = []
+    for i, p, hint in patterns:
+        hits = [(-(2 if n == p or (q or n) == p or (q or n).endswith("." + p) else 1), hint is None or f != hint, f, line, s) for s, n, q, f, line in symbols if p and p in (q or n)]
+        want += [(i, k, h[4], -h[0]) for k, h in enumerate(sorted(hits), 1)]
+    assert sorted(got) == sorted(want)
