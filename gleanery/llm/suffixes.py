@@ -22,13 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import arrow_bytes, cut, lean, pack, text_bytes, unpack, width
+from gleanery.llm.common import arrow_bytes, cut, forget, lean, pack, text_bytes, unpack, width
 
 K = 16
 CHUNK = 1 << 20
 NO_ID = 2**63 - 1
 #: Bytes of text that a part, and a shard's share of contexts, has on average at most: a part is held whole by one task.
-PART_BYTES = 64 << 20
+PART_BYTES = 96 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -412,5 +412,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut(found, "repeat-contexts", by="kind")
     runs = found.where("kind = 0").select("key", "part", "base", "block").groupBy("key").applyInArrow(lean(judge), "part int, kind int, block binary")
     marks = cut(runs.unionByName(found.where("kind = 1").select("part", F.col("kind").cast("int").alias("kind"), "block")), "repeat-runs")
+    forget(wanted)
+    forget(found)
     out = rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean(remove), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)
