@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as X
 from gleanery.operators import metrics, names, relational
 from gleanery.plans.registry import query, table
+from gleanery.sources import folders
 from gleanery.storage import new_path
 from gleanery.streaming import machine, runlog
 
@@ -242,3 +243,19 @@ def flaky_rule(spark, d):
     e = table(spark, d, "events")
     r = e.select(F.col("user_id").alias("test"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("attempt"), F.when(F.col("event_type") == "error", "failed").otherwise("passed").alias("outcome"))
     return metrics.flaky(r)
+
+
+RESULT = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' WHEN 'click' THEN 'error' ELSE 'passed' END"
+
+
+@query("outcome_files", f"SELECT user_id, count(*) FILTER ({RESULT} = 'passed') AS passed, count(*) FILTER ({RESULT} = 'failed') AS failed, count(*) FILTER ({RESULT} = 'error') AS error, count(*) FILTER ({RESULT} = 'skipped') AS skipped, 0 AS xfailed, 0 AS xpassed, count(*) AS total, round(sum(event_id % 7 / 2.0::DOUBLE), 2) AS duration, true AS consistent FROM events GROUP BY user_id")
+def outcome_files(spark, d):
+    """Outcomes of runs, each run a file of its own that tasks read and parse."""
+    e = table(spark, d, "events")
+    result = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "skipped").when(F.col("event_type") == "click", "error").otherwise("passed")
+    row = F.struct(F.concat(F.lit("tests/t.py::test_"), "event_id").alias("node_id"), result.alias("outcome"), (F.col("event_id") % 7 / 2.0).alias("duration"))
+    run = F.struct(F.lit(0).alias("exit_code"), F.count("*").alias("total_tests"), F.collect_list(row).alias("results"))
+    path = new_path(spark, "outcomes")
+    e.groupBy("user_id").agg(F.to_json(run).alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
+    read = folders.outcomes(spark, path, "*.txt").withColumn("user_id", F.regexp_extract("file", "user_id=([0-9]+)", 1).cast("long"))
+    return metrics.outcome_counts(read, "outcome", F.col("duration"), keys=["user_id"])

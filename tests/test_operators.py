@@ -229,7 +229,11 @@ def test_logs(spark):
 
 def test_sinks(spark, tmp_path):
     bugs = spark.createDataFrame([("b2", "t2", None, "m", "Low"), ("b1", "t1", "E", None, "High")], "bug_id string, test_name string, error_type string, error_message string, severity string")
-    text = files.markdown_report(bugs).first()[0]
+    sections = sorted(files.markdown_sections(bugs.withColumn("line", F.lit(7))).collect())
+    text = "\n".join(r.markdown for r in sections)
+    assert [r.ordinal for r in sections] == [0, 1, 2] and "- Line: 7" in text and "- Error: unknown" in text
+    files.write_markdown(bugs, str(tmp_path / "report"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "report")).collect() if r.value.startswith("#")) == ["# Bug report", "## b1", "## b2"]
     assert text.index("## b1") < text.index("## b2") and "2 bugs" in text
     files.split_sinks(bugs, F.col("severity") == "Low", str(tmp_path / "a"), str(tmp_path / "b"), ["bug_id"])
     assert spark.read.json(str(tmp_path / "a")).count() == 1 and spark.read.json(str(tmp_path / "b")).count() == 1

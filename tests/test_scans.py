@@ -167,3 +167,39 @@ def test_patterns_of_any_length_find_names(spark):
         hits = [(-(2 if n == p or (q or n) == p or (q or n).endswith("." + p) else 1), hint is None or f != hint, f, line, s) for s, n, q, f, line in symbols if p and p in (q or n)]
         want += [(i, k, h[4], -h[0]) for k, h in enumerate(sorted(hits), 1)]
     assert sorted(got) == sorted(want)
+
+
+def test_folders_are_read_by_tasks(spark, tmp_path):
+    """Files of any name, the hidden ones too, and outcome files with and without results; read in as many tasks as asked."""
+    import json
+
+    from gleanery.sources import files, folders
+
+    (tmp_path / "a").mkdir()
+    for name, text in (("a/_x.py", "x = 1\n"), ("a/__init__.py", ""), ("b.py", "y\n"), (".hidden.py", "z"), ("a/note.txt", "n")):
+        (tmp_path / name).write_text(text)
+    found = folders.folder_files(spark, str(tmp_path), "*.py", files_per_task=1)
+    assert found.rdd.getNumPartitions() == 4
+    assert {r.path.removeprefix(str(tmp_path) + "/"): bytes(r.content).decode() for r in found.collect()} == {"a/_x.py": "x = 1\n", "a/__init__.py": "", "b.py": "y\n", ".hidden.py": "z"}
+    assert found.where("size = 0").count() == 1 and folders.folder_files(spark, f"file://{tmp_path}", "*.none").count() == 0
+    assert {r.path for r in files.source_files(spark, str(tmp_path)).collect()} >= {"a/_x.py", "a/__init__.py", "b.py"}
+    results = [{"node_id": "t.py::a", "outcome": "failed", "duration": 0.5, "error_type": "ValueError", "frames": [{"file": "m.py", "line": 3, "function": "f", "code_line": "f()"}]}, {"node_id": "t.py::b", "outcome": "passed", "duration": 0.25}]
+    for name, text in (("one.json", json.dumps({"exit_code": 1, "duration": 0.8, "total_tests": 2, "results": results})), ("_two.json", json.dumps({"exit_code": 5, "results": []})), ("bad.json", "not json")):
+        (tmp_path / name).write_text(text)
+    got = folders.outcomes(spark, str(tmp_path))
+    assert sorted((r.file.rsplit("/", 1)[-1], r.exit_code, r.node_id, r.outcome, r.frames[0].line if r.frames else None) for r in got.where("node_id IS NOT NULL").collect()) == [("one.json", 1, "t.py::a", "failed", 3), ("one.json", 1, "t.py::b", "passed", None)]
+    assert sorted((r.file.rsplit("/", 1)[-1], r.exit_code) for r in got.where("node_id IS NULL").collect()) == [("_two.json", 5), ("bad.json", None)]
+
+
+def test_json_folders_are_replaced_whole(spark, tmp_path):
+    from gleanery.sources import files
+
+    at = str(tmp_path / "rows")
+    files.write_json(spark.range(300).repartition(5), at, ["id"], partitions=3)
+    assert [r.id for r in spark.read.json(at).orderBy("id").collect()] == list(range(300)) and len(list((tmp_path / "rows").glob("part-*"))) == 3
+    bad = spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        files.write_json(bad, at, ["id"])
+    assert spark.read.json(at).count() == 300
+    files.write_json(spark.range(2), at, ["id"])
+    assert spark.read.json(at).count() == 2
