@@ -84,3 +84,16 @@ def artefacts(files: DataFrame, path: str = "path") -> DataFrame:
     """One row for each run folder: reports and patches found below it."""
     run = F.regexp_extract(path, "(^|/)(r_[0-9]+_[0-9]+)/", 2)
     return files.where(run != "").groupBy(run.alias("run_id")).agg(F.count_if(F.col(path).endswith("bug_report.json")).alias("reports"), F.count_if(F.col(path).endswith(".patch")).alias("patches"))
+
+
+def tab_counts(rows: DataFrame, status: str, tabs: tuple[str, ...]) -> DataFrame:
+    """(tab, n): rows of each status that a tab shows, 0 where there are none, and of `all`."""
+    counts = rows.agg(F.count("*").alias("all"), *[F.count_if(F.col(status) == t).alias(t) for t in tabs])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.col(f"`{t}`").alias("n")) for t in ("all", *tabs)])).alias("x")).select("x.*")
+
+
+def by_file(rows: DataFrame, file: str, passed: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys, file, total, passed, percent): totals of each source file and the share that passed, rounded half up; rows without a file count for `unknown`."""
+    name = F.coalesce(F.col(file), F.lit("unknown")).alias(file)
+    out = rows.groupBy(*(keys or []), name).agg(F.count("*").alias("total"), F.count_if(passed).alias("passed"))
+    return out.withColumn("percent", half_up(F.col("passed") * 100, F.col("total")))

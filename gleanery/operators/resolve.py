@@ -163,3 +163,19 @@ def called_before(calls: DataFrame, asserts: DataFrame) -> DataFrame:
     upto = calls.join(asserts, "test").where(F.col("line") <= F.col("assert_line"))
     once = upto.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return once.select("test", "name", "line", F.row_number().over(Window.partitionBy("test").orderBy("line", "name")).cast("long").alias("ordinal"))
+
+
+def code_context(points: DataFrame, files: DataFrame, symbols: DataFrame, k: int = 5) -> DataFrame:
+    """points (point_id, file, line) with the outermost function round the line: its id, its lines (code), and the k lines before and behind it.
+
+    Null where no function has the line or the file is unknown; of functions of the same span the smallest id.
+    """
+    f = symbols.where("kind IN ('function', 'method')").select(F.col("file").alias("_f"), F.col("id").alias("_id"), F.col("line_start").alias("_s"), F.col("line_end").alias("_e"))
+    hit = points.join(f, (F.col("file") == F.col("_f")) & F.col("line").between(F.col("_s"), F.col("_e")))
+    outer = hit.groupBy("point_id").agg(F.min_by(F.struct("_id", "_s", "_e"), F.struct(F.col("_s") - F.col("_e"), "_id")).alias("_o")).select("point_id", "_o.*")
+    text = files.select(F.col("path").alias("_path"), F.split(F.regexp_replace("text", "\n$", ""), "\n").alias("_lines"))
+    j = points.join(outer, "point_id", "left").join(text, F.col("file") == F.col("_path"), "left")
+    some = lambda a, b: F.array_join(F.slice("_lines", F.greatest(a, F.lit(1)), F.greatest(b - F.greatest(a, F.lit(1)) + 1, F.lit(0))), "\n")
+    part = lambda a, b: F.when(F.col("_id").isNotNull(), some(a, b))
+    s, e = F.col("_s"), F.col("_e")
+    return j.select(*points.columns, F.col("_id").alias("function_id"), part(s, e).alias("code"), part(s - k, s - 1).alias("before"), part(e + 1, e + k).alias("behind"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import group, metrics, relational, resolve, validate
@@ -302,3 +303,66 @@ def collected_candidates(spark, d):
 def sanitized_sources(spark, d):
     text = F.concat(F.lit('"""About."""\n'), "text", F.lit("# this should fail\n"))
     return pyindex.sanitized(files(spark, d).withColumn("text", text)).select("path", "docstrings_removed", "comments_removed")
+
+
+#: A test module for every part, with a function that has two equal branches; it is in a test's folder.
+PROBE = """from pkg.m{k} import make
+
+
+def helper(x):
+    if x:
+        y = 1
+    else:
+        y = 1
+    return y
+
+
+class TestMake:
+    def test_make(self):
+        def inner():
+            return make({k})
+        assert helper(inner()) == 1
+
+
+def test_other():
+    assert make(2)
+"""
+
+
+def probes(spark, d):
+    k = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select(F.concat(F.lit("tests/test_m"), k, F.lit(".py")).alias("path"), F.replace(F.lit(PROBE), F.lit("{k}"), k).alias("text"), F.lit("test").alias("kind"))
+
+
+@query("symbols_by_kind", "SELECT 'tests/test_m' || p_partkey || '.py::' || n AS id, kind, is_test, ordinal FROM part, (VALUES ('helper', 'function', false, 2), ('TestMake.test_make', 'method', true, 4), ('test_other', 'function', true, 5)) AS t(n, kind, is_test, ordinal)")
+def symbols_by_kind(spark, d):
+    """Functions and methods, which of them are tests, and each one's place in the listing of its file by lines."""
+    s = pyindex.symbols(cut(pyindex.parse(probes(spark, d)), "probe-facts"))
+    listed = s.withColumn("ordinal", F.row_number().over(Window.partitionBy("file").orderBy("line_start", F.desc("line_end"), "id")))
+    return listed.where("kind IN ('function', 'method')").select("id", "kind", "is_test", "ordinal")
+
+
+@query("identical_branches", "SELECT 'tests/test_m' || p_partkey || '.py::helper' AS id, 'identical_branch' AS category FROM part")
+def identical_branches(spark, d):
+    return pyindex.heuristics(pyindex.symbols(cut(pyindex.parse(probes(spark, d)), "probe-facts"))).select("id", "category")
+
+
+@query("test_only", "SELECT p_partkey, p_partkey % 2 = 0 AS reachable, CASE WHEN p_partkey % 2 = 1 THEN 'test_only_symbol:tests/test_m' || p_partkey || '.py::test_other' END AS reason FROM part")
+def test_only(spark, d):
+    """Reports about helpers of test modules can be reached, those about tests cannot."""
+    f = probes(spark, d)
+    bugs = table(spark, d, "part").select("p_partkey", F.concat(F.lit("tests/test_m"), "p_partkey", F.lit(".py")).alias("file"), F.when(F.col("p_partkey") % 2 == 1, "test_other").otherwise("helper").alias("symbol"))
+    return metrics.reachability(bugs, f, pyindex.symbols(cut(pyindex.parse(f), "probe-facts"))).select("p_partkey", "reachable", "reason")
+
+
+@query("code_context", """WITH p AS (SELECT p_partkey AS k, 1 + p_partkey % 20 AS line FROM part)
+    SELECT k AS point_id, CASE WHEN line BETWEEN 4 AND 9 THEN 'helper' WHEN line BETWEEN 13 AND 16 THEN 'TestMake.test_make' WHEN line BETWEEN 19 AND 20 THEN 'test_other' END AS fn,
+    CASE WHEN line BETWEEN 4 AND 9 THEN 'from pkg.m' || k || ' import make' || chr(10) || chr(10) WHEN line BETWEEN 13 AND 16 THEN chr(10) || chr(10) || 'class TestMake:' WHEN line BETWEEN 19 AND 20 THEN '        assert helper(inner()) == 1' || chr(10) || chr(10) END AS before,
+    CASE WHEN line BETWEEN 4 AND 9 THEN chr(10) || chr(10) || 'class TestMake:' WHEN line BETWEEN 13 AND 16 THEN chr(10) || chr(10) || 'def test_other():' WHEN line BETWEEN 19 AND 20 THEN '' END AS behind,
+    CASE WHEN line BETWEEN 4 AND 9 THEN 6 WHEN line BETWEEN 13 AND 16 THEN 4 WHEN line BETWEEN 19 AND 20 THEN 2 END AS lines FROM p""")
+def code_context(spark, d):
+    """Three lines before and behind the outermost function round a line; a nested function's lines belong to the one outside."""
+    f = probes(spark, d)
+    points = table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.concat(F.lit("tests/test_m"), "p_partkey", F.lit(".py")).alias("file"), (F.col("p_partkey") % 20 + 1).cast("int").alias("line"))
+    out = resolve.code_context(points, f, pyindex.symbols(cut(pyindex.parse(f), "probe-facts")), 3)
+    return out.select("point_id", F.element_at(F.split("function_id", "::"), -1).alias("fn"), "before", "behind", F.size(F.split("code", "\n")).alias("lines"))

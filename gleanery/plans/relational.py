@@ -259,3 +259,21 @@ def outcome_files(spark, d):
     e.groupBy("user_id").agg(F.to_json(run).alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
     read = folders.outcomes(spark, path, "*.txt").withColumn("user_id", F.regexp_extract("file", "user_id=([0-9]+)", 1).cast("long"))
     return metrics.outcome_counts(read, "outcome", F.col("duration"), keys=["user_id"])
+
+
+@query("idle_customers", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def idle_customers(spark, d):
+    """Customers without an order of one state: an anti join that has rows."""
+    return relational.lacking(table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("status_tabs", "SELECT 'all' AS tab, count(*) AS n FROM events UNION ALL SELECT t, count(*) FILTER (event_type = t) FROM events, (SELECT unnest(['view', 'click', 'error', 'never']) AS t) GROUP BY t")
+def status_tabs(spark, d):
+    return metrics.tab_counts(table(spark, d, "events"), "event_type", ("view", "click", "error", "never"))
+
+
+@query("files_passed", "SELECT l_returnflag, coalesce(CASE WHEN l_suppkey % 7 <> 0 THEN 'src/s' || (l_suppkey % 40) || '.py' END, 'unknown') AS file, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS passed, floor((2 * 100 * count(*) FILTER (l_linestatus = 'F') + count(*)) / (2.0 * count(*)))::BIGINT AS percent FROM lineitem GROUP BY ALL")
+def files_passed(spark, d):
+    """Totals by source file and the share that passed."""
+    file = F.when(F.col("l_suppkey") % 7 != 0, F.concat(F.lit("src/s"), F.col("l_suppkey") % 40, F.lit(".py")))
+    return metrics.by_file(table(spark, d, "lineitem").withColumn("file", file), "file", F.col("l_linestatus") == "F", ["l_returnflag"])

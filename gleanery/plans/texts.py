@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import answers
 from gleanery.functions import text as X
 from gleanery.plans.registry import query, sql_classes, sql_parted, table
 
@@ -188,3 +189,55 @@ def tree_digest(spark, d):
     """The digest of all files by a tree: no task has more than a leaf's files."""
     f = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.sha1(F.col("p_name").cast("binary")).alias("sha1"))
     return X.tree_digest(f, "v1")
+
+
+#: Answers as they come, what is said of them, by the number of an event modulo their count; {n} is the number, the lines asked about are 10 to 40.
+ANSWERS = (
+    ('{"category": "logic", "line_start": 12, "line_end": 14, "reason": "off by {n}"}', "ok"),
+    ('Sure:\n```json\n{"category": "type", "line_start": 10, "line_end": 40, "reason": "case {n}", "more": [1, {"a": 2}]}\n```\nDone.', "ok"),
+    ('{"no_bugs": true}', "no_bugs"),
+    ('no object here, {n}', "not_an_object"),
+    ('[1, 2]', "not_an_object"),
+    ('{"category": "  ", "line_start": 12, "line_end": 14, "reason": "x"}', "category"),
+    ('{"category": "logic", "line_start": "12", "line_end": 14, "reason": "x"}', "lines"),
+    ('{"category": "logic", "line_start": 12.5, "line_end": 14, "reason": "x"}', "lines"),
+    ('{"category": "logic", "line_start": 12, "line_end": 14, "reason": 7}', "reason"),
+    ('{"category": "logic", "line_start": 20, "line_end": 14, "reason": "x"}', "order"),
+    ('{"category": "logic", "line_start": 9, "line_end": 14, "reason": "x"}', "bounds"),
+    ('{"no_bugs": "yes", "line_start": 12, "line_end": 14, "reason": "x"}', "category"),
+    ('{"category": "logic", "line_start": 12, "line_end": 41, "reason": "x"} {', "bounds"),
+)
+SAID = ", ".join(f"({k}, '{v}')" for k, (_, v) in enumerate(ANSWERS))
+
+
+@query("judged_answers", f"SELECT event_id, verdict, CASE k WHEN 0 THEN 'logic' WHEN 1 THEN 'type' END AS category, CASE k WHEN 0 THEN 12 WHEN 1 THEN 10 END::BIGINT AS line_start, CASE k WHEN 0 THEN 14 WHEN 1 THEN 40 END::BIGINT AS line_end, CASE k WHEN 0 THEN 'off by ' || event_id WHEN 1 THEN 'case ' || event_id END AS reason FROM events JOIN (VALUES {SAID}) AS t(k, verdict) ON k = event_id % {len(ANSWERS)}")
+def judged_answers(spark, d):
+    """Reviewers' answers with every reason to reject one."""
+    texts = F.array(*[F.lit(t) for t, _ in ANSWERS])
+    e = table(spark, d, "events").select("event_id", F.replace(F.get(texts, (F.col("event_id") % len(ANSWERS)).cast("int")), F.lit("{n}"), F.col("event_id").cast("string")).alias("answer"))
+    return e.select("event_id", answers.parsed(F.col("answer")).alias("v")).select("event_id", answers.judged(F.col("v"), F.lit(10), F.lit(40)).alias("j")).select("event_id", "j.*")
+
+
+ADDRESSES = (
+    ("https://github.com/own{n}/re-po", "own{n}/re-po", None),
+    ("http://www.GitHub.com/own{n}/repo.git/", "own{n}/repo", None),
+    ("github.com/own{n}/repo?tab=readme#x", "own{n}/repo", None),
+    ("  own{n}/repo_1.x  ", "own{n}/repo_1.x", None),
+    ("https://me@github.com/own{n}/repo", "own{n}/repo", None),
+    ("https://gitlab.com/own{n}/repo", None, "host"),
+    ("repo{n}", None, "no_owner"),
+    ("github.com/own{n}", None, "identifier"),
+    ("own{n}/re po", None, "identifier"),
+    ("own{n}/..", None, "identifier"),
+    ("https://github.com/own{n}/repo/tree", None, "identifier"),
+    ("   ", None, "empty"),
+)
+NAMED = ", ".join(f"({k}, {'NULL' if r is None else repr(r)}, {'NULL' if e is None else repr(e)})" for k, (_, r, e) in enumerate(ADDRESSES))
+
+
+@query("repositories", f"SELECT page_id, replace(repo, '{{n}}', page_id::VARCHAR) AS repo, error FROM pages JOIN (VALUES {NAMED}) AS t(k, repo, error) ON k = page_id % {len(ADDRESSES)}")
+def repositories(spark, d):
+    """Addresses of repositories in all forms, and those that are none."""
+    forms = F.array(*[F.lit(a) for a, _, _ in ADDRESSES])
+    p = table(spark, d, "pages").select("page_id", F.replace(F.get(forms, (F.col("page_id") % len(ADDRESSES)).cast("int")), F.lit("{n}"), F.col("page_id").cast("string")).alias("url"))
+    return p.select("page_id", answers.repository(F.col("url")).alias("r")).select("page_id", "r.*")
