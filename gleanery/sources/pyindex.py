@@ -9,6 +9,7 @@ import ast
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,9 +144,19 @@ def parse(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, p, v) for p, t, kind in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, v in facts(p, t or "", kind == "test")]
-            typed = [pa.array([v if k == kind else None for k, _, v in rows], t) for kind, t in arrow.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.string()), pa.array([p for _, p, _ in rows], pa.string()), *typed], ["kind", "file", *arrow])
+            kinds, paths, own, place = [], [], {k: [] for k in arrow}, {k: [] for k in arrow}
+            for p, t, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, v in facts(p, t or "", kind == "test"):
+                    place[k].append(len(kinds))
+                    own[k].append(v)
+                    kinds.append(k)
+                    paths.append(p)
+            typed = []
+            for k, t in arrow.items():  # a kind's structs, spread over all rows; null in those of other kinds
+                at = np.full(len(kinds), -1, np.int64)
+                at[place[k]] = np.arange(len(own[k]))
+                typed.append(pa.array(own[k], t).take(pa.array(at, mask=at < 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(paths, pa.string()), *typed], ["kind", "file", *arrow])
 
     schema = ", ".join(["kind string, file string", *(f"`{k}` struct<{ddl.replace(' ', ':').replace(',:', ', ')}>" for k, ddl in KINDS.items())])
     return files.select("path", "text", "kind").mapInArrow(run, schema)
