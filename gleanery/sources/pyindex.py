@@ -159,7 +159,8 @@ def parse(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(paths, pa.string()), *typed], ["kind", "file", *arrow])
 
     schema = ", ".join(["kind string, file string", *(f"`{k}` struct<{ddl.replace(' ', ':').replace(',:', ', ')}>" for k, ddl in KINDS.items())])
-    return files.select("path", "text", "kind").mapInArrow(run, schema)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "text", "kind").repartition(n, "path").mapInArrow(run, schema)  # parsing is what takes the time: a small table of files is spread too
 
 
 def _kind(parsed: DataFrame, kind: str) -> DataFrame:
