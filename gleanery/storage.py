@@ -25,10 +25,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
-    """df written to the shared folder and read back: plans of loops do not grow, and lost executors are not recomputed from the start."""
+def cut(df: DataFrame, what: str, by: str | None = None, **options: str) -> DataFrame:
+    """df written to the shared folder and read back: plans of loops do not grow, and lost executors are not recomputed from the start.
+
+    options: the writer's, such as compression.
+    """
     path = new_path(df.sparkSession, what)
-    writer = df.write.partitionBy(by) if by else df.write
+    writer = df.write.options(**options)
+    writer = writer.partitionBy(by) if by else writer
     writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_at = path
