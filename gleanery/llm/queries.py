@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import collisions, divergence, fingerprints, jaccard, lines, mixing, packing, quality, rules, sessions, suffixes, token_counts, toxicity
+from gleanery.llm.common import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +49,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document before and after three edits: a word put in at a third, 40 characters out at a half, the last 20 replaced."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Every document before and after three edits: a word put in at a third, 40 characters out at a half, the last 20 replaced.
+
+    Two steps: all trees are made and stored beside their texts; the edits start from the stored trees.
+    """
+    how = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    made = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), *how, keep=True)
+    docs = cut(made.select("doc_id", F.col("edited_text").alias("text"), "tree"), "trees", compression="zstd")
     n = F.coalesce(F.length("text"), F.lit(0))
     at = lambda start, end, new: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(new).alias("new"))
     edits = F.array(at(F.floor(n / 3), F.floor(n / 3), "inserted "), at(F.floor(n / 2), F.floor(n / 2) + 40, ""), at(F.greatest(n - 20, F.lit(0)), n + 9, " and a new end."))
-    return token_counts.count_tokens(docs.withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, "edits")
+    return token_counts.count_tokens(docs.withColumn("edits", edits), *how, "edits", tree_col="tree")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ The pre-tokenizer's pattern reads from left to right without looking back, so tw
 After an edit, reading starts at the last boundary that the edit cannot have moved (the pattern looks at most one character beyond a pre-token, and at
 three characters from its start for contractions) and stops at the first old boundary behind the edit. Leaves outside keep their counts; the places of
 boundaries follow from the tree's sums, so an edit costs what it reads again and one way down the tree for each boundary that it asks for. A document's
-leaves can be kept as a column, and the next edits start from them.
+tree can be kept as a column, inner sums and all; the next edits start from it and make only the nodes that they come through.
 """
 
 from __future__ import annotations
@@ -46,15 +46,73 @@ class Counter:
         return list(map(self.known.__getitem__, words))
 
 
+class Kept:
+    """A stored tree: sums of its nodes, level by level from the root, where the kids of each begin (at the bottom: its leaves), and the leaves."""
+
+    def __init__(self, block: bytes):
+        self.lens, self.counts, self.first, self.n, self.chars, self.tokens, bottom = unpack(block, "<u4", "<u4", "<u4", "<u4", "<u8", "<u8", "<u4")
+        self.bottom = int(bottom[0])
+
+    def span(self, i: int) -> tuple[int, int]:
+        """First and last (not included) kid of node i, or leaf of a node at the bottom: kids of neighbours follow one another."""
+        ends = {self.bottom: len(self.first), len(self.first): len(self.lens)}
+        return int(self.first[i]), ends[i + 1] if i + 1 in ends else int(self.first[i + 1])
+
+    def node(self, i: int) -> Node:
+        out = Node.__new__(Node)
+        out.kept, out.place = self, i
+        out.n, out.chars, out.tokens = int(self.n[i]), int(self.chars[i]), int(self.tokens[i])
+        return out
+
+    def open(self, node: Node) -> None:
+        first, last = self.span(node.place)
+        inner = node.place < self.bottom
+        node.kept = None
+        node._kids = [self.node(k) for k in range(first, last)] if inner else None
+        node._lens, node._counts = ([], []) if inner else (self.lens[first:last].tolist(), self.counts[first:last].tolist())
+
+
 class Node:
-    """Leaves, characters and tokens of a stretch of pre-tokens; below it are nodes (kids) or, at the bottom, the leaves' lengths and counts."""
+    """Leaves, characters and tokens of a stretch of pre-tokens; below it are nodes (kids) or, at the bottom, the leaves' lengths and counts.
 
-    __slots__ = ("n", "chars", "tokens", "kids", "lens", "counts")
+    What is below a node of a stored tree is made when it is first asked for.
+    """
+
+    __slots__ = ("n", "chars", "tokens", "_kids", "_lens", "_counts", "kept", "place")
 
     def __init__(self, kids: list[Node] | None, lens: list[int] = (), counts: list[int] = ()):
-        self.kids, self.lens, self.counts = kids, lens, counts
+        self.kept, self._kids, self._lens, self._counts = None, kids, lens, counts
         self.sum()
 
+    def opened(self) -> Node:
+        if self.kept is not None:
+            self.kept.open(self)
+        return self
+
+    @property
+    def size(self) -> int:
+        """Number of kids, or of leaves at the bottom."""
+        if self.kept is not None:
+            first, last = self.kept.span(self.place)
+            return last - first
+        return len(self._lens if self._kids is None else self._kids)
+
+    @property
+    def kids(self) -> list[Node] | None:
+        return self.opened()._kids
+
+    @kids.setter
+    def kids(self, kids: list[Node]) -> None:
+        self._kids = kids
+
+    @property
+    def lens(self) -> list[int]:
+        return self.opened()._lens
+
+    @property
+    def counts(self) -> list[int]:
+        return self.opened()._counts
+
     def sum(self) -> None:
         if self.kids is None:
             self.n, self.chars, self.tokens = len(self.lens), sum(self.lens), sum(self.counts)
@@ -95,8 +153,7 @@ def _joined(nodes: list[Node]) -> list[Node]:
     """Neighbours that are small are joined, so that edits leave no chains of nodes with a leaf or two."""
     out: list[Node] = []
     for x in nodes:
-        size = lambda y: len(y.lens if y.kids is None else y.kids)
-        if out and size(out[-1]) + size(x) <= FAN // 2:
+        if out and out[-1].size + x.size <= FAN // 2:
             y = out[-1]
             if x.kids is None:
                 out[-1] = Node(None, [*y.lens, *x.lens], [*y.counts, *x.counts])
@@ -110,8 +167,12 @@ def _joined(nodes: list[Node]) -> list[Node]:
 class Tree:
     """A balanced segment tree over pre-tokens: every node has the sums of its stretch, and an edit renews the nodes above the leaves that it touches."""
 
-    def __init__(self, lens: list[int], counts: list[int]):
-        self.root = self._top(blocks(lens, counts))
+    def __init__(self, root: Node):
+        self.root = root
+
+    @classmethod
+    def of(cls, lens: list[int], counts: list[int]) -> Tree:
+        return cls(cls._top(blocks(lens, counts)))
 
     @staticmethod
     def _top(nodes: list[Node]) -> Node:
@@ -167,6 +228,18 @@ class Tree:
                 todo += reversed(node.kids)
         return lens, counts
 
+    def stored(self) -> bytes:
+        """The tree as one block, for Kept: all sums are written, so that none is made again when it is read."""
+        levels = [[self.root]]
+        while levels[-1][0].kids is not None:
+            levels.append([kid for node in levels[-1] for kid in node.kids])
+        nodes = [node for level in levels for node in level]
+        bottom = len(nodes) - len(levels[-1])
+        below = [x.size for x in nodes]
+        first = [*accumulate(below[:bottom], initial=1)][:-1] + [*accumulate(below[bottom:], initial=0)][:-1]
+        sums = [np.array([getattr(x, name) for x in nodes], kind) for name, kind in (("n", "<u4"), ("chars", "<u8"), ("tokens", "<u8"))]
+        return pack(*(np.array(x, "<u4") for x in (*self.leaves(), first)), *sums, np.array([bottom], "<u4"))
+
 
 class Document:
     """A text with the tree of its pre-tokens' lengths and token counts, read anew or from a stored tree of this text."""
@@ -174,13 +247,12 @@ class Document:
     def __init__(self, text: str, counter: Counter, stored: bytes | None = None):
         self.text, self.counter = text, counter
         if stored is not None:
-            lens, counts = (x.tolist() for x in unpack(stored, "<u4", "<u4"))
-            if sum(lens) != len(text):
+            self.tree = Tree(Kept(stored).node(0))
+            if self.tree.root.chars != len(text):
                 raise ValueError("the stored tree is of another text")
         else:
             words = counter.pattern.findall(text)
-            lens, counts = list(map(len, words)), counter.counts(words)
-        self.tree = Tree(lens, counts)
+            self.tree = Tree.of(list(map(len, words)), counter.counts(words))
 
     @property
     def tokens(self) -> int:
@@ -196,7 +268,7 @@ class Document:
         return list(accumulate(self.tree.leaves()[0], initial=0))
 
     def stored(self) -> bytes:
-        return pack(*(np.array(x, "<u4") for x in self.tree.leaves()))
+        return self.tree.stored()
 
     def edit(self, start: int, end: int, new: str) -> int:
         """Characters start to end (not included) become `new`; returns how many pre-tokens were read again."""
@@ -231,12 +303,12 @@ def counter(vocab_path: str, pattern: str) -> Counter:
     return _counters[vocab_path, pattern]
 
 
-def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None, keep: bool = False) -> DataFrame:
+def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None, keep: bool = False) -> DataFrame:
     """Token counts of every document before and after its edits.
 
-    edits_col: array of struct(start, end, new), code points of the text as the edits before have left it; null bounds are 0, bounds beyond the text are
+    edits_col (none: no edits): array of struct(start, end, new), code points of the text as the edits before have left it; null bounds are 0, bounds beyond the text are
     its end, an end before its start is the start, a null `new` is empty. pattern: the vocabulary's pre-tokenizer. Returns id_col, n_pretokens, n_tokens,
-    n_edited_pretokens, n_edited_tokens, n_reencoded (pre-tokens read again by the edits); with keep also edited_text and tree, the leaves of its tree, to be
+    n_edited_pretokens, n_edited_tokens, n_reencoded (pre-tokens read again by the edits); with keep also edited_text and tree, its tree with all sums, to be
     given as tree_col with that text in a later call: then only what the edits touch is encoded. One row for each row of docs; other columns are ignored.
 
     Defined results: a null or empty text has no tokens; null edits are none; a null id stays null; a null tree is made anew, one of another text is an
@@ -266,7 +338,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, pattern: str, edits_col: str,
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), *more], ["id", *names, *(["edited_text", "tree"] if keep else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    edits = F.transform(edits_col, lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["new"].cast("string").alias("new")))
+    edits = F.transform(edits_col or F.array().cast("array<struct<start:bigint,end:bigint,new:string>>"), lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["new"].cast("string").alias("new")))
     tree = F.col(tree_col) if tree_col else F.lit(None)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"), tree.cast("binary").alias("tree"))
     schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names) + ", edited_text string, tree binary" * keep

@@ -592,3 +592,30 @@ def test_components(spark):
         up[max(a, b)] = min(a, b)
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_a_stored_tree_is_read_where_it_is_edited():
+    """Trees of any height come back with all their sums; an edit opens the nodes on its way and no others."""
+    own = token_counts.Counter(BYTE_BPE, public_tokenizers.PATTERN)
+    for n in (0, 1, 64, 65, 4096, 4097, 9000):
+        d = token_counts.Document(" word" * n, own)
+        back = token_counts.Document(d.text, own, d.stored())
+        assert (back.pretokens, back.tokens, back.tree.root.chars) == (d.pretokens, d.tokens, 5 * n)
+        assert back.stored() == d.stored() and back.tree.leaves() == d.tree.leaves()
+    d = token_counts.Document(" word" * 20_000, own)
+    back = token_counts.Document(d.text, own, d.stored())
+    for x in (d, back):
+        x.edit(50_003, 50_003, "s and more")
+    closed = opened = 0
+    todo = [back.tree.root]
+    while todo:
+        x = todo.pop()
+        if x.kept is None:
+            opened += 1
+            todo += x.kids or []
+        else:
+            closed += 1
+    assert opened < 10 < closed
+    assert (back.tokens, back.pretokens) == (d.tokens, d.pretokens) == (lambda f: (f.tokens, f.pretokens))(token_counts.Document(d.text, own))
+    assert back.tree.leaves() == d.tree.leaves()
+    check_tree(back.tree.root)
