@@ -147,14 +147,58 @@ def tests_to_sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(t, "src").join(s, "dst").select(F.col("src").alias("test_id"), F.col("dst").alias("source_id")).distinct()
 
 
+#: Rounds of inherited() after which it looks for cycles; a chain without any goes on.
+ROUNDS = 32
+
+
 def inherited(bases: DataFrame, members: DataFrame) -> DataFrame:
     """(cls, name, member): a class's member of each name, its own or the nearest base's, bases in order and depth first.
 
-    For each class and base the first way to it is kept, as ordinals; a step extends the ways that became earlier, until none does. A way round a cycle is
-    never earlier, so cycles end, and chains of any depth are followed.
+    Members go down to the classes that lack them, one step a round, each with its way as ordinals; a class that has the name itself ends the way, so a class
+    and name meet in as many rows as there are lengths of ways to the name, not in one for each base above. Of the ways the first one holds. Chains of any
+    depth are followed; classes above which bases form a cycle are answered by _inherited_round.
+    """
+    order = lambda way: F.min(F.struct(F.col(way).alias("way"), "member")).alias("_b")
+    no_way = F.array().cast("array<int>")
+    own = cut(members.groupBy("cls", "name").agg(F.min("member").alias("member")), "own")
+    up = cut(bases.where("cls <> base").select("cls", "base", F.col("ordinal").cast("int").alias("ordinal")), "bases")  # a way over oneself is never the first
+    front, rounds, circles = own.withColumn("way", no_way), [], None
+    while True:
+        step = front.select(F.col("cls").alias("base"), "name", "member", F.col("way").alias("_way")).join(up, "base")
+        step = step.withColumn("way", F.concat(F.array("ordinal"), "_way")).join(own.select("cls", "name"), ["cls", "name"], "left_anti")
+        step = step.join(circles, "cls", "left_anti") if circles is not None else step
+        front = cut(step.groupBy("cls", "name").agg(order("way")).select("cls", "name", "_b.member", "_b.way"), "inherited-step")
+        if front.isEmpty():
+            break
+        rounds.append(front.cut_at)
+        if len(rounds) == ROUNDS:
+            circles = _above_cycles(up)
+            front = front.join(circles, "cls", "left_anti")
+    out = own.select("cls", "name", "member")
+    if rounds:
+        found = front.sparkSession.read.schema(front.schema).parquet(*rounds)
+        found = found.join(circles, "cls", "left_anti") if circles is not None else found
+        out = out.unionByName(found.groupBy("cls", "name").agg(order("way")).select("cls", "name", "_b.member"))
+    if circles is not None:
+        out = out.join(circles, "cls", "left_anti").unionByName(_inherited_round(circles, up, own))
+    return cut(out, "inherited")
+
+
+def _above_cycles(up: DataFrame) -> DataFrame:
+    """(cls): classes from which bases lead into a cycle: what is left when classes without bases are taken away, again and again."""
+    left, before = up, -1
+    while (n := left.count()) != before:
+        before, left = n, cut(left.join(left.select(F.col("cls").alias("base")).distinct(), "base", "left_semi"), "circles")
+    return cut(left.select("cls").distinct(), "circles")
+
+
+def _inherited_round(origins: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
+    """inherited() of the origins (cls), whatever cycles they lead into.
+
+    For each origin and base the first way to it is kept, as ordinals; a step extends the ways that became earlier, until none does. A way round a cycle is
+    never earlier, so cycles end.
     """
-    best = members.select(F.col("cls").alias("origin")).unionByName(bases.select(F.col("cls").alias("origin"))).distinct()
-    best = cut(best.withColumn("at", F.col("origin")).withColumn("way", F.array().cast("array<int>")), "ways")
+    best = cut(origins.select(F.col("cls").alias("origin"), F.col("cls").alias("at"), F.array().cast("array<int>").alias("way")), "ways")
     front = best
     while not front.isEmpty():
         step = front.join(bases, F.col("at") == F.col("cls")).select("origin", F.col("base").alias("at"), F.concat("way", F.array(F.col("ordinal").cast("int"))).alias("way"))
@@ -164,4 +208,4 @@ def inherited(bases: DataFrame, members: DataFrame) -> DataFrame:
         front = cut(earlier.select("origin", "at", "way"), "ways")
         best = cut(best.unionByName(front).groupBy("origin", "at").agg(F.min("way").alias("way")), "ways")
     found = best.join(members, F.col("at") == F.col("cls")).groupBy("origin", "name").agg(F.min_by("member", F.struct("way", "member")).alias("member"))
-    return cut(found.withColumnRenamed("origin", "cls"), "inherited")
+    return found.withColumnRenamed("origin", "cls")
