@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,36 +55,44 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, base
     from_base = every.select(F.col("cls").alias("_b"), F.col("name").alias("_bn"), F.col("member").alias("_bm"))
     above = bases.join(from_base, F.col("base") == F.col("_b")).groupBy("cls", "_bn").agg(F.min_by("_bm", F.struct("ordinal", "_bm")).alias("_bm"))
     top = symbols.where("parent is null and kind <> 'module'").select(F.col("file").alias("_tf"), F.col("name").alias("_tn"), F.col("id").alias("_top"))
-    c = calls.withColumn("_row", F.monotonically_increasing_id())
     chain = F.split("receiver", "[.]")
     form = F.when(F.col("receiver").isNull(), "bare").when(F.col("receiver") == "super()", "super").when(F.col("receiver").isin("self", "cls"), "self")
     form = form.when(F.col("receiver") == "<expr>", "expr").when(F.size(chain) > 1, "chain").otherwise("name")
-    two = (F.col("_form") == "chain") & (F.size(chain) == 2)
-    c = c.withColumn("_form", form).withColumn("_head", F.when(F.col("_form") == "name", F.col("receiver")).when(two, F.get(chain, F.lit(0)))).withColumn("_tail", F.when(two, F.get(chain, F.lit(1))))
-    bare, named_form = F.col("_form") == "bare", F.col("_form") == "name"
-    c = c.join(params.select(F.col("caller").alias("_pc"), F.col("name").alias("_pn")).distinct(), bare & (F.col("caller") == F.col("_pc")) & (F.col("name") == F.col("_pn")), "left")
+    of = lambda *forms: calls.withColumn("_form", form).where(F.col("_form").isin(*forms))
     named = imports.select(F.col("file").alias("_if"), F.col("alias").alias("_ia"), F.col("target").alias("_imported"), F.col("resolved_file").alias("_module")).dropDuplicates(["_if", "_ia"])
-    c = c.join(named, (F.col("file") == F.col("_if")) & (F.coalesce("receiver", "name") == F.col("_ia")), "left")
-    c = c.join(top, bare & (F.col("file") == F.col("_tf")) & (F.col("name") == F.col("_tn")), "left")
+    imported = lambda c: c.join(named, (F.col("file") == F.col("_if")) & (F.coalesce("receiver", "name") == F.col("_ia")), "left")
+
+    # each form meets only what it is looked up in, so a call is dealt as often as its own form needs
+    plain = imported(of("bare")).join(top, (F.col("file") == F.col("_tf")) & (F.col("name") == F.col("_tn")), "left")
+    plain = plain.join(params.select(F.col("caller").alias("_pc"), F.col("name").alias("_pn")).distinct(), (F.col("caller") == F.col("_pc")) & (F.col("name") == F.col("_pn")), "left")
     own = every.select(F.col("cls").alias("_oc"), F.col("name").alias("_on"), F.col("member").alias("_own"))
-    c = c.join(own, (F.col("_form") == "self") & (F.col("cls") == F.col("_oc")) & (F.col("name") == F.col("_on")), "left")
+    selfs = of("self").join(own, (F.col("cls") == F.col("_oc")) & (F.col("name") == F.col("_on")), "left")
     up = above.select(F.col("cls").alias("_uc"), F.col("_bn").alias("_un"), F.col("_bm").alias("_above"))
-    c = c.join(up, (F.col("_form") == "super") & (F.col("cls") == F.col("_uc")) & (F.col("name") == F.col("_un")), "left")
+    supers = of("super").join(up, (F.col("cls") == F.col("_uc")) & (F.col("name") == F.col("_un")), "left")
+
     types = attr_types.select("owner", "attr", "cls").dropDuplicates(["owner", "attr"])
+    two = (F.col("_form") == "chain") & (F.size(chain) == 2)
+    c = of("name", "chain").withColumn("_head", F.when(F.col("_form") == "name", F.col("receiver")).when(two, F.get(chain, F.lit(0)))).withColumn("_tail", F.when(two, F.get(chain, F.lit(1))))
     local = types.select(F.col("owner").alias("_lo"), F.col("attr").alias("_la"), F.col("cls").alias("_lc"))
     c = c.join(local, (F.col("caller") == F.col("_lo")) & (F.col("_head") == F.col("_la")), "left")
     c = c.withColumn("_of", F.when(F.col("_tail").isNull(), None).when(F.col("_head") == "self", F.col("cls")).otherwise(F.col("_lc")))
     attr = types.select(F.col("owner").alias("_ao"), F.col("attr").alias("_aa"), F.col("cls").alias("_ac"))
-    c = c.join(attr, (F.col("_of") == F.col("_ao")) & (F.col("_tail") == F.col("_aa")), "left")
-    c = c.withColumn("_type", F.when(F.col("_tail").isNotNull(), F.col("_ac")).otherwise(F.col("_lc")))
+    chains = c.where("_form = 'chain'").join(attr, (F.col("_of") == F.col("_ao")) & (F.col("_tail") == F.col("_aa")), "left").withColumn("_type", F.when(F.col("_tail").isNotNull(), F.col("_ac")).otherwise(F.col("_lc")))
+    c = chains.unionByName(c.where("_form = 'name'").withColumn("_type", F.col("_lc")), allowMissingColumns=True).drop("_of", "_lo", "_la", "_lc", "_ao", "_aa", "_ac", "_head", "_tail")
     typed = every.select(F.col("cls").alias("_mc"), F.col("name").alias("_mn"), F.col("member").alias("_typed"))
-    c = c.join(typed, (F.col("_type") == F.col("_mc")) & (F.col("name") == F.col("_mn")), "left")
+    c = imported(c.join(typed, (F.col("_type") == F.col("_mc")) & (F.col("name") == F.col("_mn")), "left"))
     in_module = symbols.where("parent is null").select(F.col("file").alias("_qf"), F.col("name").alias("_qn"), F.col("id").alias("_in_module")).dropDuplicates(["_qf", "_qn"])
-    c = c.join(in_module, F.col("_form").isin("name", "chain") & (F.col("_module") == F.col("_qf")) & (F.col("name") == F.col("_qn")), "left")
+    c = c.join(in_module, (F.col("_module") == F.col("_qf")) & (F.col("name") == F.col("_qn")), "left")
+    names = c.where("_form = 'name'")
     of_class = every.select(F.col("cls").alias("_cc"), F.col("name").alias("_cn"), F.col("member").alias("_of_class"))
-    c = c.join(of_class, named_form & (F.col("_imported") == F.col("_cc")) & (F.col("name") == F.col("_cn")), "left")
+    names = names.join(of_class, (F.col("_imported") == F.col("_cc")) & (F.col("name") == F.col("_cn")), "left")
     same = symbols.where("parent is not null").groupBy(F.col("file").alias("_sf"), F.col("name").alias("_sn")).agg(F.min_by("id", F.struct("line_start", "id")).alias("_any"))
-    c = c.join(same, named_form & (F.col("file") == F.col("_sf")) & (F.col("name") == F.col("_sn")), "left")
+    names = names.join(same, (F.col("file") == F.col("_sf")) & (F.col("name") == F.col("_sn")), "left")
+
+    looked_up = ("_pc", "_ia", "_imported", "_module", "_top", "_above", "_own", "_typed", "_in_module", "_of_class", "_any")
+    parts = [p.select(*calls.columns, "_form", *[F.col(x) if x in p.columns else F.lit(None).cast("string").alias(x) for x in looked_up]) for p in (plain, selfs, supers, of("expr"), c.where("_form = 'chain'"), names)]
+    c = reduce(DataFrame.unionByName, parts)
+    bare, named_form = F.col("_form") == "bare", F.col("_form") == "name"
     builtin, param, known = bare & F.col("name").isin(builtins), F.col("_pc").isNotNull(), F.col("_ia").isNotNull()
     method = named_form & ~known & F.col("name").isin(*builtin_methods) if builtin_methods else F.lit(False)
     in_project = F.coalesce("_in_module", "_of_class")

@@ -36,3 +36,13 @@ def test_inherited_above_cycles(spark, monkeypatch):
     got = graph.inherited(spark.createDataFrame(bases, "cls string, base string, ordinal int"), spark.createDataFrame(members, "cls string, name string, member string"))
     want = {(x, "m"): "c.m" for x in "abcz"} | {(x, "own"): "b.own" for x in "abz"} | {(f"d{k}", "m"): "d6.m" for k in range(7)}
     assert {(r.cls, r.name): r.member for r in got.collect()} == want
+
+
+def test_calls_are_dealt_by_form(spark):
+    """A call meets only the tables that its form of receiver is looked up in."""
+    p = pyindex.parse(spark.createDataFrame([("a.py", "def f(x):\n    x.go()\n    f(x)\n", "source")], "path string, text string, kind string"))
+    s = pyindex.symbols(p)
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    found = resolve.resolve_calls(pyindex.calls(p), s, none("file string, alias string, target string, resolved_file string"), none("cls string, base string, ordinal int"), none("owner string, attr string, cls string"), [], none("caller string, name string"))
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.receiver, r.name, r.callee) for r in found.collect()} == {("x", "go", None), (None, "f", "a.py::f")}
