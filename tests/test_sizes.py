@@ -46,3 +46,16 @@ def test_calls_are_dealt_by_form(spark):
     found = resolve.resolve_calls(pyindex.calls(p), s, none("file string, alias string, target string, resolved_file string"), none("cls string, base string, ordinal int"), none("owner string, attr string, cls string"), [], none("caller string, name string"))
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.receiver, r.name, r.callee) for r in found.collect()} == {("x", "go", None), (None, "f", "a.py::f")}
+
+
+def test_equal_patterns_are_ranked_once(spark, tmp_path):
+    """Many patterns of one text and hint: each gets every hit with its rank, and names are compared once for all of them."""
+    symbols = spark.createDataFrame([(k, f"red{k}", None, "f", k) for k in range(40)], "id long, name string, qualified_name string, file string, line_start int")
+    names.build_names(symbols, str(tmp_path))
+    asked = spark.range(50).select(F.col("id").alias("pattern_id"), F.lit("red").alias("pattern"), F.lit(None).cast("string").alias("hint_file"))
+    found = names.find_all(spark, str(tmp_path), asked)
+    rows = found.collect()
+    assert len(rows) == 2000 and {(r.pattern_id, r.id, r.rank) for r in rows} == {(p, k, k + 1) for p in range(50) for k in range(40)}
+    assert set(found.columns) == {"pattern_id", "id", "name", "qualified_name", "file", "line_start", "match", "rank"}
+    last = found._jdf.queryExecution().optimizedPlan().toString()
+    assert last.index("Join") < last.index("Window")  # ids of patterns come to hits that are ranked
