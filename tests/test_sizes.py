@@ -55,6 +55,16 @@ def test_no_calls_for_names(spark, small, monkeypatch, name):
     assert registry.QUERIES[name](spark, small).head(1)
 
 
+def test_symbols_settled_in_parsing(spark):
+    """Of a name that a file, or two files of one path, define twice, the last definition holds; selecting symbols deals nothing."""
+    rows = [("a.py", "def f():\n    pass\n\n\ndef f(x):\n    return x\n", "source"), ("b.py", "Z = 1\n", "source"), ("b.py", "\n\nZ = 1\n", "source")]
+    parsed = cut(pyindex.parse(spark.createDataFrame(rows, "path string, text string, kind string").repartition(3)), "facts")
+    s = pyindex.symbols(parsed)
+    assert "Exchange" not in s._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.line_start) for r in s.where("kind <> 'module'").collect()) == [("a.py::f", 5), ("b.py::Z", 3)]
+    assert s.where("kind = 'module'").count() == 2
+
+
 def test_equal_patterns_are_ranked_once(spark, tmp_path):
     """Many patterns of one text and hint: each gets every hit with its rank, and names are compared once for all of them."""
     symbols = spark.createDataFrame([(k, f"red{k}", None, "f", k) for k in range(40)], "id long, name string, qualified_name string, file string, line_start int")
