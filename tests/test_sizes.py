@@ -76,3 +76,13 @@ def test_equal_patterns_are_ranked_once(spark, tmp_path):
     assert set(found.columns) == {"pattern_id", "id", "name", "qualified_name", "file", "line_start", "match", "rank"}
     last = found._jdf.queryExecution().optimizedPlan().toString()
     assert last.index("Join") < last.index("Window")  # ids of patterns come to hits that are ranked
+
+
+def test_sanitizing_is_spread(spark):
+    """A table of sources that is read as one part is cleaned by as many tasks as there are shuffle partitions; what is cut is as before."""
+    text = 'if x:\n    def f():\n        "doc"\n        return lambda: 1  # this Should fail\n\n\nclass A:\n    """a\n    b"""\n\n    try:\n        pass\n    finally:\n        def g(): "only"\n'
+    files = spark.createDataFrame([(f"{k}.py", text) for k in range(40)], "path string, text string").coalesce(1)
+    out = pyindex.sanitized(files)
+    assert {(r.docstrings_removed, r.comments_removed) for r in out.collect()} == {(3, 1)} and out.select("path").count() == 40
+    used = out.select("path", "docstrings_removed", F.spark_partition_id().alias("task")).select("task").distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
