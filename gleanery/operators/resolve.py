@@ -23,7 +23,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: tuple[str, ...]
     absolute = [f for r in roots for f in forms(F.concat(F.lit(r.rstrip("/") + "/"), path) if r else path)]
     candidates = F.when(F.col("level") > 0, F.array(*forms(relative))).otherwise(F.array(*absolute))
     rows = imports.withColumn("_row", F.monotonically_increasing_id())
-    tried = rows.select("*", F.posexplode(candidates).alias("_prio", "_path")).join(files.select(F.col("path").alias("_file")), F.col("_path") == F.col("_file"), "left")
+    tried = rows.select("*", F.posexplode(candidates).alias("_prio", "_path")).join(files.select(F.col("path").alias("_file")).hint("merge"), F.col("_path") == F.col("_file"), "left")
     first = F.min_by("_file", F.when(F.col("_file").isNotNull(), F.col("_prio"))).alias("resolved_file")
     return tried.groupBy("_row", *imports.columns).agg(first).drop("_row")
 
@@ -181,10 +181,10 @@ def code_context(points: DataFrame, files: DataFrame, symbols: DataFrame, k: int
     Null where no function has the line or the file is unknown; of functions of the same span the smallest id.
     """
     f = symbols.where("kind IN ('function', 'method')").select(F.col("file").alias("_f"), F.col("id").alias("_id"), F.col("line_start").alias("_s"), F.col("line_end").alias("_e"))
-    hit = points.join(f, (F.col("file") == F.col("_f")) & F.col("line").between(F.col("_s"), F.col("_e")))
+    hit = points.join(f.hint("merge"), (F.col("file") == F.col("_f")) & F.col("line").between(F.col("_s"), F.col("_e")))
     outer = hit.groupBy("point_id").agg(F.min_by(F.struct("_id", "_s", "_e"), F.struct(F.col("_s") - F.col("_e"), "_id")).alias("_o")).select("point_id", "_o.*")
-    text = files.select(F.col("path").alias("_path"), F.split(F.regexp_replace("text", "\n$", ""), "\n").alias("_lines"))
-    j = points.join(outer, "point_id", "left").join(text, F.col("file") == F.col("_path"), "left")
+    text = files.select(F.col("path").alias("_path"), F.split(F.regexp_replace("text", "\n$", ""), "\n").alias("_lines")).hint("merge")  # sources grow with the input, whatever size Spark guesses
+    j = points.join(outer.hint("merge"), "point_id", "left").join(text, F.col("file") == F.col("_path"), "left")
     some = lambda a, b: F.array_join(F.slice("_lines", F.greatest(a, F.lit(1)), F.greatest(b - F.greatest(a, F.lit(1)) + 1, F.lit(0))), "\n")
     part = lambda a, b: F.when(F.col("_id").isNotNull(), some(a, b))
     s, e = F.col("_s"), F.col("_e")

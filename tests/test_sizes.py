@@ -78,6 +78,24 @@ def test_equal_patterns_are_ranked_once(spark, tmp_path):
     assert last.index("Join") < last.index("Window")  # ids of patterns come to hits that are ranked
 
 
+def joins(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["test_only", "code_context", "linked_imports"])
+def test_sources_are_not_broadcast(spark, small, name):
+    """Made sources are many times the table that they are made from, so its size is no reason to send them whole to each executor."""
+    plan = joins(registry.QUERIES[name](spark, small))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_texts_of_chunks_are_not_broadcast(spark, small):
+    from gleanery.operators import bm25
+    from gleanery.plans import code
+
+    assert "BroadcastHashJoin" not in joins(bm25.code_chunks(pyindex.symbols(code.parsed(spark, small)), code.files(spark, small), with_token=False))
+
+
 def test_index_checks_parse_once(spark, small, monkeypatch):
     seen = []
     parse = pyindex.parse
