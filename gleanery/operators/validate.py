@@ -29,9 +29,13 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def asymmetric(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Edges of either table whose mirror the other has not."""
-    f, b = forward.select("src", "dst").distinct(), backward.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    both = forward.select("src", "dst", F.lit(True).alias("_f")).unionByName(backward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("_f")))
+    once = both.groupBy("src", "dst").agg(F.bool_or("_f").alias("_f"), F.bool_or(~F.col("_f")).alias("_b"))  # one hashed pass for distinct edges and both ways
+    open_ = F.col("src").isNull() | F.col("dst").isNull()  # an edge without an end mirrors none
+    kinds = F.array(F.when(F.col("_f") & (~F.col("_b") | open_), "no mirror"), F.when(F.col("_b") & (~F.col("_f") | open_), "mirror only"))
+    wrong = once.select("src", "dst", F.explode(F.array_compact(kinds)).alias("kind"))
     name = F.concat_ws("->", F.col("src").cast("string"), F.col("dst").cast("string"))
-    return _errors(f.join(b, ["src", "dst"], "left_anti"), "no mirror", name).union(_errors(b.join(f, ["src", "dst"], "left_anti"), "mirror only", name))
+    return wrong.select("kind", name.alias("detail"))
 
 
 def validate_index(symbols: DataFrame, files: DataFrame, calls: DataFrame, callers: DataFrame, tests: DataFrame) -> DataFrame:
