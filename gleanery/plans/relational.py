@@ -256,8 +256,9 @@ def outcome_files(spark, d):
     row = F.struct(F.concat(F.lit("tests/t.py::test_"), "event_id").alias("node_id"), result.alias("outcome"), (F.col("event_id") % 7 / 2.0).alias("duration"))
     run = F.struct(F.lit(0).alias("exit_code"), F.count("*").alias("total_tests"), F.collect_list(row).alias("results"))
     path = new_path(spark, "outcomes")
-    e.groupBy("user_id").agg(F.to_json(run).alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
-    read = folders.outcomes(spark, path, "*.txt").withColumn("user_id", F.regexp_extract("file", "user_id=([0-9]+)", 1).cast("long"))
+    name = F.format_string("%03x/user_id=%s.json", F.pmod(F.xxhash64("user_id"), F.lit(1024)), F.coalesce(F.col("user_id").cast("string"), F.lit("none")))  # in 1,024 folders
+    folders.write_files(e.groupBy("user_id").agg(F.to_json(run).alias("value")).withColumn("name", name), path, "name", "value")
+    read = folders.outcomes(spark, path).withColumn("user_id", F.expr(r"try_cast(regexp_extract(file, 'user_id=(-?[0-9]+)', 1) AS BIGINT)"))
     return metrics.outcome_counts(read, "outcome", F.col("duration"), keys=["user_id"])
 
 
