@@ -166,30 +166,36 @@ def run_state(spark, d):
     return runlog.run_state(as_log(table(spark, d, "events")))
 
 
-def in_parts(events, what, n=3):
-    """A stream over events that were written one stretch of ids after the other, a file of each batch at a time."""
+def in_parts(events, what, start, n=3):
+    """Runs a stream over events that come in one stretch of ids after the other: each is written by as many tasks as have its rows, and `start(stream, path)` goes on
+    from its marks with it. Returns the path."""
     spark = events.sparkSession
     path = new_path(spark, what)
     edges = events.approxQuantile("event_id", [k / n for k in range(1, n)], 0.05)
     bounds = [float("-inf"), *sorted(set(edges)), float("inf")]
     for low, high in zip(bounds, bounds[1:], strict=False):
-        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+        events.where((F.col("event_id") > low) & (F.col("event_id") <= high)).write.mode("append").parquet(path)
+        start(spark.readStream.schema(events.schema).parquet(path), path).awaitTermination()
+    return path
+
+
+def log_parts(spark, d, what, start):
+    """in_parts with what as_log reads of the events."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return in_parts(events, what, lambda stream, path: start(as_log(stream), f"{path}-table", f"{path}-marks"))
 
 
 @query("run_state_stream", STATE)
 def run_state_stream(spark, d):
     """The same state, from a durable table that a stream of several batches keeps."""
-    stream, path = in_parts(table(spark, d, "events"), "run-events")
-    runlog.fold_stream(as_log(stream), f"{path}-table", f"{path}-marks").awaitTermination()
+    path = log_parts(spark, d, "run-events", runlog.fold_stream)
     return runlog.stored_state(spark, f"{path}-table")
 
 
 @query("final_events", f"WITH {EVENTS} SELECT run_id, arg_min(status, seq) AS status, min(seq) AS seq FROM e WHERE status IN ('completed', 'failed', 'cancelled') GROUP BY run_id")
 def final_events(spark, d):
     """One event for each run that ends, whatever comes after it in later batches."""
-    stream, path = in_parts(table(spark, d, "events"), "final-events")
-    runlog.fold_stream(as_log(stream), f"{path}-table", f"{path}-marks").awaitTermination()
+    path = log_parts(spark, d, "final-events", runlog.fold_stream)
     return runlog.final_events(spark, f"{path}-table")
 
 
@@ -203,9 +209,8 @@ ALLOWED = "((r.state = 'queued' AND s.status IN ('running', 'cancelled')) OR (r.
     SELECT run_id, seq, kind, was, status FROM r WHERE kind <> ''""")
 def run_changes_stream(spark, d):
     """Changes that the state machine of runs makes and refuses, from a stream of several batches with a state for each run."""
-    stream, path = in_parts(table(spark, d, "events"), "machine-events")
-    runlog.append_stream(machine.run_changes(as_log(stream).withColumn("ts", F.lit(None).cast("timestamp"))), f"{path}-table", f"{path}-marks").awaitTermination()
-    return spark.read.parquet(f"{path}-table").drop("batch")
+    path = log_parts(spark, d, "machine-events", machine.change_stream)
+    return machine.stored_changes(spark, f"{path}-table")
 
 
 @query("entry_stream", """WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'set' WHEN 'view' THEN 'refresh' WHEN 'error' THEN 'delete' ELSE 'get' END AS op,
@@ -218,11 +223,11 @@ def run_changes_stream(spark, d):
     SELECT key, seq, op, ok, read AS value FROM r""")
 def entry_stream(spark, d):
     """Entries that are set, refreshed, read and deleted by a stream, and expire."""
-    stream, path = in_parts(table(spark, d, "events"), "entry-events")
     op = F.when(F.col("event_type").isin("signup", "purchase"), "set").when(F.col("event_type") == "view", "refresh").when(F.col("event_type") == "error", "delete").otherwise("get")
     ts = F.col("ts").cast("timestamp")
-    ops = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), (3600 * (1 + F.col("event_id") % 40)).cast("int").alias("ttl_s"), ts.alias("ts"), F.unix_micros(ts).alias("at_us"))
-    runlog.append_stream(machine.entry_answers(ops, "10000 days"), f"{path}-table", f"{path}-marks").awaitTermination()
+    columns = (F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), (3600 * (1 + F.col("event_id") % 40)).cast("int").alias("ttl_s"), ts.alias("ts"), F.unix_micros(ts).alias("at_us"))
+    answer = lambda stream, path: runlog.append_stream(machine.entry_answers(stream.select(*columns), "10000 days"), f"{path}-table", f"{path}-marks")
+    path = in_parts(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "entry-events", answer)
     return spark.read.parquet(f"{path}-table").drop("batch")
 
 

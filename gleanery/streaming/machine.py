@@ -5,13 +5,15 @@ Both hold one small value for each key in the state store, whatever a key's numb
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanery.streaming.runlog import FINAL, NEXT
 
 CHANGE = "run_id string, seq bigint, kind string, was string, status string"
 ANSWER = "key string, seq bigint, op string, ok boolean, value string"
+STORED = "run_id string, seq bigint, was string, status string, batch int, kind string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,6 +76,57 @@ def run_changes(events: DataFrame, timeout_s: int | None = None, late: str = "1
     return events.withWatermark("ts", late).groupBy("run_id").transformWithState(RunMachine(timeout_s), CHANGE, "Append", "EventTime")
 
 
+def moves(status: str) -> int:
+    """How often a run of this status can change at most: no status comes back."""
+    return max((1 + moves(s) for s in NEXT.get(status, ())), default=0)
+
+
+def allowed(was: Column, status: Column) -> Column:
+    out = F.lit(False)
+    for a, bs in NEXT.items():
+        out = out | ((was == a) & status.isin(*bs))
+    return out
+
+
+def steps(rows: DataFrame, order: list) -> DataFrame:
+    """rows (run_id, status, ...) with kind (`first` for the first status of a run, `changed`, `refused`; null for one it has already) and was: RunMachine over whole runs.
+
+    Each of the few changes that a run can make is the first that the one before allows, so running windows find them without rows of one run in one place.
+    """
+    by_order = Window.partitionBy("run_id").orderBy(*order)
+    upto = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    states = [f"_s{k}" for k in range(1 + max(map(moves, NEXT)))]
+    out = rows.withColumn(states[0], F.first("status").over(upto))
+    for before, after in zip(states, states[1:], strict=False):
+        out = out.withColumn(after, F.first(F.when(allowed(F.col(before), F.col("status")), F.col("status")), ignorenulls=True).over(upto))
+    out = out.withColumn("was", F.lag(F.coalesce(*reversed(states))).over(by_order))
+    kind = F.when(F.col("was").isNull(), "first").when(F.col("was") != F.col("status"), F.when(allowed(F.col("was"), F.col("status")), "changed").otherwise("refused"))
+    return out.withColumn("kind", kind).drop(*states)
+
+
+def change_stream(events: DataFrame, path: str, checkpoint: str):
+    """Starts a stream over what there is that stores, by batch and kind, what RunMachine answers to events (run_id, seq, status) without a timeout; see stored_changes.
+
+    The state of a run is its first status and its changes, of which there are few, in the folders of earlier batches: a batch goes on behind them, and one that is run
+    again overwrites its own folder. An event without a run, or without a status, changes none.
+    """
+
+    def store(batch: DataFrame, n: int) -> None:
+        rows = batch.where("run_id IS NOT NULL AND status IS NOT NULL").select("run_id", "seq", "status", F.lit(n).alias("batch"))
+        if n:
+            known = batch.sparkSession.read.schema(STORED).parquet(path).where((F.col("batch") < n) & F.col("kind").isin("first", "changed"))
+            rows = rows.unionByName(known.select("run_id", "seq", "status", "batch"))
+        told = steps(rows, ["batch", F.asc_nulls_last("seq"), "status"]).where((F.col("batch") == n) & F.col("kind").isNotNull())
+        told.select("run_id", "seq", "was", "status", "kind").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={n}")
+
+    return events.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_changes(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, seq, kind, was, status) of all changes, made or refused, in a table that change_stream keeps."""
+    return spark.read.schema(STORED).parquet(path).where(F.col("kind").isin("changed", "refused")).select("run_id", "seq", "kind", "was", "status")
+
+
 class Entries(StatefulProcessor):
     """One value for each key with its time of expiry; the answer to each operation in order of seq.
 
