@@ -225,10 +225,10 @@ def entry_stream(spark, d):
     """Entries that are set, refreshed, read and deleted by a stream, and expire."""
     op = F.when(F.col("event_type").isin("signup", "purchase"), "set").when(F.col("event_type") == "view", "refresh").when(F.col("event_type") == "error", "delete").otherwise("get")
     ts = F.col("ts").cast("timestamp")
-    columns = (F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), (3600 * (1 + F.col("event_id") % 40)).cast("int").alias("ttl_s"), ts.alias("ts"), F.unix_micros(ts).alias("at_us"))
-    answer = lambda stream, path: runlog.append_stream(machine.entry_answers(stream.select(*columns), "10000 days"), f"{path}-table", f"{path}-marks")
+    columns = (F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), "event_id").alias("value"), (3600 * (1 + F.col("event_id") % 40)).cast("int").alias("ttl_s"), F.unix_micros(ts).alias("at_us"))
+    answer = lambda stream, path: machine.answer_stream(stream.select(*columns), f"{path}-table", f"{path}-marks")
     path = in_parts(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "entry-events", answer)
-    return spark.read.parquet(f"{path}-table").drop("batch")
+    return machine.stored_answers(spark, f"{path}-table")
 
 
 @query("invalid_transitions", f"WITH {EVENTS}, m AS (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY seq) AS was FROM e WHERE status IS NOT NULL) SELECT run_id, seq, was, status FROM m WHERE was IS NOT NULL AND was <> status AND NOT ((was IN ('queued', 'pending') AND status IN ('running', 'cancelled')) OR (was = 'running' AND status IN ('completed', 'failed', 'cancelled')))")

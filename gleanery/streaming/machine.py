@@ -14,6 +14,7 @@ from gleanery.streaming.runlog import FINAL, NEXT
 CHANGE = "run_id string, seq bigint, kind string, was string, status string"
 ANSWER = "key string, seq bigint, op string, ok boolean, value string"
 STORED = "run_id string, seq bigint, was string, status string, batch int, kind string"
+TOLD = "key string, seq bigint, op string, ok boolean, value string, after struct<value: string, expires: bigint>, batch int, last boolean"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -173,3 +174,51 @@ def entry_answers(operations: DataFrame, late: str = "1 hour") -> DataFrame:
     """(key, seq, op, ok, value) of a stream of operations (key, seq, op, value, ttl_s int, ts timestamp, at_us bigint: ts in microseconds); see Entries."""
     keep_state_in_rocksdb(operations.sparkSession)
     return operations.withWatermark("ts", late).groupBy("key").transformWithState(Entries(), ANSWER, "Append", "EventTime")
+
+
+def told(operations: DataFrame, order: list) -> DataFrame:
+    """operations (key, seq, op, value, due, at_us, ...) with ok and read, as Entries answers them, and after: value and time of expiry of the entry that is left, or null;
+    last marks the last row of each key. due is the time of expiry that a set or refresh asks for; an operation `held` is an entry that was there before.
+
+    An entry lives from its last set on, until a row that comes at its time of expiry or later, or behind a delete; running windows find the last of each.
+    """
+    by_order = Window.partitionBy("key").orderBy(*order)
+    upto = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by_order.rowsBetween(Window.unboundedPreceding, -1)
+    op = F.coalesce("op", F.lit("get"))
+    made = op.isin("set", "held")
+    place = lambda when, w: F.coalesce(F.max(F.when(when, F.col("_n"))).over(w), F.lit(0))
+    out = operations.withColumn("_n", F.row_number().over(by_order)).withColumn("_due", F.last(F.when(made | (op == "refresh"), F.struct("due")), ignorenulls=True).over(before)["due"])
+    out = out.withColumn("_over", ~made & ~F.coalesce(F.col("at_us") < F.col("_due"), F.lit(False)))
+    out = out.withColumn("ok", place(made, upto) > F.greatest(place(F.col("_over"), upto), place(op == "delete", before)))
+    out = out.withColumn("read", F.when(F.col("ok"), F.last(F.when(made, F.struct("value")), ignorenulls=True).over(upto)["value"]))
+    expires = F.when(made | (op == "refresh"), F.col("due")).otherwise(F.col("_due"))
+    out = out.withColumn("after", F.when(F.col("ok") & (op != "delete") & expires.isNotNull(), F.struct(F.col("read").alias("value"), expires.alias("expires"))))
+    return out.withColumn("last", F.lead("_n").over(by_order).isNull()).drop("_n", "_due", "_over")
+
+
+def answer_stream(operations: DataFrame, path: str, checkpoint: str):
+    """Starts a stream over what there is that stores, by batch, what Entries answers to operations (key, seq, op, value, ttl_s, at_us); see stored_answers.
+
+    A batch's last row of each key keeps the entry that is left, in a folder of such rows; a batch goes on from the latest of them, and one that is run again
+    overwrites its own folder.
+    """
+
+    def store(batch: DataFrame, n: int) -> None:
+        due = F.when(F.col("op").isin("set", "refresh"), F.col("at_us") + F.col("ttl_s").cast("long") * 1_000_000)
+        rows = batch.select("key", "seq", "op", "value", due.alias("due"), "at_us", F.lit(n).alias("batch"))
+        if n:
+            known = batch.sparkSession.read.schema(TOLD).parquet(path).where(F.col("last") & (F.col("batch") < n))
+            known = known.groupBy("key").agg(F.max_by("after", "batch").alias("after")).where("after IS NOT NULL")
+            null = lambda kind: F.lit(None).cast(kind)
+            held = known.select("key", null("long").alias("seq"), F.lit("held").alias("op"), "after.value", F.col("after.expires").alias("due"), null("long").alias("at_us"), F.lit(-1).alias("batch"))
+            rows = rows.unionByName(held)
+        out = told(rows, ["batch", F.asc_nulls_last("seq")]).where(F.col("batch") == n)
+        out.select("key", "seq", "op", "ok", F.col("read").alias("value"), "after", "last").write.mode("overwrite").partitionBy("last").parquet(f"{path}/batch={n}")
+
+    return operations.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(key, seq, op, ok, value) of all operations, in a table that answer_stream keeps."""
+    return spark.read.schema(TOLD).parquet(path).select("key", "seq", "op", "ok", "value")

@@ -63,3 +63,36 @@ def test_run_changes_of_any_user(spark, small, monkeypatch):
     events.unpersist()
     assert got == want and {r[0] for r in got} >= {"-5"}
     assert len(spark.read.parquet(paths[0]).inputFiles()) > 3
+
+
+def told(batches):
+    """What Entries answers, row by row."""
+    out, entries = [], {}
+    for rows in batches:
+        for key, seq, op, value, ttl, at in sorted(rows, key=lambda r: r[1]):
+            held, expires = entries.get(key, (None, None))
+            live = expires is not None and at is not None and at < expires
+            held, expires = (held, expires) if live else (None, None)
+            read, then = held, None if ttl is None or at is None else at + ttl * 1_000_000
+            if op == "set":
+                held, expires, live, read = value, then, True, value
+            elif op == "refresh" and live:
+                expires = then
+            elif op == "delete":
+                held, expires = None, None
+            out.append((key, seq, op, live, read))
+            entries[key] = (held, expires)
+    return out
+
+
+def test_answers_over_batches(spark, tmp_path):
+    """Times that go back and forth, values, times and spans that are null, operations of no name, keys that a batch leaves out; no entry goes through a Python worker."""
+    rng = random.Random(7)
+    ops = [None, "set", "set", "refresh", "refresh", "get", "get", "delete", "other"]
+    row = lambda k: (rng.choice("abcdefgh"), k, rng.choice(ops), rng.choice([None, f"v{k}"]), rng.choice([None, 0, 1, 3, 9, 9, 9]), rng.choice([None, *[rng.randrange(6_000_000) for _ in range(20)]]))
+    batches = [[row(k + 1000 * n) for k in rng.sample(range(1000), 150)] for n in range(3)] + [[("a", 5000, "get", None, None, 1), ("z", 5001, "get", None, None, 1)]]
+    ddl, path, marks, folder = "key string, seq bigint, op string, value string, ttl_s int, at_us bigint", new_path(spark, "t"), new_path(spark, "m"), str(tmp_path / "ops")
+    for rows in batches:
+        spark.createDataFrame(rows, ddl).write.mode("append").parquet(folder)
+        machine.answer_stream(spark.readStream.schema(ddl).parquet(folder), path, marks).awaitTermination()
+    assert {r.seq: tuple(r) for r in machine.stored_answers(spark, path).collect()} == {r[1]: r for r in told(batches)}
