@@ -16,13 +16,13 @@ KINDS = {
 }
 
 
-def deal(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def deal(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """rows stored by range of (keys, order), with the number of the stretch as _stretch: as many stretches as there are shuffle partitions, of like size."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(rows.repartitionByRange(n, *keys, *order).withColumn("_stretch", F.spark_partition_id()), "stretches")
 
 
-def scan(dealt: DataFrame, keys: list[str], order: list[str], inclusive: bool = True, **states: tuple[str, Column]) -> DataFrame:
+def scan(dealt: DataFrame, keys: list[str], order: list[Column | str], inclusive: bool = True, **states: tuple[str, Column]) -> DataFrame:
     """dealt with the running state of each name: ("sum" | "max" | "min" | "last", expression), null where no row counts yet.
 
     "last" is the last value that is not null. The order must tell the rows of a key apart where equal rows would give different states. A key's rows of one

@@ -13,7 +13,7 @@ SPANS = "spans AS (SELECT l_orderkey % 97 AS k, l_orderkey AS o, l_linenumber AS
 
 def spans(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select((F.col("l_orderkey") % 97).alias("k"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), (F.col("l_partkey") * 3).alias("s"), (F.col("l_partkey") * 3 + F.col("l_quantity")).cast("long").alias("e"))
+    return li.select((F.col("l_orderkey") % 97).alias("k"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), (F.col("l_partkey") * 3).alias("s"), F.rint(F.col("l_partkey") * 3 + F.col("l_quantity")).cast("long").alias("e"))
 
 
 @query("proximity_merge", f"WITH {SPANS}, f AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM spans), g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS group_no FROM f) SELECT k, group_no::BIGINT AS group_no, min(s) AS span_start, max(e) AS span_end, count(*) AS members FROM g GROUP BY k, group_no")
