@@ -78,6 +78,20 @@ def test_equal_patterns_are_ranked_once(spark, tmp_path):
     assert last.index("Join") < last.index("Window")  # ids of patterns come to hits that are ranked
 
 
+def test_hits_of_one_pattern_are_spread(spark, tmp_path):
+    """One pattern that many ask for and many symbols of two names have: its hits are ranked and paired by several tasks, and only the two names are indexed."""
+    symbols = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, "red").otherwise("reds").alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.lit("f").alias("file"), F.lit(1).alias("line_start"))
+    names.build_names(symbols, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 27  # 12 of red and 15 of reds, each behind itself
+    asked = spark.range(1300).select(F.col("id").alias("pattern_id"), F.lit("red").alias("pattern"), F.lit(None).cast("string").alias("hint_file"))
+    found = names.find_all(spark, str(tmp_path), asked)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 6000 * 1300 and max(r["count"] for r in tasks) < 6000 * 1300 * 0.8
+    ranks = found.groupBy("id").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count_distinct("pattern_id").alias("n"), F.count("*").alias("rows"))
+    want = {k: k // 2 + 1 + 3000 * (k % 2) for k in range(6000)}
+    assert {(r.id, r.low, r.high, r.n, r["rows"]) for r in ranks.collect()} == {(k, x, x, 1300, 1300) for k, x in want.items()}
+
+
 def joins(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
